@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliospark.llm import bpe
+from foliospark.llm import bpe, mixing, sharding, substring
 from foliospark.llm.common import table
 
 
@@ -12,4 +13,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents"), digest=True)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "source", F.col("m_tokens").alias("n_tokens"), F.round("m_weight", 9).alias("weight"), F.col("m_pass").alias("pass_no"), F.col("m_start").alias("start"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op4_sharding": op4_sharding, "op9_substring": op9_substring, "op10_mixing": op10_mixing}

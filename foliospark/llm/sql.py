@@ -1,3 +1,67 @@
 """DuckDB SQL with the same results as the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+
+def _draw(key: str, level: str, child: int, weight: int) -> str:
+    return f"(-ln((('0x' || substr(md5({key} || '/{level}/{child}'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0) / {weight}.0)"
+
+
+def _least(key: str, level: str, weights: dict[int, int]) -> str:
+    return f"list_min([{', '.join(f'{{d: {_draw(key, level, c, w)}, c: {c}}}' for c, w in weights.items())}]).c"
+
+
+def _shard(key: str, extra: bool) -> str:
+    regions = {0: 8, 1: 8} | ({2: 1} if extra else {})
+    racks = {r: f"CASE {_least(key, 'rack', {2 * r: 4, 2 * r + 1: 4})} " + " ".join(f"WHEN {k} THEN {_least(key, 'shard', {4 * k + i: 1 for i in range(4)})}" for k in (2 * r, 2 * r + 1)) + " END" for r in (0, 1)}
+    return f"CAST(CASE {_least(key, 'region', regions)} WHEN 0 THEN {racks[0]} WHEN 1 THEN {racks[1]} ELSE 16 END AS INTEGER)"
+
+
+_KEY = "coalesce(doc_id::VARCHAR, 'null')"
+
+#: CRC-32 of a text in SQL is a fold over its bytes; the table is made by the rule of the polynomial.
+_CRC_TABLE = "(SELECT list(c ORDER BY n) FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS n)))"
+
+
+def _crc(binary_hex: str) -> str:
+    pieces = f"list_transform(range(1, length({binary_hex})::BIGINT, 2), lambda i: ('0x' || substr({binary_hex}, i::INT, 2))::BIGINT)"
+    return f"xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, {pieces}), lambda c, b: xor(t.crc[(xor(c, b) & 255) + 1], c >> 8)))"
+
+
+OP4 = f"""
+WITH t AS (SELECT {_CRC_TABLE} AS crc),
+d AS (SELECT doc_id, coalesce(text, '') AS text, {_KEY} AS key FROM documents),
+r AS (SELECT doc_id, strlen(text)::BIGINT + 1 AS size, {_crc("hex(encode(text))")} AS text_crc32, {_crc("hex(encode(key))")} % 1024 AS part,
+             {_shard("key", False)} AS shard, {_shard("key", True)} AS grown_shard FROM d, t)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+       (row_number() OVER (PARTITION BY shard ORDER BY part, doc_id NULLS FIRST, text_crc32, size) - 1)::BIGINT AS slot, grown_shard
+FROM r"""
+
+OP9 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM d WHERE len(w) >= 50),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM s),
+m AS (SELECT h, min(doc_id) AS first FROM h GROUP BY h),
+c AS (SELECT doc_id, list(i) AS starts FROM h JOIN m USING (h) WHERE first < doc_id GROUP BY doc_id),
+g AS (SELECT doc_id, list_distinct(flatten(list_transform(starts, lambda i: range(i, i + 50)))) AS gone FROM c)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE coalesce(list_filter(w, lambda x, i: NOT list_contains(gone, i)), []) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)"""
+
+OP10 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT + 1 AS n_tokens,
+    coalesce('s:' || source, 'null') AS key, md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS o FROM documents),
+t AS (SELECT key, sum(n_tokens)::BIGINT AS total FROM d GROUP BY key),
+x AS (SELECT list(total::DOUBLE ORDER BY key) AS totals, max(total)::DOUBLE AS top FROM t),
+b(step, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL
+    SELECT step + 1, CASE WHEN ok THEN lo ELSE mid END, CASE WHEN ok THEN mid ELSE hi END FROM (
+        SELECT step, lo, hi, mid, list_max(r) / list_min(r) <= 2.0 AS ok FROM (
+            SELECT step, lo, hi, (lo + hi) / 2 AS mid, list_transform(totals, lambda v: pow(v / top, (lo + hi) / 2) / v) AS r FROM b, x WHERE step < 50))),
+a AS (SELECT hi AS a FROM b WHERE step = 50),
+n AS (SELECT sum(pow(total / top, a)) AS norm, max(total / pow(total / top, a)) AS over FROM t, x, a),
+p AS (SELECT key, total, pow(total / top, a) / norm AS weight, round(pow(total / top, a) / norm * (over * norm))::BIGINT AS quota FROM t, x, a, n),
+e AS (SELECT d.*, sum(n_tokens) OVER (PARTITION BY key ORDER BY o, n_tokens ROWS UNBOUNDED PRECEDING)::BIGINT AS fin FROM d),
+k AS (SELECT e.*, weight, quota // total + (fin <= quota % total)::BIGINT AS times FROM e JOIN p USING (key))
+SELECT doc_id, source, n_tokens, round(weight, 9) AS weight, unnest(range(times))::INTEGER AS pass_no, fin - n_tokens AS start FROM k"""
+
+ORACLES: dict[str, str] = {"op4_sharding": OP4, "op9_substring": OP9, "op10_mixing": OP10}
