@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import bpe, mixing, sharding, substring
+from foliospark.llm import bpe, mixing, neardup, sharding, substring
 from foliospark.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"), digest=True)
 
@@ -26,4 +30,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.col("m_tokens").alias("n_tokens"), F.round("m_weight", 9).alias("weight"), F.col("m_pass").alias("pass_no"), F.col("m_start").alias("start"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_sharding": op4_sharding, "op9_substring": op9_substring, "op10_mixing": op10_mixing}
+QUERIES = {"op1_bpe": op1_bpe, "op4_sharding": op4_sharding, "op6_neardup": op6_neardup, "op9_substring": op9_substring, "op10_mixing": op10_mixing}
