@@ -57,6 +57,11 @@ def _by_slice(slices: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
             yield s, order[edges[s] : edges[s + 1]]
 
 
+def _spans(edge: np.ndarray, end: int) -> Iterator[tuple[int, int]]:
+    """Start and end of each run, from the starts."""
+    return zip(edge, [*edge[1:], end], strict=True) if len(edge) else iter(())
+
+
 def _read(column: pd.Series, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=kind)
 
@@ -106,7 +111,7 @@ def merged_estimates(sketches: DataFrame, slices: int) -> DataFrame:
             hit = estimate >= 2
             ids, anchor = own_ids[hit], own[hit]
             edge = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, dtype=np.int64)
-            for x, y in zip(edge, [*edge[1:], len(ids)], strict=True):
+            for x, y in _spans(edge, len(ids)):
                 out_k.append(int(ids[x]))
                 out_a.append(anchor[x:y].tobytes())
         return pd.DataFrame({"k": pd.Series(out_k, dtype="int64"), "a": pd.Series(out_a, dtype="object")})
@@ -180,8 +185,7 @@ def repeated_places(windows: DataFrame) -> DataFrame:
         order = np.lexsort((at, i))
         i, at = i[order], at[order]
         edge = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))) if len(i) else np.zeros(0, dtype=np.int64)
-        ends = [*edge[1:], len(i)]
-        return pd.DataFrame({"k": pd.Series(i[edge], dtype="int64"), "p": pd.Series([at[x:y].tobytes() for x, y in zip(edge, ends, strict=True)], dtype="object")})
+        return pd.DataFrame({"k": pd.Series(i[edge], dtype="int64"), "p": pd.Series([at[x:y].tobytes() for x, y in _spans(edge, len(i))], dtype="object")})
 
     return windows.groupBy("s").applyInPandas(run, "k long, p binary")
 
