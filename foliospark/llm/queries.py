@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import bpe, mixing, neardup, sharding, substring
+from foliospark.llm import ann, bpe, mixing, neardup, sharding, substring, toxicity
 from foliospark.llm.common import table
 
 
@@ -13,10 +13,19 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
@@ -30,4 +39,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.col("m_tokens").alias("n_tokens"), F.round("m_weight", 9).alias("weight"), F.col("m_pass").alias("pass_no"), F.col("m_start").alias("start"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_sharding": op4_sharding, "op6_neardup": op6_neardup, "op9_substring": op9_substring, "op10_mixing": op10_mixing}
+QUERIES = {"op1_bpe": op1_bpe, "op2_ann": op2_ann, "op4_sharding": op4_sharding, "op5_toxicity": op5_toxicity, "op6_neardup": op6_neardup, "op9_substring": op9_substring, "op10_mixing": op10_mixing}
