@@ -110,8 +110,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8,
     parts = probed.groupBy(*place).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("parts"))
     shape = F.broadcast(blocks.join(parts, place))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = data.join(shape, place).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("part", each("parts"))
-    right = probed.join(shape, place).withColumn("part", F.pmod(F.xxhash64("h2", "h1"), F.col("parts")).cast("int")).withColumn("block", each("blocks"))
+    left = data.join(shape, place).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("part", each("parts")).drop("blocks", "parts")
+    right = probed.join(shape, place).withColumn("part", F.pmod(F.xxhash64("h2", "h1"), F.col("parts")).cast("int")).withColumn("block", each("blocks")).drop("blocks", "parts")
     key = [*place, "block", "part"]
 
     def rerank(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
