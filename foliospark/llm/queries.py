@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import ann, bpe, mixing, neardup, sharding, substring, toxicity
+from foliospark.llm import ann, bpe, htmltext, lmscore, mixing, neardup, sharding, substring, toxicity
 from foliospark.llm.common import table
 
 
@@ -30,6 +30,15 @@ def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lmscore.difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
+
+
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"), digest=True)
 
@@ -39,4 +48,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.col("m_tokens").alias("n_tokens"), F.round("m_weight", 9).alias("weight"), F.col("m_pass").alias("pass_no"), F.col("m_start").alias("start"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_ann": op2_ann, "op4_sharding": op4_sharding, "op5_toxicity": op5_toxicity, "op6_neardup": op6_neardup, "op9_substring": op9_substring, "op10_mixing": op10_mixing}
+QUERIES = {"op1_bpe": op1_bpe, "op2_ann": op2_ann, "op4_sharding": op4_sharding, "op5_toxicity": op5_toxicity, "op6_neardup": op6_neardup, "op7_html": op7_html, "op8_lm": op8_lm, "op9_substring": op9_substring, "op10_mixing": op10_mixing}
