@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import ann, bpe, htmltext, lmscore, mixing, neardup, sharding, substring, toxicity
+from foliospark.llm import ann, bpe, htmltext, lmscore, media, mixing, neardup, sharding, substring, toxicity
 from foliospark.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -48,4 +52,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.col("m_tokens").alias("n_tokens"), F.round("m_weight", 9).alias("weight"), F.col("m_pass").alias("pass_no"), F.col("m_start").alias("start"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_ann": op2_ann, "op4_sharding": op4_sharding, "op5_toxicity": op5_toxicity, "op6_neardup": op6_neardup, "op7_html": op7_html, "op8_lm": op8_lm, "op9_substring": op9_substring, "op10_mixing": op10_mixing}
+QUERIES = {"op1_bpe": op1_bpe, "op2_ann": op2_ann, "op3_media": op3_media, "op4_sharding": op4_sharding, "op5_toxicity": op5_toxicity, "op6_neardup": op6_neardup, "op7_html": op7_html, "op8_lm": op8_lm, "op9_substring": op9_substring, "op10_mixing": op10_mixing}
