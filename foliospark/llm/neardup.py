@@ -2,8 +2,8 @@
 
 Texts become sets of hashed 5-word shingles and fixed-length minwise signatures; equal sets are one
 representative from then on. In each of several independent trees a node chooses, by a hash of its own
-name, which signature places its documents branch on (1/threshold places on average), so a similar
-pair is expected to stay together in one child at each level. Nodes of one document are dropped, nodes of
+name, which signature places its documents branch on (1/threshold places on average on the first levels), so
+a similar pair is expected to stay together in one child at each of them. Nodes of one document are dropped, nodes of
 up to ``node_limit`` documents are compared exhaustively on signatures, larger ones branch further.
 What stays large after ``max_depth`` levels is tied to its first document. The trees thus give a
 coarse grouping that contains every linked pair found; its classes are then settled on the full sets:
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm import textgrams as tg
-from foliospark.llm.common import cut, partitions
+from foliospark.llm.common import cut
 
 #: Places of a minwise signature.
 PLACES = 128
@@ -64,8 +64,8 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def profiles(docs: DataFrame, size: int = 5) -> DataFrame:
-    """k, n, finger (of the set), sig (packed) and own (packed set) of each document."""
+def profiles(docs: DataFrame, trees: int, threshold: float, size: int = 5) -> DataFrame:
+    """k, n, finger (of the set), sig (packed, 16 bits a place) and roots (nodes under the trees' roots) of each document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -73,17 +73,31 @@ def profiles(docs: DataFrame, size: int = 5) -> DataFrame:
                 part = b.iloc[at : at + 1000]
                 sets = shingle_sets(part["t"].tolist(), size)
                 full = [s for s in sets if len(s)]
-                sig = iter(signatures(full)) if full else iter(())
-                yield pd.DataFrame({"k": part["k"].values, "n": [len(s) for s in sets], "finger": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "sig": [next(sig).tobytes() if len(s) else b"" for s in sets]})
-
-    return docs.mapInPandas(run, "k long, n long, finger binary, sig binary")
-
-
-def _children(node: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and names of the child nodes: each node chooses one place, and with the rest of 1/threshold a second."""
+                sig = signatures(full) if full else np.zeros((0, PLACES), dtype=np.uint32)
+                roots: list[list[int]] = [[] for _ in full]
+                for tree in range(trees):
+                    rows, names = _children(np.full(len(full), tree + 1, dtype=np.uint64), sig, 1 / threshold)
+                    for i, name in zip(rows.tolist(), names.view(np.int64).tolist(), strict=True):
+                        roots[i].append(name)
+                short, names = iter(sig.astype(np.uint16)), iter(roots)
+                yield pd.DataFrame(
+                    {
+                        "k": part["k"].values,
+                        "n": [len(s) for s in sets],
+                        "finger": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
+                        "sig": [next(short).tobytes() if len(s) else b"" for s in sets],
+                        "roots": [next(names) if len(s) else [] for s in sets],
+                    }
+                )
+
+    return docs.mapInPandas(run, "k long, n long, finger binary, sig binary, roots array<long>")
+
+
+def _children(node: np.ndarray, sig: np.ndarray, places: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and names of the child nodes: each node chooses one place, and a second with what is over one."""
     first = tg.mix(node, 11)
     rows, names = [], []
-    for turn, (place_hash, use) in enumerate(((first, np.ones(len(node), dtype=bool)), (tg.mix(first, 12), (tg.mix(first, 13) >> np.uint64(40)) / float(1 << 24) < 1 / threshold - 1))):
+    for turn, (place_hash, use) in enumerate(((first, np.ones(len(node), dtype=bool)), (tg.mix(first, 12), (tg.mix(first, 13) >> np.uint64(40)) / float(1 << 24) < places - 1))):
         place = (place_hash % np.uint64(PLACES)).astype(np.int64)
         at = np.flatnonzero(use)
         token = sig[at, place[at]].astype(np.uint64)
@@ -92,22 +106,15 @@ def _children(node: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[np.n
     return np.concatenate(rows), np.concatenate(names)
 
 
-def _branch(rows: DataFrame, trees: int | None, threshold: float) -> DataFrame:
-    """k and node: children of the given nodes, or of the roots of ``trees`` trees."""
+def _branch(rows: DataFrame, places: float) -> DataFrame:
+    """k and node: children of the given nodes (k, node, sig)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b):
-                continue
-            sig = np.frombuffer(b"".join(b["sig"]), dtype=np.uint32).reshape(len(b), PLACES)
-            k = b["k"].to_numpy()
-            if trees is None:
-                at, names = _children(b["node"].to_numpy().astype(np.int64).view(np.uint64), sig, threshold)
-                yield pd.DataFrame({"k": k[at], "node": names.view(np.int64)})
-                continue
-            for tree in range(trees):
-                at, names = _children(np.full(len(b), tree + 1, dtype=np.uint64), sig, threshold)
-                yield pd.DataFrame({"k": k[at], "node": names.view(np.int64)})
+            if len(b):
+                sig = np.frombuffer(b"".join(b["sig"]), dtype=np.uint16).reshape(len(b), PLACES)
+                at, names = _children(b["node"].to_numpy().astype(np.int64).view(np.uint64), sig, places)
+                yield pd.DataFrame({"k": b["k"].to_numpy()[at], "node": names.view(np.int64)})
 
     return rows.mapInPandas(run, "k long, node long")
 
@@ -151,7 +158,7 @@ def _tree_edges(g: pd.DataFrame) -> pd.DataFrame:
     """Edges of a spanning forest of the screened pairs of one node."""
     k = g["k"].to_numpy()
     order = np.argsort(k, kind="stable")
-    k, sig = k[order], np.frombuffer(b"".join(g["sig"]), dtype=np.uint32).reshape(len(g), PLACES)[order]
+    k, sig = k[order], np.frombuffer(b"".join(g["sig"]), dtype=np.uint16).reshape(len(g), PLACES)[order]
     forest, a, b = Forest(len(k)), [], []
     for i, j, _ in screened(sig, SCREEN):
         for x, y in zip(i.tolist(), j.tolist(), strict=True):
@@ -161,23 +168,28 @@ def _tree_edges(g: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64")})
 
 
-def coarse_edges(reps: DataFrame, trees: int = 10, threshold: float = 0.75, node_limit: int = 400, max_depth: int = 8) -> DataFrame:
-    """a, b: pairs of representatives that tie what the trees found together."""
-    nodes = _branch(reps.select("k", "sig"), trees, threshold)
-    edges, depth = None, 1
+def coarse_edges(known: DataFrame, reps: DataFrame, threshold: float = 0.75, node_limit: int = 400, max_depth: int = 4) -> DataFrame:
+    """a, b: pairs of representatives (k of ``reps``) that tie what the trees found together.
+
+    Two levels branch on 1/threshold places; from the third on a node branches on one, so a large group of
+    near copies has as many rows on each further level.
+    """
+    nodes = known.select("k", "roots").join(reps, "k", "left_semi").select("k", F.explode("roots").alias("node"))
+    edges, sigs, depth = None, None, 1
     while True:
         sizes = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("k").alias("head")).where("size > 1")
         live = cut(nodes.join(sizes, "node"))
-        small = live.where(F.col("size") <= node_limit).select("k", "node").join(reps.select("k", "sig"), "k")
-        found = small.groupBy("node").applyInPandas(_tree_edges, "a long, b long").distinct()
+        if sigs is None:  # further levels are about the same documents
+            sigs = cut(known.select("k", "sig").join(live.select("k").distinct(), "k", "left_semi"))
+        found = live.where(F.col("size") <= node_limit).select("k", "node").join(sigs, "k").groupBy("node").applyInPandas(_tree_edges, "a long, b long")
         large = live.where(F.col("size") > node_limit)
         last = depth >= max_depth
         if last:
             found = found.union(large.where("k != head").select(F.col("head").alias("a"), F.col("k").alias("b")))
         edges = found if edges is None else edges.union(found)
         if last or large.isEmpty():
-            return edges.distinct()
-        nodes = _branch(large.select("k", "node").join(reps.select("k", "sig"), "k"), None, threshold).distinct()
+            return edges
+        nodes = _branch(large.select("k", "node").join(sigs, "k"), 1 / threshold if depth < 2 else 1.0).distinct()
         depth += 1
 
 
@@ -233,23 +245,21 @@ def _confirmed(g: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64")})
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = 10, node_limit: int = 400, class_limit: int = 800, max_depth: int = 8) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = 8, node_limit: int = 400, class_limit: int = 800, max_depth: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document."""
-    n_parts = partitions(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
-    known = cut(profiles(rows.where("k IS NOT NULL")))
-    reps = known.where("n > 0").groupBy("finger").agg(F.min_by("sig", "k").alias("sig"), F.min("k").alias("k")).select("k", "sig")
-    reps = cut(reps)
-    coarse = cut(components(coarse_edges(reps, trees, 0.75, node_limit, max_depth)))
-    sizes = coarse.groupBy("root").agg(F.count("*").alias("size"))
-    member = cut(coarse.join(sizes, "root").join(rows, "k").select("root", "size", "k", "t"))
-    ordinary = member.where(F.col("size") <= class_limit).select("root", "k", "t", F.col("k").alias("c"))
-    links = cut(ordinary.groupBy("root").applyInPandas(_confirmed, "a long, b long"))
-    large = member.where(F.col("size") > class_limit)
+    known = cut(profiles(rows.where("k IS NOT NULL"), trees, 0.75))
+    copies = known.where("n > 0").groupBy("finger").agg(F.min("k").alias("rep"))
+    reps = cut(copies.select(F.col("rep").alias("k")))
+    coarse = components(coarse_edges(known, reps, 0.75, node_limit, max_depth))
+    coarse = cut(coarse.join(coarse.groupBy("root").agg(F.count("*").alias("size")), "root"))
+    ordinary = rows.join(coarse.where(F.col("size") <= class_limit), "k").select("root", "k", "t", F.col("k").alias("c"))
+    links = ordinary.groupBy("root").applyInPandas(_confirmed, "a long, b long")
+    large = coarse.where(F.col("size") > class_limit)
     if not large.isEmpty():
-        links = links.union(_large_classes(large, class_limit, n_parts))
+        links = links.union(_large_classes(cut(rows.join(large, "k").select("root", "k", "t")), class_limit))
     found = components(links)
-    by_rep = known.select("k", "n", "finger").join(known.where("n > 0").groupBy("finger").agg(F.min("k").alias("rep")), "finger", "left")
+    by_rep = known.select("k", "n", "finger").join(copies, "finger", "left")
     out = by_rep.join(found.select(F.col("k").alias("rep"), "root"), "rep", "left")
     alone = rows.where("k IS NULL").mapInPandas(_alone, "doc_id long, n_shingles long, component_id long, kept boolean")
     return out.select(F.col("k").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "k").alias("component_id"), (F.col("k") == F.coalesce("root", "rep", "k")).alias("kept")).union(alone)
@@ -260,7 +270,7 @@ def _alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": b["k"], "n_shingles": [len(s) for s in shingle_sets(b["t"].tolist())], "component_id": b["k"], "kept": True})
 
 
-def _large_classes(large: DataFrame, limit: int, n_parts: int) -> DataFrame:
+def _large_classes(large: DataFrame, limit: int) -> DataFrame:
     """Links of coarse classes that are too large for one task.
 
     Rounds: a class is dealt by hash into blocks of about half a limit. Each block also gets the class's
