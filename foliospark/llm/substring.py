@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from foliospark.llm import textgrams as tg
 from foliospark.llm.common import partitions
 
+#: Characters of text whose windows are held at once, if of more than one text.
+TOGETHER = 4 << 20
 _DEPTH = 2
 _BITS_A_COUNT = 8  # cells for each expected anchor
 
@@ -66,11 +69,20 @@ def _read(column: pd.Series, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=kind)
 
 
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of a few megabytes of text, or of one text."""
+    for b in batches:
+        size = np.cumsum(b["t"].map(len).to_numpy(dtype=np.int64)) // TOGETHER
+        edges = np.flatnonzero(np.concatenate(([True], size[1:] != size[:-1], [True]))) if len(b) else [0]
+        for x, y in pairwise(edges):
+            yield b.iloc[x:y]
+
+
 def partial_sketches(docs: DataFrame, window: int, slices: int) -> DataFrame:
     """slice, batch's documents (k), its anchors (a) and each anchor's document (d, an index into k)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _parts(batches):
             ids = b["k"].to_numpy(dtype=np.int64)
             _, offsets, starts, anchor = _anchors(b["t"].tolist(), window)
             if not len(starts):
@@ -123,7 +135,7 @@ def candidate_windows(docs: DataFrame, window: int, slices: int) -> DataFrame:
     """Full hashes of the windows with an anchor in ``a``, by slice; slice -1 has those already settled in the batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _parts(batches):
             ids = b["k"].to_numpy(dtype=np.int64)
             words, offsets, starts, anchor = _anchors(b["t"].tolist(), window)
             if not len(starts):
