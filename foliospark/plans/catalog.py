@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from foliospark.plans import views  # noqa: F401
+from foliospark.plans.registry import ORACLES, QUERIES
 
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and characters by language."""
-    from pyspark.sql import functions as F
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("characters"))
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress of every document in every language."""
+    return QUERIES["ag_03_progress"](spark, sf_dir)
