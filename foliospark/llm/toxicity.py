@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from foliospark.llm import textgrams as tg
 
 #: Labelled rows of each label that the fit sees at most, and characters of one at most.
-SAMPLE, LONGEST = 2500, 200_000
+SAMPLE, LONGEST = 2000, 200_000
 WINDOW, STRIDE = 32, 16
 BUCKETS, DIM, HIDDEN = 1 << 15, 8, 8
 _JOIN = 1 << 20
@@ -74,6 +74,32 @@ class Words:
         self.n_grams = n
 
 
+    @staticmethod
+    def of(texts: list[str | None]) -> Words:
+        """Of all texts, piece by piece: only distinct words and the occurrences' numbers are held together."""
+        parts, docs = [], 0
+        for data, ends in _pieces(texts):
+            w = Words(data, ends)
+            w.doc = w.doc + docs
+            docs += len(ends)
+            parts.append(w)
+        out = object.__new__(Words)
+        sizes = [len(w.keys) for w in parts]
+        keys, at, inverse = np.unique(np.concatenate([w.keys for w in parts]), return_index=True, return_inverse=True)
+        before = np.cumsum([0, *sizes])
+        out.keys, out.word = keys, (keys % np.uint64(BUCKETS)).astype(np.int64)
+        out.ids = np.concatenate([inverse[b + w.ids] for b, w in zip(before, parts, strict=False)])
+        out.doc = np.concatenate([w.doc for w in parts])
+        held = np.cumsum([0, *(len(w.grams) for w in parts)])
+        first = np.concatenate([w.first + h for h, w in zip(held, parts, strict=False)])[at]
+        out.n_grams = np.concatenate([w.n_grams for w in parts])[at]
+        out.first = np.cumsum(out.n_grams) - out.n_grams
+        grams = np.concatenate([w.grams for w in parts]).astype(np.int32)
+        total = int(out.n_grams.sum())
+        out.grams = grams[np.repeat(first - out.first, out.n_grams) + np.arange(total)]
+        return out
+
+
 def _windows(doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """Word places of each window (-1: none) and its text; a text without words has one empty window."""
     counts = np.bincount(doc, minlength=n_docs)
@@ -217,25 +243,30 @@ def fit(texts: list[str | None], labels: np.ndarray, epochs: int = 6, seed: int
     if not n1 or not n0:
         net.constant = float(labels.mean()) if len(labels) else 0.5
         return net
-    w = Words(*next(iter([(b" ".join(x := [(t or "").encode("utf-8", "surrogatepass") for t in texts]), np.cumsum([len(y) + 1 for y in x]))])))
+    w = Words.of(texts)
     places, of = _windows(w.doc, len(texts))
     none = len(w.word)
-    ids = np.concatenate((w.ids, [none]))[places]
+    ids = np.concatenate((w.ids, [none])).astype(np.int32)[places]
+    del places
     counts = np.zeros((2, 2, BUCKETS), dtype=np.float64)  # by kind of bucket and label, in documents
     for kind in (0, 1):
         if kind == 0:
             pairs = np.unique(w.doc * np.int64(BUCKETS) + w.word[w.ids])
         else:
             once = np.unique(w.doc * np.int64(none + 1) + w.ids)
-            word = once % (none + 1)
-            total = w.n_grams[word]
-            at = np.repeat(w.first[word] - np.concatenate(([0], np.cumsum(total)[:-1])), total) + np.arange(int(total.sum()))
-            pairs = np.unique(np.repeat(once // (none + 1), total) * np.int64(BUCKETS) + w.grams[at])
+            for part in np.split(once, np.searchsorted(once, np.arange(200, len(texts), 200) * np.int64(none + 1))):  # some texts at once
+                word = part % (none + 1)
+                total = w.n_grams[word]
+                at = np.repeat(w.first[word] - np.concatenate(([0], np.cumsum(total)[:-1])), total) + np.arange(int(total.sum()))
+                pairs = np.unique(np.repeat(part // (none + 1), total) * np.int64(BUCKETS) + w.grams[at])
+                np.add.at(counts[kind], (labels[pairs // BUCKETS].astype(int), pairs % BUCKETS), 1)
+            continue
         np.add.at(counts[kind], (labels[pairs // BUCKETS].astype(int), pairs % BUCKETS), 1)
     net.p["word"][:BUCKETS, 0] = _log_odds(counts[0, 1], counts[0, 0], n1, n0)
     net.p["char"][:, 0] = _log_odds(counts[1, 1], counts[1, 0], n1, n0)
     start = net.vectors(w)
     hint = np.maximum(start[:, 0], start[:, DIM])
+    del start
     guess = hint[ids].max(axis=1)
     moments = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in net.p.items()}
     random, turn = np.random.default_rng(seed), 0
