@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The characters counted for each script.
@@ -73,12 +73,14 @@ def intrusion(text: Column, source: Column, code: Column) -> Column:
     return F.when(F.size(allowed) == 0, False).when(_total(found) < 2, False).otherwise(foreign)
 
 
-def without_foreign(text: Column, source: Column, code: Column) -> Column:
-    """The text without a foreign minority; one that is mostly foreign stays."""
-    found, allowed = counts(text), allowed_scripts(source, code)
-    foreign = F.aggregate(F.map_entries(found), F.lit(0), lambda s, x: s + F.when(F.array_contains(allowed, x["key"]), 0).otherwise(x["value"]))
-    cleaned = text
-    for script, pattern in SCRIPTS.items():
-        cleaned = F.when(F.array_contains(allowed, F.lit(script)), cleaned).otherwise(F.regexp_replace(cleaned, pattern, ""))
-    cleaned = F.trim(F.regexp_replace(F.regexp_replace(cleaned, r"[ \t]{2,}", " "), r" +([,.;:!?…])", "$1"))
-    return F.when(~intrusion(text, source, code) | (foreign * 2 >= _total(found)), text).otherwise(cleaned)
+def with_foreign_removed(rows: DataFrame, text: str, source: str, code: str, out: str) -> DataFrame:
+    """rows with ``out``: the text without a foreign minority; one that is mostly foreign stays. Step by step, so that
+    no count is written out twice in the plan."""
+    t = F.col(text)
+    rows = rows.withColumns({"s_found": counts(t), "s_allowed": allowed_scripts(F.col(source), F.col(code)), "s_in": intrusion(t, F.col(source), F.col(code))})
+    foreign = F.aggregate(F.map_entries("s_found"), F.lit(0), lambda s, x: s + F.when(F.array_contains("s_allowed", x["key"]), 0).otherwise(x["value"]))
+    patterns = F.create_map(*[F.lit(x) for pair in SCRIPTS.items() for x in pair])
+    bad = F.filter(F.map_keys("s_found"), lambda k: ~F.array_contains("s_allowed", k))
+    rows = rows.withColumns({"s_foreign": foreign, "s_total": _total(F.col("s_found")), "s_bad": F.concat(F.lit("("), F.array_join(F.transform(bad, lambda k: F.element_at(patterns, k)), "|"), F.lit(")"))})
+    cleaned = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, F.col("s_bad"), F.lit("")), r"[ \t]{2,}", " "), r" +([,.;:!?…])", "$1"))
+    return rows.withColumn(out, F.when(~F.col("s_in") | (F.col("s_foreign") * 2 >= F.col("s_total")), t).otherwise(cleaned)).drop("s_found", "s_allowed", "s_in", "s_foreign", "s_total", "s_bad")

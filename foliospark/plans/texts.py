@@ -359,13 +359,21 @@ _intr = f"CASE WHEN {_sum(_o)} < 2 THEN false ELSE " + " OR ".join(f"({_n(k, _o)
 _column("sc_52_script_fits", "fits", lambda o, s, c: S.fits(o, c), _fits)
 _column("sc_53_intrusion", "intrusion", lambda o, s, c: S.intrusion(o, s, c), _intr)
 _column("sc_44_missed", "missed", lambda o, s, c: C.missed(o, s, c, F.array()), None)
-_column("sc_54_without_foreign", "clean", lambda o, s, c: S.without_foreign(o, s, c), None)
 _column("sc_38_polished", "clean", lambda o, s, c: C.polished(C.paired_quotes(o), F.lit("ru")), None)
-_column("sc_43_finished", "clean", lambda o, s, c: C.finished(o, s, c), None)
 _column("sc_50_target_scripts", "scripts", lambda o, s, c: F.array_join(F.array_sort(S.target_scripts(c)), ","), "CASE code " + " ".join(f"WHEN '{k}' THEN '{','.join(sorted(v))}'" for k, v in _TARGETS.items()) + " END")
 _column("sc_51_allowed_scripts", "scripts", lambda o, s, c: F.array_join(F.array_sort(S.allowed_scripts(s, c)), ","), "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN {_ok[k]} THEN '{k}' END" for k in S.SCRIPTS) + "], lambda x: x IS NOT NULL)), ',')")
 
 
+@query("sc_54_without_foreign")
+def sc_54(s, d):
+    return S.with_foreign_removed(_outs(s, d), "output", "source", "code", "clean").select("document_id", "ord", "clean")
+
+
+@query("sc_43_finished")
+def sc_43(s, d):
+    return C.with_finished(_outs(s, d), "output", "source", "code", "clean").select("document_id", "ord", "clean")
+
+
 @query("ag_12_script_histogram", with_tables("docs") + "SELECT document_id, " + ", ".join(f"{_n(k, 'text')}::INTEGER AS {k}" for k in S.SCRIPTS) + " FROM docs")
 def ag_12(s, d):
     return T.documents(s, d).select("document_id", *[S.count(F.col("text"), k).alias(k) for k in S.SCRIPTS])
