@@ -95,7 +95,7 @@ OCR: dict[str, Pair] = {
     "y1": "CAST(floor(p_partkey / 40) * 15 + p_size % 12 + 12 AS INT)",
 }
 GLYPH: dict[str, Pair] = {
-    "page": "CAST(p_partkey % 30 AS INT)",
+    "page": "CAST(floor(p_partkey / 2) % 30 AS INT)",
     "idx": "p_partkey",
     "text": "p_name",
     "x0": "CAST((p_partkey % 2) * 300 + 40 + (p_size % 5) * 6 AS DOUBLE)",
