@@ -12,7 +12,8 @@ document's own. Batches settle their own repetitions first, so a group of copies
 windows per batch.
 
 Windows are judged on the input. Rows with a null id take part in nothing and lose nothing; null and
-short texts lose nothing; equal ids don't count against one another; extra columns are ignored or kept.
+short texts lose nothing; rows with equal ids are one document and don't count against one another; extra
+columns are ignored or kept.
 """
 
 from __future__ import annotations
@@ -100,8 +101,28 @@ def partial_sketches(docs: DataFrame, window: int, slices: int) -> DataFrame:
     return docs.mapInPandas(run, "s int, k binary, a binary, d binary")
 
 
+def _by_document(rows: DataFrame, kind: str) -> DataFrame:
+    """k and v: one row for each document, from rows (g, k, v) of packed document ids and packed values."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        ids, values = _read(g["k"], np.int64), _read(g["v"], kind)
+        order = np.argsort(ids, kind="stable")
+        ids, values = ids[order], values[order]
+        edge = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, dtype=np.int64)
+        return pd.DataFrame({"k": pd.Series(ids[edge], dtype="int64"), "v": pd.Series([values[x:y].tobytes() for x, y in _spans(edge, len(ids))], dtype="object")})
+
+    return rows.groupBy("g").applyInPandas(run, "k long, v binary")
+
+
+def _grouped(ids: np.ndarray, values: np.ndarray, groups: int) -> pd.DataFrame:
+    """Rows (g, k, v): ids and values packed by group of documents, so a slice gives a row for each group at most."""
+    group = (tg.mix(ids.view(np.uint64), 5) % np.uint64(groups)).astype(np.int64)
+    rows = [(g, ids[at].tobytes(), values[at].tobytes()) for g, at in _by_slice(group, groups)]
+    return pd.DataFrame(rows, columns=["g", "k", "v"])
+
+
 def merged_estimates(sketches: DataFrame, slices: int) -> DataFrame:
-    """k and a (packed anchors) of each document: those whose merged count-min estimate is two or more."""
+    """k and v (packed anchors) of each document: those whose merged count-min estimate is two or more."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         total = sum(map(len, g["a"])) // 8
@@ -117,22 +138,18 @@ def merged_estimates(sketches: DataFrame, slices: int) -> DataFrame:
                 part = np.minimum(np.bincount(cells[r], minlength=width), 2).astype(np.uint8)
                 tables[r] = np.minimum(tables[r] + part, 2)
             pieces.append((own_ids, own, cells))
-        out_k, out_a = [], []
+        out_k, out_a = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
         for own_ids, own, cells in pieces:
-            estimate = np.minimum.reduce([tables[r][cells[r]] for r in range(_DEPTH)])
-            hit = estimate >= 2
-            ids, anchor = own_ids[hit], own[hit]
-            edge = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, dtype=np.int64)
-            for x, y in _spans(edge, len(ids)):
-                out_k.append(int(ids[x]))
-                out_a.append(anchor[x:y].tobytes())
-        return pd.DataFrame({"k": pd.Series(out_k, dtype="int64"), "a": pd.Series(out_a, dtype="object")})
+            hit = np.minimum.reduce([tables[r][cells[r]] for r in range(_DEPTH)]) >= 2
+            out_k.append(own_ids[hit])
+            out_a.append(own[hit])
+        return _grouped(np.concatenate(out_k), np.concatenate(out_a), slices)
 
-    return sketches.groupBy("s").applyInPandas(run, "k long, a binary")
+    return _by_document(sketches.groupBy("s").applyInPandas(run, "g int, k binary, v binary"), "<u8")
 
 
 def candidate_windows(docs: DataFrame, window: int, slices: int) -> DataFrame:
-    """Full hashes of the windows with an anchor in ``a``, by slice; slice -1 has those already settled in the batch."""
+    """Full hashes of the windows with an anchor in ``v``, by slice; slice -1 has those already settled in the batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _parts(batches):
@@ -143,9 +160,9 @@ def candidate_windows(docs: DataFrame, window: int, slices: int) -> DataFrame:
             doc = tg.owner(offsets)[starts]
             hit = np.zeros(len(starts), dtype=bool)
             edge = np.searchsorted(doc, np.arange(len(ids) + 1))
-            for i, parts in enumerate(b["a"]):
-                if edge[i] < edge[i + 1] and parts is not None and len(parts):
-                    hit[edge[i] : edge[i + 1]] = np.isin(anchor[edge[i] : edge[i + 1]], _read(parts, np.uint64))
+            for i, part in enumerate(b["v"]):
+                if edge[i] < edge[i + 1]:
+                    hit[edge[i] : edge[i + 1]] = np.isin(anchor[edge[i] : edge[i + 1]], np.frombuffer(part, np.uint64))
             starts, doc = starts[hit], doc[hit]
             if not len(starts):
                 continue
@@ -177,8 +194,8 @@ def _repeated(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_places(windows: DataFrame) -> DataFrame:
-    """k and p (packed window starts) of the windows whose least id is below their own."""
+def repeated_places(windows: DataFrame, groups: int) -> DataFrame:
+    """k and v (packed window starts) of each document: the windows whose least id is below their own."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         ids, place, h1, h2, known = [], [], [], [], []
@@ -193,37 +210,33 @@ def repeated_places(windows: DataFrame) -> DataFrame:
         i, at, done = np.concatenate(ids), np.concatenate(place), np.concatenate(known)
         if not done.all():
             done = done | _repeated(np.concatenate(h1), np.concatenate(h2), i)
-        i, at = i[done], at[done]
-        order = np.lexsort((at, i))
-        i, at = i[order], at[order]
-        edge = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))) if len(i) else np.zeros(0, dtype=np.int64)
-        return pd.DataFrame({"k": pd.Series(i[edge], dtype="int64"), "p": pd.Series([at[x:y].tobytes() for x, y in _spans(edge, len(i))], dtype="object")})
+        return _grouped(i[done], at[done], groups)
 
-    return windows.groupBy("s").applyInPandas(run, "k long, p binary")
+    return _by_document(windows.groupBy("s").applyInPandas(run, "g int, k binary, v binary"), "<u4")
 
 
 def repeated_starts(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """k and p: for each document with repeated windows, list of packed (uint32) starts of those."""
+    """k and v: the packed (uint32) starts of each document's repeated windows, if it has any."""
     slices = 2 * partitions(docs)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).where(F.length("t") >= 2 * window - 1)
-    flagged = merged_estimates(partial_sketches(rows, window, slices), slices).groupBy("k").agg(F.collect_list("a").alias("a"))
-    again = candidate_windows(rows.join(flagged, "k"), window, slices)
-    return repeated_places(again).groupBy("k").agg(F.collect_list("p").alias("p"))
+    flagged = merged_estimates(partial_sketches(rows, window, slices), slices)
+    return repeated_places(candidate_windows(rows.join(flagged, "k"), window, slices), slices)
 
 
 def covered_mask(n: int, starts: np.ndarray, window: int) -> np.ndarray:
     """Which of n words lie in a window that begins at one of ``starts``."""
+    starts = starts[starts < n]
     change = np.zeros(n + 1, dtype=np.int64)
     np.add.at(change, starts, 1)
     np.add.at(change, np.minimum(starts + window, n), -1)
     return np.cumsum(change[:n]) > 0
 
 
-def _kept(text: str | None, parts, window: int) -> tuple[int, int, bytes]:
+def _kept(text: str | None, starts: bytes | None, window: int) -> tuple[int, int, bytes]:
     words = (text or "").encode("utf-8", "surrogatepass").split()
-    if parts is None or not len(parts):
+    if not starts:
         return len(words), 0, b" ".join(words)
-    gone = covered_mask(len(words), _read(parts, np.uint32).astype(np.int64), window)
+    gone = covered_mask(len(words), np.frombuffer(starts, np.uint32).astype(np.int64), window)
     return len(words), int(gone.sum()), b" ".join([w for w, x in zip(words, gone, strict=True) if not x])
 
 
@@ -235,7 +248,7 @@ def dedup(docs: DataFrame, window: int = 50, digest: bool = False, id_col: str =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            done = [_kept(t, p, window) for t, p in zip(b["t"], b["p"], strict=True)]
+            done = [_kept(t, p, window) for t, p in zip(b["t"], b["v"], strict=True)]
             yield pd.DataFrame({"doc_id": b["k"], "n_words": [x[0] for x in done], "n_removed": [x[1] for x in done], last: [hashlib.sha256(x[2]).hexdigest() if digest else x[2].decode("utf-8", "surrogatepass") for x in done]})
 
     return rows.mapInPandas(run, f"doc_id {kind}, n_words long, n_removed long, {last} string")
@@ -244,7 +257,7 @@ def dedup(docs: DataFrame, window: int = 50, digest: bool = False, id_col: str =
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """Documents with repeated windows taken out of their texts; a text that loses nothing stays as it is,
     one that loses all its words goes. ``n_chars`` is set anew; other columns stay."""
-    found = repeated_starts(docs, window).withColumnRenamed("k", "doc_id").withColumnRenamed("p", "__p")
+    found = repeated_starts(docs, window).withColumnRenamed("k", "doc_id").withColumnRenamed("v", "__p")
 
     @F.pandas_udf("string")
     def strip(text: pd.Series, parts: pd.Series) -> pd.Series:
