@@ -56,7 +56,8 @@ def mix(docs: DataFrame, entropy: float | None = None, max_repeats: float = 2.0,
     """The columns of ``docs`` with m_tokens, m_weight, m_pass (from 0) and m_start (tokens of the pass before the row), a row for each time that a document is taken."""
     key = F.coalesce(F.concat(F.lit("s:"), F.col(source_col).cast("string")), F.lit("null"))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
-    rows = docs.withColumns({"m_key": key, "m_tokens": tokens(text_col), "m_order": order}).withColumn("m_block", F.substring("m_order", 1, 3))
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("m_doc")  # whatever the columns are called
+    rows = docs.select(whole, key.alias("m_key"), tokens(text_col).alias("m_tokens"), order.alias("m_order")).withColumn("m_block", F.substring("m_order", 1, 3))
     blocks = rows.groupBy("m_key", "m_block").agg(F.sum("m_tokens").alias("m_block_tokens"))
     sources = plan(blocks.groupBy(F.col("m_key").alias("key")).agg(F.sum("m_block_tokens").alias("total")), entropy, max_repeats, budget)
     before = F.coalesce(F.sum("m_block_tokens").over(Window.partitionBy("m_key").orderBy("m_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -68,5 +69,5 @@ def mix(docs: DataFrame, entropy: float | None = None, max_repeats: float = 2.0,
         placed.withColumn("m_times", times)
         .where("m_times > 0")
         .withColumn("m_pass", F.explode(F.sequence(F.lit(0), (F.col("m_times") - 1).cast("int"))))
-        .select(*[docs[c] for c in docs.columns], "m_tokens", F.col("weight").alias("m_weight"), "m_pass", (F.col("m_end") - F.col("m_tokens")).alias("m_start"))
+        .select("m_doc.*", "m_tokens", F.col("weight").alias("m_weight"), "m_pass", (F.col("m_end") - F.col("m_tokens")).alias("m_start"))
     )
