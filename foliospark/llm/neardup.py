@@ -9,8 +9,7 @@ What stays large after ``max_depth`` levels is tied to its first document. The t
 coarse grouping that contains every linked pair found; its classes are then settled on the full sets:
 all pairs of a class that aren't joined yet are screened by signature and confirmed by
 100 * intersection >= 75 * union. A coarse class larger than ``class_limit`` is dealt into blocks that
-share its leaders; what the blocks leave apart from the rest goes to all of them again until no block joins
-anything more.
+share its leaders; what the blocks leave apart from the largest part then meets every block, slice by slice.
 
 Null and empty texts have an empty set, are linked with nothing and stay; a text with fewer than
 five words has its whole word sequence as its one shingle. Rows with a null id are returned alone. Extra
@@ -200,7 +199,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = pairs.union(pairs.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        star = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        star = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")  # as many rows as pairs at most
         down = star.groupBy("u").agg(F.min("v").alias("m"))
         pairs = cut(star.join(down, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct())
         mark = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -253,11 +252,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tre
     reps = cut(copies.select(F.col("rep").alias("k")))
     coarse = components(coarse_edges(known, reps, 0.75, node_limit, max_depth))
     coarse = cut(coarse.join(coarse.groupBy("root").agg(F.count("*").alias("size")), "root"))
-    ordinary = rows.join(coarse.where(F.col("size") <= class_limit), "k").select("root", "k", "t", F.col("k").alias("c"))
-    links = ordinary.groupBy("root").applyInPandas(_confirmed, "a long, b long")
-    large = coarse.where(F.col("size") > class_limit)
-    if not large.isEmpty():
-        links = links.union(_large_classes(cut(rows.join(large, "k").select("root", "k", "t")), class_limit))
+    members = rows.join(coarse, "k").select("root", "k", "t", F.col("k").alias("c"), "size")
+    crowded = not coarse.where(F.col("size") > class_limit).isEmpty()
+    members = cut(members) if crowded else members
+    links = members.where(F.col("size") <= class_limit).drop("size").groupBy("root").applyInPandas(_confirmed, "a long, b long")
+    if crowded:
+        links = links.union(_large_classes(members.where(F.col("size") > class_limit).select("root", "k", "t"), class_limit))
     found = components(links)
     by_rep = known.select("k", "n", "finger").join(copies, "finger", "left")
     out = by_rep.join(found.select(F.col("k").alias("rep"), "root"), "rep", "left")
@@ -271,32 +271,31 @@ def _alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _large_classes(large: DataFrame, limit: int) -> DataFrame:
-    """Links of coarse classes that are too large for one task.
+    """Links of coarse classes that are too large for one task; no task gets more than about ``limit`` documents.
 
-    Rounds: a class is dealt by hash into blocks of about half a limit. Each block also gets the class's
-    leaders: documents of the smaller classes found so far, each of which is thus compared with
-    all others, as long as they fit into half a block, else a part of them chosen by hash. When all of them
-    have fitted, every pair of the class has been compared unless both were already in the main class.
+    First each class is dealt by hash into blocks of half a limit, and about as many leaders, chosen by hash, go to
+    all of its blocks: that joins most of what belongs together. Then every document outside its class's largest
+    part is compared with all others: these are dealt into slices of half a limit, and each slice meets each block.
+    Pairs inside the largest part are joined already, so no pair is left out, however many slices there are.
     """
     half = max(1, limit // 2)
-    state = cut(large.select("root", "k", F.col("k").alias("c")))
-    links = None
-    for turn in range(12):
-        blocks = state.groupBy("root").agg(F.ceil(F.count("*") / half).cast("int").alias("blocks"))
-        by_class = state.groupBy("root", "c").agg(F.count("*").alias("m"))
-        main = by_class.groupBy("root").agg(F.max(F.struct("m", (-F.col("c")).alias("o"))).alias("x"), F.sum("m").alias("all")).select("root", (-F.col("x.o")).alias("main"), (F.col("all") - F.col("x.m")).alias("rest"))
-        info = blocks.join(main, "root")  # one row for each large class
-        dealt = state.join(info, "root").withColumn("h", F.xxhash64(F.lit(turn), "k"))
-        leads = (F.col("c") != F.col("main")) & (F.pmod("h", F.lit(1 << 30)) * F.greatest("rest", F.lit(1)) < F.lit(float(1 << 30)) * half)
-        spread = dealt.withColumn("block", F.explode(F.when(leads, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.shiftright("h", 31), F.col("blocks")).cast("int")))))
-        texts = large.select("k", "t")
-        found = cut(spread.select("root", "block", "k", "c").join(texts, "k").groupBy("root", "block").applyInPandas(_confirmed, "a long, b long").distinct())
-        links = found if links is None else cut(links.union(found))
-        if info.where(F.col("rest") > half).isEmpty():
-            break
-        joined = components(links)
-        state = cut(state.select("root", "k").join(joined.withColumnRenamed("root", "c"), "k", "left").select("root", "k", F.coalesce("c", "k").alias("c")))
-    return links
+    blocks = large.groupBy("root").agg(F.ceil(F.count("*") / half).cast("int").alias("blocks"), F.count("*").alias("n"))
+    dealt = large.join(blocks, "root").withColumn("h", F.xxhash64("k"))
+    own = F.pmod(F.shiftright("h", 31), F.col("blocks")).cast("int")
+    leads = F.pmod("h", F.lit(1 << 30)) * F.col("n") < F.lit(float(1 << 30)) * half
+    spread = dealt.withColumn("block", F.explode(F.when(leads, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
+    links = cut(spread.select("root", "block", "k", "t", F.col("k").alias("c")).groupBy("root", "block").applyInPandas(_confirmed, "a long, b long"))
+    joined = dealt.select("root", "k", "t", "blocks", own.alias("block")).join(components(links).withColumnRenamed("root", "c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
+    parts = joined.groupBy("root", "c").agg(F.count("*").alias("m"))
+    main = parts.groupBy("root").agg(F.max(F.struct("m", (-F.col("c")).alias("o"))).alias("x"), F.sum("m").alias("n")).select("root", (-F.col("x.o")).alias("main"), F.ceil((F.col("n") - F.col("x.m")) / half).cast("int").alias("slices"))
+    told = joined.join(main, "root").where("slices > 0")
+    rest = F.col("c") != F.col("main")
+    mine = F.pmod(F.xxhash64(F.lit(1), "k"), F.col("slices")).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cells = F.transform(every("slices"), lambda s: F.struct(F.col("block").alias("block"), s.alias("slice")))
+    as_slice = F.transform(F.array_except(every("blocks"), F.array("block")), lambda b: F.struct(b.alias("block"), mine.alias("slice")))
+    met = told.withColumn("e", F.explode(F.when(rest, F.concat(cells, as_slice)).otherwise(cells))).select("root", "e.block", "e.slice", "k", "t", "c")
+    return links.union(met.groupBy("root", "block", "slice").applyInPandas(_confirmed, "a long, b long"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
