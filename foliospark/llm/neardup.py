@@ -252,7 +252,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tre
     reps = cut(copies.select(F.col("rep").alias("k")))
     coarse = components(coarse_edges(known, reps, 0.75, node_limit, max_depth))
     coarse = cut(coarse.join(coarse.groupBy("root").agg(F.count("*").alias("size")), "root"))
-    members = rows.join(coarse, "k").select("root", "k", "t", F.col("k").alias("c"), "size")
+    # coarse grows with the documents: no broadcast at any size
+    members = rows.join(coarse.hint("merge"), "k").select("root", "k", "t", F.col("k").alias("c"), "size")
     crowded = not coarse.where(F.col("size") > class_limit).isEmpty()
     members = cut(members) if crowded else members
     links = members.where(F.col("size") <= class_limit).drop("size").groupBy("root").applyInPandas(_confirmed, "a long, b long")
