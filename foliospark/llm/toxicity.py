@@ -6,7 +6,8 @@ of 32 words that overlap by half; attention pools the states of a window into on
 document's logit is the largest of all its windows, over the whole text. Scores are calibrated on documents.
 
 The network is fitted on the driver with Adam on a bounded sample of labelled rows (``SAMPLE`` of each
-label, texts up to ``LONGEST`` characters, in hash order), never on rows with crc32(doc_id) mod 5 = 0. The first
+label, texts up to ``LONGEST`` characters, in hash order), never on rows with crc32(doc_id) mod 5 = 0; of a repeated
+id its least text. The first
 coordinate of each embedding starts at the label's log odds of its bucket. Labels, lang, source and
 doc_id are no inputs.
 
@@ -335,9 +336,12 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame) -> Net:
     """A network from a bounded sample of the labelled rows outside the held-out fold."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").where(~held_out()).where(F.length("text") <= LONGEST).join(marks, "doc_id").withColumn("order", F.xxhash64("doc_id"))
-    parts = [rows.where(F.col("toxic") == y).orderBy("order", "doc_id").limit(SAMPLE).toPandas() for y in (0, 1)]
-    sample = pd.concat(parts)
+    usable = docs.where(~held_out()).where(F.length("text") <= LONGEST)
+    known = usable.select("doc_id", F.xxhash64("doc_id").alias("order")).distinct().join(marks, "doc_id")  # ids only
+    zero, one = (known.where(F.col("toxic") == y).orderBy("order", "doc_id").limit(SAMPLE) for y in (0, 1))
+    chosen = F.broadcast(zero.union(one))  # 2 * SAMPLE ids at most
+    sample = usable.select("doc_id", "text").join(chosen, "doc_id").groupBy("toxic", "order", "doc_id").agg(F.min("text").alias("text")).toPandas()
+    sample = sample.sort_values(["toxic", "order", "doc_id"])
     return fit(sample["text"].tolist(), sample["toxic"].to_numpy())
 
 
