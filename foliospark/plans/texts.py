@@ -237,7 +237,7 @@ def sc_23(s, d):
 def sc_20(s, d):
     """Terms as numbered marks and back; restored is null where a mark was lost."""
     terms = [(t[3], t[4]) for t in T.GLOSSARY if t[1] == "en" and t[2] == "ru"]
-    return G.protected(T.blocks(s, d).where("lang = 'en' AND ord < 5").select("document_id", "ord", "text"), terms).select("document_id", "ord", "protected", F.size("marks").alias("marks"), "restored")
+    return G.protected(T.blocks(s, d).where("lang = 'en'").select("document_id", "ord", "text"), terms).select("document_id", "ord", "protected", F.size("marks").alias("marks"), "restored")
 
 
 @query("sc_21_restore_terms", with_tables("segments") + "SELECT task_id, block_ord, segment_ord, source AS restored, true AS intact FROM segments")
@@ -288,14 +288,21 @@ _OUTS = with_tables("blocks", more=f"outs AS (SELECT document_id, ord, substr(te
 
 
 def _outs(s: SparkSession, d: str) -> DataFrame:
+    """The model outputs that the SQL twins have."""
     return T.blocks(s, d).where("ord < 8").select("document_id", "ord", F.substring("text", 1, 120).alias("source"), F.expr(_OUT).alias("output"), F.expr(_CODE).alias("code"))
 
 
+def _all_outs(s: SparkSession, d: str) -> DataFrame:
+    """The model outputs of all blocks with their whole sources."""
+    return T.blocks(s, d).select("document_id", "ord", F.col("text").alias("source"), F.expr(_OUT).alias("output"), F.expr(_CODE).alias("code"))
+
+
 def _column(name: str, alias: str, make, sql: str | None, more: str = "") -> None:
-    """A query of one derived column over the model outputs."""
+    """A query of one derived column over the model outputs: all of them where no SQL says which."""
+    outs = _all_outs if sql is None else _outs
 
     def run(s: SparkSession, d: str) -> DataFrame:
-        return _outs(s, d).select("document_id", "ord", make(F.col("output"), F.col("source"), F.col("code")).alias(alias))
+        return outs(s, d).select("document_id", "ord", make(F.col("output"), F.col("source"), F.col("code")).alias(alias))
 
     query(name, None if sql is None else _OUTS + more + f"SELECT document_id, ord, {sql} AS {alias} FROM outs")(run)
 
@@ -366,12 +373,12 @@ _column("sc_51_allowed_scripts", "scripts", lambda o, s, c: F.array_join(F.array
 
 @query("sc_54_without_foreign")
 def sc_54(s, d):
-    return S.with_foreign_removed(_outs(s, d), "output", "source", "code", "clean").select("document_id", "ord", "clean")
+    return S.with_foreign_removed(_all_outs(s, d), "output", "source", "code", "clean").select("document_id", "ord", "clean")
 
 
 @query("sc_43_finished")
 def sc_43(s, d):
-    return C.with_finished(_outs(s, d), "output", "source", "code", "clean").select("document_id", "ord", "clean")
+    return C.with_finished(_all_outs(s, d), "output", "source", "code", "clean").select("document_id", "ord", "clean")
 
 
 @query("ag_12_script_histogram", with_tables("docs") + "SELECT document_id, " + ", ".join(f"{_n(k, 'text')}::INTEGER AS {k}" for k in S.SCRIPTS) + " FROM docs")
