@@ -3,12 +3,14 @@
 Each table rotates vectors by three rounds of random signs and a fast Hadamard transform and assigns them
 to the nearest signed axis. Every vector is indexed once in each table; a query probes the ``probes``
 nearest axes of each. Buckets are dealt into blocks of bounded size on either side, candidates are
-reranked by their exact inner product in double precision, and each query's best are merged. Where norms
-differ, vectors get one more coordinate that makes them equal, so that nearest by angle is nearest by product.
+reranked by their exact inner product in double precision, and each query's best are merged. Vectors are split
+by norm into ranges with tables of their own; where norms differ within a range, its vectors get one more coordinate
+that makes them equal, so that nearest by angle is nearest by product. Ranges of a block or less are scanned whole,
+and so is each range, block by block, for the queries that found fewer than ``k`` + 1 of its classes in their buckets.
 
 Equal vectors are one class, searched once; a class keeps its ``k`` + 1 smallest ids, which is all that a
 result can hold. Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null
-ids; ids that occur twice count once for each of their vectors; fewer than k candidates give all found.
+ids; ids that occur twice count once for each of their vectors; fewer than k candidates give all.
 Only vectors of the same dimension are compared. Extra columns are ignored.
 """
 
@@ -23,8 +25,12 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import cut
 
+#: Vectors of a block; a norm range of no more is scanned whole.
 BLOCK = 4096
 QUERY_BLOCK = 8192
+#: Norm ranges for each factor of two.
+RANGES = 4
+_PLACE = "dim int, range int, table int, bucket int, "
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -72,40 +78,50 @@ def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where("id IS NOT NULL AND v IS NOT NULL").where(F.coalesce(fine, F.lit(False))).withColumns({"h1": F.xxhash64(F.lit(1), v), "h2": F.xxhash64(F.lit(2), v)})
 
 
-def _hashed(rows: DataFrame, key: list[str], tables: int, probes: int, longest: float, lift: bool, query: bool) -> DataFrame:
-    """table, bucket, the key columns and the packed vector."""
+def _sized(rows: DataFrame) -> DataFrame:
+    """With the dimension and the base 2 logarithm of the norm, which no component is too large for."""
+    most = F.array_max(F.transform("v", F.abs))
+    length = F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / most) * (x / most))
+    return rows.withColumns({"dim": F.size("v"), "lg": F.log2(most) + F.log2(length) / 2})
+
+
+def _hashed(rows: DataFrame, key: list[str], tables: int, probes: int, query: bool) -> DataFrame:
+    """dim, range, table, bucket, the key columns and the packed vector; rows have their range's top and lift."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            dims = b["v"].map(len).to_numpy()
-            for d in np.unique(dims):
-                part = b[dims == d]
+            for (d, r), part in b.groupby(["dim", "range"], sort=False):
                 x = np.stack(part["v"].to_list()).astype(np.float64)
                 packed = [row.tobytes() for row in x]
-                ready = prepared(x, longest, query, lift)
+                if query:
+                    unit = x / np.abs(x).max(axis=1, keepdims=True)
+                else:
+                    half = np.exp2(part["top"].iloc[0] / 2)
+                    unit = x / half / half
+                ready = prepared(unit, 1.0, query, bool(part["lift"].iloc[0]))
                 for t in range(tables):
                     found = buckets(ready, t, probes)
                     for p in range(found.shape[1]):
-                        yield pd.DataFrame({"dim": np.int32(d), "table": np.int32(t), "bucket": found[:, p].astype(np.int32), **{c: part[c].to_numpy() for c in key}, "x": packed})
+                        yield pd.DataFrame({"dim": np.int32(d), "range": np.int32(r), "table": np.int32(t), "bucket": found[:, p].astype(np.int32), **{c: part[c].to_numpy() for c in key}, "x": packed})
 
-    return rows.select(*key, "v").mapInPandas(run, f"dim int, table int, bucket int, {', '.join(f'{c} long' for c in key)}, x binary")
+    return rows.select(*key, "v", "dim", "range", "top", "lift").mapInPandas(run, _PLACE + ", ".join(f"{c} long" for c in key) + ", x binary")
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8, probes: int = 16, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score of the nearest found for each row of ``queries``, itself left out."""
-    base, asked = valid(vectors, id_col, vector_col), valid(queries, id_col, vector_col)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    longest, shortest = base.agg(F.max(norm), F.min(norm)).first()
-    lift = longest is not None and shortest < longest * 0.999
-    longest = longest or 1.0
-    first = Window.partitionBy("h1", "h2").orderBy("id")
-    distinct = base.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
-    known = cut(distinct.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids")))  # k + 1 ids at most
-    asked_classes = asked.groupBy("h1", "h2").agg(F.first("v").alias("v"))
-    place = ["dim", "table", "bucket"]
-    data = _hashed(known, ["rep"], tables, 1, longest, lift, False)
-    probed = _hashed(asked_classes, ["h1", "h2"], tables, probes, longest, lift, True)
-    # one row for each bucket: dimensions in use x tables x twice the dimension
+def _whole(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The same columns with a single bucket for each dimension and range."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            packed = [np.asarray(v, dtype=np.float64).tobytes() for v in b["v"]]
+            yield pd.DataFrame({"dim": b["dim"], "range": b["range"], "table": np.int32(-1), "bucket": np.int32(0), **{c: b[c] for c in key}, "x": packed})
+
+    return rows.select(*key, "v", "dim", "range").mapInPandas(run, _PLACE + ", ".join(f"{c} long" for c in key) + ", x binary")
+
+
+def _compared(data: DataFrame, probed: DataFrame, k: int) -> DataFrame:
+    """h1, h2, range, rep, s: the k + 1 best classes in the buckets that each query has of each range."""
+    place = ["dim", "range", "table", "bucket"]
+    # one row for each bucket: dimensions in use x norm ranges x tables x twice the dimension
     blocks = data.groupBy(*place).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     parts = probed.groupBy(*place).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("parts"))
     shape = F.broadcast(blocks.join(parts, place))
@@ -116,7 +132,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8,
 
     def rerank(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
-            return pd.DataFrame({"h1": [], "h2": [], "best": []})
+            return pd.DataFrame({"h1": [], "h2": [], "range": [], "best": []})
         rows, reps = np.frombuffer(b"".join(x["x"]), dtype=np.float64).reshape(len(x), -1), x["rep"].to_numpy()
         wanted = np.frombuffer(b"".join(q["x"]), dtype=np.float64).reshape(len(q), -1)
         best = []
@@ -130,25 +146,51 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8,
                 hit = np.flatnonzero(row >= low)
                 hit = hit[np.lexsort((reps[hit], -row[hit]))][: k + 1]
                 best.append(reps[hit].tobytes() + row[hit].tobytes())
-        return pd.DataFrame({"h1": q["h1"], "h2": q["h2"], "best": best})
+        return pd.DataFrame({"h1": q["h1"], "h2": q["h2"], "range": q["range"], "best": best})
 
-    found = right.groupBy(*key).cogroup(left.groupBy(*key)).applyInPandas(rerank, "h1 long, h2 long, best binary")
+    found = right.groupBy(*key).cogroup(left.groupBy(*key)).applyInPandas(rerank, "h1 long, h2 long, range int, best binary")
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for h1, h2, lists in zip(b["h1"], b["h2"], b["lists"], strict=True):
+            for h1, h2, r, lists in zip(b["h1"], b["h2"], b["range"], b["lists"], strict=True):
                 reps = np.concatenate([np.frombuffer(x[: len(x) // 2], np.int64) for x in lists])
                 score = np.concatenate([np.frombuffer(x[len(x) // 2 :], np.float64) for x in lists])
                 reps, at = np.unique(reps, return_index=True)
                 score = score[at]
                 order = np.lexsort((reps, -score))[: k + 1]
-                out.extend((h1, h2, int(r), float(s)) for r, s in zip(reps[order], score[order], strict=True))
-            yield pd.DataFrame(out, columns=["h1", "h2", "rep", "s"])
+                out.extend((h1, h2, r, int(i), float(s)) for i, s in zip(reps[order], score[order], strict=True))
+            yield pd.DataFrame(out, columns=["h1", "h2", "range", "rep", "s"])
+
+    return found.groupBy("h1", "h2", "range").agg(F.collect_list("best").alias("lists")).mapInPandas(merge, "h1 long, h2 long, range int, rep long, s double")
+
 
-    top = found.groupBy("h1", "h2").agg(F.collect_list("best").alias("lists")).mapInPandas(merge, "h1 long, h2 long, rep long, s double")
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8, probes: int = 16, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score of the nearest found for each row of ``queries``, itself left out."""
+    base, asked = valid(vectors, id_col, vector_col), valid(queries, id_col, vector_col)
+    first = Window.partitionBy("h1", "h2").orderBy("id")
+    distinct = base.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
+    classes = distinct.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids"))  # k + 1 ids at most
+    sized = cut(_sized(classes))
+    longest = sized.agg(F.max("lg")).first()[0] or 0.0
+    known = sized.withColumn("range", F.floor((F.lit(longest) - F.col("lg")) * RANGES).cast("int"))
+    asked_classes = asked.groupBy("h1", "h2").agg(F.first("v").alias("v")).withColumn("dim", F.size("v"))
+    # one row for each dimension in use and norm range
+    shape = cut(known.groupBy("dim", "range").agg(F.count("*").alias("n"), F.max("lg").alias("top"), F.min("lg").alias("low")))
+    hashed = F.broadcast(shape.where(F.col("n") > BLOCK).select("dim", "range", "top", (F.col("low") < F.col("top") + float(np.log2(0.999))).alias("lift")))
+    small = F.broadcast(shape.where(F.col("n") <= BLOCK).select("dim", "range"))
+    in_tables = asked_classes.join(hashed, "dim")
+    in_small = asked_classes.join(F.broadcast(shape.where(F.col("n") <= BLOCK).select("dim").distinct()), "dim").withColumn("range", F.lit(-1))
+    data = _hashed(known.join(hashed, ["dim", "range"]), ["rep"], tables, 1, False).unionByName(_whole(known.join(small, ["dim", "range"]).withColumn("range", F.lit(-1)), ["rep"]))
+    probed = _hashed(in_tables, ["h1", "h2"], tables, probes, True).unionByName(_whole(in_small, ["h1", "h2"]))
+    top = cut(_compared(data, probed, k))
+    have = top.groupBy("h1", "h2", "range").agg(F.count("*").alias("have"))
+    short = cut(in_tables.join(have, ["h1", "h2", "range"], "left").where(F.coalesce("have", F.lit(0)) <= k).select("h1", "h2", "v", "dim", "range"))
+    if not short.isEmpty():
+        again = _compared(_whole(known.join(hashed, ["dim", "range"]), ["rep"]), _whole(short, ["h1", "h2"]), k)
+        top = top.join(short.select("h1", "h2", "range"), ["h1", "h2", "range"], "left_anti").unionByName(again)
     ids = top.join(known.select("rep", "ids"), "rep").select("h1", "h2", (-F.col("s")).alias("o"), F.explode("ids").alias("id"))
-    listed = ids.groupBy("h1", "h2").agg(F.slice(F.sort_array(F.collect_list(F.struct("o", "id"))), 1, k + 1).alias("near"))  # of (k + 1) ** 2 at most
+    listed = ids.groupBy("h1", "h2").agg(F.slice(F.sort_array(F.collect_list(F.struct("o", "id"))), 1, k + 1).alias("near"))  # of (k + 1) ** 2 a range at most
     mine = asked.select(F.col("id").alias("query_id"), "h1", "h2").distinct().join(listed, ["h1", "h2"])
     nearest = F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k)
     return mine.select("query_id", F.posexplode(nearest).alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.o")).alias("score"))

@@ -102,6 +102,39 @@ def test_ann_finds_the_nearest(spark):
     assert ann.search(few, few.where("vec_id = 0")).count() <= 2
 
 
+def nearest(spark, x, asked, k=20):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {int(q): [] for q in asked}
+    for r in sorted(ann.search(df, df.where(F.col("vec_id").isin([int(q) for q in asked]))).collect(), key=lambda r: r.rank):
+        got[r.query_id].append(r.vec_id)
+    want = {}
+    for q in got:
+        score = x @ x[q]
+        want[q] = [i for i in np.lexsort((np.arange(len(x)), -score)) if i != q][:k]
+    return got, want
+
+
+def test_ann_gives_all_of_a_few(spark):
+    got, want = nearest(spark, np.random.default_rng(1).standard_normal((15, 64)), range(15))
+    assert got == want
+
+
+def test_ann_with_one_huge_norm(spark):
+    x = np.random.default_rng(2).standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] *= 1000
+    got, want = nearest(spark, x, range(0, 6000, 100))
+    assert sum(len(set(got[q]) & set(want[q])) for q in got) >= 0.9 * 20 * len(got)
+
+
+def test_ann_with_all_away_from_the_query(spark):
+    x = np.random.default_rng(3).standard_normal((6000, 64)) * 0.001
+    x[:, 0] += 1
+    x[5] = -x[5]
+    got, want = nearest(spark, x, [5])
+    assert got == want
+
+
 def test_media_round_trip(docs, rows, empty):
     got = Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in media.media_digest(docs).collect())
     want = Counter()
