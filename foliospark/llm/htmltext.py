@@ -141,6 +141,13 @@ class PageLines(HTMLParser):
             if self.in_link:
                 self.line.links += len(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A section of a kind that the parser doesn't know is a comment up to the next > (the parser raises there)."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i, report)
+
     def close(self) -> None:
         super().close()
         self._break()

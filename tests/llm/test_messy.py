@@ -135,6 +135,12 @@ def test_ann_with_all_away_from_the_query(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("bad", ["<![foo", "<![foo bar>", "<![ endif]>", "<![1]>"])
+def test_html_goes_on_after_an_unknown_section(bad):
+    page = f"<html><body><article><p>The first paragraph.</p>{bad}<p>The second one.</p><p>The third one.</p></article></body></html>"
+    assert htmltext.main_text(page) == "The first paragraph.\nThe second one.\nThe third one."
+
+
 def test_media_round_trip(docs, rows, empty):
     got = Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in media.media_digest(docs).collect())
     want = Counter()
