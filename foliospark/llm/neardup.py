@@ -2,7 +2,7 @@
 
 Texts become sets of hashed 5-word shingles and fixed-length minwise signatures; equal sets are one
 representative from then on. In each of several independent trees a node chooses, by a hash of its own
-name, which signature places its documents branch on (1/threshold places on average on the first levels), so
+name, which signature places its documents branch on (1/threshold places on average), so
 a similar pair is expected to stay together in one child at each of them. Nodes of one document are dropped, nodes of
 up to ``node_limit`` documents are compared exhaustively on signatures, larger ones branch further.
 What stays large after ``max_depth`` levels is tied to its first document. The trees thus give a
@@ -170,8 +170,8 @@ def _tree_edges(g: pd.DataFrame) -> pd.DataFrame:
 def coarse_edges(known: DataFrame, reps: DataFrame, threshold: float = 0.75, node_limit: int = 400, max_depth: int = 4) -> DataFrame:
     """a, b: pairs of representatives (k of ``reps``) that tie what the trees found together.
 
-    Two levels branch on 1/threshold places; from the third on a node branches on one, so a large group of
-    near copies has as many rows on each further level.
+    Every level branches on 1/threshold places on average, so a large group of near copies has a third more rows on
+    each further level.
     """
     nodes = known.select("k", "roots").join(reps, "k", "left_semi").select("k", F.explode("roots").alias("node"))
     edges, sigs, depth = None, None, 1
@@ -188,7 +188,7 @@ def coarse_edges(known: DataFrame, reps: DataFrame, threshold: float = 0.75, nod
         edges = found if edges is None else edges.union(found)
         if last or large.isEmpty():
             return edges
-        nodes = _branch(large.select("k", "node").join(sigs, "k"), 1 / threshold if depth < 2 else 1.0).distinct()
+        nodes = _branch(large.select("k", "node").join(sigs, "k"), 1 / threshold).distinct()
         depth += 1
 
 
@@ -244,7 +244,7 @@ def _confirmed(g: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64")})
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = 8, node_limit: int = 400, class_limit: int = 800, max_depth: int = 4) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = 10, node_limit: int = 400, class_limit: int = 800, max_depth: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document."""
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
     known = cut(profiles(rows.where("k IS NOT NULL"), trees, 0.75))
