@@ -2,8 +2,8 @@
 
 First pass: every document names the *anchor* of each of its windows, the least hash among the window's
 half-length shingles, so two equal windows have equal anchors and a document has about one anchor for
-thirteen words. Each batch counts its anchors into partial count-min sketches, cut into slices by the
-cell; the slices are merged by addition. An anchor's merged estimate is never below the number of
+thirteen words. Each batch sends its exact anchors, dealt into slices by their hash, and a slice's reducer
+counts them into one count-min sketch, batch by batch, which it reads for the same anchors at once. An anchor's merged estimate is never below the number of
 documents that hold the window, so a window with an estimate of one is unique: none that repeats is lost.
 
 Second pass: only windows whose anchor is estimated at two or more are hashed in full (80 bits) and
@@ -80,7 +80,7 @@ def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def partial_sketches(docs: DataFrame, window: int, slices: int) -> DataFrame:
-    """slice, batch's documents (k), its anchors (a) and each anchor's document (d, an index into k)."""
+    """What the sketches count: slice, batch's documents (k), its anchors (a) and each anchor's document (d, an index into k)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _parts(batches):
