@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import os
+import uuid
+from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +41,64 @@ def text_or_empty(col: str = "text"):
 
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of whatever file system its path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Tables:
+    """Intermediate tables of one job in the shared folder. A table's plan is a scan, so joins of two tables
+    can be split where a key is hot. What a lazy result still reads has to stay; the rest is dropped."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.held: dict[int, tuple[DataFrame, str]] = {}
+        self.made = 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path, self.made = f"{self.folder}/{self.made}", self.made + 1
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for t in tables:
+            if t is not None and id(t) in self.held:
+                delete(self.spark, self.held.pop(id(t))[1])
+
+
+def text_parts(batches: Iterator[pd.DataFrame], col: str = "t", together: int = 4 << 20) -> Iterator[pd.DataFrame]:
+    """Parts of the batches with a few megabytes of text, or one longer text."""
+    for b in batches:
+        if not len(b):
+            continue
+        size = np.cumsum([len(t) if isinstance(t, str) else 0 for t in b[col]]) // together
+        edges = np.flatnonzero(np.concatenate(([True], size[1:] != size[:-1], [True])))
+        for x, y in pairwise(edges.tolist()):
+            yield b.iloc[x:y]
+
+
+def whole_runs(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Frames that hold all neighbouring rows of their keys, from batches sorted by key; at most a batch longer than the longest run."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
+            continue
+        keys = b[key].to_numpy()
+        other = np.flatnonzero(keys != keys[-1])
+        start = int(other[-1]) + 1 if len(other) else 0
+        if held and (start or held[-1][key].iloc[-1] != keys[0]):
+            if start and held[-1][key].iloc[-1] == keys[0]:
+                held.append(b.iloc[:start])
+                b, start = b.iloc[start:], 0
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        if start:
+            yield b.iloc[:start].reset_index(drop=True)
+        held.append(b.iloc[start:])
+    if held:
+        yield pd.concat(held, ignore_index=True)

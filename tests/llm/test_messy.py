@@ -152,12 +152,31 @@ def test_neardup_trees_branch_at_every_level(spark):
         rows, names = neardup._children(np.full(len(sig), tree + 1, dtype=np.uint64), sig, 4 / 3)
         for i, name in zip(rows.tolist(), names.view(np.int64).tolist(), strict=True):
             roots[i].append(name)
-    known = spark.createDataFrame([(i, sig[i].tobytes(), roots[i]) for i in range(2 * n)], "k long, sig binary, roots array<long>")
-    edges = neardup.coarse_edges(known, known.select("k"), node_limit=1)
+    known = spark.createDataFrame([(i, sig[i].tobytes(), roots[i]) for i in range(2 * n)], "r long, sig binary, roots array<long>")
+    edges, _ = neardup.coarse_edges(known, common.Tables(spark, "test"), node_limit=1, max_depth=4)
     missed = n - edges.where("b = a + 3000").select("a").distinct().count()
     assert missed <= 0.065 * n  # four levels of 4/3 places miss 0.47 ** 4, two of them with one place 0.54 ** 4
 
 
+def test_neardup_trees_meet_the_recall():
+    g = np.random.default_rng(8)
+    for levels in (1, 3):
+        trees = neardup.trees_for(0.9, 0.75, levels)
+        one = g.integers(0, 1 << 16, (4000, neardup.PLACES)).astype(np.uint16)
+        two = np.where(g.random(one.shape) < 0.75, one, g.integers(0, 1 << 16, one.shape)).astype(np.uint16)
+        found = np.zeros(len(one), dtype=bool)
+        for tree in range(trees):
+            alive = [(np.arange(len(one)), np.full(len(one), tree + 1, dtype=np.uint64), np.full(len(one), tree + 1, dtype=np.uint64))]
+            for _ in range(levels):
+                rows = np.concatenate([r for r, _, _ in alive])
+                node = np.concatenate([x for _, x, _ in alive])
+                at, a = neardup._children(node, one[rows], 4 / 3)
+                _, b = neardup._children(node, two[rows], 4 / 3)
+                alive = [(rows[at][a == b], a[a == b], b[a == b])]
+            found[alive[0][0]] = True
+        assert found.mean() >= 0.88
+
+
 def test_media_round_trip(docs, rows, empty):
     got = Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in media.media_digest(docs).collect())
     want = Counter()
@@ -273,6 +292,31 @@ def test_neardup_messy(docs, rows, empty):
     assert len([r for r in got if r.doc_id is None]) == 2
     assert neardup.classes(empty).count() == 0
     assert neardup.keep_first(docs).columns == docs.columns
+    assert neardup.keep_first(empty).count() == 0
+
+
+def test_neardup_loses_no_text_of_a_repeated_id(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    schema = "doc_id long, text string, k long, h long, first string, finger string"
+    for given, want in (([(3, a), (5, a), (5, b), (9, b)], [(3, a), (5, b)]), ([(2, b), (5, a), (5, b)], [(2, b), (5, a)]), ([(None, a), (4, None), (4, ""), (4, a)], [(None, a), (4, None), (4, ""), (4, a)])):
+        df = spark.createDataFrame([(k, t, 1, 2, "clash", "clash") for k, t in given], schema)
+        got = sorted(((r.doc_id, r.text) for r in neardup.keep_first(df).collect()), key=repr)
+        assert got == sorted(want, key=repr)
+
+
+def test_linked_labels_by_brute_force():
+    g = np.random.default_rng(3)
+    for _ in range(40):
+        base = g.choice(10_000, 60, replace=False)
+        sets = []
+        for _ in range(60):
+            s = base.copy()
+            s[g.choice(60, g.integers(0, 14), replace=False)] = g.integers(10_000, 10_300)
+            sets.append(np.unique(s).astype(np.uint64))
+        up = np.arange(60)
+        hits = [(i, j) for i in range(60) for j in range(i) if 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 75 * (len(sets[i]) + len(sets[j]) - both)]
+        want = neardup.least_labels(up, np.array([i for i, _ in hits], dtype=int), np.array([j for _, j in hits], dtype=int))
+        assert (neardup.linked_labels(sets, up, leaders=4) == want).all()
 
 
 @pytest.mark.parametrize("limits", [{}, {"node_limit": 20, "class_limit": 40}])
