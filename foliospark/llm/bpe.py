@@ -3,11 +3,13 @@
 A merge list decides where a token ends after a bounded number of further bytes. That number, the
 *sufficient lookahead*, is computed from the list itself: whether rule ``(a, b)`` fires at a place can
 only be changed by lower-ranked rules that take ``b`` (or a piece of its right edge) to the right, so the
-reach of every rule follows from the reaches of lower-ranked ones, in one pass in rank order. A long
-pre-token is then pushed through a buffer of a few lookaheads: what ends a lookahead before the end of
-the buffer is stable and is emitted, the rest is kept. Memory doesn't grow with the text.
+reach of every rule follows from the reaches of lower-ranked ones, in one pass in rank order. Every
+pre-token is pushed through a buffer of a few lookaheads: what ends a lookahead before the end of
+the buffer is stable and is emitted, the rest is kept. What the transducer gave for a pre-token is remembered in
+REMEMBERED bytes at most. Memory doesn't grow with the text.
 
-Null texts count as empty (0 tokens); equal rows give equal rows; extra columns are ignored.
+Null texts count as empty (0 tokens); equal rows give equal rows, null and repeated ids too; empty tables give
+empty results; very long texts go chunk by chunk; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,16 +27,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import tokenizer_path
+from foliospark.llm.common import text_parts, tokenizer_path
 
 #: Fixed value: the pre-token pattern of the public byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters handed to the transducer at once.
 CHUNK = 1 << 16
-#: Pre-tokens whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED = 600_000
-#: Pre-tokens up to this many bytes are encoded at once.
-SHORT = 256
+#: Bytes of pre-tokens and ids that a worker remembers, about; the memory is emptied when full.
+REMEMBERED = 48 << 20
 
 
 def printable_bytes() -> dict[str, int]:
@@ -126,19 +126,21 @@ class MergeTable:
 
 
 class PieceTransducer:
-    """Encodes one pre-token that arrives in pieces; holds a few lookaheads of bytes."""
+    """Encodes one pre-token that arrives in pieces. Holds one lookahead and one token more than what arrives at once."""
 
-    def __init__(self, table: MergeTable):
+    def __init__(self, table: MergeTable, lookahead: int | None = None, room: int | None = None):
         self.table, self.buffer = table, b""
-        self.room = max(SHORT, 4 * table.lookahead)
+        self.lookahead = table.lookahead if lookahead is None else lookahead
+        self.room = room or 4 * self.lookahead
 
     def push(self, data: bytes) -> list[int]:
+        """The ids that no further byte can change."""
         out: list[int] = []
         for k in range(0, len(data), self.room):
             self.buffer += data[k : k + self.room]
-            if len(self.buffer) < 2 * self.room:
+            end, stable = 0, len(self.buffer) - self.lookahead
+            if stable <= 0:
                 continue
-            end, stable = 0, len(self.buffer) - self.table.lookahead
             for i in self.table.encode_bytes(self.buffer):
                 step = end + len(self.table.token_bytes[i])
                 if step > stable:
@@ -154,22 +156,22 @@ class PieceTransducer:
 
 
 class _Remembered(dict):
-    """Ids by pre-token; a missing one is encoded."""
+    """Ids by pre-token; a missing one goes through the transducer."""
 
     def __init__(self, table: MergeTable):
         super().__init__()
-        self.table = table
+        self.table, self.held = table, 0
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode("utf-8", "surrogatepass")
-        if len(data) <= SHORT:
-            ids = tuple(self.table.encode_bytes(data))
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = ids
-            return ids
         t = PieceTransducer(self.table)
-        return (*t.push(data), *t.finish())
+        ids = (*t.push(piece.encode("utf-8", "surrogatepass")), *t.finish())
+        self.held += 200 + len(piece) + 8 * len(ids)
+        if self.held > REMEMBERED:
+            self.clear()
+            self.held = 0
+        else:
+            self[piece] = ids
+        return ids
 
 
 _RUNS = {"L": regex.compile(r"\p{L}*"), "N": regex.compile(r"\p{N}*"), "O": regex.compile(r"[^\s\p{L}\p{N}]*"), "S": regex.compile(r"\s*")}
@@ -298,8 +300,8 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, known = load(path)
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["k"], "ids": [list(chain.from_iterable(encode_parts(t or "", table, known))) for t in b["t"]]})
+        for b in text_parts(batches):
+            yield pd.DataFrame({"doc_id": b["k"], "ids": [list(chain.from_iterable(encode_parts(t if isinstance(t, str) else "", table, known))) for t in b["t"]]})
 
     return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInPandas(run, f"doc_id {kind}, ids array<int>")
 
