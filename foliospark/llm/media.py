@@ -6,10 +6,11 @@ works on many files at once: the restart intervals of all of them are decoded si
 symbol of each per step, so the work is numpy's and not Python's.
 
 ``store`` puts bytes into a picture losslessly: the format's unit is the quantised coefficient, and with all
-quantisers 1 each byte less 128 is one coefficient (192 bytes: an 8 x 8 block of each of three components).
+quantisers 1 each byte less 128 is one coefficient (384 bytes: four blocks of luma and one of each chroma).
 
 Null texts count as empty, which is one block of spaces; equal texts have equal files and features whatever
-stands beside them; a file that cannot be read raises ``ValueError``; extra columns are ignored.
+stands beside them; very long texts are coded alone; a file that cannot be read raises ``ValueError``; null and
+repeated ids and repeated rows give a row each, empty tables none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 #: Blocks between restart markers in what ``encode`` writes.
 RESTART = 8
-#: Most blocks on a side of a stored payload's picture.
-SIDE = 8191
+#: Most units on a side of a stored payload's picture.
+SIDE = 4095
 #: Payload bytes that are coded together at most, if more than one.
 TOGETHER = 3 << 20
 
@@ -603,40 +604,52 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(data), data.ljust(max(192, -(-len(data) // 192) * 192), b" ")
 
 
+#: A stored picture's components: a unit (MCU) is four blocks of luma and one of each chroma, 384 payload bytes.
+SAMPLING, UNIT = ((2, 2), (1, 1), (1, 1)), 384
+
+
 def store(payloads: list[bytes]) -> list[bytes]:
-    """A progressive file of each payload."""
+    """A progressive file of each payload; its number of bytes stands in a comment segment."""
     coefficients, layouts = [], []
     for p in payloads:
-        units = len(p) // 192
+        units = -(-len(p) // UNIT)
         across = -(-units // SIDE)
         down = -(-units // across)
-        v = np.zeros((across * down, 3, 64), dtype=np.int16)
-        v[:units] = np.frombuffer(p, dtype=np.uint8).reshape(units, 3, 64).astype(np.int16) - 128
-        coefficients.append(v.swapaxes(0, 1).reshape(-1, 64))
-        layouts.append(Layout(8 * across, 8 * down))
-    return encode(coefficients, layouts)
+        v = np.zeros(across * down * UNIT, dtype=np.int16)
+        v[: len(p)] = np.frombuffer(p, dtype=np.uint8).astype(np.int16) - 128
+        coefficients.append(v.reshape(-1, 64))
+        layouts.append(Layout(16 * across, 16 * down, SAMPLING))
+    return [f[:2] + _segment(0xFE, b"payload bytes %d" % len(p)) + f[2:] for f, p in zip(encode(coefficients, layouts), payloads, strict=True)]
+
+
+def stored_bytes(data: bytes) -> int:
+    """The payload's length, from the comment at the start of a stored file."""
+    comment = data[6 : 4 + int.from_bytes(data[4:6], "big")]
+    if data[2:4] != b"\xff\xfe" or not comment.startswith(b"payload bytes "):
+        raise ValueError("no stored payload")
+    return int(comment[14:])
 
 
-def restore(files: list[bytes], sizes: list[int]) -> tuple[list[bytes], list[str]]:
-    """Payloads of stored files, and a feature of each picture: its size and the sums of its RGB tensor."""
+def restore(files: list[bytes]) -> tuple[list[bytes], list[str]]:
+    """Payloads of stored files, and a feature of each picture: its size, the sums and the SHA-256 of its full-resolution RGB tensor."""
     layouts, quants, rows, base = read_coefficients(files)
-    payloads, features = [], []
-    for x, size, (a, b) in zip(layouts, sizes, pairwise(base), strict=True):
-        v = rows[a:b].reshape(3, -1, 64).swapaxes(0, 1).reshape(-1)[:size]
-        payloads.append((v + 128).astype(np.uint8).tobytes())
-    ones = all((q == 1).all() for own in quants for q in own)
-    if ones and all(x.sampling == ((1, 1),) * 3 for x in layouts):  # all pictures at once
+    payloads = [(rows[a:b].reshape(-1)[: stored_bytes(f)] + 128).astype(np.uint8).tobytes() for f, (a, b) in zip(files, pairwise(base), strict=True)]
+    units = np.array([x.blocks // 6 for x in layouts])
+    plain = all((q == 1).all() for own in quants for q in own)
+    if plain and all(x.sampling == SAMPLING and x.width == 16 for x in layouts):  # all pictures at once, unit by unit
         samples = inverse_transform(rows.astype(np.float32))
-        third = np.diff(base) // 3
-        first = np.repeat(np.array(base[:-1]), third) + np.arange(int(third.sum())) - np.repeat(np.cumsum(third) - third, third)
-        step = np.repeat(third, third)
-        rgb = _rgb(samples[first], samples[first + step], samples[first + 2 * step])
-        sums = np.add.reduceat(rgb.reshape(len(rgb), 64, 3).sum(axis=1, dtype=np.int64), np.cumsum(third) - third, axis=0)
-        features = [f"{x.width}x{x.height}:{s[0]}:{s[1]}:{s[2]}" for x, s in zip(layouts, sums.tolist(), strict=True)]
+        unit = np.arange(int(units.sum())) - np.repeat(np.cumsum(units) - units, units)
+        first, many = np.repeat(np.array(base[:-1]), units), np.repeat(units, units)
+        y = samples[(first + 4 * unit)[:, None] + np.arange(4)].reshape(-1, 2, 2, 8, 8).swapaxes(2, 3).reshape(-1, 16, 16)
+        chroma = [samples[first + (4 + c) * many + unit].repeat(2, axis=1).repeat(2, axis=2) for c in (0, 1)]
+        rgb = _rgb(y, *chroma)
+        tensors_of = np.split(rgb.reshape(-1, 16, 3), 16 * np.cumsum(units)[:-1])
     else:
-        for x, q, (a, b) in zip(layouts, quants, pairwise(base), strict=True):
-            s = picture(x, q, rows[a:b]).reshape(-1, 3).sum(axis=0, dtype=np.int64)
-            features.append(f"{x.width}x{x.height}:{s[0]}:{s[1]}:{s[2]}")
+        tensors_of = [picture(x, q, rows[a:b]) for x, q, (a, b) in zip(layouts, quants, pairwise(base), strict=True)]
+    features = []
+    for x, t in zip(layouts, tensors_of, strict=True):
+        s = t.reshape(-1, 3).sum(axis=0, dtype=np.int64)
+        features.append(f"{x.width}x{x.height}:{s[0]}:{s[1]}:{s[2]}:{hashlib.sha256(np.ascontiguousarray(t)).hexdigest()}")
     return payloads, features
 
 
@@ -662,7 +675,7 @@ def media_digest(docs: DataFrame) -> DataFrame:
             for part in _groups(lengths):
                 given = [payload_of(t) for t in texts[part]]
                 files = store([p for _, p in given])
-                back, features = restore(files, [len(p) for _, p in given])
+                back, features = restore(files)
                 yield pd.DataFrame(
                     {
                         "doc_id": b["k"].iloc[part].values,
