@@ -6,31 +6,37 @@ of 32 words that overlap by half; attention pools the states of a window into on
 document's logit is the largest of all its windows, over the whole text. Scores are calibrated on documents.
 
 The network is fitted on the driver with Adam on a bounded sample of labelled rows (``SAMPLE`` of each
-label, texts up to ``LONGEST`` characters, in hash order), never on rows with crc32(doc_id) mod 5 = 0; of a repeated
-id its least text. The first
-coordinate of each embedding starts at the label's log odds of its bucket. Labels, lang, source and
-doc_id are no inputs.
-
-Null and empty texts are one window without words; equal texts have equal scores; rows with several labels
-are toxic if any says so; without labels of both kinds every score is the share of toxic ones (0.5 without labels).
+label, in hash order; of a text with more than ``TRAINED`` characters, runs of words chosen by hash up to that length),
+never on rows with crc32(doc_id) mod 5 = 0; of a repeated id its least text. The first coordinate of each embedding
+starts at the label's log odds of its bucket. Labels, lang, source and doc_id are no inputs.
+
+Null and empty texts are one window without words; a very long text is read in segments of a megabyte that overlap by a
+window; equal texts have equal scores; rows with several labels are toxic if any says so; without labels of both kinds
+every score is the share of toxic ones (0.5 without labels); labels without a text and empty tables are fine; extra columns
+are ignored or kept, whatever they are called.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm import textgrams as tg
+from foliospark.llm.common import text_parts
 
-#: Labelled rows of each label that the fit sees at most, and characters of one at most.
-SAMPLE, LONGEST = 2500, 200_000
+#: Labelled rows of each label that the fit sees at most, and characters of each: 100 million characters on the driver at most.
+SAMPLE, TRAINED = 2500, 20_000
 WINDOW, STRIDE = 32, 16
 BUCKETS, DIM, HIDDEN = 1 << 15, 8, 8
 _JOIN = 1 << 20
+_SPACE = re.compile(r"\s")
 
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -51,6 +57,36 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[bytes, np.ndarray]]:
         yield b" ".join(group), np.cumsum([len(x) + 1 for x in group])
 
 
+def _segments(text: str | None) -> Iterator[str | None]:
+    """The text, or if it is very long its segments, each of which takes up a window of words before its start."""
+    if not isinstance(text, str) or len(text) <= _JOIN:
+        yield text
+        return
+    start = 0
+    while start < len(text):
+        space = _SPACE.search(text, min(len(text), start + _JOIN))
+        end, back = space.start() if space else len(text), start
+        for _ in range(WINDOW if start else 0):
+            found = text.rfind(" ", max(0, start - _JOIN), back)
+            back = found if found >= 0 else back
+        yield text[back:end]
+        start = end
+
+
+def _trained_part(text: str) -> str:
+    """The text, or if it is long, runs of its words in hash order up to TRAINED characters."""
+    if len(text) <= TRAINED:
+        return text
+    words = text.split()
+    runs = [" ".join(words[i : i + 4 * WINDOW])[:TRAINED] for i in range(0, len(words), 4 * WINDOW)]
+    out, held = [], 0
+    for run in sorted(runs, key=lambda x: zlib.crc32(x.encode("utf-8", "surrogatepass"))):
+        if held + len(run) <= TRAINED:
+            out.append(run)
+            held += len(run) + 1
+    return " ".join(out)
+
+
 class Words:
     """Distinct words of a piece: ``word`` bucket, ``grams`` buckets and ``first`` gram of each; ``ids`` and ``doc`` of each occurrence."""
 
@@ -211,8 +247,15 @@ class Net:
 
     def document_logits(self, texts: list[str | None]) -> np.ndarray:
         """The largest logit of all windows of each whole text."""
+        segments, first = [], [0]
+        for t in texts:
+            segments.extend(_segments(t))
+            first.append(len(segments))
+        return np.maximum.reduceat(self._piece_logits(segments), first[:-1]) if texts else np.zeros(0)
+
+    def _piece_logits(self, segments: list[str | None]) -> np.ndarray:
         out = []
-        for data, ends in _pieces(texts):
+        for data, ends in _pieces(segments):
             w = Words(data, ends)
             vectors = self.vectors(w)
             places, of = _windows(w.doc, len(ends))
@@ -333,16 +376,22 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Net:
+def train(docs: DataFrame, labels: DataFrame, seed: int = 7) -> Net:
     """A network from a bounded sample of the labelled rows outside the held-out fold."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    usable = docs.where(~held_out()).where(F.length("text") <= LONGEST)
+    usable = docs.select("doc_id", "text").where(~held_out()).where("text IS NOT NULL")
     known = usable.select("doc_id", F.xxhash64("doc_id").alias("order")).distinct().join(marks, "doc_id")  # ids only
     zero, one = (known.where(F.col("toxic") == y).orderBy("order", "doc_id").limit(SAMPLE) for y in (0, 1))
     chosen = F.broadcast(zero.union(one))  # 2 * SAMPLE ids at most
-    sample = usable.select("doc_id", "text").join(chosen, "doc_id").groupBy("toxic", "order", "doc_id").agg(F.min("text").alias("text")).toPandas()
-    sample = sample.sort_values(["toxic", "order", "doc_id"])
-    return fit(sample["text"].tolist(), sample["toxic"].to_numpy())
+
+    def shortened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(text=[_trained_part(t) for t in b["text"]])
+
+    found = usable.join(chosen, "doc_id")
+    rows = found.select("toxic", "order", F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(shortened, "toxic int, order long, doc_id string, text string")
+    sample = rows.groupBy("toxic", "order", "doc_id").agg(F.min("text").alias("text")).toPandas().sort_values(["toxic", "order", "doc_id"])
+    return fit(sample["text"].tolist(), sample["toxic"].to_numpy(), seed=seed)
 
 
 def score(docs: DataFrame, net: Net) -> DataFrame:
@@ -351,10 +400,10 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": shared.value.scores(b["text"].tolist())})
+        for b in text_parts(batches):
+            yield pd.DataFrame({"doc_id": b["k"].values, "score": shared.value.scores(b["t"].tolist())})
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, score double")
+    return docs.select(F.col("doc_id").alias("k"), F.col("text").alias("t")).mapInPandas(run, f"doc_id {kind}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -365,9 +414,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows with a score below 0.5, with their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    place = docs.columns.index("text")
 
-    @F.pandas_udf("double")
-    def of(text: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(text.tolist()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            scores = [shared.value.scores(b.column(place).slice(at, 500).to_pylist()) for at in range(0, b.num_rows, 500)]
+            yield b.filter(pa.array(np.concatenate([np.zeros(0), *scores]) < 0.5))
 
-    return docs.where(of("text") < 0.5)
+    return docs.mapInArrow(run, docs.schema)
