@@ -1,226 +1,207 @@
 """Removal of word windows that also start in a document with a smaller id, behind a count-min prefilter.
 
-First pass: every document names the *anchor* of each of its windows, the least hash among the window's
-half-length shingles, so two equal windows have equal anchors and a document has about one anchor for
-thirteen words. Each batch sends its exact anchors, dealt into slices by their hash, and a slice's reducer
-counts them into one count-min sketch, batch by batch, which it reads for the same anchors at once. An anchor's merged estimate is never below the number of
-documents that hold the window, so a window with an estimate of one is unique: none that repeats is lost.
-
-Second pass: only windows whose anchor is estimated at two or more are hashed in full (80 bits) and
-grouped exactly by slices of the hash; a window is repeated where its least document id is below the
-document's own. Batches settle their own repetitions first, so a group of copies sends one row of
-windows per batch.
-
-Windows are judged on the input. Rows with a null id take part in nothing and lose nothing; null and
-short texts lose nothing; rows with equal ids are one document and don't count against one another; extra
-columns are ignored or kept.
+Texts are dealt once into groups of a few megabytes, by a hash of id and text. Every window has an *anchor*, the
+least hash among its half-length shingles, so equal windows have equal anchors and a text has about one anchor for
+thirteen words.
+
+First pass: each group counts its anchors into a partial count-min sketch of two rows, whose slices have CELLS cells a
+row each and whose number follows from the input's size; only the cells in use are sent. A slice's partial sketches are
+merged by addition (two is as good as many), and each group learns which of its anchors are estimated in two documents or
+more. The merged estimate is never below the number of documents that hold the window, so a window with an
+estimate of one is unique: none that repeats is lost.
+
+Second pass: a group sends each distinct window with such an anchor once (80 bits of hash and its least document id in
+the group), so a passage of all documents is one row a group. A slice's least ids are exact, and each group learns
+where its own isn't the least. Third, each group takes out the words of its repeated windows.
+
+Windows are judged on the input. Rows with a null id take part in nothing and lose nothing; null and short texts
+lose nothing; rows with equal ids are one document and don't count against one another; very long texts are groups
+of their own size; empty tables give empty results; extra columns are ignored or kept, whatever they are called.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from foliospark.llm import textgrams as tg
-from foliospark.llm.common import partitions
 
-#: Characters of text whose windows are held at once, if of more than one text.
-TOGETHER = 4 << 20
-_DEPTH = 2
-_BITS_A_COUNT = 8  # cells for each expected anchor
+#: Cells of a row of a sketch's slice, and anchors expected in a slice.
+CELLS, EXPECTED = 1 << 20, 1 << 17
+_REPLY = "g long, s long, bits binary"
 
 
 def _anchors(texts: list[str | None], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, their offsets, window starts that stay in their text, and the anchor of each."""
     words, offsets = tg.word_hashes(texts)
     half = max(1, window // 2)
-    ok = tg.inside(offsets, window)
-    starts = np.flatnonzero(ok)
+    starts = np.flatnonzero(tg.inside(offsets, window))
     if not len(starts):
         return words, offsets, starts, np.zeros(0, dtype=np.uint64)
     least = tg.sliding_min(tg.windows(words, half), window - half + 1)
     return words, offsets, starts, least[starts]
 
 
+def _by_slice(slices: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Slice numbers and where they stand, from numbers in order."""
+    edge = np.flatnonzero(np.concatenate(([True], slices[1:] != slices[:-1], [True]))) if len(slices) else []
+    for a, b in pairwise(edge):
+        yield int(slices[a]), slice(int(a), int(b))
+
+
 def _slices(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((keys >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
+    """Slice of each of the sorted keys: equal ranges, so slices are in order too."""
+    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _by_slice(slices: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(slices, kind="stable")
-    edges = np.searchsorted(slices[order], np.arange(n + 1))
-    for s in range(n):
-        if edges[s] < edges[s + 1]:
-            yield s, order[edges[s] : edges[s + 1]]
-
-
-def _spans(edge: np.ndarray, end: int) -> Iterator[tuple[int, int]]:
-    """Start and end of each run, from the starts."""
-    return zip(edge, [*edge[1:], end], strict=True) if len(edge) else iter(())
-
-
-def _read(column: pd.Series, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=kind)
-
-
-def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches of a few megabytes of text, or of one text."""
-    for b in batches:
-        size = np.cumsum(b["t"].map(len).to_numpy(dtype=np.int64)) // TOGETHER
-        edges = np.flatnonzero(np.concatenate(([True], size[1:] != size[:-1], [True]))) if len(b) else [0]
-        for x, y in pairwise(edges):
-            yield b.iloc[x:y]
-
-
-def partial_sketches(docs: DataFrame, window: int, slices: int) -> DataFrame:
-    """What the sketches count: slice, batch's documents (k), its anchors (a) and each anchor's document (d, an index into k)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in _parts(batches):
-            ids = b["k"].to_numpy(dtype=np.int64)
-            _, offsets, starts, anchor = _anchors(b["t"].tolist(), window)
-            if not len(starts):
-                continue
-            doc = tg.owner(offsets)[starts]
-            changed = np.ones(len(anchor), dtype=bool)  # neighbours mostly have the same anchor
-            changed[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-            anchor, doc = anchor[changed], doc[changed]
-            rows = []
-            for s, at in _by_slice(_slices(anchor, slices), slices):
-                used, index = np.unique(doc[at], return_inverse=True)
-                rows.append((s, ids[used].tobytes(), anchor[at].tobytes(), index.astype(np.uint32).tobytes()))
-            yield pd.DataFrame(rows, columns=["s", "k", "a", "d"])
-
-    return docs.mapInPandas(run, "s int, k binary, a binary, d binary")
-
-
-def _by_document(rows: DataFrame, kind: str) -> DataFrame:
-    """k and v: one row for each document, from rows (g, k, v) of packed document ids and packed values."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        ids, values = _read(g["k"], np.int64), _read(g["v"], kind)
-        order = np.argsort(ids, kind="stable")
-        ids, values = ids[order], values[order]
-        edge = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, dtype=np.int64)
-        return pd.DataFrame({"k": pd.Series(ids[edge], dtype="int64"), "v": pd.Series([values[x:y].tobytes() for x, y in _spans(edge, len(ids))], dtype="object")})
-
-    return rows.groupBy("g").applyInPandas(run, "k long, v binary")
-
-
-def _grouped(ids: np.ndarray, values: np.ndarray, groups: int) -> pd.DataFrame:
-    """Rows (g, k, v): ids and values packed by group of documents, so a slice gives a row for each group at most."""
-    group = (tg.mix(ids.view(np.uint64), 5) % np.uint64(groups)).astype(np.int64)
-    rows = [(g, ids[at].tobytes(), values[at].tobytes()) for g, at in _by_slice(group, groups)]
-    return pd.DataFrame(rows, columns=["g", "k", "v"])
-
-
-def merged_estimates(sketches: DataFrame, slices: int) -> DataFrame:
-    """k and v (packed anchors) of each document: those whose merged count-min estimate is two or more."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        total = sum(map(len, g["a"])) // 8
-        width = 1 << max(10, math.ceil(math.log2(max(1, total) * _BITS_A_COUNT)))
-        tables = np.zeros((_DEPTH, width), dtype=np.uint8)
-        pieces = []
-        for k, a, d in zip(g["k"], g["a"], g["d"], strict=True):
-            ids, anchor, doc = np.frombuffer(k, np.int64), np.frombuffer(a, np.uint64), np.frombuffer(d, np.uint32)
-            once = np.unique(np.rec.fromarrays([ids[doc], anchor]))  # a document counts once for an anchor
-            own_ids, own = once["f0"], once["f1"]
-            cells = [(tg.mix(own, 77 + r) & np.uint64(width - 1)).astype(np.int64) for r in range(_DEPTH)]
-            for r in range(_DEPTH):  # this batch's partial sketch, added to the merged one; two is as good as many
-                part = np.minimum(np.bincount(cells[r], minlength=width), 2).astype(np.uint8)
-                tables[r] = np.minimum(tables[r] + part, 2)
-            pieces.append((own_ids, own, cells))
-        out_k, out_a = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
-        for own_ids, own, cells in pieces:
-            hit = np.minimum.reduce([tables[r][cells[r]] for r in range(_DEPTH)]) >= 2
-            out_k.append(own_ids[hit])
-            out_a.append(own[hit])
-        return _grouped(np.concatenate(out_k), np.concatenate(out_a), slices)
-
-    return _by_document(sketches.groupBy("s").applyInPandas(run, "g int, k binary, v binary"), "<u8")
-
-
-def candidate_windows(docs: DataFrame, window: int, slices: int) -> DataFrame:
-    """Full hashes of the windows with an anchor in ``v``, by slice; slice -1 has those already settled in the batch."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in _parts(batches):
-            ids = b["k"].to_numpy(dtype=np.int64)
-            words, offsets, starts, anchor = _anchors(b["t"].tolist(), window)
-            if not len(starts):
-                continue
-            doc = tg.owner(offsets)[starts]
-            hit = np.zeros(len(starts), dtype=bool)
-            edge = np.searchsorted(doc, np.arange(len(ids) + 1))
-            for i, part in enumerate(b["v"]):
-                if edge[i] < edge[i + 1]:
-                    hit[edge[i] : edge[i + 1]] = np.isin(anchor[edge[i] : edge[i + 1]], np.frombuffer(part, np.uint64))
-            starts, doc = starts[hit], doc[hit]
-            if not len(starts):
-                continue
-            h1 = tg.windows(words, window)[starts]
-            h2 = (tg.windows(words, window, 991)[starts] >> np.uint64(48)).astype(np.uint16)
-            place = (starts - offsets[doc]).astype(np.uint32)
-            settled = _repeated(h1, h2, ids[doc])
-            rows = []
-            for s, at in [(-1, np.flatnonzero(settled)), *((s, np.flatnonzero(~settled)[x]) for s, x in _by_slice(_slices(h1[~settled], slices), slices))]:
-                if not len(at):
-                    continue
-                used, index = np.unique(doc[at], return_inverse=True)
-                full = s >= 0
-                rows.append((s if full else -1 - len(rows) - int(ids[used[0]]) % 1024, ids[used].tobytes(), h1[at].tobytes() if full else b"", h2[at].tobytes() if full else b"", index.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes(), place[at].tobytes()))
-            yield pd.DataFrame(rows, columns=["s", "k", "h1", "h2", "d", "p"])
-
-    return docs.mapInPandas(run, "s int, k binary, h1 binary, h2 binary, d binary, p binary")
-
-
-def _repeated(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """True where an equal window has a smaller id."""
-    order = np.lexsort((ids, h2, h1))
-    a, b, c = h1[order], h2[order], ids[order]
+def _distinct(texts: list[str | None], ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct anchors in order, and whether two documents of the group or more have them."""
+    _, offsets, starts, anchor = _anchors(texts, window)
+    if not len(starts):
+        return anchor, np.zeros(0, dtype=bool)
+    doc = ids[tg.owner(offsets)[starts]]
+    changed = np.ones(len(anchor), dtype=bool)  # neighbours mostly have the same anchor
+    changed[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+    anchor, doc = anchor[changed], doc[changed]
+    order = np.lexsort((doc, anchor))
+    anchor, doc = anchor[order], doc[order]
+    new = np.ones(len(anchor), dtype=bool)
+    new[1:] = anchor[1:] != anchor[:-1]
+    first = np.flatnonzero(new)
+    return anchor[first], doc[first] != doc[np.append(first[1:], len(doc)) - 1]
+
+
+def _cells(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return tuple((tg.mix(anchor, 77 + row) % np.uint64(CELLS)).astype(np.uint32) for row in (0, 1))
+
+
+def _merged_sketch(rows: pd.DataFrame) -> pd.DataFrame:
+    """Which cells of each partial sketch (g, s, one, two, many) are estimated at two or more in the sum of all."""
+    sizes = [len(x) // 4 for x in rows["one"]]
+    many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(rows["many"], sizes, strict=True)])
+    least = None
+    for row in ("one", "two"):
+        cells = np.frombuffer(b"".join(rows[row]), dtype=np.uint32)
+        total = np.bincount(cells, weights=1.0 + many, minlength=CELLS)[cells]
+        least = total if least is None else np.minimum(least, total)
+    bits = [np.packbits(x >= 2).tobytes() for x in np.split(least, np.cumsum(sizes)[:-1])]
+    return pd.DataFrame({"g": rows["g"], "s": rows["s"], "bits": bits})
+
+
+def _not_least(rows: pd.DataFrame) -> pd.DataFrame:
+    """For each window of each row (g, s, h1, h2, k): whether another group has it in a document with a smaller id."""
+    h1, h2, k = (np.frombuffer(b"".join(rows[c]), dtype=kind) for c, kind in (("h1", np.uint64), ("h2", np.uint16), ("k", np.int64)))
+    order = np.lexsort((k, h2, h1))
+    a, b = h1[order], h2[order]
     new = np.ones(len(a), dtype=bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    first = c[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]
+    least = k[order][np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]
     out = np.zeros(len(a), dtype=bool)
-    out[order] = c > first
+    out[order] = k[order] > least
+    bits = [np.packbits(x).tobytes() for x in np.split(out, np.cumsum([len(x) // 8 for x in rows["k"]])[:-1])]
+    return pd.DataFrame({"g": rows["g"], "s": rows["s"], "bits": bits})
+
+
+def _answers(replies: pa.Table, keys: np.ndarray, slices: int) -> np.ndarray:
+    """The replies' bit of each of the sorted keys."""
+    got = dict(zip(replies.column("s").to_pylist(), replies.column("bits").to_pylist(), strict=True))
+    out = np.zeros(len(keys), dtype=bool)
+    for s, at in _by_slice(_slices(keys, slices)):
+        if s in got:
+            out[at] = np.unpackbits(np.frombuffer(got[s], np.uint8), count=at.stop - at.start).astype(bool)
     return out
 
 
-def repeated_places(windows: DataFrame, groups: int) -> DataFrame:
-    """k and v (packed window starts) of each document: the windows whose least id is below their own."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        ids, place, h1, h2, known = [], [], [], [], []
-        for s, k, a, b, d, p in zip(g["s"], g["k"], g["h1"], g["h2"], g["d"], g["p"], strict=True):
-            own, at = np.frombuffer(k, np.int64), np.frombuffer(p, np.uint32)
-            index = np.frombuffer(d, np.uint16 if len(own) < 65536 else np.uint32)
-            ids.append(own[index])
-            place.append(at)
-            h1.append(np.frombuffer(a, np.uint64) if s >= 0 else np.zeros(len(at), np.uint64))
-            h2.append(np.frombuffer(b, np.uint16) if s >= 0 else np.zeros(len(at), np.uint16))
-            known.append(np.full(len(at), s < 0))
-        i, at, done = np.concatenate(ids), np.concatenate(place), np.concatenate(known)
-        if not done.all():
-            done = done | _repeated(np.concatenate(h1), np.concatenate(h2), i)
-        return _grouped(i[done], at[done], groups)
-
-    return _by_document(windows.groupBy("s").applyInPandas(run, "g int, k binary, v binary"), "<u4")
-
-
-def repeated_starts(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """k and v: the packed (uint32) starts of each document's repeated windows, if it has any."""
-    slices = 2 * partitions(docs)
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).where(F.length("t") >= 2 * window - 1)
-    flagged = merged_estimates(partial_sketches(rows, window, slices), slices)
-    return repeated_places(candidate_windows(rows.join(flagged, "k"), window, slices), slices)
+class _Windows:
+    """The windows of a group whose anchors are estimated to repeat: text, place and hash of each, and each distinct one's least id."""
+
+    def __init__(self, texts: list[str | None], ids: np.ndarray, flagged: np.ndarray, window: int):
+        words, offsets, starts, anchor = _anchors(texts, window)
+        starts = starts[np.isin(anchor, flagged)] if len(flagged) else starts[:0]
+        self.doc = tg.owner(offsets)[starts]
+        self.place = starts - offsets[self.doc]
+        self.ids = ids[self.doc]
+        h1 = tg.windows(words, window)[starts] if len(starts) else np.zeros(0, dtype=np.uint64)
+        h2 = (tg.windows(words, window, 991)[starts] >> np.uint64(48)).astype(np.uint16) if len(starts) else np.zeros(0, dtype=np.uint16)
+        order = np.lexsort((self.ids, h2, h1))
+        a, b = h1[order], h2[order]
+        new = np.ones(len(a), dtype=bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        self.h1, self.h2, self.least = a[new], b[new], self.ids[order][new]
+        self.which = np.zeros(len(a), dtype=np.int64)
+        self.which[order] = np.cumsum(new) - 1
+
+    def repeated(self, elsewhere: np.ndarray) -> np.ndarray:
+        return elsewhere[self.which] | (self.ids > self.least[self.which])
+
+
+def _columns(t: pa.Table) -> tuple[list[str | None], np.ndarray]:
+    return t.column("t").to_pylist(), t.column("k").to_numpy().astype(np.int64)
+
+
+def _by_group(rows: DataFrame, replies: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: StructType | str) -> DataFrame:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return fn(left, right)
+
+    return rows.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(run, schema)
+
+
+def _changed(docs: DataFrame, window: int, id_col: str, text_col: str, change: Callable[[pa.Table, list[bytes | None]], pa.Table], schema: StructType | str) -> DataFrame:
+    """``change`` of each group of rows (g, k, t, row) and the packed starts of each row's repeated windows, for rows with an id."""
+    known = docs.where(F.col(id_col).isNotNull())
+    total = known.agg(F.sum(F.length(text_col))).first()[0] or 0
+    groups = max(1, math.ceil(total / min(16 << 20, max(4 << 20, 200 * math.sqrt(total)))))
+    slices = max(1, math.ceil(total / 80 / EXPECTED))
+    key = F.col(id_col).cast("long")
+    rows = known.select(F.pmod(F.xxhash64(key, text_col), F.lit(groups)).alias("g"), key.alias("k"), F.col(text_col).alias("t"), F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row"))
+
+    def sketch(group: pa.Table) -> pa.Table:
+        anchor, many = _distinct(*_columns(group), window)
+        one, two = _cells(anchor)
+        out = [(s, one[at].tobytes(), two[at].tobytes(), np.packbits(many[at]).tobytes()) for s, at in _by_slice(_slices(anchor, slices))]
+        g = group.column("g")[0].as_py()
+        return pa.table({"g": pa.array([g] * len(out), pa.int64()), "s": pa.array([x[0] for x in out], pa.int64()), **{c: pa.array([x[i] for x in out], pa.binary()) for i, c in ((1, "one"), (2, "two"), (3, "many"))}})
+
+    def candidates(group: pa.Table, replies: pa.Table) -> _Windows | None:
+        if not len(group):
+            return None
+        texts, ids = _columns(group)
+        if not len(replies):
+            return None
+        anchor, _ = _distinct(texts, ids, window)
+        return _Windows(texts, ids, anchor[_answers(replies, anchor, slices)], window)
+
+    def windows(group: pa.Table, replies: pa.Table) -> pa.Table:
+        w = candidates(group, replies)
+        out = [] if w is None else [(s, w.h1[at].tobytes(), w.h2[at].tobytes(), w.least[at].tobytes()) for s, at in _by_slice(_slices(w.h1, 2 * slices))]
+        g = group.column("g")[0].as_py() if len(group) else 0
+        return pa.table({"g": pa.array([g] * len(out), pa.int64()), "s": pa.array([x[0] for x in out], pa.int64()), **{c: pa.array([x[i] for x in out], pa.binary()) for i, c in ((1, "h1"), (2, "h2"), (3, "k"))}})
+
+    def remove(group: pa.Table, replies: pa.Table) -> pa.Table:
+        first = replies.filter(pa.array([s < slices for s in replies.column("s").to_pylist()], pa.bool_()))
+        w = candidates(group, first)
+        starts: list[bytes | None] = [None] * len(group)
+        if w is not None and len(w.h1):
+            second = replies.filter(pa.array([s >= slices for s in replies.column("s").to_pylist()], pa.bool_()))
+            second = pa.table({"s": pa.array([s - slices for s in second.column("s").to_pylist()], pa.int64()), "bits": second.column("bits")})
+            hit = np.flatnonzero(w.repeated(_answers(second, w.h1, 2 * slices)))
+            for i, at in _by_slice(w.doc[hit]):
+                starts[i] = w.place[hit][at].astype(np.uint32).tobytes()
+        return change(group, starts)
+
+    flags = rows.groupBy("g").applyInArrow(sketch, "g long, s long, one binary, two binary, many binary").groupBy("s").applyInPandas(_merged_sketch, _REPLY)
+    exact = _by_group(rows, flags, windows, "g long, s long, h1 binary, h2 binary, k binary").groupBy("s").applyInPandas(_not_least, _REPLY)
+    return _by_group(rows, flags.union(exact.withColumn("s", F.col("s") + slices)), remove, schema)
 
 
 def covered_mask(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -237,35 +218,49 @@ def _kept(text: str | None, starts: bytes | None, window: int) -> tuple[int, int
     if not starts:
         return len(words), 0, b" ".join(words)
     gone = covered_mask(len(words), np.frombuffer(starts, np.uint32).astype(np.int64), window)
-    return len(words), int(gone.sum()), b" ".join([w for w, x in zip(words, gone, strict=True) if not x])
+    return len(words), int(gone.sum()), b" ".join([w for w, x in zip(words, gone.tolist(), strict=True) if not x])
 
 
 def dedup(docs: DataFrame, window: int = 50, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and text (words that stay, joined by one space), or kept_sha256 with ``digest``."""
-    found = repeated_starts(docs, window, id_col, text_col)
-    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(found, "k", "left")
-    kind, last = docs.schema[id_col].dataType.simpleString(), "kept_sha256" if digest else "text"
+    kind, last = docs.schema[id_col].dataType, "kept_sha256" if digest else "text"
+    schema = StructType().add("doc_id", kind).add("n_words", "long").add("n_removed", "long").add(last, "string")
+
+    def told(texts: list[str | None], starts: list[bytes | None]) -> dict[str, pa.Array]:
+        done = [_kept(t, p, window) for t, p in zip(texts, starts, strict=True)]
+        texts_left = [hashlib.sha256(x[2]).hexdigest() if digest else x[2].decode("utf-8", "surrogatepass") for x in done]
+        return {"n_words": pa.array([x[0] for x in done], pa.int64()), "n_removed": pa.array([x[1] for x in done], pa.int64()), last: pa.array(texts_left, pa.string())}
+
+    def change(group: pa.Table, starts: list[bytes | None]) -> pa.Table:
+        ids = group.column("row").combine_chunks().field(0)
+        return pa.table({"doc_id": ids, **told(group.column("t").to_pylist(), starts)})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = [_kept(t, p, window) for t, p in zip(b["t"], b["v"], strict=True)]
-            yield pd.DataFrame({"doc_id": b["k"], "n_words": [x[0] for x in done], "n_removed": [x[1] for x in done], last: [hashlib.sha256(x[2]).hexdigest() if digest else x[2].decode("utf-8", "surrogatepass") for x in done]})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), **told(b.column(1).to_pylist(), [None] * len(b))})
 
-    return rows.mapInPandas(run, f"doc_id {kind}, n_words long, n_removed long, {last} string")
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
+    return _changed(plain, window, "doc_id", "t", change, schema).union(plain.where("doc_id IS NULL").mapInArrow(alone, schema))
 
 
-def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """Documents with repeated windows taken out of their texts; a text that loses nothing stays as it is,
-    one that loses all its words goes. ``n_chars`` is set anew; other columns stay."""
-    found = repeated_starts(docs, window).withColumnRenamed("k", "doc_id").withColumnRenamed("v", "__p")
-
-    @F.pandas_udf("string")
-    def strip(text: pd.Series, parts: pd.Series) -> pd.Series:
-        return pd.Series([_kept(t, p, window)[2].decode("utf-8", "surrogatepass") for t, p in zip(text, parts, strict=True)])
-
-    joined = docs.join(found, "doc_id", "left")
-    changed = joined.withColumn("__t", F.when(F.col("__p").isNotNull(), strip("text", "__p"))).where(F.col("__p").isNull() | (F.col("__t") != ""))
-    out = changed.withColumn("text", F.coalesce("__t", "text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__p").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    one that loses all its words goes. ``size_col`` is set anew, if there is one; other columns stay."""
+    names = docs.columns
+    others = [c for c in names if c != text_col]
+
+    def change(group: pa.Table, starts: list[bytes | None]) -> pa.Table:
+        given = group.column("t").to_pylist()
+        texts = [t if p is None else _kept(t, p, window)[2].decode("utf-8", "surrogatepass") for t, p in zip(given, starts, strict=True)]
+        row = group.column("row").combine_chunks()
+        fields = {c: row.field(i) for i, c in enumerate(others)}
+        if size_col in fields:
+            old = fields[size_col]
+            new = pa.array([None if p is None else len(t) for t, p in zip(texts, starts, strict=True)], old.type)
+            fields[size_col] = pa.compute.if_else(pa.array([p is None for p in starts]), old, new)
+        fields[text_col] = pa.array(texts, pa.string())
+        stays = pa.array([p is None or t != "" for t, p in zip(texts, starts, strict=True)], pa.bool_())
+        return pa.table({c: fields[c] for c in names}).filter(stays)
+
+    schema = StructType([docs.schema[c] for c in names])
+    return _changed(docs, window, id_col, text_col, change, schema).union(docs.where(F.col(id_col).isNull()))
