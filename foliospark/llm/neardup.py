@@ -119,8 +119,9 @@ def profiles(docs: DataFrame, trees: int, threshold: float, size: int = 5) -> Da
             at = np.flatnonzero([len(s) > 0 for s in sets])
             sig, roots = [b""] * len(sets), [[] for _ in sets]
             if len(at):
-                short = signatures([sets[i] for i in at]).astype(np.uint16)
-                each = [_children(np.full(len(at), tree + 1, dtype=np.uint64), short, 1 / threshold) for tree in range(trees)]
+                wide = signatures([sets[i] for i in at])  # all 32 bits for the roots, so that few meet by chance
+                short = wide.astype(np.uint16)
+                each = [_children(np.full(len(at), tree + 1, dtype=np.uint64), wide, 1 / threshold) for tree in range(trees)]
                 found = _lists(len(at), np.concatenate([x for x, _ in each]), np.concatenate([y for _, y in each]))
                 for i, row, names in zip(at.tolist(), short, found, strict=True):
                     sig[i], roots[i] = row.tobytes(), names
@@ -221,22 +222,12 @@ def coarse_edges(reps: DataFrame, tables: Tables, threshold: float = 0.75, node_
     return edges, used
 
 
-def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stars of the components of each batch of edges."""
-    for b in batches:
-        ids, at = np.unique(b[["a", "b"]].to_numpy().ravel(), return_inverse=True)
-        pairs = at.reshape(-1, 2)
-        label = least_labels(np.arange(len(ids)), pairs[:, 0], pairs[:, 1])
-        u = np.flatnonzero(label != np.arange(len(ids)))
-        yield pd.DataFrame({"u": ids[u], "v": ids[label[u]]})
-
-
 def components(edges: DataFrame, tables: Tables) -> DataFrame:
     """r, root: the least member of each connected component, by alternating large- and small-star steps over edges a, b.
 
     Least neighbours come from partial aggregation and are tables before they are joined, so a hub's rows can be split.
     """
-    pairs = tables.keep(edges.where("a != b").mapInPandas(_forest, "u long, v long").distinct())
+    pairs = tables.keep(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while not _are_stars(pairs):
         both = pairs.union(pairs.select(F.col("v"), F.col("u")))
         least = tables.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
