@@ -1,36 +1,42 @@
 """Nearest neighbours by largest inner product with cross-polytope hashing.
 
-Each table rotates vectors by three rounds of random signs and a fast Hadamard transform and assigns them
-to the nearest signed axis. Every vector is indexed once in each table; a query probes the ``probes``
-nearest axes of each. Buckets are dealt into blocks of bounded size on either side, candidates are
+Each table rotates vectors twice, by three rounds of random signs and a fast Hadamard transform each, and assigns
+them to the nearest signed axis of the first rotation and of the second one's first coordinates; the pair is the
+key, and the more vectors there are, the more coordinates the second hash has. Every vector is indexed once in each
+table; a query probes the ``probes`` keys of each that lie nearest to its own rotations. Keys travel by their first axis,
+dealt into blocks of bounded size on either side; inside a block only vectors of probed keys are candidates, which are
 reranked by their exact inner product in double precision, and each query's best are merged. Vectors are split
 by norm into ranges with tables of their own; where norms differ within a range, its vectors get one more coordinate
 that makes them equal, so that nearest by angle is nearest by product. Ranges of a block or less are scanned whole,
-and so is each range, block by block, for the queries that found fewer than ``k`` + 1 of its classes in their buckets.
+and so is each range, block by block, for the queries that found fewer than ``k`` + 1 of its classes under their keys.
 
 Equal vectors are one class, searched once; a class keeps its ``k`` + 1 smallest ids, which is all that a
 result can hold. Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null
 ids; ids that occur twice count once for each of their vectors; fewer than k candidates give all.
-Only vectors of the same dimension are compared. Extra columns are ignored.
+Empty tables give empty results. Only vectors of the same dimension are compared. Extra columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from foliospark.llm.common import cut
 
 #: Vectors of a block; a norm range of no more is scanned whole.
-BLOCK = 4096
+BLOCK = 8192
 QUERY_BLOCK = 8192
 #: Norm ranges for each factor of two.
 RANGES = 4
-_PLACE = "dim int, range int, table int, bucket int, "
+#: A second hash has as many coordinates as the range has vectors of this number, 16 at least.
+SECOND = 4096
+_PLACE = "dim int, range int, table int, bucket int, subs binary, "
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -62,13 +68,28 @@ def prepared(x: np.ndarray, longest: float, query: bool, lift: bool) -> np.ndarr
     return np.pad(x, ((0, 0), (0, size - x.shape[1])))
 
 
-def buckets(x: np.ndarray, table: int, probes: int) -> np.ndarray:
-    """The ``probes`` nearest signed axes of each row, nearest first."""
-    r = rotate(x, table)
-    both = np.concatenate((r, -r), axis=1)
-    probes = min(probes, both.shape[1])
-    part = np.argpartition(-both, probes - 1, axis=1)[:, :probes]
-    return np.take_along_axis(part, np.argsort(-np.take_along_axis(both, part, axis=1), axis=1, kind="stable"), axis=1)
+def axes(x: np.ndarray, table: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates of each row along the signed axes of both hashes of a table over n vectors."""
+    wide = min(x.shape[1], max(16, 1 << max(0, n // SECOND).bit_length() - 1 if n >= SECOND else 0))
+    one, two = rotate(x, 2 * table), rotate(x, 2 * table + 1)[:, :wide]
+    return np.concatenate((one, -one), axis=1), np.concatenate((two, -two), axis=1)
+
+
+def keys(x: np.ndarray, table: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest axis of each row in either hash."""
+    one, two = axes(x, table, n)
+    return one.argmax(axis=1), two.argmax(axis=1)
+
+
+def probed(x: np.ndarray, table: int, n: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``probes`` pairs of axes of each row that lie least under its nearest ones, by the sum of squared gaps."""
+    one, two = ((c.max(axis=1, keepdims=True) - c) ** 2 for c in axes(x, table, n))
+    width = two.shape[1]
+    out = np.empty((len(x), min(probes, one.shape[1] * width)), dtype=np.int64)
+    for at in range(0, len(x), 256):
+        gaps = (one[at : at + 256, :, None] + two[at : at + 256, None, :]).reshape(len(one[at : at + 256]), -1)
+        out[at : at + 256] = np.argpartition(gaps, out.shape[1] - 1, axis=1)[:, : out.shape[1]]
+    return out // width, out % width
 
 
 def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -85,40 +106,82 @@ def _sized(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"dim": F.size("v"), "lg": F.log2(most) + F.log2(length) / 2})
 
 
-def _hashed(rows: DataFrame, key: list[str], tables: int, probes: int, query: bool) -> DataFrame:
-    """dim, range, table, bucket, the key columns and the packed vector; rows have their range's top and lift."""
+def _packed(vectors: np.ndarray, kind: str) -> list[bytes]:
+    return [row.tobytes() for row in vectors.astype(kind)]
+
+
+def _hashed(rows: DataFrame, key: list[str], tables: int, probes: int, query: bool, kind: str) -> DataFrame:
+    """dim, range, table, bucket (first axis), subs (packed second axes), the key columns and the packed vector; rows have their range's top, lift and n."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for (d, r), part in b.groupby(["dim", "range"], sort=False):
                 x = np.stack(part["v"].to_list()).astype(np.float64)
-                packed = [row.tobytes() for row in x]
+                packed = np.array(_packed(x, kind), dtype=object)
+                half = np.exp2(part["top"].iloc[0] / 2)
+                unit = x / np.abs(x).max(axis=1, keepdims=True) if query else x / half / half
                 if query:
-                    unit = x / np.abs(x).max(axis=1, keepdims=True)
-                else:
-                    half = np.exp2(part["top"].iloc[0] / 2)
-                    unit = x / half / half
-                ready = prepared(unit, 1.0, query, bool(part["lift"].iloc[0]))
+                    unit = unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+                ready, n = prepared(unit, 1.0, query, bool(part["lift"].iloc[0])), int(part["n"].iloc[0])
                 for t in range(tables):
-                    found = buckets(ready, t, probes)
-                    for p in range(found.shape[1]):
-                        yield pd.DataFrame({"dim": np.int32(d), "range": np.int32(r), "table": np.int32(t), "bucket": found[:, p].astype(np.int32), **{c: part[c].to_numpy() for c in key}, "x": packed})
-
-    return rows.select(*key, "v", "dim", "range", "top", "lift").mapInPandas(run, _PLACE + ", ".join(f"{c} long" for c in key) + ", x binary")
-
-
-def _whole(rows: DataFrame, key: list[str]) -> DataFrame:
+                    if query:
+                        one, two = probed(ready, t, n, probes)
+                        row = np.repeat(np.arange(len(x)), one.shape[1])
+                        order = np.lexsort((two.ravel(), one.ravel(), row))
+                        row, one, two = row[order], one.ravel()[order], two.ravel()[order].astype(np.uint16)
+                        edge = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (one[1:] != one[:-1]))))
+                        row, one, subs = row[edge], one[edge], [s.tobytes() for s in np.split(two, edge[1:])]
+                    else:
+                        one, two = keys(ready, t, n)
+                        row, subs = np.arange(len(x)), [s.tobytes() for s in two.astype(np.uint16)]
+                    yield pd.DataFrame({"dim": np.int32(d), "range": np.int32(r), "table": np.int32(t), "bucket": one.astype(np.int32), "subs": subs, **{c: part[c].to_numpy()[row] for c in key}, "x": packed[row]})
+
+    return rows.select(*key, "v", "dim", "range", "top", "lift", "n").mapInPandas(run, _PLACE + ", ".join(f"{c} long" for c in key) + ", x binary")
+
+
+def _whole(rows: DataFrame, key: list[str], kind: str) -> DataFrame:
     """The same columns with a single bucket for each dimension and range."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            packed = [np.asarray(v, dtype=np.float64).tobytes() for v in b["v"]]
-            yield pd.DataFrame({"dim": b["dim"], "range": b["range"], "table": np.int32(-1), "bucket": np.int32(0), **{c: b[c] for c in key}, "x": packed})
+            packed = [np.asarray(v, dtype=kind).tobytes() for v in b["v"]]
+            yield pd.DataFrame({"dim": b["dim"], "range": b["range"], "table": np.int32(-1), "bucket": np.int32(0), "subs": bytes(2), **{c: b[c] for c in key}, "x": packed})
 
     return rows.select(*key, "v", "dim", "range").mapInPandas(run, _PLACE + ", ".join(f"{c} long" for c in key) + ", x binary")
 
 
-def _compared(data: DataFrame, probed: DataFrame, k: int) -> DataFrame:
+def _best(q: pd.DataFrame, x: pd.DataFrame, k: int, kind: str) -> list[bytes]:
+    """For each query (subs, x) its k + 1 best rows of those under its keys: packed reps and scores."""
+    reps, sub = x["rep"].to_numpy(), np.frombuffer(b"".join(x["subs"]), dtype=np.uint16)
+    order = np.argsort(sub, kind="stable")
+    reps, sub = reps[order], sub[order]
+    rows = np.frombuffer(b"".join(x["x"]), dtype=kind).reshape(len(x), -1)[order].astype(np.float64)
+    wanted = np.frombuffer(b"".join(q["x"]), dtype=kind).reshape(len(q), -1).astype(np.float64)
+    asked = np.frombuffer(b"".join(q["subs"]), dtype=np.uint16)
+    owner = np.repeat(np.arange(len(q)), q["subs"].map(len).to_numpy() // 2)
+    edge = np.flatnonzero(np.concatenate(([True], sub[1:] != sub[:-1], [True])))
+    out: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(len(q))]
+    for a, b in pairwise(edge.tolist()):
+        mine = owner[asked == sub[a]]
+        for at in range(0, len(mine), 512):
+            some = mine[at : at + 512]
+            s = wanted[some] @ rows[a:b].T
+            least = np.partition(s, -(k + 1), axis=1)[:, -(k + 1)] if b - a > k + 1 else np.full(len(s), -np.inf)
+            for i, row, low in zip(some.tolist(), s, least, strict=True):
+                hit = np.flatnonzero(row >= low)
+                out[i].append((reps[a + hit], row[hit]))
+    best = []
+    for lists in out:
+        if not lists:
+            best.append(b"")
+            continue
+        rep, score = np.concatenate([r for r, _ in lists]), np.concatenate([s for _, s in lists])
+        top = np.lexsort((rep, -score))[: k + 1]
+        best.append(rep[top].tobytes() + score[top].tobytes())
+    return best
+
+
+def _compared(data: DataFrame, probed: DataFrame, k: int, kind: str) -> DataFrame:
     """h1, h2, range, rep, s: the k + 1 best classes in the buckets that each query has of each range."""
     place = ["dim", "range", "table", "bucket"]
     # one row for each bucket: dimensions in use x norm ranges x tables x twice the dimension
@@ -133,20 +196,8 @@ def _compared(data: DataFrame, probed: DataFrame, k: int) -> DataFrame:
     def rerank(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
             return pd.DataFrame({"h1": [], "h2": [], "range": [], "best": []})
-        rows, reps = np.frombuffer(b"".join(x["x"]), dtype=np.float64).reshape(len(x), -1), x["rep"].to_numpy()
-        wanted = np.frombuffer(b"".join(q["x"]), dtype=np.float64).reshape(len(q), -1)
-        best = []
-        for at in range(0, len(wanted), 512):
-            s = wanted[at : at + 512] @ rows.T
-            if s.shape[1] > k + 1:
-                least = np.partition(s, -(k + 1), axis=1)[:, -(k + 1)]
-            else:
-                least = np.full(len(s), -np.inf)
-            for row, low in zip(s, least, strict=True):
-                hit = np.flatnonzero(row >= low)
-                hit = hit[np.lexsort((reps[hit], -row[hit]))][: k + 1]
-                best.append(reps[hit].tobytes() + row[hit].tobytes())
-        return pd.DataFrame({"h1": q["h1"], "h2": q["h2"], "range": q["range"], "best": best})
+        best = _best(q, x, k, kind)
+        return pd.DataFrame({"h1": q["h1"], "h2": q["h2"], "range": q["range"], "best": best})[[len(x) > 0 for x in best]]
 
     found = right.groupBy(*key).cogroup(left.groupBy(*key)).applyInPandas(rerank, "h1 long, h2 long, range int, best binary")
 
@@ -165,8 +216,10 @@ def _compared(data: DataFrame, probed: DataFrame, k: int) -> DataFrame:
     return found.groupBy("h1", "h2", "range").agg(F.collect_list("best").alias("lists")).mapInPandas(merge, "h1 long, h2 long, range int, rep long, s double")
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8, probes: int = 16, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 16, probes: int = 52, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the nearest found for each row of ``queries``, itself left out."""
+    inner = getattr(vectors.schema[vector_col].dataType, "elementType", None)
+    kind = "<f4" if isinstance(inner, FloatType) else "<f8"  # how vectors travel, without loss
     base, asked = valid(vectors, id_col, vector_col), valid(queries, id_col, vector_col)
     first = Window.partitionBy("h1", "h2").orderBy("id")
     distinct = base.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
@@ -177,17 +230,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8,
     asked_classes = asked.groupBy("h1", "h2").agg(F.first("v").alias("v")).withColumn("dim", F.size("v"))
     # one row for each dimension in use and norm range
     shape = cut(known.groupBy("dim", "range").agg(F.count("*").alias("n"), F.max("lg").alias("top"), F.min("lg").alias("low")))
-    hashed = F.broadcast(shape.where(F.col("n") > BLOCK).select("dim", "range", "top", (F.col("low") < F.col("top") + float(np.log2(0.999))).alias("lift")))
+    hashed = F.broadcast(shape.where(F.col("n") > BLOCK).select("dim", "range", "n", "top", (F.col("low") < F.col("top") + float(np.log2(0.999))).alias("lift")))
     small = F.broadcast(shape.where(F.col("n") <= BLOCK).select("dim", "range"))
     in_tables = asked_classes.join(hashed, "dim")
     in_small = asked_classes.join(F.broadcast(shape.where(F.col("n") <= BLOCK).select("dim").distinct()), "dim").withColumn("range", F.lit(-1))
-    data = _hashed(known.join(hashed, ["dim", "range"]), ["rep"], tables, 1, False).unionByName(_whole(known.join(small, ["dim", "range"]).withColumn("range", F.lit(-1)), ["rep"]))
-    probed = _hashed(in_tables, ["h1", "h2"], tables, probes, True).unionByName(_whole(in_small, ["h1", "h2"]))
-    top = cut(_compared(data, probed, k))
+    data = _hashed(known.join(hashed, ["dim", "range"]), ["rep"], tables, 1, False, kind).unionByName(_whole(known.join(small, ["dim", "range"]).withColumn("range", F.lit(-1)), ["rep"], kind))
+    probes_of = _hashed(in_tables, ["h1", "h2"], tables, probes, True, kind).unionByName(_whole(in_small, ["h1", "h2"], kind))
+    top = cut(_compared(data, probes_of, k, kind))
     have = top.groupBy("h1", "h2", "range").agg(F.count("*").alias("have"))
     short = cut(in_tables.join(have, ["h1", "h2", "range"], "left").where(F.coalesce("have", F.lit(0)) <= k).select("h1", "h2", "v", "dim", "range"))
     if not short.isEmpty():
-        again = _compared(_whole(known.join(hashed, ["dim", "range"]), ["rep"]), _whole(short, ["h1", "h2"]), k)
+        again = _compared(_whole(known.join(hashed, ["dim", "range"]), ["rep"], kind), _whole(short, ["h1", "h2"], kind), k, kind)
         top = top.join(short.select("h1", "h2", "range"), ["h1", "h2", "range"], "left_anti").unionByName(again)
     ids = top.join(known.select("rep", "ids"), "rep").select("h1", "h2", (-F.col("s")).alias("o"), F.explode("ids").alias("id"))
     listed = ids.groupBy("h1", "h2").agg(F.slice(F.sort_array(F.collect_list(F.struct("o", "id"))), 1, k + 1).alias("near"))  # of (k + 1) ** 2 a range at most
