@@ -1,131 +1,139 @@
 """Cross-entropy difference: two matched n-gram models score each document by its loss per token.
 
-Both models are interpolated trigram models over one vocabulary, the 256 byte values, with the same
-weights; the background model counts every document, the target model those marked as target. Each task counts
-its rows into one table and sends a row for each trigram that it saw; the merged table has at most 256**3 rows,
-which bounds what is broadcast. A document's score is its loss per token under the target model less that
-under the background model: the lower, the more it is like the target.
-
-A text begins after two zero bytes. Null and empty texts have no tokens and a score of 0; repeated rows count
-each; without target documents the target model is uniform; extra columns are ignored.
+Both models are interpolated bigram models over the words of one shared vocabulary, all words of the corpus, with the same
+weights; the background model counts every document, the target model those marked as target. A document is scored by
+what the other documents count: its own n-grams are taken out of each model that holds them. Its score is its loss
+per token under the target model less that under the background model: the lower, the more it is like the target.
+
+Texts are dealt once into groups of a few megabytes. A group counts its words and pairs of words (64-bit hashes) and
+sends each distinct one once, dealt into slices by hash; a slice adds up the counts, which grow with the corpus and are held
+nowhere together, and sends each group the totals of what it asked for. Only the number of words reaches the driver.
+
+A text begins after a start mark. Null and empty texts have no tokens and a score of 0; very long texts are groups of
+their own size; rows with equal ids are documents of their own and all targets if the id is; rows with a null id are none; without
+target documents the target model knows no word; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Weights of the trigram, bigram, unigram and uniform parts; fixed values.
-WEIGHTS = (0.6, 0.25, 0.14, 0.01)
-_ALL = 1 << 24
-
-
-def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram codes of all texts one after the other, and the number of each text's."""
-    data = [(t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"") for t in texts]
-    n = np.array([len(x) for x in data], dtype=np.int64)
-    b = np.frombuffer(b"\0\0" + b"\0\0".join(data), dtype=np.uint8).astype(np.uint32)
-    codes = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
-    total = int(n.sum())
-    first = np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else np.zeros(0, dtype=np.int64)
-    return codes[np.arange(total) + 2 * np.repeat(np.arange(len(n)), n)] if total else np.zeros(0, dtype=np.uint32), n if len(first) else n
-
-
-def counts(docs: DataFrame, target: str) -> DataFrame:
-    """code, background, target: trigram counts; ``target`` is a boolean column."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.zeros((2, _ALL), dtype=np.int64)
-        for b in batches:
-            for at in range(0, len(b), 500):
-                part = b.iloc[at : at + 500]
-                codes, n = _codes(part["t"].tolist())
-                for row, use in ((0, None), (1, np.repeat(part["y"].to_numpy(dtype=bool), n))):
-                    seen, times = np.unique(codes if use is None else codes[use], return_counts=True)
-                    table[row, seen] += times
-        found = np.flatnonzero(table[0])
-        yield pd.DataFrame({"code": found.astype(np.int32), "background": table[0, found], "target": table[1, found]})
-
-    rows = docs.select(F.col("text").alias("t"), F.coalesce(F.col(target), F.lit(False)).alias("y"))
-    return rows.mapInPandas(run, "code int, background long, target long").groupBy("code").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-class Model:
-    """Both models' loss of each known trigram, and of any other by what is known of its end."""
-
-    def __init__(self, code: np.ndarray, background: np.ndarray, target: np.ndarray):
-        order = np.argsort(code)
-        self.code = code[order].astype(np.int64)
-        self.own = [c[order].astype(np.float64) for c in (background, target)]
-        self.pairs, self.singles, self.before, self.single_before = [], [], [], []
-        for c in self.own:
-            self.before.append(np.bincount(self.code >> 8, weights=c, minlength=1 << 16))
-            self.pairs.append(np.bincount(self.code & 0xFFFF, weights=c, minlength=1 << 16))
-            self.single_before.append(np.bincount((self.code >> 8) & 0xFF, weights=c, minlength=256))
-            self.singles.append(np.bincount(self.code & 0xFF, weights=c, minlength=256))
-        self.known = [self._loss(self.code, c, m) for m, c in enumerate(self.own)]
-        self.place: np.ndarray | None = None
-
-    def _loss(self, code: np.ndarray, count: np.ndarray, m: int) -> np.ndarray:
-        part = lambda a, b: np.divide(a, b, out=np.zeros_like(a, dtype=np.float64), where=b > 0)
-        total = np.full(len(code), self.singles[m].sum())
-        p3 = part(count, self.before[m][code >> 8])
-        p2 = part(self.pairs[m][code & 0xFFFF], self.single_before[m][(code >> 8) & 0xFF])
-        p1 = part(self.singles[m][code & 0xFF], total)
-        return -np.log(WEIGHTS[0] * p3 + WEIGHTS[1] * p2 + WEIGHTS[2] * p1 + WEIGHTS[3] / 256)
-
-    def losses(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens and the sum of both losses (background, target) of each text."""
-        if self.place is None:
-            self.place = np.full(_ALL, -1, dtype=np.int32)
-            self.place[self.code] = np.arange(len(self.code), dtype=np.int32)
-        codes, n = _codes(texts)
-        at = self.place[codes]
-        new = at < 0
-        edge = np.concatenate(([0], np.cumsum(n)))
+from foliospark.llm import textgrams as tg
+from foliospark.llm.mixing import WORD
+from foliospark.llm.substring import _by_slice, _slices
+
+#: Weights of the bigram and unigram parts and of the part for unknown words; fixed values.
+WEIGHTS = (0.6, 0.3, 0.1)
+#: Characters of a group, and distinct n-grams expected in a slice.
+TOGETHER, EXPECTED = 4 << 20, 1 << 19
+_START = np.uint64(1)
+
+
+class _Grams:
+    """Words and pairs of a group of texts: each text is its start mark and its words."""
+
+    def __init__(self, texts: list[str | None], target: np.ndarray):
+        words, offsets = tg.word_hashes(texts)
+        self.n = np.diff(offsets)
+        starts = offsets[:-1] + np.arange(len(texts))
+        marks = np.zeros(len(words) + len(texts), dtype=bool)
+        marks[starts] = True
+        line = np.full(len(marks), _START, dtype=np.uint64)
+        line[~marks] = words
+        self.doc = np.repeat(np.arange(len(texts)), self.n + 1)
+        at = np.flatnonzero(~marks)
+        with np.errstate(over="ignore"):
+            one = tg.mix(line, 101)
+            two = tg.mix(tg.mix(line[at - 1], 202) * np.uint64(tg._Q) + line[at], 303)
+        used = np.repeat(self.n > 0, self.n + 1)  # a text without words has no start either
+        self.keys, which = np.unique(np.concatenate((one[used], two)), return_inverse=True)
+        self.one = np.zeros(len(one), dtype=np.int64)
+        self.one[used], self.two = which[: int(used.sum())], which[int(used.sum()) :]
+        self.at = at
+        every = np.concatenate((self.one[used], self.two))
+        owner = np.concatenate((self.doc[used], self.doc[at]))
+        self.counts = [np.bincount(every, minlength=len(self.keys)), np.bincount(every[target[owner]], minlength=len(self.keys))]
+
+    def own(self, which: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """How often each place's n-gram occurs in its own text."""
+        _, inverse, times = np.unique(doc * np.int64(len(self.keys) + 1) + which, return_inverse=True, return_counts=True)
+        return times[inverse]
+
+    def losses(self, totals: list[np.ndarray], words: tuple[int, int], target: np.ndarray) -> list[np.ndarray]:
+        """Each text's sum of losses (background, target)."""
+        doc, one, before = self.doc[self.at], self.one[self.at], self.one[self.at - 1]
+        own_one, own_two = self.own(self.one, self.doc), self.own(self.two, doc)
         out = []
         for m in (0, 1):
-            loss = self.known[m][at] if len(self.code) else np.zeros(len(at))
-            if new.any():
-                loss[new] = self._loss(codes[new].astype(np.int64), np.zeros(int(new.sum())), m)
-            sums = np.zeros(len(n))
-            full = np.flatnonzero(n)
-            if len(full):
-                sums[full] = np.add.reduceat(loss, edge[full])
-            out.append(sums)
-        return n, out[0], out[1]
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"place": None}
-
-
-def fit(docs: DataFrame, target: str) -> Model:
-    rows = counts(docs, target).toPandas()  # at most 256**3 rows
-    return Model(rows["code"].to_numpy(), rows["background"].to_numpy(), rows["target"].to_numpy())
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, score (all per token) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+            mine = np.ones(len(doc), dtype=bool) if m == 0 else target[doc]
+            left = lambda total, own, mine=mine: total - np.where(mine, own, 0)
+            part = lambda a, b: np.divide(a, b, out=np.zeros(len(a)), where=b > 0)
+            c2, c1 = left(totals[m][self.two], own_two), left(totals[m][one], own_one[self.at])
+            context, all_words = left(totals[m][before], own_one[self.at - 1]), left(np.full(len(doc), words[m]), self.n[doc])
+            p = WEIGHTS[0] * part(c2, context) + WEIGHTS[1] * part(c1, all_words) + WEIGHTS[2] / (words[0] + 1)
+            out.append(np.bincount(doc, weights=-np.log(p), minlength=len(self.n)))
+        return out
+
+
+def _summed(rows: pd.DataFrame) -> pd.DataFrame:
+    """Totals of each n-gram that the groups of a slice have sent (g, s, keys, b, t), in each group's order."""
+    _, which = np.unique(np.frombuffer(b"".join(rows["keys"]), dtype=np.uint64), return_inverse=True)
+    totals = {c: np.bincount(which, weights=np.frombuffer(b"".join(rows[c]), dtype=np.int64)).astype(np.int64)[which] for c in ("b", "t")}
+    ends = np.cumsum([len(x) // 8 for x in rows["keys"]])[:-1]
+    return pd.DataFrame({"g": rows["g"], "s": rows["s"], **{c: [x.tobytes() for x in np.split(v, ends)] for c, v in totals.items()}})
+
+
+def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score (all per token) of every row; ``targets`` has the target documents' ids."""
+    goods = targets.select(F.col("doc_id").cast("long").alias("k")).where("k IS NOT NULL").distinct()
+    key = F.col("doc_id").cast("long")
+    sizes = docs.select(key.alias("k"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).alias("n"), F.length("text").alias("size"))
+    marked = sizes.join(goods.withColumn("y", F.lit(True)).hint("merge"), "k", "left")  # targets grow with the documents: no broadcast at any size
+    n, n_target, size = marked.agg(F.sum("n"), F.sum(F.when(F.col("y"), F.col("n"))), F.sum("size")).first()
+    words, size = (n or 0, n_target or 0), size or 0
+    groups, slices = max(1, math.ceil(size / TOGETHER)), max(1, math.ceil(size / 6 / EXPECTED))
+    group = lambda k: F.pmod(F.xxhash64(*k), F.lit(groups)).alias("g")
+    # a null id is no target, so its rows needn't stand together
+    rows = docs.select(F.when(key.isNull(), group(["text"])).otherwise(group([key])).alias("g"), key.alias("k"), F.col("text").alias("t"), F.struct("doc_id").alias("row"))
+    asked = goods.select(group(["k"]), F.lit(-1).cast("long").alias("s"), F.col("k"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 500):
-                part = b.iloc[at : at + 500]
-                n, background, target = shared.value.losses(part["text"].tolist())
-                by = np.maximum(n, 1)
-                yield pd.DataFrame({"doc_id": part["doc_id"].values, "n_tokens": n, "target_loss": target / by, "background_loss": background / by, "score": (target - background) / by})
-
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    def read(table: pa.Table, told: pa.Table) -> tuple[_Grams, np.ndarray]:
+        good = set(told.column("k").to_pylist())
+        target = np.array([k is not None and k in good for k in table.column("k").to_pylist()], dtype=bool)
+        return _Grams(table.column("t").to_pylist(), target), target
+
+    def count(table: pa.Table, told: pa.Table) -> pa.Table:
+        out, g = [], 0
+        if len(table):
+            grams, _ = read(table, told)
+            g = table.column("g")[0].as_py()
+            out = [(s, grams.keys[at].tobytes(), *(c[at].astype(np.int64).tobytes() for c in grams.counts)) for s, at in _by_slice(_slices(grams.keys, slices))]
+        return pa.table({"g": pa.array([g] * len(out), pa.int64()), "s": pa.array([x[0] for x in out], pa.int64()), **{c: pa.array([x[i] for x in out], pa.binary()) for i, c in ((1, "keys"), (2, "b"), (3, "t"))}})
+
+    def loss(table: pa.Table, told: pa.Table) -> pa.Table:
+        if not len(table):
+            return pa.table({"doc_id": pa.array([], table.schema.field("row").type.field(0).type), "n_tokens": pa.array([], pa.int64()), **{c: pa.array([], pa.float64()) for c in ("target_loss", "background_loss", "score")}})
+        replies = told.filter(pa.array([s >= 0 for s in told.column("s").to_pylist()], pa.bool_()))
+        grams, target = read(table, told.filter(pa.array([s < 0 for s in told.column("s").to_pylist()], pa.bool_())))
+        order = np.argsort(replies.column("s").to_numpy(), kind="stable")
+        totals = [np.frombuffer(b"".join(np.array(replies.column(c).to_pylist(), dtype=object)[order]), dtype=np.int64) for c in ("b", "t")]
+        background, wanted = grams.losses(totals, words, target)
+        by = np.maximum(grams.n, 1)
+        return pa.table({"doc_id": table.column("row").combine_chunks().field(0), "n_tokens": grams.n, "target_loss": wanted / by, "background_loss": background / by, "score": (wanted - background) / by})
+
+    counted = rows.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(lambda a, b: count(a, b), "g long, s long, keys binary, b binary, t binary")
+    totals = counted.groupBy("s").applyInPandas(_summed, "g long, s long, b binary, t binary")
+    told = totals.select("g", "s", F.lit(None).cast("long").alias("k"), "b", "t").union(asked.select("g", "s", "k", F.lit(None).cast("binary"), F.lit(None).cast("binary")))
+    return rows.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(lambda a, b: loss(a, b), f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of all documents; the target documents are those labelled with quality 1."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id", F.lit(True).alias("is_target")).distinct()
-    marked = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")  # labels grow with the documents: no broadcast at any size
-    return score(docs, fit(marked, "is_target"))
+    return score(docs, labels.where("quality = 1").select("doc_id"))

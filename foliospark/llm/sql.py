@@ -64,23 +64,26 @@ e AS (SELECT d.*, sum(n_tokens) OVER (PARTITION BY key ORDER BY o, n_tokens ROWS
 k AS (SELECT e.*, weight, quota // total + (fin <= quota % total)::BIGINT AS times FROM e JOIN p USING (key))
 SELECT doc_id, source, n_tokens, round(weight, 9) AS weight, unnest(range(times))::INTEGER AS pass_no, fin - n_tokens AS start FROM k"""
 
-def _loss(m: str) -> str:
-    return f"-ln(0.6 * coalesce(c.{m}::DOUBLE / nullif(x.{m}, 0), 0) + 0.25 * coalesce(p.{m}::DOUBLE / nullif(y.{m}, 0), 0) + 0.14 * coalesce(u.{m}::DOUBLE / nullif(n.{m}, 0), 0) + 0.01 / 256)"
 
+def _loss(m: str, mine: str) -> str:
+    left = lambda total, own: f"({total} - CASE WHEN {mine} THEN {own} ELSE 0 END)"
+    part = lambda a, b: f"CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0 END"
+    return f"-ln(0.6 * {part(left(f'c2.{m}', 'o2.n'), left(f'cu.{m}', 'ou.n'))} + 0.3 * {part(left(f'cw.{m}', 'ow.n'), left(f'k.{m}', 'd.n'))} + 0.1 / (k.b + 1))"
 
-OP8 = f"""
+
+OP8 = rf"""
 WITH g AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL),
-d AS (SELECT d.doc_id, '0000' || hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n_tokens, g.doc_id IS NOT NULL AS y FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id),
-o AS (SELECT doc_id, y, substr(h, i::INT, 6) AS code FROM (SELECT doc_id, y, h, unnest(range(1, 2 * n_tokens + 1, 2)) AS i FROM d)),
-c AS (SELECT code, count(*) AS b, count(*) FILTER (WHERE y) AS t FROM o GROUP BY code),
-x AS (SELECT substr(code, 1, 4) AS k, sum(b) AS b, sum(t) AS t FROM c GROUP BY k),
-p AS (SELECT substr(code, 3, 4) AS k, sum(b) AS b, sum(t) AS t FROM c GROUP BY k),
-y AS (SELECT substr(code, 3, 2) AS k, sum(b) AS b, sum(t) AS t FROM c GROUP BY k),
-u AS (SELECT substr(code, 5, 2) AS k, sum(b) AS b, sum(t) AS t FROM c GROUP BY k),
-n AS (SELECT sum(b) AS b, sum(t) AS t FROM c),
-l AS (SELECT c.code, {_loss("b")} AS b, {_loss("t")} AS t FROM c JOIN x ON x.k = substr(c.code, 1, 4) JOIN p ON p.k = substr(c.code, 3, 4) JOIN y ON y.k = substr(c.code, 3, 2) JOIN u ON u.k = substr(c.code, 5, 2), n),
-s AS (SELECT doc_id, sum(l.b) AS b, sum(l.t) AS t FROM o JOIN l USING (code) GROUP BY doc_id)
-SELECT doc_id, n_tokens, round(coalesce(t, 0) / greatest(n_tokens, 1), 6) AS target_loss, round(coalesce(b, 0) / greatest(n_tokens, 1), 6) AS background_loss,
-       round((coalesce(t, 0) - coalesce(b, 0)) / greatest(n_tokens, 1), 6) AS score FROM d LEFT JOIN s USING (doc_id)"""
+d AS (SELECT d.doc_id, w, len(w)::BIGINT AS n, g.doc_id IS NOT NULL AS y FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents) d LEFT JOIN g ON d.doc_id = g.doc_id),
+o AS (SELECT doc_id, y, unnest(w) AS w, unnest(list_prepend('', w)[1:len(w)]) AS u FROM d WHERE n > 0),
+o2 AS (SELECT doc_id, y, u, w, count(*) AS n FROM o GROUP BY ALL),
+o1 AS (SELECT doc_id, y, w, count(*) AS n FROM (SELECT doc_id, y, w FROM o UNION ALL SELECT doc_id, y, '' FROM d WHERE n > 0) GROUP BY ALL),
+c2 AS (SELECT u, w, sum(n) AS b, coalesce(sum(n) FILTER (WHERE y), 0) AS t FROM o2 GROUP BY u, w),
+c1 AS (SELECT w, sum(n) AS b, coalesce(sum(n) FILTER (WHERE y), 0) AS t FROM o1 GROUP BY w),
+k AS (SELECT coalesce(sum(n), 0) AS b, coalesce(sum(n) FILTER (WHERE y), 0) AS t FROM d),
+s AS (SELECT o2.doc_id, sum(o2.n * {_loss("b", "true")}) AS b, sum(o2.n * {_loss("t", "o2.y")}) AS t
+      FROM o2 JOIN d USING (doc_id) JOIN c2 ON c2.u = o2.u AND c2.w = o2.w JOIN c1 cw ON cw.w = o2.w JOIN c1 cu ON cu.w = o2.u
+      JOIN o1 ow ON ow.doc_id = o2.doc_id AND ow.w = o2.w JOIN o1 ou ON ou.doc_id = o2.doc_id AND ou.w = o2.u, k GROUP BY o2.doc_id)
+SELECT doc_id, n AS n_tokens, round(coalesce(t, 0) / greatest(n, 1), 6) AS target_loss, round(coalesce(b, 0) / greatest(n, 1), 6) AS background_loss,
+       round((coalesce(t, 0) - coalesce(b, 0)) / greatest(n, 1), 6) AS score FROM d LEFT JOIN s USING (doc_id)"""
 
 ORACLES: dict[str, str] = {"op4_sharding": OP4, "op8_lm": OP8, "op9_substring": OP9, "op10_mixing": OP10}

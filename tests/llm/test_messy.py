@@ -372,32 +372,27 @@ def test_lm_scores(spark, docs, rows, empty):
     labels = spark.createDataFrame([(5, 1), (6, 1), (5, 1), (None, 1), (7, 0), (8, None)], "doc_id long, quality int")
     got = lmscore.difference(docs, labels).collect()
     assert len(got) == len(rows)
-    counts = [Counter(), Counter()]
-    for k, t in rows:
-        b = b"\0\0" + (t or "").encode()
-        grams = [b[i : i + 3] for i in range(len(b) - 2)]
-        counts[0].update(grams)
-        if k in (5, 6):
-            counts[1].update(grams)
-
-    def parts(c):
-        x, p, y, u = Counter(), Counter(), Counter(), Counter()
-        for gram, n in c.items():
-            x[gram[:2]] += n
-            p[gram[1:]] += n
-            y[gram[1:2]] += n
-            u[gram[2:]] += n
-        return c, x, p, y, u, sum(c.values())
-
-    models = [parts(c) for c in counts]
-    div = lambda a, b: a / b if b else 0.0
-    loss = lambda m, g: -np.log(0.6 * div(m[0][g], m[1][g[:2]]) + 0.25 * div(m[2][g[1:]], m[3][g[1:2]]) + 0.14 * div(m[4][g[2:]], m[5]) + 0.01 / 256)
-    for r in got:
-        if r.doc_id in (1, 2, 5, 6, 13):
-            b = b"\0\0" + (dict(rows[:17])[r.doc_id] or "").encode()
-            grams = [b[i : i + 3] for i in range(len(b) - 2)]
-            want = [sum(loss(m, g) for g in grams) / max(1, len(grams)) for m in models]
-            assert r.n_tokens == len(grams) and abs(r.background_loss - want[0]) < 1e-9 and abs(r.target_loss - want[1]) < 1e-9 and abs(r.score - want[1] + want[0]) < 1e-9
+    words = {(i, k): WORD.findall(t or "") for i, (k, t) in enumerate(rows)}
+    models = []
+    for only in (False, True):
+        two, one, total = Counter(), Counter(), 0
+        for (_, k), w in words.items():
+            if w and (not only or k in (5, 6)):
+                two.update(zip(["", *w], w, strict=False))
+                one.update(["", *w])
+                total += len(w)
+        models.append((two, one, total))
+    every = models[0][2]
+    div = lambda a, b: a / b if b > 0 else 0.0
+    want = Counter()
+    for (_, k), w in words.items():
+        own2, own1, loss = Counter(zip(["", *w], w, strict=False)), Counter(["", *w]), []
+        for m, (two, one, total) in enumerate(models):
+            x = 1 if m == 0 or k in (5, 6) else 0
+            loss.append(sum(-np.log(0.6 * div(two[u, v] - x * own2[u, v], one[u] - x * own1[u]) + 0.3 * div(one[v] - x * own1[v], total - x * len(w)) + 0.1 / (every + 1)) for u, v in zip(["", *w], w, strict=False)) / max(1, len(w)))
+        want[(k, len(w), round(loss[0], 6), round(loss[1], 6))] += 1
+    assert Counter((r.doc_id, r.n_tokens, round(r.background_loss, 6), round(r.target_loss, 6)) for r in got) == want
+    assert all(abs(r.score - r.target_loss + r.background_loss) < 1e-9 for r in got)
     assert lmscore.difference(empty, labels).count() == 0
     assert lmscore.difference(docs, labels.where("false")).count() == len(rows)
 
