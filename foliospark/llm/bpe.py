@@ -27,14 +27,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import text_parts, tokenizer_path
+from foliospark.llm.common import text_parts, tidy, tokenizer_path
 
 #: Fixed value: the pre-token pattern of the public byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters handed to the transducer at once.
 CHUNK = 1 << 16
 #: Bytes of pre-tokens and ids that a worker remembers, about; the memory is emptied when full.
-REMEMBERED = 48 << 20
+REMEMBERED = 24 << 20
 
 
 def printable_bytes() -> dict[str, int]:
@@ -348,4 +348,4 @@ def round_trip_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
             out.insert(0, "doc_id", b["k"].values)
             yield out
 
-    return docs.select(F.col("doc_id").alias("k"), F.col("text").alias("t")).mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean")
+    return docs.select(F.col("doc_id").alias("k"), F.col("text").alias("t")).mapInPandas(tidy(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -71,7 +73,18 @@ class Tables:
                 delete(self.spark, self.held.pop(id(t))[1])
 
 
-def text_parts(batches: Iterator[pd.DataFrame], col: str = "t", together: int = 4 << 20) -> Iterator[pd.DataFrame]:
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` of a task's batches, after which the worker gives free memory back: workers are kept for other tasks."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
+def text_parts(batches: Iterator[pd.DataFrame], col: str = "t", together: int = 2 << 20) -> Iterator[pd.DataFrame]:
     """Parts of the batches with a few megabytes of text, or one longer text."""
     for b in batches:
         if not len(b):

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm import textgrams as tg
-from foliospark.llm.common import Tables, text_parts, whole_runs
+from foliospark.llm.common import Tables, text_parts, tidy, whole_runs
 
 #: Places of a minwise signature.
 PLACES = 128
@@ -127,7 +127,7 @@ def profiles(docs: DataFrame, trees: int, threshold: float, size: int = 5) -> Da
                     sig[i], roots[i] = row.tobytes(), names
             yield pd.DataFrame({"k": part["k"].values, "h": part["h"].values, "n": [len(s) for s in sets], "finger": [fingerprint(s) for s in sets], "sig": sig, "roots": roots})
 
-    return docs.mapInPandas(run, "k long, h long, n long, finger binary, sig binary, roots array<long>")
+    return docs.mapInPandas(tidy(run), "k long, h long, n long, finger binary, sig binary, roots array<long>")
 
 
 def least_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -144,9 +144,9 @@ def least_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def screened(sig: np.ndarray, low: float, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """i, j of the pairs i < j with enough equal places, compared block by block."""
-    found = []
+def screened(sig: np.ndarray, low: float, block: int = 256) -> np.ndarray:
+    """Labels (least places) of what pairs with enough equal places join, compared block by block."""
+    label = np.arange(len(sig))
     for a in range(0, len(sig), block):
         left = sig[a : a + block]
         for b in range(a, len(sig), block):
@@ -155,9 +155,8 @@ def screened(sig: np.ndarray, low: float, block: int = 256) -> tuple[np.ndarray,
             for p in range(PLACES):
                 same += left[:, p, None] == right[None, :, p]
             i, j = np.nonzero(same >= low * PLACES)
-            keep = i + a < j + b
-            found.append((i[keep] + a, j[keep] + b))
-    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+            label = least_labels(label, i + a, j + b)
+    return label
 
 
 def _node_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,11 +175,9 @@ def _node_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 hit = part[(sig[part] == sig[part + d]).sum(axis=1) >= SCREEN * PLACES]
                 left.append(hit)
                 right.append(hit + d)
-        for start, n in zip(edge[size > few].tolist(), size[size > few].tolist(), strict=True):
-            i, j = screened(sig[start : start + n], SCREEN)
-            left.append(i + start)
-            right.append(j + start)
         label = least_labels(np.arange(len(node)), np.concatenate(left), np.concatenate(right))
+        for start, n in zip(edge[size > few].tolist(), size[size > few].tolist(), strict=True):
+            label[start : start + n] = screened(sig[start : start + n], SCREEN) + start
         b = np.flatnonzero(label != np.arange(len(node)))
         yield pd.DataFrame({"a": r[label[b]], "b": r[b]})
 
@@ -194,7 +191,7 @@ def _branched(batches: Iterator[pd.DataFrame], places: float) -> Iterator[pd.Dat
             yield pd.DataFrame({"r": b["r"], "node": b["node"], "head": b["head"], "share": (sig == first).mean(axis=1), "below": _lists(len(b), at, names)})
 
 
-def coarse_edges(reps: DataFrame, tables: Tables, threshold: float = 0.75, node_limit: int = 1024, max_depth: int = 6) -> tuple[DataFrame, list[DataFrame]]:
+def coarse_edges(reps: DataFrame, tables: Tables, threshold: float = 0.75, node_limit: int = 4096, max_depth: int = 6) -> tuple[DataFrame, list[DataFrame]]:
     """a, b: pairs of representatives (r, sig, roots) that tie what the trees found together; and the tables that they are read from."""
     sigs = reps.select("r", "sig")
     nodes, edges, used = reps.select("r", F.explode("roots").alias("node")), None, []
@@ -202,7 +199,7 @@ def coarse_edges(reps: DataFrame, tables: Tables, threshold: float = 0.75, node_
         sizes = tables.keep(nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("r").alias("head")).where("size > 1"))
         used.append(sizes)
         small = nodes.join(sizes.where(F.col("size") <= node_limit).select("node"), "node").join(sigs, "r")
-        found = small.select("node", "r", "sig").repartition("node").sortWithinPartitions("node", "r").mapInPandas(_node_edges, "a long, b long")
+        found = small.select("node", "r", "sig").repartition("node").sortWithinPartitions("node", "r").mapInPandas(tidy(_node_edges), "a long, b long")
         edges = found if edges is None else edges.union(found)
         crowded = sizes.where(F.col("size") > node_limit)
         if crowded.isEmpty():
@@ -213,7 +210,7 @@ def coarse_edges(reps: DataFrame, tables: Tables, threshold: float = 0.75, node_
             break
         heads = tables.keep(crowded.select("node", F.col("head").alias("r")).join(sigs, "r").select("node", F.col("sig").alias("first")))
         rows = large.join(sigs, "r").join(heads, "node").select("r", "node", "head", "sig", "first")
-        liked = tables.keep(rows.mapInPandas(lambda b: _branched(b, 1 / threshold), "r long, node long, head long, share double, below array<long>"))
+        liked = tables.keep(rows.mapInPandas(tidy(lambda b: _branched(b, 1 / threshold)), "r long, node long, head long, share double, below array<long>"))
         dense = tables.keep(liked.groupBy("node").agg(F.avg((F.col("share") >= CLOSE).cast("int")).alias("close")).where("close >= 0.5"))
         marked = liked.join(dense, "node", "left")
         edges = edges.union(marked.where(F.col("close").isNotNull() & (F.col("share") >= TIED) & (F.col("r") != F.col("head"))).select(F.col("head").alias("a"), F.col("r").alias("b")))
@@ -308,7 +305,7 @@ def _linked(members: DataFrame, *key: str) -> DataFrame:
     """Links of rows (key, r, c, finger, t), compared key by key."""
     rows = members.select(F.struct(*key).alias("s") if len(key) > 1 else F.col(key[0]).alias("s"), "r", "c", "finger", "t")
     rows = rows.withColumn("s", F.xxhash64("s")) if len(key) > 1 else rows
-    return rows.repartition("s").sortWithinPartitions("s", "r").mapInPandas(lambda b: _class_links(b, "s"), "a long, b long")
+    return rows.repartition("s").sortWithinPartitions("s", "r").mapInPandas(tidy(lambda b: _class_links(b, "s")), "a long, b long")
 
 
 def labelled(docs: DataFrame, tables: Tables, id_col: str, text_col: str, recall: float, node_limit: int, class_limit: int, max_depth: int) -> DataFrame:
@@ -338,7 +335,7 @@ def labelled(docs: DataFrame, tables: Tables, id_col: str, text_col: str, recall
     return judged.union(known.where("n = 0").select("k", "h", "n", F.struct("k", "h").alias("first")))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = 0.999999, node_limit: int = 1024, class_limit: int = 4096, max_depth: int = 6) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = 0.999999, node_limit: int = 4096, class_limit: int = 4096, max_depth: int = 6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document; ``recall`` is what the trees are planned for, at the threshold."""
     tables = Tables(docs.sparkSession, "neardup")
     judged = labelled(docs, tables, id_col, text_col, recall, node_limit, class_limit, max_depth)
@@ -383,7 +380,7 @@ def _large_classes(large: DataFrame, tables: Tables, limit: int) -> DataFrame:
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are the first of their class, with their columns; rows with a null id stay."""
-    judged = labelled(docs, Tables(docs.sparkSession, "neardup"), id_col, text_col, 0.999999, 1024, 4096, 6)
+    judged = labelled(docs, Tables(docs.sparkSession, "neardup"), id_col, text_col, 0.999999, 4096, 4096, 6)
     gone = judged.where(F.struct("k", "h") != F.col("first")).select("k", "h").distinct()
     same = (docs[id_col].cast("long") == gone["k"]) & (F.xxhash64(docs[text_col]) == gone["h"])
     return docs.join(gone, same, "left_anti")

@@ -150,7 +150,7 @@ def _columns(t: pa.Table) -> tuple[list[str | None], np.ndarray]:
 
 
 def _by_group(rows: DataFrame, replies: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: StructType | str) -> DataFrame:
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:  # Spark looks at the signature of what it is given
         return fn(left, right)
 
     return rows.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(run, schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm import textgrams as tg
-from foliospark.llm.common import text_parts
+from foliospark.llm.common import text_parts, tidy
 
 #: Labelled rows of each label that the fit sees at most, and characters of each: 100 million characters on the driver at most.
 SAMPLE, TRAINED = 2500, 20_000
@@ -389,7 +389,7 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 7) -> Net:
             yield b.assign(text=[_trained_part(t) for t in b["text"]])
 
     found = usable.join(chosen, "doc_id")
-    rows = found.select("toxic", "order", F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(shortened, "toxic int, order long, doc_id string, text string")
+    rows = found.select("toxic", "order", F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(tidy(shortened), "toxic int, order long, doc_id string, text string")
     sample = rows.groupBy("toxic", "order", "doc_id").agg(F.min("text").alias("text")).toPandas().sort_values(["toxic", "order", "doc_id"])
     return fit(sample["text"].tolist(), sample["toxic"].to_numpy(), seed=seed)
 
@@ -403,7 +403,7 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
         for b in text_parts(batches):
             yield pd.DataFrame({"doc_id": b["k"].values, "score": shared.value.scores(b["t"].tolist())})
 
-    return docs.select(F.col("doc_id").alias("k"), F.col("text").alias("t")).mapInPandas(run, f"doc_id {kind}, score double")
+    return docs.select(F.col("doc_id").alias("k"), F.col("text").alias("t")).mapInPandas(tidy(run), f"doc_id {kind}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -421,4 +421,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
             scores = [shared.value.scores(b.column(place).slice(at, 500).to_pylist()) for at in range(0, b.num_rows, 500)]
             yield b.filter(pa.array(np.concatenate([np.zeros(0), *scores]) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
