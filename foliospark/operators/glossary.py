@@ -15,13 +15,27 @@ def term_pattern(term: Column) -> Column:
     return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])\Q"), term, F.lit(r"\E(?![\p{L}\p{N}])"))
 
 
+def _words(text: Column) -> Column:
+    """Distinct runs of letters and digits whatever their case; a term can only stand where its first one does."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.upper(text)), F.lit(r"[\p{L}\p{N}]+"), 0))
+
+
+def with_terms(rows: DataFrame, text: str, terms: DataFrame) -> DataFrame:
+    """rows joined to the terms (column term) that stand in their text as whole words: an equi-join on the term's first word,
+    then the pattern; terms without letters or digits are looked for by pattern alone."""
+    ready = terms.withColumn("g_pattern", term_pattern(F.col("term"))).withColumn("g_first", F.try_element_at(_words(F.col("term")), F.lit(1)))
+    plain = ready.where("g_first IS NULL")
+    found = rows.withColumn("g_word", F.explode(_words(F.col(text)))).join(ready, F.col("g_word") == F.col("g_first")).drop("g_word")
+    signs = rows.join(plain, F.expr(f"rlike(`{text}`, g_pattern)"))
+    return found.where(F.expr(f"rlike(`{text}`, g_pattern)")).unionByName(signs).drop("g_pattern", "g_first")
+
+
 def missing_terms(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
     """Pairs (source, translation) with a term in the source whose translation isn't in the target. The glossary is a
     person's list; it is broadcast only if Spark finds it small enough."""
     terms = glossary.where("trim(source) <> '' AND trim(target) <> ''").select(F.col("id").alias("term_id"), F.trim("source").alias("term"), F.trim("target").alias("wanted"))
-    hit = F.expr("rlike(source, pattern)") & ~F.expr("rlike(translation, wanted_pattern)")
-    ready = terms.withColumn("pattern", term_pattern(F.col("term"))).withColumn("wanted_pattern", term_pattern(F.col("wanted")))
-    return pairs.join(ready, hit)
+    found = with_terms(pairs, "source", terms).withColumn("wanted_pattern", term_pattern(F.col("wanted")))
+    return found.where(~F.expr("rlike(translation, wanted_pattern)"))
 
 
 def add_terms(glossary: DataFrame, new: DataFrame) -> DataFrame:
@@ -71,15 +85,24 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(\p{L}{4,})"), 1), lambda x: F.lower(x)))
 
 
-def memory_examples(queries: DataFrame, pairs: DataFrame, most: int = 3) -> DataFrame:
-    """For each query (query_id, text) the pairs (pair_id, source; smaller ids are newer) that share most tokens with
-    it; equal texts don't count. Only pairs that share a token meet, and a query or pair has a token once."""
+#: Confirmed pairs that a memory holds: the newest; fixed value.
+MEMORY = 200
+
+
+def overlaps(queries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """For each query (query_id, text) and pair of the memory (pair_id, source; smaller ids are newer) that share tokens, how
+    many and the longest. The memory is the MEMORY newest pairs, so each query meets a bounded number; equal texts don't count."""
+    newest = pairs.orderBy("pair_id").limit(MEMORY)
     squeeze = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
     q = queries.select("query_id", squeeze("text").alias("q"), F.explode(tokens(F.col("text"))).alias("token"))
-    p = pairs.select("pair_id", squeeze("source").alias("p"), F.explode(tokens(F.col("source"))).alias("token"))
-    shared = q.join(p, "token").where("q <> p").groupBy("query_id", "pair_id").agg(F.count("*").alias("overlap"), F.max_by("token", F.struct(F.length("token"), "token")).alias("anchor"))
+    p = newest.select("pair_id", squeeze("source").alias("p"), F.explode(tokens(F.col("source"))).alias("token"))
+    return q.join(p, "token").where("q <> p").groupBy("query_id", "pair_id").agg(F.count("*").alias("overlap"), F.max_by("token", F.struct(F.length("token"), "token")).alias("anchor"))
+
+
+def memory_examples(queries: DataFrame, pairs: DataFrame, most: int = 3) -> DataFrame:
+    """For each query the pairs of the memory that share most tokens with it."""
     order = Window.partitionBy("query_id").orderBy(F.desc("overlap"), "pair_id")
-    return shared.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return overlaps(queries, pairs).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
 def excerpt(text: Column, needle: Column, limit: int = 180) -> Column:

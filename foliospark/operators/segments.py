@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from foliospark.operators.views import strip
 
-_MARK = "\u0001"
+#: Marks a cut while a text is split; a text's own mark characters are escaped meanwhile, so that none is lost.
+_MARK, _OWN, _CUT = "\u0001", "\u0001o", "\u0001c"
 
 
 def plain_blocks(docs: DataFrame) -> DataFrame:
     """document_id, ord, kind, prefix, text, suffix: paragraphs and the blank-line gaps between them, without loss."""
-    marked = F.regexp_replace("text", r"(\r?\n[\t ]*\r?\n+)", f"{_MARK}$1{_MARK}")
-    pieces = F.filter(F.split(marked, _MARK), lambda x: x != "")
+    marked = F.regexp_replace(F.replace("text", F.lit(_MARK), F.lit(_OWN)), r"(\r?\n[\t ]*\r?\n+)", f"{_CUT}$1{_CUT}")
+    pieces = F.transform(F.filter(F.split(marked, _CUT), lambda x: x != ""), lambda x: F.replace(x, F.lit(_OWN), F.lit(_MARK)))
     rows = docs.select("document_id", F.posexplode(pieces).alias("ord", "item"))
     body = strip("item")
     lead = F.when(body == "", "").otherwise(F.regexp_extract("item", r"(?U)^(\s*)", 1))
@@ -27,23 +28,48 @@ def plain_blocks(docs: DataFrame) -> DataFrame:
     )
 
 
+#: What opens code at a line's start, and the whole of a line that closes it.
+FENCE, BARE_FENCE = r"^(```+|~~~+)", r"^(```+|~~~+)\s*$"
+
+
+def fenced(lines: DataFrame, text: str) -> DataFrame:
+    """lines (document_id, ord) with ``inside`` (fences and what stands between them) and ``opener``.
+
+    A fence with text opens code where none is open and is code itself where one is, so only the fences' kinds matter:
+    they are numbered by document, and each stretch between two bare fences has its first fence as opener, if that has text.
+    A bare fence closes what is open and else opens: its parity counts from the last opener with text.
+    """
+    own = Window.partitionBy("document_id").orderBy("ord")
+    upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bare, any_fence = F.col(text).rlike(BARE_FENCE), F.col(text).rlike(FENCE)
+    fences = lines.where(any_fence).select("document_id", "ord", bare.alias("bare"))
+    # two states, open or not; a bare fence swaps them and one with text leads to open: so the last one with text and the bare ones since decide
+    last = F.last(F.when(~F.col("bare"), F.col("n")), ignorenulls=True).over(upto)
+    counted = fences.withColumn("n", F.sum(F.col("bare").cast("int")).over(upto))
+    after = counted.withColumn("since", F.col("n") - F.coalesce(last, F.lit(0))).withColumn("open", F.when(last.isNull(), F.col("since") % 2 == 1).otherwise(F.col("since") % 2 == 0))
+    before = after.withColumn("was", F.coalesce(F.lag("open").over(own), F.lit(False))).select("document_id", "ord", "open", "was")
+    rows = lines.join(before, ["document_id", "ord"], "left")
+    state = F.coalesce(F.last("open", ignorenulls=True).over(upto), F.lit(False))
+    return rows.withColumn("inside", state | F.coalesce("was", F.lit(False)) | F.coalesce("open", F.lit(False))).withColumn("opener", F.coalesce(F.col("open") & ~F.col("was"), F.lit(False))).drop("open", "was")
+
+
 #: Fixed value: what opens a line of its own: heading, quote or list marker.
 MARKER = r"^(#{1,6}\s+|>\s+|(?:[-+*]|\d+[.)])\s+)"
 
 
 def markdown_blocks(lines: DataFrame) -> DataFrame:
     """Blocks of marked-up text from its lines (document_id, ord, line): fenced code, gaps, headings, list and
-    quote items, and prose whose adjacent lines join. Fences are bare lines; an open one runs to the end."""
+    quote items, and prose whose adjacent lines join. A line that begins with a fence opens code, whatever follows on it, and
+    the next bare fence closes it; an open one runs to the end."""
     own = Window.partitionBy("document_id").orderBy("ord")
     seen = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     text = F.regexp_replace("line", r"^\s+", "")
-    fence = text.rlike(r"^(```+|~~~+)\s*$")
-    rows = lines.withColumn("fence", fence.cast("int")).withColumn("fences", F.sum("fence").over(seen))
-    code = (F.col("fence") == 1) | (F.col("fences") % 2 == 1)
+    rows = fenced(lines.withColumn("l_text", text), "l_text").drop("l_text")
+    code = F.col("inside")
     kind = F.when(code, "code").when(F.trim(text) == "", "gap").when(text.rlike(r"^#{1,6}\s+"), "heading").when(text.rlike(MARKER), "item").otherwise("prose")
     rows = rows.withColumn("kind", kind)
     before = F.lag("kind").over(own)
-    opens = F.when(F.col("kind") == "prose", F.coalesce(before != "prose", F.lit(True))).when(F.col("kind") == "code", (F.col("fence") == 1) & (F.col("fences") % 2 == 1)).otherwise(F.lit(True))
+    opens = F.when(F.col("kind") == "prose", F.coalesce(before != "prose", F.lit(True))).when(F.col("kind") == "code", F.col("opener")).otherwise(F.lit(True))
     rows = rows.withColumn("block", F.sum(opens.cast("int")).over(seen) - 1).withColumn("section_no", F.sum((F.col("kind") == "heading").cast("int")).over(seen))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n")
     out = rows.groupBy("document_id", "block").agg(F.min("kind").alias("line_kind"), F.min("ord").alias("first_ord"), F.count("*").alias("n_lines"), F.min("section_no").alias("section_no"), whole.alias("raw"))
@@ -61,13 +87,24 @@ def markdown_blocks(lines: DataFrame) -> DataFrame:
     )
 
 
+def _let(value: Column, then) -> Column:
+    """``then`` of the value, which is computed once however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+#: Where a window may be cut: after a CJK stop, after a sentence, after white space.
+CUTS = (r"(?s)^(.*[。！？])", r"(?sU)^(.*[.!?…][\"'»”)]*\s+)", r"(?sU)^(.*\s)")
+
+
 def cut_length(window: Column, most: int) -> Column:
-    """Characters of a full window up to the best cut past its half: after a CJK stop, after a sentence, after white space, else all."""
-    half = most // 2
-    cjk = F.length(F.regexp_extract(window, r"(?s)^(.*[。！？])", 1))
-    sentence = F.length(F.regexp_extract(window, r"(?sU)^(.*[.!?…][\"'»”)]*\s+)", 1))
-    space = F.length(F.regexp_extract(window, r"(?sU)^(.*\s)", 1))
-    return F.when(cjk > half, cjk).when(sentence > half, sentence).when(space > half, space).otherwise(F.lit(most))
+    """Characters of a full window up to the first kind of cut that lies past its half, else all."""
+
+    def best(kinds: tuple[str, ...]) -> Column:
+        if not kinds:
+            return F.lit(most)
+        return _let(F.length(F.regexp_extract(window, kinds[0], 1)), lambda n: F.when(n > most // 2, n).otherwise(best(kinds[1:])))
+
+    return best(CUTS)
 
 
 def split_text(text: Column, most: int = 1100) -> Column:
@@ -78,13 +115,15 @@ def split_text(text: Column, most: int = 1100) -> Column:
     steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length(text) / F.lit(most // 2 + 1)).cast("int") + 1))
 
     def step(x: Column, _: Column) -> Column:
-        rest = F.length(text) - x["at"]
-        window = F.substring(text, x["at"] + 1, F.lit(most))
-        size = F.when(rest <= most, rest).otherwise(cut_length(window, most))
-        piece = F.substring(text, x["at"] + 1, size)
-        return F.when(rest <= 0, x).otherwise(F.struct((x["at"] + size).cast("int").alias("at"), F.concat(x["parts"], F.array(piece)).alias("parts")))
+        size = F.when(x["left"] <= most, x["left"]).otherwise(_let(F.substring(x["rest"], 1, most), lambda w: cut_length(w, most)))
+
+        def cut(n: Column) -> Column:
+            rest = F.substring(x["rest"], n + 1, x["left"])
+            return F.struct(rest.alias("rest"), (x["left"] - n).cast("int").alias("left"), F.concat(x["parts"], F.array(F.substring(x["rest"], F.lit(1), n))).alias("parts"))
+
+        return F.when(x["left"] <= 0, x).otherwise(_let(size, cut))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    start = F.struct(text.alias("rest"), F.length(text).alias("left"), F.array().cast("array<string>").alias("parts"))
     return F.aggregate(steps, start, step, lambda x: x["parts"])
 
 

@@ -39,13 +39,29 @@ def attachment(blocks: DataFrame, limit: int) -> DataFrame:
     return whole.select("document_id", F.substring("whole", 1, limit).alias("text"), (F.length("whole") > limit).alias("truncated"))
 
 
+def resolved_path(name: Column) -> Column:
+    """A path with / for \\, and without empty and . parts and parts that a .. takes back."""
+    clean = F.replace(name, F.lit("\\"), F.lit("/"))
+    absolute = F.startswith(clean, F.lit("/"))
+    parts = F.filter(F.split(clean, "/"), lambda x: ~x.isin("", "."))
+
+    def step(done: Column, part: Column) -> Column:
+        back = (part == "..") & (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)) != "..")
+        return F.when(back, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when((part == "..") & absolute, done).otherwise(F.array_append(done, part))
+
+    joined = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.when(absolute, F.concat(F.lit("/"), joined)).when(joined == "", ".").otherwise(joined)
+
+
 def archive_guard(members: DataFrame, most: int, largest: int) -> DataFrame:
-    """Totals of each archive and whether it must be rejected."""
-    bad = F.col("name").contains("..") | F.col("name").startswith("/") | F.col("name").contains("\0")
+    """Totals of each archive and whether it must be rejected: too many or too large members, paths that leave it, or the
+    same path twice. Paths are compared as they are once resolved; dots inside a name are fine."""
+    path = resolved_path(F.col("name"))
+    bad = path.startswith("../") | path.startswith("/") | (path == "..") | F.col("name").contains("\0")
     return members.groupBy("archive").agg(
         F.count("*").alias("members"),
         F.sum("size").alias("total"),
-        ((F.count("*") > most) | (F.sum("size") > largest) | (F.count("*") > F.count_distinct(F.lower("name"))) | F.bool_or(bad)).alias("rejected"),
+        ((F.count("*") > most) | (F.sum("size") > largest) | (F.count("*") > F.count_distinct(path)) | F.bool_or(bad)).alias("rejected"),
     )
 
 

@@ -40,9 +40,9 @@ def str_04(s, d):
     return T.task_events(s, d).withColumn("n", F.row_number().over(newest)).where("n <= 5").select("task_id", "id")
 
 
-@query("str_06_resume", with_tables("segments") + "SELECT task_id, block_ord, segment_ord FROM segments WHERE status <> 'complete' AND task_id % 2 = 0")
+@query("str_06_resume", with_tables("segments") + "SELECT task_id, block_ord, segment_ord FROM segments WHERE status <> 'complete'")
 def str_06(s, d):
-    rows = T.segments(s, d).where("task_id % 2 = 0")
+    rows = T.segments(s, d)
     done = rows.where("status = 'complete'").select("task_id", "block_ord", "segment_ord")
     return rows.join(done, ["task_id", "block_ord", "segment_ord"], "left_anti").select("task_id", "block_ord", "segment_ord")
 

@@ -69,9 +69,9 @@ def ag_19(s, d):
     return part.groupBy((F.col("p_size") % 10).alias("box")).agg(F.median(F.col("p_partkey") % 256).alias("red"), F.avg(F.col("p_partkey") % 200).alias("luma"), F.round(F.var_pop(F.col("p_partkey") % 200), 6).alias("spread"))
 
 
-@query("jn_20_header_partner", with_tables("glyphs", more=f"c AS (SELECT *, {_COL} AS col FROM glyphs WHERE idx % 3 = 0)") + "SELECT page, idx, partner FROM (SELECT l.page, l.idx, r.idx AS partner, row_number() OVER (PARTITION BY l.page, l.idx ORDER BY abs(l.baseline - r.baseline), r.idx) AS n FROM c l JOIN c r ON l.page = r.page AND l.col = 0 AND r.col = 1 AND abs(l.baseline - r.baseline) <= 2) WHERE n = 1")
+@query("jn_20_header_partner", with_tables("glyphs", more=f"c AS (SELECT *, {_COL} AS col FROM glyphs)") + "SELECT page, idx, partner FROM (SELECT l.page, l.idx, r.idx AS partner, row_number() OVER (PARTITION BY l.page, l.idx ORDER BY abs(l.baseline - r.baseline), r.idx) AS n FROM c l JOIN c r ON l.page = r.page AND l.col = 0 AND r.col = 1 AND abs(l.baseline - r.baseline) <= 2) WHERE n = 1")
 def jn_20(s, d):
-    return L.header_partner(T.glyph_lines(s, d).where("idx % 3 = 0"))
+    return L.header_partner(T.glyph_lines(s, d))
 
 
 @query("win_15_spread_headers")
@@ -310,8 +310,8 @@ def snk_16(s, d):
     return docs.join(copy, "document_id").select("document_id", "digest", (F.col("digest") == F.col("again")).alias("same"))
 
 
-@query("src_12_parsed_json", with_tables("blocks") + "SELECT document_id, ord, kind, text FROM blocks WHERE document_id < 100")
+@query("src_12_parsed_json", with_tables("blocks") + "SELECT document_id, ord, kind, text FROM blocks")
 def src_12(s, d):
     """Blocks as a JSON tree for each document and back."""
-    tree = K.block_trees(T.blocks(s, d).where("document_id < 100"))
+    tree = K.block_trees(T.blocks(s, d))
     return K.blocks_from_trees(tree)

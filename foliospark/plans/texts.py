@@ -26,16 +26,19 @@ def src_03(s, d):
     return P.plain_blocks(docs).select("document_id", "ord", "kind", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("prefix").alias("n_prefix"), F.length("suffix").alias("n_suffix"))
 
 
-_MD = "CASE ord % 11 WHEN 0 THEN concat('## ', text) WHEN 3 THEN concat('- ', text) WHEN 5 THEN '' WHEN 7 THEN '```' WHEN 9 THEN '```' WHEN 10 THEN concat('  > ', text) ELSE text END"
+_MD = "CASE ord % 11 WHEN 0 THEN concat('## ', text) WHEN 3 THEN concat('- ', text) WHEN 5 THEN '' WHEN 7 THEN CASE document_id % 3 WHEN 0 THEN '```' WHEN 1 THEN '```python' ELSE concat('~~~ ', text) END WHEN 9 THEN '```' WHEN 10 THEN concat('  > ', text) ELSE text END"
 _MD_SQL = (
     with_tables(
         "blocks",
-        more=f"l AS (SELECT document_id, ord, {_MD} AS line FROM blocks), f AS (SELECT *, regexp_replace(line, '^\\s+', '') AS t FROM l), g AS (SELECT *, CASE WHEN regexp_matches(t, '^(```+|~~~+)\\s*$') THEN 1 ELSE 0 END AS fence FROM f), h AS (SELECT *, sum(fence) OVER (PARTITION BY document_id ORDER BY ord) AS fences FROM g), "
-        "k AS (SELECT *, CASE WHEN fence = 1 OR fences % 2 = 1 THEN 'code' WHEN trim(t) = '' THEN 'gap' WHEN regexp_matches(t, '^#{1,6}\\s+') THEN 'heading' WHEN regexp_matches(t, '^(>\\s+|([-+*]|\\d+[.)])\\s+)') THEN 'item' ELSE 'prose' END AS kind FROM h), "
-        "o AS (SELECT *, CASE WHEN kind = 'prose' THEN coalesce(lag(kind) OVER w <> 'prose', true) WHEN kind = 'code' THEN fence = 1 AND fences % 2 = 1 ELSE true END AS opens FROM k WINDOW w AS (PARTITION BY document_id ORDER BY ord)), "
+        more=f"l AS (SELECT document_id, ord, {_MD} AS line FROM blocks), f AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ord) AS rn, regexp_replace(line, '^\\s+', '') AS t FROM l), "
+        "h(document_id, ord, line, t, rn, code, opener, open) AS (SELECT document_id, ord, line, t, rn, regexp_matches(t, '^(```+|~~~+)'), regexp_matches(t, '^(```+|~~~+)'), regexp_matches(t, '^(```+|~~~+)') FROM f WHERE rn = 1 UNION ALL "
+        "SELECT f.document_id, f.ord, f.line, f.t, f.rn, h.open OR regexp_matches(f.t, '^(```+|~~~+)'), NOT h.open AND regexp_matches(f.t, '^(```+|~~~+)'), CASE WHEN h.open THEN NOT regexp_matches(f.t, '^(```+|~~~+)\\s*$') ELSE regexp_matches(f.t, '^(```+|~~~+)') END FROM h JOIN f ON f.document_id = h.document_id AND f.rn = h.rn + 1), "
+        "k AS (SELECT *, CASE WHEN code THEN 'code' WHEN trim(t) = '' THEN 'gap' WHEN regexp_matches(t, '^#{1,6}\\s+') THEN 'heading' WHEN regexp_matches(t, '^(>\\s+|([-+*]|\\d+[.)])\\s+)') THEN 'item' ELSE 'prose' END AS kind FROM h), "
+        "o AS (SELECT *, CASE WHEN kind = 'prose' THEN coalesce(lag(kind) OVER w <> 'prose', true) WHEN kind = 'code' THEN opener ELSE true END AS opens FROM k WINDOW w AS (PARTITION BY document_id ORDER BY ord)), "
         "b AS (SELECT *, sum(opens::INT) OVER w - 1 AS block, sum((kind = 'heading')::INT) OVER w AS section_no FROM o WINDOW w AS (PARTITION BY document_id ORDER BY ord)), "
         "r AS (SELECT document_id, block, min(kind) AS line_kind, min(ord) AS first_ord, count(*) AS n_lines, min(section_no) AS section_no, string_agg(line, chr(10) ORDER BY ord) AS raw FROM b GROUP BY ALL), "
         "x AS (SELECT *, CASE WHEN line_kind IN ('heading', 'item') THEN regexp_extract(raw, '^(\\s*(#{1,6}\\s+|>\\s+|([-+*]|\\d+[.)])\\s+))', 1) WHEN line_kind = 'prose' THEN regexp_extract(raw, '^(\\s*)', 1) ELSE '' END AS prefix FROM r)",
+        recursive=True,
     )
     + "SELECT document_id, block::BIGINT AS block, CASE WHEN line_kind IN ('item', 'prose') THEN 'paragraph' ELSE line_kind END AS kind, first_ord, n_lines, CASE WHEN section_no = 0 THEN 'main' ELSE 'section-' || section_no::STRING END AS section, md5(substr(raw, length(prefix) + 1)) AS text_md5 FROM x"
 )
@@ -221,8 +224,8 @@ def jn_17(s, d):
 
 @query("sc_22_term_matches", with_tables("blocks", "terms") + f"SELECT g.id AS term_id, count(*) AS blocks FROM blocks b JOIN terms g ON regexp_matches(b.text, '{_WORD.format(t='g.source')}') GROUP BY g.id")
 def sc_22(s, d):
-    terms = T.glossary(s).select(F.col("id").alias("term_id"), G.term_pattern(F.col("source")).alias("pattern"))
-    return T.blocks(s, d).join(terms, F.expr("rlike(text, pattern)")).groupBy("term_id").agg(F.count("*").alias("blocks"))
+    terms = T.glossary(s).select(F.col("id").alias("term_id"), F.col("source").alias("term"))
+    return G.with_terms(T.blocks(s, d).select("text"), "text", terms).groupBy("term_id").agg(F.count("*").alias("blocks"))
 
 
 @query("sc_23_highlight")
@@ -260,7 +263,7 @@ def dml_01(s, d):
 _TOKENS = "list_distinct(list_transform(regexp_extract_all({x}, '(\\pL{{4,}})', 1), lambda v: lower(v)))"
 _MEMORY = with_tables(
     "segments",
-    more="b AS (SELECT item_id AS query_id, lower(" + _SQUEEZE.format(x="text") + ") AS q, unnest(" + _TOKENS.format(x="text") + ") AS token FROM benchmark), p AS (SELECT doc_id AS pair_id, lower(" + _SQUEEZE.format(x="substr(text, 1, 600)") + ") AS p, unnest(" + _TOKENS.format(x="substr(text, 1, 600)") + ") AS token FROM documents), "
+    more="b AS (SELECT item_id AS query_id, lower(" + _SQUEEZE.format(x="text") + ") AS q, unnest(" + _TOKENS.format(x="text") + ") AS token FROM benchmark), p AS (SELECT doc_id AS pair_id, lower(" + _SQUEEZE.format(x="text") + ") AS p, unnest(" + _TOKENS.format(x="text") + ") AS token FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 200)), "
     "o AS (SELECT query_id, pair_id, count(*) AS overlap, arg_max(token, (length(token), token)) AS anchor FROM b JOIN p USING (token) WHERE q <> p GROUP BY ALL)",
 )
 
@@ -268,15 +271,15 @@ _MEMORY = with_tables(
 @query("jn_18_memory_examples", _MEMORY + "SELECT query_id, pair_id, overlap, anchor, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, pair_id) AS place FROM o) WHERE place <= 3")
 def jn_18(s, d):
     queries = T.read(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    pairs = T.documents(s, d).select(F.col("document_id").alias("pair_id"), F.substring("text", 1, 600).alias("source"))  # a pair's source is a segment of at most 600 characters
+    pairs = T.documents(s, d).select(F.col("document_id").alias("pair_id"), F.col("text").alias("source"))
     return G.memory_examples(queries, pairs)
 
 
 @query("ord_12_memory_order", _MEMORY + "SELECT query_id, max(overlap) AS best, count(*) AS candidates FROM o GROUP BY query_id")
 def ord_12(s, d):
     queries = T.read(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    pairs = T.documents(s, d).select(F.col("document_id").alias("pair_id"), F.substring("text", 1, 600).alias("source"))
-    return G.memory_examples(queries, pairs, most=10**9).groupBy("query_id").agg(F.max("overlap").alias("best"), F.count("*").alias("candidates"))
+    pairs = T.documents(s, d).select(F.col("document_id").alias("pair_id"), F.col("text").alias("source"))
+    return G.overlaps(queries, pairs).groupBy("query_id").agg(F.max("overlap").alias("best"), F.count("*").alias("candidates"))
 
 
 # Model output
@@ -284,25 +287,19 @@ def ord_12(s, d):
 _OUT = """CASE (document_id + ord) % 12 WHEN 0 THEN text WHEN 1 THEN concat('«', substr(text, 1, 50), '»') WHEN 2 THEN concat(substr(text, 1, 120), chr(10), 'Перевод строки здесь') WHEN 3 THEN concat('[Translation]', chr(10), 'Готовый текст')
 WHEN 4 THEN '**Note**' WHEN 5 THEN '<think>abc</think> ответ один' WHEN 6 THEN '<think>open' WHEN 7 THEN 'Привет 漢字漢字 мир' WHEN 8 THEN '' WHEN 9 THEN concat('Слово слово слово ', substr(text, 1, 20)) WHEN 10 THEN '"Текст перевода"' ELSE concat(substr(text, 1, 8), ' перевод текста(абв) . и так') END"""
 _CODE = "CASE ord % 4 WHEN 0 THEN 'ru' WHEN 1 THEN 'de' WHEN 2 THEN 'ja' ELSE 'zh' END"
-_OUTS = with_tables("blocks", more=f"outs AS (SELECT document_id, ord, substr(text, 1, 120) AS source, {_OUT} AS output, {_CODE} AS code FROM blocks WHERE ord < 8)")
+_OUTS = with_tables("blocks", more=f"outs AS (SELECT document_id, ord, text AS source, {_OUT} AS output, {_CODE} AS code FROM blocks)")
 
 
 def _outs(s: SparkSession, d: str) -> DataFrame:
-    """The model outputs that the SQL twins have."""
-    return T.blocks(s, d).where("ord < 8").select("document_id", "ord", F.substring("text", 1, 120).alias("source"), F.expr(_OUT).alias("output"), F.expr(_CODE).alias("code"))
-
-
-def _all_outs(s: SparkSession, d: str) -> DataFrame:
-    """The model outputs of all blocks with their whole sources."""
+    """Model outputs of all blocks with their whole sources."""
     return T.blocks(s, d).select("document_id", "ord", F.col("text").alias("source"), F.expr(_OUT).alias("output"), F.expr(_CODE).alias("code"))
 
 
 def _column(name: str, alias: str, make, sql: str | None, more: str = "") -> None:
-    """A query of one derived column over the model outputs: all of them where no SQL says which."""
-    outs = _all_outs if sql is None else _outs
+    """A query of one derived column over the model outputs."""
 
     def run(s: SparkSession, d: str) -> DataFrame:
-        return outs(s, d).select("document_id", "ord", make(F.col("output"), F.col("source"), F.col("code")).alias(alias))
+        return _outs(s, d).select("document_id", "ord", make(F.col("output"), F.col("source"), F.col("code")).alias(alias))
 
     query(name, None if sql is None else _OUTS + more + f"SELECT document_id, ord, {sql} AS {alias} FROM outs")(run)
 
@@ -373,12 +370,12 @@ _column("sc_51_allowed_scripts", "scripts", lambda o, s, c: F.array_join(F.array
 
 @query("sc_54_without_foreign")
 def sc_54(s, d):
-    return S.with_foreign_removed(_all_outs(s, d), "output", "source", "code", "clean").select("document_id", "ord", "clean")
+    return S.with_foreign_removed(_outs(s, d), "output", "source", "code", "clean").select("document_id", "ord", "clean")
 
 
 @query("sc_43_finished")
 def sc_43(s, d):
-    return C.with_finished(_all_outs(s, d), "output", "source", "code", "clean").select("document_id", "ord", "clean")
+    return C.with_finished(_outs(s, d), "output", "source", "code", "clean").select("document_id", "ord", "clean")
 
 
 @query("ag_12_script_histogram", with_tables("docs") + "SELECT document_id, " + ", ".join(f"{_n(k, 'text')}::INTEGER AS {k}" for k in S.SCRIPTS) + " FROM docs")

@@ -14,25 +14,25 @@ from foliospark.sources import tables as T
 from foliospark.sources.tables import with_tables
 
 
-def _calls(s: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Segments, packs and answers: of every third task, as the SQL twins have it, or of all."""
-    rows = T.segments(s, d) if whole else T.segments(s, d).where("task_id % 3 = 0")
+def _calls(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Segments, packs and answers."""
+    rows = T.segments(s, d)
     packed = P.packs(V.whole_blocks(rows), 500)
     return rows, packed, R.call(R.requests(packed, rows))
 
 
-@query("udf_01_translate", with_tables("segments") + "SELECT task_id, block_ord, segment_ord, array_to_string(list_reverse(string_split(source, ' ')), ' ') AS translation FROM segments WHERE task_id % 3 = 0")
+@query("udf_01_translate", with_tables("segments") + "SELECT task_id, block_ord, segment_ord, array_to_string(list_reverse(string_split(source, ' ')), ' ') AS translation FROM segments")
 def udf_01(s, d):
     _, packed, answers = _calls(s, d)
     return P.zip_outputs(packed, answers.select("task_id", "pack", "output")).select("task_id", "block_ord", "segment_ord", "translation")
 
 
-@query("udf_03_attempts", with_tables("segments") + "SELECT 1 AS attempts, count(DISTINCT task_id) AS tasks FROM segments WHERE task_id % 3 = 0")
+@query("udf_03_attempts", with_tables("segments") + "SELECT 1 AS attempts, count(DISTINCT task_id) AS tasks FROM segments")
 def udf_03(s, d):
     return _calls(s, d)[2].groupBy("attempts").agg(F.count_distinct("task_id").alias("tasks"))
 
 
-@query("pipeline_b_reassembled", with_tables("segments") + "SELECT task_id, block_ord, string_agg(array_to_string(list_reverse(string_split(source, ' ')), ' '), '' ORDER BY segment_ord) AS text FROM segments WHERE task_id % 3 = 0 GROUP BY ALL")
+@query("pipeline_b_reassembled", with_tables("segments") + "SELECT task_id, block_ord, string_agg(array_to_string(list_reverse(string_split(source, ' ')), ' '), '' ORDER BY segment_ord) AS text FROM segments GROUP BY ALL")
 def pipeline_b(s, d):
     _, packed, answers = _calls(s, d)
     return V.assembled(P.zip_outputs(packed, answers.select("task_id", "pack", "output")), "translation")
@@ -40,7 +40,7 @@ def pipeline_b(s, d):
 
 @query("udf_04_narrative_due")
 def udf_04(s, d):
-    return R.narratives(_calls(s, d, whole=True)[2].select("task_id", "pack", "count"), every=5)
+    return R.narratives(_calls(s, d)[2].select("task_id", "pack", "count"), every=5)
 
 
 @query("src_02_decoded", "SELECT doc_id, 'utf-8' AS encoding, text FROM documents")

@@ -44,9 +44,9 @@ def src_18(s, d):
     return V.attachment(T.blocks(s, d), 8000)
 
 
-@query("src_10_archive_guard", "WITH m AS (SELECT l_orderkey AS archive, CASE WHEN l_partkey % 97 = 0 THEN '../up' ELSE concat('part/', CAST(l_partkey AS STRING)) END AS name, CAST(l_quantity AS BIGINT) * 1000 AS size FROM lineitem) SELECT archive, count(*) AS members, sum(size)::BIGINT AS total, count(*) > 20000 OR sum(size) > 100000 OR count(*) > count(DISTINCT lower(name)) OR bool_or(name LIKE '%..%' OR name LIKE '/%') AS rejected FROM m GROUP BY archive")
+@query("src_10_archive_guard", "WITH m AS (SELECT l_orderkey AS archive, CASE WHEN l_partkey % 97 = 0 THEN '../up' WHEN l_partkey % 89 = 0 THEN 'a/../../up' WHEN l_partkey % 83 = 0 THEN 'vol..1.txt' WHEN l_partkey % 79 = 0 THEN 'part/x/../1' ELSE concat(CASE WHEN l_linenumber % 2 = 0 THEN 'part/' ELSE 'Part/' END, CAST(l_partkey AS STRING)) END AS name, CAST(l_quantity AS BIGINT) * 1000 AS size FROM lineitem) SELECT archive, count(*) AS members, sum(size)::BIGINT AS total, count(*) > 20000 OR sum(size) > 100000 OR count(*) > count(DISTINCT CASE name WHEN 'part/x/../1' THEN 'part/1' WHEN 'a/../../up' THEN '../up' ELSE name END) OR bool_or(name IN ('../up', 'a/../../up')) AS rejected FROM m GROUP BY archive")
 def src_10(s, d):
-    members = T.read(s, d, "lineitem").select(F.col("l_orderkey").alias("archive"), F.when(F.col("l_partkey") % 97 == 0, "../up").otherwise(F.concat(F.lit("part/"), F.col("l_partkey").cast("string"))).alias("name"), (F.col("l_quantity").cast("long") * 1000).alias("size"))
+    members = T.read(s, d, "lineitem").select(F.col("l_orderkey").alias("archive"), F.expr("CASE WHEN l_partkey % 97 = 0 THEN '../up' WHEN l_partkey % 89 = 0 THEN 'a/../../up' WHEN l_partkey % 83 = 0 THEN 'vol..1.txt' WHEN l_partkey % 79 = 0 THEN 'part/x/../1' ELSE concat(CASE WHEN l_linenumber % 2 = 0 THEN 'part/' ELSE 'Part/' END, CAST(l_partkey AS STRING)) END").alias("name"), (F.col("l_quantity").cast("long") * 1000).alias("size"))
     return V.archive_guard(members, 20000, 100000)
 
 
@@ -230,9 +230,9 @@ def jn_11(s, d):
     return T.tasks(s, d).join(T.documents(s, d).where("project_id = 4"), "document_id", "left_semi").select("task_id")
 
 
-@query("jn_12_previous_runs", with_tables("tasks", "docs") + "SELECT task_id, document_name FROM tasks WHERE lower(document_name) IN (SELECT lower(upper(name)) FROM docs WHERE document_id < 10) ORDER BY created_at DESC, task_id LIMIT 6")
+@query("jn_12_previous_runs", with_tables("tasks", "docs") + "SELECT task_id, document_name FROM tasks WHERE lower(document_name) IN (SELECT lower(upper(name)) FROM docs) ORDER BY created_at DESC, task_id LIMIT 6")
 def jn_12(s, d):
-    wanted = T.documents(s, d).where("document_id < 10").select(F.lower(F.upper("name")).alias("low"))
+    wanted = T.documents(s, d).select(F.lower(F.upper("name")).alias("low"))
     return T.tasks(s, d).withColumn("low", F.lower("document_name")).join(wanted, "low", "left_semi").orderBy(F.desc("created_at"), "task_id").limit(6).select("task_id", "document_name")
 
 
