@@ -108,3 +108,37 @@ def safe_suffix(suffix: Column, allowed: list[str], default: str) -> Column:
     own = F.lower(F.trim(suffix))
     own = F.when((own != "") & ~own.startswith("."), F.concat(F.lit("."), own)).otherwise(own)
     return F.when(own.isin(*allowed), own).otherwise(default)
+
+
+#: Ligatures and what they stand for.
+LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}
+_CAPITAL, _LETTER = "A-ZА-ЯЁ", "A-Za-zА-Яа-яЁё"
+
+
+def closed_up(text: Column) -> Column:
+    """Four and more capitals with one space between them as a word; one that stands after two spaces isn't one of them."""
+    spaced = rf"(?<![{_LETTER}])[{_CAPITAL}](?:[ \t][{_CAPITAL}]){{3,}}(?![{_LETTER}])"
+    runs = F.regexp_extract_all(text, F.lit(f"({spaced})"), 1)
+    return F.aggregate(F.array_distinct(runs), text, lambda t, run: F.replace(t, run, F.regexp_replace(run, r"[ \t]", "")))
+
+
+def normalised(text: Column) -> Column:
+    """Ligatures, hard spaces, spaces around apostrophes, before punctuation and after opening quotes, spaced-out capitals, runs of space."""
+    t = text
+    for sign, letters in LIGATURES.items():
+        t = F.replace(t, F.lit(sign), F.lit(letters))
+    t = F.replace(t, F.lit("\u00a0"), F.lit(" "))
+    t = F.regexp_replace(t, r"(?iU)(?<=\w)\s+['’]\s*(?=(?:ll|ve|re|[dmst])\b)", "'")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?U)\s+([,.;:!?])", "$1"), r"(?U)([«“\"])\s+", "$1")
+    return F.trim(F.regexp_replace(closed_up(t), r"(?U)\s+", " "))
+
+
+def joined_lines(lines: Column) -> Column:
+    """A paragraph of its lines; a hyphen at a line's end goes if the next line begins in lower case."""
+    clean = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(closed_up(x), r"(?U)\s+", " "))), lambda x: x != "")
+
+    def step(done: Column, line: Column) -> Column:
+        broken = F.endswith(done, F.lit("-")) & line.rlike(r"^\p{Ll}")
+        return F.when(done == "", line).when(broken, F.concat(F.substring(done, F.lit(1), F.length(done) - 1), line)).otherwise(F.concat(done, F.lit(" "), line))
+
+    return normalised(F.aggregate(clean, F.lit(""), step))

@@ -113,3 +113,13 @@ def stitched(rows: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(-1).alias("anchor"), F.lit(0).alias("page"), F.lit(True).alias("ended"), F.array().cast("array<struct<ord:int,anchor:int>>").alias("out"))
     return docs.select("doc", F.explode(F.aggregate("all", start, step, lambda x: x["out"])).alias("x")).select("doc", "x.*")
+
+
+def spaced_glyphs(glyphs: DataFrame) -> DataFrame:
+    """page and text of glyphs (page, n, glyph, x0, x1, size): a gap of more than 1.8 points and 0.22 of the size is a space."""
+    own = Window.partitionBy("page").orderBy("n")
+    size = F.coalesce(F.nullif(F.lag("size").over(own), F.lit(0.0)), F.nullif(F.col("size"), F.lit(0.0)), F.lit(10.0))
+    gap = (F.col("x0") - F.lag("x1").over(own) > F.greatest(F.lit(1.8), size * 0.22)) & (F.trim("glyph") != "") & ~F.coalesce(F.endswith(F.lag("glyph").over(own), F.lit(" ")), F.lit(False))
+    rows = glyphs.select("page", "n", F.concat(F.when(gap, " ").otherwise(""), "glyph").alias("piece"))
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "piece"))), lambda x: x["piece"]), "")
+    return rows.groupBy("page").agg(F.trim(F.replace(line, F.lit("\n"), F.lit(" "))).alias("text"))

@@ -22,23 +22,24 @@ def requests(packed: DataFrame, segments: DataFrame) -> DataFrame:
     return rows.groupBy("task_id", "pack").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_ord", "segment_ord", "source"))), lambda x: x["source"]), "\n\n").alias("request"), F.count("*").cast("int").alias("count"))
 
 
-def call(rows: DataFrame, translator: Translator = stub) -> DataFrame:
-    """rows with ``output`` and ``attempts``: an empty or unchanged answer is asked for once more. Equal requests
-    are sent once: the model sees distinct texts, and its answers are joined back."""
+def call(rows: DataFrame, translator: Translator = stub, bare: str = "request") -> DataFrame:
+    """rows with ``output`` and ``attempts``: an empty answer or one that gives the request back is asked for once more, now with
+    the text in ``bare``, which has no background. Equal requests are sent once and their answers joined back."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out, tries = [], []
-            for text in b["request"]:
+            for text, plain in zip(b["request"], b["bare"], strict=True):
                 answer, n = translator(text), 1
                 if not answer.strip() or answer.strip() == text.strip():
-                    answer, n = translator(text), 2
+                    answer, n = translator(plain), 2
                 out.append(answer)
                 tries.append(n)
-            yield pd.DataFrame({"request": b["request"], "output": out, "attempts": tries})
+            yield pd.DataFrame({"request": b["request"], "bare": b["bare"], "output": out, "attempts": tries})
 
-    answers = rows.select("request").distinct().mapInPandas(run, "request string, output string, attempts int")
-    return rows.join(answers, "request")
+    asked = rows.withColumn("bare", F.col(bare))
+    answers = asked.select("request", "bare").distinct().mapInPandas(run, "request string, bare string, output string, attempts int")
+    return asked.join(answers, ["request", "bare"]).drop("bare")
 
 
 def narratives(rows: DataFrame, every: int = 20) -> DataFrame:

@@ -39,6 +39,24 @@ def attachment(blocks: DataFrame, limit: int) -> DataFrame:
     return whole.select("document_id", F.substring("whole", 1, limit).alias("text"), (F.length("whole") > limit).alias("truncated"))
 
 
+def preferences(file: Column, defaults: dict[str, str]) -> Column:
+    """A map: the defaults and what a JSON object says instead; the defaults alone if the file isn't one."""
+    base = F.create_map(*[F.lit(x) for pair in defaults.items() for x in pair])
+    given = F.when(F.trim(file).startswith("{"), F.from_json(file, "map<string,string>"))
+    kept = F.map_filter(base, lambda k, _: ~F.coalesce(F.map_contains_key(given, k), F.lit(False)))
+    return F.when(given.isNull(), base).otherwise(F.map_concat(kept, given))
+
+
+def market_cache(file: Column) -> Column:
+    """struct(fetched_at, offers, errors, stale) of a cache file; offers and errors that aren't whole are left out."""
+    kind = "fetched_at string, offers array<struct<id:string,repo:string,size:bigint>>, errors array<struct<repo:string,error:string>>, stale boolean"
+    raw = F.from_json(file, kind)
+    offers = F.filter(raw["offers"], lambda x: x["id"].isNotNull() & x["repo"].isNotNull() & (x["size"] > 0))
+    errors = F.filter(raw["errors"], lambda x: x["repo"].isNotNull() & x["error"].isNotNull())
+    empty = lambda c, name: F.coalesce(c, F.array().cast(name))
+    return F.struct(raw["fetched_at"].alias("fetched_at"), empty(offers, "array<struct<id:string,repo:string,size:bigint>>").alias("offers"), empty(errors, "array<struct<repo:string,error:string>>").alias("errors"), F.coalesce(raw["stale"], F.lit(False)).alias("stale"))
+
+
 def resolved_path(name: Column) -> Column:
     """A path with / for \\, and without empty and . parts and parts that a .. takes back."""
     clean = F.replace(name, F.lit("\\"), F.lit("/"))

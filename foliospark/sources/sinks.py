@@ -156,3 +156,28 @@ def versioned(exports: DataFrame) -> DataFrame:
 def write_texts(bodies: DataFrame, path: str, key: str = "document_id") -> None:
     """One folder of text for each key, through Spark's own commit protocol."""
     bodies.select(key, F.col("body").alias("value")).write.partitionBy(key).mode("overwrite").text(path)
+
+
+def converted(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    """rows (id, stem, format) with a free name each: stem and suffix, or if that is taken (stem, format) or given away
+    already, .converted and then .converted-2 and so on before the suffix."""
+    n = F.row_number().over(Window.partitionBy("stem", "format").orderBy("id"))
+    used = rows.withColumn("n", n).join(taken.select("stem", "format", F.lit(1).alias("own")), ["stem", "format"], "left")
+    place = F.col("n") - F.when(F.col("own").isNull(), 1).otherwise(0)
+    mark = F.when(place == 0, "").when(place == 1, ".converted").otherwise(F.concat(F.lit(".converted-"), place.cast("string")))
+    return used.select("id", F.concat("stem", mark, F.lit("."), "format").alias("name"))
+
+
+def replace_table(rows: DataFrame, path: str) -> None:
+    """Replace a small table as a whole: the new one is written beside it and then takes its place, so no reader sees half of it."""
+    spark = rows.sparkSession
+    files = spark._jvm.org.apache.hadoop.fs
+    place, staged, old = (files.Path(f"{path}{x}") for x in ("", ".new", ".old"))
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows.write.mode("overwrite").parquet(f"{path}.new")
+    system.delete(old, True)
+    if system.exists(place):
+        system.rename(place, old)
+    if not system.rename(staged, place):
+        raise OSError(f"{path} could not be replaced")
+    system.delete(old, True)
