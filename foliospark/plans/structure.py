@@ -255,41 +255,63 @@ def snk_12(s, d):
     return _pieces(s, d)
 
 
-@query("snk_01_text", _EXP + "SELECT document_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY ord)) AS body_md5 FROM p GROUP BY document_id")
+_BOOK = "concat('Book & ', CAST(document_id AS STRING))"
+
+
+def _titled(s: SparkSession, d: str) -> DataFrame:
+    return _pieces(s, d).withColumn("title", F.expr(_BOOK)).withColumn("format", F.lit("txt"))
+
+
+#: White space around blocks, which exports have to keep: some blocks are indented, most end their line.
+_AROUND = {"prefix": "CASE WHEN kind = 'heading' AND ord % 2 = 0 THEN '### ' WHEN ord % 7 = 3 THEN '  ' ELSE '' END", "suffix": "CASE WHEN ord % 3 = 1 THEN '' ELSE chr(10) END"}
+
+
+def _whole(s: SparkSession, d: str) -> DataFrame:
+    """All blocks with what is exported, their white space and their sections."""
+    rows = V.translated(V.sections(T.blocks(s, d)), T.translations(s, d), "ru")
+    return rows.withColumns({k: F.expr(v) for k, v in _AROUND.items()}).withColumn("section", F.col("section_no")).withColumn("section_title", F.coalesce("section_title", F.lit("Document")))
+
+
+_WHOLE = "w AS (SELECT t.document_id, t.ord, t.kind, t.final, " + ", ".join(f"{v.replace('kind', 't.kind').replace('ord ', 't.ord ')} AS {k}" for k, v in _AROUND.items()) + ", sum(CASE WHEN t.kind = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY t.document_id ORDER BY t.ord) AS section, coalesce(last_value(CASE WHEN t.kind = 'heading' THEN b.text END IGNORE NULLS) OVER (PARTITION BY t.document_id ORDER BY t.ord ROWS UNBOUNDED PRECEDING), 'Document') AS section_title FROM t JOIN blocks b ON b.document_id = t.document_id AND b.ord = t.ord)"
+_GAP = "CASE WHEN lag(piece) OVER o <> '' AND piece <> '' AND NOT regexp_matches(right(lag(piece) OVER o, 1), '\\s') AND NOT regexp_matches(left(piece, 1), '\\s') THEN chr(10) || chr(10) ELSE '' END"
+
+
+@query("snk_01_text", with_tables("blocks", "translations", more=_TR + ", " + _WHOLE + ", x AS (SELECT *, concat(prefix, final, suffix) AS piece FROM w), y AS (SELECT document_id, ord, " + _GAP + " || piece AS item FROM x WINDOW o AS (PARTITION BY document_id ORDER BY ord))") + "SELECT document_id, md5(string_agg(item, '' ORDER BY ord)) AS body_md5 FROM y GROUP BY document_id")
 def snk_01(s, d):
-    return K.as_text(_pieces(s, d)).select("document_id", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+    return K.as_text(_whole(s, d)).select("document_id", F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
-@query("snk_02_markdown", _EXP + "SELECT document_id, md5(string_agg(CASE WHEN kind = 'heading' THEN concat('# ', text, chr(10)) ELSE concat(text, chr(10), chr(10)) END, '' ORDER BY ord)) AS body_md5 FROM p GROUP BY document_id")
+@query("snk_02_markdown", with_tables("blocks", "translations", more=_TR + ", " + _WHOLE + ", x AS (SELECT *, CASE WHEN kind = 'heading' THEN concat(CASE WHEN starts_with(prefix, '#') THEN prefix ELSE '# ' END, " + "regexp_replace(final, '^\\s+|\\s+$', '', 'g')" + ", CASE WHEN suffix = '' THEN chr(10) ELSE suffix END) ELSE concat(prefix, final, suffix) END AS piece FROM w), y AS (SELECT document_id, ord, CASE WHEN kind = 'heading' THEN piece WHEN lag(section) OVER o IS DISTINCT FROM section THEN concat(CASE WHEN coalesce(lag(piece) OVER o, '') <> '' AND NOT ends_with(lag(piece) OVER o, chr(10) || chr(10)) THEN chr(10) || chr(10) ELSE '' END, '## ', section_title, chr(10), chr(10), piece) ELSE " + _GAP + " || piece END AS item FROM x WINDOW o AS (PARTITION BY document_id ORDER BY ord))") + "SELECT document_id, md5(string_agg(item, '' ORDER BY ord)) AS body_md5 FROM y GROUP BY document_id")
 def snk_02(s, d):
-    return K.as_markdown(_pieces(s, d)).select("document_id", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+    return K.as_markdown(_whole(s, d)).select("document_id", F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
-@query("snk_03_html", _EXP + "SELECT document_id, md5(concat('<article>', string_agg(concat(CASE WHEN kind = 'heading' THEN '<h2>' ELSE '<p>' END, " + _ESC.format(x="text") + ", CASE WHEN kind = 'heading' THEN '</h2>' ELSE '</p>' END), chr(10) ORDER BY ord), '</article>')) AS body_md5 FROM p GROUP BY document_id")
+@query("snk_03_html", _EXP + "SELECT document_id, md5(concat('<!DOCTYPE html>', chr(10), '<html lang=\"und\">', chr(10), '<head>', chr(10), '<meta charset=\"utf-8\">', chr(10), '<title>Book &amp; ', document_id, '</title>', chr(10), '</head>', chr(10), '<body>', chr(10), '<article><h1>Book &amp; ', document_id, '</h1>', chr(10), string_agg(concat(CASE WHEN kind = 'heading' THEN '<h2>' ELSE '<p>' END, replace(" + _ESC.format(x="text") + ", chr(10), '<br>' || chr(10)), CASE WHEN kind = 'heading' THEN '</h2>' ELSE '</p>' END), chr(10) ORDER BY ord), chr(10), '</article>', chr(10), '</body>', chr(10), '</html>', chr(10))) AS body_md5 FROM p GROUP BY document_id")
 def snk_03(s, d):
-    return K.as_html(_pieces(s, d)).select("document_id", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+    return K.as_html(_titled(s, d)).select("document_id", F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
-@query("snk_05_fictionbook", _EXP + ", q AS (SELECT *, sum((kind = 'heading')::INT) OVER (PARTITION BY document_id ORDER BY ord) AS section FROM p), r AS (SELECT document_id, section, concat('<section><title><p>', coalesce(max(" + _ESC.format(x="text") + ") FILTER (WHERE kind = 'heading'), 'main'), '</p></title>', coalesce(string_agg(concat('<p>', " + _ESC.format(x="text") + ", '</p>'), '' ORDER BY ord) FILTER (WHERE kind <> 'heading'), '<p></p>'), '</section>') AS x FROM q GROUP BY ALL) SELECT document_id, count(*) AS sections, md5(string_agg(x, '' ORDER BY section)) AS body_md5 FROM r GROUP BY document_id")
+@query("snk_05_fictionbook", _EXP + ", q AS (SELECT *, sum((kind = 'heading')::INT) OVER (PARTITION BY document_id ORDER BY ord) AS section FROM p), r AS (SELECT document_id, section, concat('<section><title><p>', coalesce(max(" + _ESC.format(x="text") + ") FILTER (WHERE kind = 'heading'), max('Book &amp; ' || document_id)), '</p></title>', coalesce(string_agg(concat('<p>', " + _ESC.format(x="text") + ", '</p>'), '' ORDER BY ord) FILTER (WHERE kind <> 'heading'), '<p></p>'), '</section>') AS x FROM q GROUP BY ALL) SELECT document_id, count(*) AS sections, md5(concat('<?xml version=\"1.0\" encoding=\"UTF-8\"?>', chr(10), '<FictionBook xmlns=\"http://www.gribuser.ru/xml/fictionbook/2.0\">', chr(10), '<description><title-info>', chr(10), '<book-title>Book &amp; ', document_id, '</book-title>', chr(10), '<lang>und</lang>', chr(10), '</title-info></description>', chr(10), '<body>', string_agg(x, '' ORDER BY section), '</body>', chr(10), '</FictionBook>', chr(10))) AS body_md5 FROM r GROUP BY document_id")
 def snk_05(s, d):
-    return K.as_fictionbook(_pieces(s, d)).select("document_id", "sections", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+    return K.as_fictionbook(_titled(s, d)).select("document_id", "sections", F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
-@query("snk_07_json", _EXP + "SELECT document_id, count(*) AS blocks, sum(length(text))::BIGINT AS chars FROM p GROUP BY document_id")
+@query("snk_07_json", _EXP + "SELECT document_id, 'Book & ' || document_id AS title, 'txt' AS format, count(*) AS blocks, md5(string_agg(kind || ':' || text, chr(10) ORDER BY ord)) AS blocks_md5 FROM p GROUP BY document_id")
 def snk_07(s, d):
-    """The JSON is read back to be counted."""
-    back = K.as_json(_pieces(s, d)).select("document_id", F.from_json("body", "blocks array<struct<kind:string,text:string>>").alias("j"))
-    return back.select("document_id", F.size("j.blocks").cast("long").alias("blocks"), F.aggregate("j.blocks", F.lit(0).cast("long"), lambda n, x: n + F.length(x["text"])).alias("chars"))
+    """The JSON is read back whole."""
+    back = K.as_json(_titled(s, d)).select("document_id", F.from_json("body", "title string, sourceFormat string, blocks array<struct<kind:string,text:string>>").alias("j"))
+    lines = F.array_join(F.transform("j.blocks", lambda x: F.concat(x["kind"], F.lit(":"), x["text"])), "\n")
+    return back.select("document_id", F.col("j.title").alias("title"), F.col("j.sourceFormat").alias("format"), F.size("j.blocks").cast("long").alias("blocks"), F.md5(lines.cast("binary")).alias("blocks_md5"))
 
 
 @query("snk_04_rtf")
 def snk_04(s, d):
-    return K.as_rtf(_pieces(s, d))
+    return K.as_rtf(_titled(s, d))
 
 
 @query("snk_06_odt")
 def snk_06(s, d):
-    return K.as_zip(_pieces(s, d), "odt").select("document_id", "members", F.length("content").alias("n_bytes"))
+    return K.as_zip(_titled(s, d), "odt").select("document_id", "members", F.length("content").alias("n_bytes"))
 
 
 @query("snk_14_versioned_names", with_tables("exports") + "SELECT id, concat('file-', document_id::STRING, '.', target_lang, '.', strftime(created_at, '%Y%m%d-%H%M%S'), CASE WHEN n > 1 THEN concat('-', n::STRING) ELSE '' END, '.', format) AS name FROM (SELECT *, row_number() OVER (PARTITION BY document_id, target_lang, created_at, format ORDER BY id) AS n FROM exports)")

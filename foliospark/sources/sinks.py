@@ -28,35 +28,78 @@ def _ordered(rows: DataFrame, item: Column, between: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", item.alias("item")))), lambda x: x["item"]), between)
 
 
-def as_text(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("document_id").agg(_ordered(rows, F.col("text"), "\n\n").alias("body"))
+def _blank(c: Column) -> Column:
+    return c.rlike(r"(?U)^\s$")
 
 
-def as_markdown(rows: DataFrame) -> DataFrame:
-    item = F.when(F.col("kind") == "heading", F.concat(F.lit("# "), "text", F.lit("\n"))).otherwise(F.concat("text", F.lit("\n\n")))
-    return rows.groupBy("document_id").agg(_ordered(rows, item, "").alias("body"))
+def _separated(rows: DataFrame, piece: Column, order: Window) -> DataFrame:
+    """rows with ``item``: the piece, after a blank line where neither it nor the piece before has white space there."""
+    given = rows.withColumn("piece", piece)
+    before = F.right(F.lag("piece").over(order), F.lit(1))
+    gap = (before != "") & (F.col("piece") != "") & ~_blank(before) & ~_blank(F.left("piece", F.lit(1)))
+    return given.withColumn("item", F.concat(F.when(gap, "\n\n").otherwise(""), "piece"))
+
+
+def as_text(blocks: DataFrame) -> DataFrame:
+    """Bodies of all blocks (document_id, ord, prefix, final, suffix): gaps, code and white space as they are."""
+    order = Window.partitionBy("document_id").orderBy("ord")
+    rows = _separated(blocks, F.concat("prefix", "final", "suffix"), order)
+    return rows.groupBy("document_id").agg(_ordered(rows, F.col("item"), "").alias("body"))
+
+
+def as_markdown(blocks: DataFrame) -> DataFrame:
+    """Bodies of all blocks (with kind, section, section_title): headings keep their marks or get one, and a section that begins
+    without its heading gets its title."""
+    order = Window.partitionBy("document_id").orderBy("ord")
+    heading = F.col("kind") == "heading"
+    mark = F.when(F.ltrim("prefix").startswith("#"), F.col("prefix")).otherwise("# ")
+    titled = F.concat(mark, strip("final"), F.when(F.col("suffix") == "", "\n").otherwise(F.col("suffix")))
+    first = ~heading & (F.col("section_title") != "") & ~F.coalesce(F.lag("section").over(order) == F.col("section"), F.lit(False))
+    plain = F.concat("prefix", "final", "suffix")
+    marked = blocks.withColumn("title_line", F.when(first, F.concat(F.lit("## "), "section_title", F.lit("\n\n"))).otherwise(""))
+    rows = _separated(marked, F.when(heading, titled).otherwise(plain), order)
+    ends = F.coalesce(F.lag("piece").over(order), F.lit(""))
+    lead = F.when((F.col("title_line") != "") & (ends != "") & ~F.endswith(ends, F.lit("\n\n")), "\n\n").otherwise("")
+    item = F.when(heading, F.col("piece")).when(F.col("title_line") != "", F.concat(F.col("lead"), "title_line", "piece")).otherwise(F.col("item"))
+    rows = rows.withColumn("lead", lead).withColumn("line", item)
+    return rows.groupBy("document_id").agg(_ordered(rows, F.col("line"), "").alias("body"))
+
+
+def _marked_up(text: Column, between: str) -> Column:
+    """Escaped lines with a mark between them."""
+    return F.regexp_replace(escaped(text), r"\r\n|\n|\r", between)
 
 
 def as_html(rows: DataFrame) -> DataFrame:
+    """Pages with the document's title (column title) at the top."""
     head = F.col("kind") == "heading"
-    item = F.concat(F.when(head, "<h2>").otherwise("<p>"), escaped(F.col("text")), F.when(head, "</h2>").otherwise("</p>"))
-    return rows.groupBy("document_id").agg(F.concat(F.lit("<article>"), _ordered(rows, item, "\n"), F.lit("</article>")).alias("body"))
+    item = F.concat(F.when(head, "<h2>").otherwise("<p>"), _marked_up(F.col("text"), "<br>\n"), F.when(head, "</h2>").otherwise("</p>"))
+    title = escaped(F.max("title"))
+    page = F.concat(F.lit('<!DOCTYPE html>\n<html lang="und">\n<head>\n<meta charset="utf-8">\n<title>'), title, F.lit("</title>\n</head>\n<body>\n<article><h1>"), title, F.lit("</h1>\n"), _ordered(rows, item, "\n"), F.lit("\n</article>\n</body>\n</html>\n"))
+    return rows.groupBy("document_id").agg(page.alias("body"))
+
+
+#: Fixed value: the name space of the format.
+FICTION_BOOK = "http://www.gribuser.ru/xml/fictionbook/2.0"
 
 
 def as_fictionbook(rows: DataFrame) -> DataFrame:
-    """Sections begin at headings."""
+    """Books with the document's title; sections begin at headings, and what stands before the first one has the book's title."""
     head = F.col("kind") == "heading"
     numbered = rows.withColumn("section", F.sum(head.cast("int")).over(Window.partitionBy("document_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     para = F.array_sort(F.collect_list(F.when(~head, F.struct("ord", F.concat(F.lit("<p>"), escaped(F.col("text")), F.lit("</p>")).alias("item")))))
     paras = F.array_join(F.transform(para, lambda x: x["item"]), "")
-    title = F.coalesce(F.max(F.when(head, escaped(F.col("text")))), F.lit("main"))
-    one = numbered.groupBy("document_id", "section").agg(F.concat(F.lit("<section><title><p>"), title, F.lit("</p></title>"), F.when(paras == "", "<p></p>").otherwise(paras), F.lit("</section>")).alias("x"))
-    return one.groupBy("document_id").agg(F.count("*").alias("sections"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "x"))), lambda v: v["x"]), "").alias("body"))
+    title = F.coalesce(F.max(F.when(head, escaped(F.col("text")))), escaped(F.max("title")))
+    one = numbered.groupBy("document_id", "section").agg(F.max("title").alias("title"), F.concat(F.lit("<section><title><p>"), title, F.lit("</p></title>"), F.when(paras == "", "<p></p>").otherwise(paras), F.lit("</section>")).alias("x"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "x"))), lambda v: v["x"]), "")
+    start = F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<FictionBook xmlns="{FICTION_BOOK}">\n<description><title-info>\n<book-title>'), escaped(F.max("title")), F.lit("</book-title>\n<lang>und</lang>\n</title-info></description>\n<body>"))
+    return one.groupBy("document_id").agg(F.count("*").alias("sections"), F.concat(start, body, F.lit("</body>\n</FictionBook>\n")).alias("body"))
 
 
 def as_json(rows: DataFrame) -> DataFrame:
+    """Trees with the document's title, the format it came in (column format) and its pieces."""
     blocks = F.transform(F.array_sort(F.collect_list(F.struct("ord", "kind", "text"))), lambda x: F.struct(x["kind"].alias("kind"), x["text"].alias("text")))
-    return rows.groupBy("document_id").agg(F.to_json(F.struct(blocks.alias("blocks"))).alias("body"))
+    return rows.groupBy("document_id").agg(F.to_json(F.struct(F.max("title").alias("title"), F.max("format").alias("sourceFormat"), blocks.alias("blocks"))).alias("body"))
 
 
 def block_trees(blocks: DataFrame) -> DataFrame:
@@ -90,24 +133,27 @@ def as_rtf(rows: DataFrame) -> DataFrame:
     def rtf(texts: pd.Series) -> pd.Series:
         return texts.map(_rtf)
 
-    item = F.when(F.col("kind") == "heading", F.concat(F.lit("\\b "), "r", F.lit("\\b0\\par "))).otherwise(F.concat("r", F.lit("\\par ")))
-    escaped_rows = rows.withColumn("r", rtf("text"))
-    return escaped_rows.groupBy("document_id").agg(F.concat(F.lit("{\\rtf1\\ansi\\uc1 "), _ordered(escaped_rows, item, ""), F.lit("}")).alias("body"))
+    bold = lambda size, c: F.concat(F.lit(f"\\fs{size}\\b "), c, F.lit("\\b0\\fs22\\par "))
+    item = F.when(F.col("kind") == "heading", bold(28, F.col("r"))).otherwise(F.concat("r", F.lit("\\par ")))
+    escaped_rows = rows.withColumns({"r": rtf("text"), "rtf_title": rtf("title")})
+    title = F.when(F.max("title") != "", bold(32, F.max("rtf_title"))).otherwise("")
+    return escaped_rows.groupBy("document_id").agg(F.concat(F.lit("{\\rtf1\\ansi\\uc1\\fs22 "), title, _ordered(escaped_rows, item, ""), F.lit("}")).alias("body"))
 
 
 def _xml(x: str) -> str:
     return x.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
 
 
-def _odt(items: list[tuple[str, str]]) -> dict[str, str]:
-    body = "".join(f"<text:h text:outline-level=\"2\">{_xml(t)}</text:h>" if k == "heading" else f"<text:p>{_xml(t)}</text:p>" for k, t in items)
+def _odt(items: list[tuple[str, str]], title: str = "") -> dict[str, str]:
+    lines = lambda t: "<text:line-break/>".join(_xml(x) for x in t.split("\n"))
+    body = f'<text:h text:outline-level="1">{_xml(title)}</text:h>' + "".join(f'<text:h text:outline-level="2">{lines(t)}</text:h>' if k == "heading" else f"<text:p>{lines(t)}</text:p>" for k, t in items)
     names = 'xmlns:office="urn:oasis:names:tc:opendocument:xmlns:office:1.0" xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0"'
     content = f'<?xml version="1.0" encoding="UTF-8"?><office:document-content {names}><office:body><office:text>{body}</office:text></office:body></office:document-content>'
     manifest = '<?xml version="1.0" encoding="UTF-8"?><manifest:manifest xmlns:manifest="urn:oasis:names:tc:opendocument:xmlns:manifest:1.0"><manifest:file-entry manifest:full-path="content.xml" manifest:media-type="text/xml"/></manifest:manifest>'
     return {"mimetype": "application/vnd.oasis.opendocument.text", "META-INF/manifest.xml": manifest, "content.xml": content}
 
 
-def _docx(items: list[tuple[str, str]]) -> dict[str, str]:
+def _docx(items: list[tuple[str, str]], title: str = "") -> dict[str, str]:
     style = '<w:pPr><w:pStyle w:val="Heading2"/></w:pPr>'
     body = "".join(f'<w:p>{style if k == "heading" else ""}<w:r><w:t xml:space="preserve">{_xml(t)}</w:t></w:r></w:p>' for k, t in items)
     return {
@@ -117,7 +163,7 @@ def _docx(items: list[tuple[str, str]]) -> dict[str, str]:
     }
 
 
-def _epub(items: list[tuple[str, str]]) -> dict[str, str]:
+def _epub(items: list[tuple[str, str]], title: str = "") -> dict[str, str]:
     body = "".join(f"<h2>{_xml(t)}</h2>" if k == "heading" else f"<p>{_xml(t)}</p>" for k, t in items)
     return {
         "mimetype": "application/epub+zip",
@@ -128,15 +174,15 @@ def _epub(items: list[tuple[str, str]]) -> dict[str, str]:
 
 
 def as_zip(rows: DataFrame, form: str) -> DataFrame:
-    """document_id, members, content: a zipped file for each document (odt, docx or epub)."""
+    """document_id, members, content: a zipped file for each document (odt, docx or epub); its title is in column title, if there is one."""
     make = {"odt": _odt, "docx": _docx, "epub": _epub}[form]
-    docs = rows.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("ord", "kind", "text"))).alias("items"))
+    docs = rows.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("ord", "kind", "text"))).alias("items"), (F.max("title") if "title" in rows.columns else F.lit("")).alias("title"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for doc, items in zip(b["document_id"], b["items"], strict=True):
-                members = make([(x["kind"], x["text"]) for x in items])
+            for doc, items, title in zip(b["document_id"], b["items"], b["title"], strict=True):
+                members = make([(x["kind"], x["text"]) for x in items], title)
                 data = io.BytesIO()
                 with zipfile.ZipFile(data, "w") as z:
                     for name, text in members.items():

@@ -6,13 +6,16 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
+from foliospark.functions import answers as A
 from foliospark.functions import cleaning as C
 from foliospark.functions import scripts as S
 from foliospark.operators import glossary as G
 from foliospark.operators import layout as L
+from foliospark.operators import prompts as Q
 from foliospark.operators import segments as P
 from foliospark.operators import state as D
 from foliospark.operators import translate as R
+from foliospark.operators import views as V
 from foliospark.sources import importers as I
 from foliospark.sources import sinks as K
 from foliospark.streaming import tasks as ST
@@ -40,6 +43,66 @@ def test_plain_blocks_are_lossless(spark):
     assert [r.kind for r in rows] == ["paragraph", "gap", "paragraph", "gap", "paragraph"]
 
 
+def test_plain_blocks_keep_control_characters(spark):
+    text = "a\u0001b\n\n\u0001c\u0001o\n\n\u0001"
+    rows = P.plain_blocks(spark.createDataFrame([(1, text)], "document_id long, text string")).orderBy("ord").collect()
+    assert "".join(r.prefix + r.text + r.suffix for r in rows) == text
+
+
+def test_fences_with_text_open_code(spark):
+    lines = ["intro", "```python", "x = 1", "```js", "```", "prose", "~~~", "```sh", "y", "  ```  ", "end", "```open", "z"]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], "document_id long, ord int, line string")
+    got = {r.first_ord: (r.kind, r.n_lines) for r in P.markdown_blocks(df).collect()}
+    assert got == {0: ("paragraph", 1), 1: ("code", 4), 5: ("paragraph", 1), 6: ("code", 4), 10: ("paragraph", 1), 11: ("code", 2)}
+
+
+def test_archive_paths(spark):
+    df = spark.createDataFrame([(1, "vol..1.txt", 1), (1, "a/b", 1), (1, "A/b", 1), (2, "a/../../x", 1), (3, "a/../b", 1), (3, "b", 1), (4, "\\x", 1), (5, "..", 1)], "archive long, name string, size long")
+    got = {r.archive: r.rejected for r in V.archive_guard(df, 10, 10).collect()}
+    assert got == {1: False, 2: True, 3: True, 4: True, 5: True}
+
+
+def test_terms_are_found_by_their_first_word(spark):
+    df = spark.createDataFrame([(1, "The RIVER-bank, a river bank; riverbank"), (2, "go → there"), (3, "nothing")], "k int, text string")
+    terms = spark.createDataFrame([(1, "river"), (2, "river bank"), (3, "→")], "id int, term string")
+    assert sorted((r.k, r.id) for r in G.with_terms(df, "text", terms).collect()) == [(1, 1), (1, 2), (2, 3)]
+
+
+def test_long_texts_split_and_clean_in_time(spark):
+    text = "word other word, and more. " * 20_000
+    parts = one(spark, P.split_text(F.lit(text), 1100))
+    assert "".join(parts) == text
+    assert len(one(spark, C.collapsed(F.lit("same same other " * 5_000)))) == len("same other " * 5_000) - 1
+
+
+def test_answers_that_repeat_their_prompt(spark):
+    for given, want in (
+        ("", ""),
+        ("Привет.", "Привет."),
+        ("*[Background]*\nContext: x\n*[Source text]*\nПривет.", "Привет."),
+        ("Привет.\nTranslation: другое", "Привет."),
+        ("Привет. Story so far: he left.", "Привет."),
+        ("Translate the text into ru", ""),
+        ("**Очень важно.** Он ушёл", "**Очень важно.** Он ушёл"),
+        ("[Перевод]\nПривет ##\n\nПока", "Привет\n\nПока"),
+    ):
+        assert one(spark, A.clean_output(F.lit(given))) == want, given
+
+
+def test_prompt_has_no_empty_parts(spark):
+    none = F.lit("")
+    empty = (F.array().cast("array<string>"), F.array().cast("array<struct<source:string,target:string>>"))
+    p = one(spark, Q.translation_prompt("general", F.lit("text"), F.lit("auto"), F.lit("ru"), none, none, none, *empty, F.lit(False), F.lit(1)))
+    assert p["user"] == "text" and "Glossary" not in p["system"] and "Translate the text into ru." in p["system"]
+    assert one(spark, Q.bare(F.lit("text"), F.lit("en"), F.lit("ru"))) == "Translate from en into ru. Output the translation only.\n\ntext"
+
+
+def test_tables_are_replaced_whole(spark, tmp_path):
+    for n in (3, 5):
+        K.replace_table(spark.range(n), f"{tmp_path}/registry")
+        assert spark.read.parquet(f"{tmp_path}/registry").count() == n
+
+
 def test_packs_keep_headings_and_lengths_apart(spark):
     rows = [(1, 0, 0, "h" * 20, "heading"), (1, 1, 0, "p" * 30, "paragraph"), (1, 2, 0, "p" * 200, "paragraph"), (1, 3, 0, "p" * 100, "paragraph"), (1, 4, 0, "p" * 100, "paragraph"), (1, 4, 1, "p" * 10, "paragraph")]
     df = spark.createDataFrame(rows, "task_id long, block_ord int, segment_ord int, source string, kind string")
@@ -74,7 +137,7 @@ def test_foreign_script_minority_goes(spark):
 def test_fragments_and_stitches(spark):
     lines = pd.DataFrame({"page": [1, 1, 1], "idx": [1, 2, 3], "text": ["a", "b", "c"], "x0": [0.0, 20.0, 0.0], "x1": [10.0, 30.0, 10.0], "baseline": [100.0, 101.0, 80.0]})
     got = L.merged_fragments(spark.createDataFrame(lines)).orderBy("line").collect()
-    assert [r.text for r in got] == ["b", "a", "c"] or [r.text for r in got] == ["a b", "c"]
+    assert [r.text for r in got] == ["b", "a", "c"]  # by baseline first
     rows = spark.createDataFrame([(1, 0, 1, "It goes", True), (1, 1, 1, "on here.", False), (1, 2, 2, "New one", True)], "doc long, ord int, page int, text string, at_edge boolean")
     assert [r.anchor for r in L.stitched(rows).orderBy("ord").collect()] == [0, 0, 2]
 
