@@ -2,11 +2,13 @@
 
 The standard library's parser turns a page into lines, one for each block of text, with the number of
 tags that each took. Text-to-tag ratios are smoothed by a Gaussian and split into two clusters by a
-threshold; the lines of the upper cluster say which region holds the content: the article or main
-element with most of them, else the smallest element with nine tenths of them. The region's lines are
+threshold; the lines of the upper cluster say which regions hold the content: the article elements (or, without
+any, main elements) with most of them or with at least half of that one's text-to-tag ratio, else the smallest element with nine
+tenths of them, less linked lines before its first and after its last content line. The regions' lines are
 the text, without what stands in navigation, headers, footers, asides, forms, comments and the like.
 
-Null and empty pages give an empty text. Repeated rows give equal rows; extra columns are ignored.
+Null and empty pages give an empty text; very long pages are parsed whole, as they come. Null and repeated ids and repeated
+rows give a row each, empty tables none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style noscript template svg math head title nav footer aside form button select textarea option iframe object canvas audio video dialog menu".split())
+DROPPED = frozenset("script style noscript template svg head title nav footer aside form button select textarea option iframe object canvas audio video dialog menu".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 REGIONS = frozenset(("article", "main"))
 #: Words of a class, id or role that mark what isn't the article.
@@ -190,10 +192,11 @@ def main_text(html: str | None) -> str:
     size = np.array([len(t) for _, t in lines], dtype=np.float64)
     ratio = smoothed(size / np.array([max(1, x.tags) for x, _ in lines]))
     content = ratio >= threshold(ratio)
-    total, held, rich = float(size.sum()), defaultdict(float), defaultdict(float)
+    total, held, rich, tags = float(size.sum()), defaultdict(float), defaultdict(float), defaultdict(int)
     for (x, _), n, c in zip(lines, size, content, strict=True):
         for e in x.inside:
             held[e] += n
+            tags[e] += max(1, x.tags)
             rich[e] += n if c else 0.0
     above = {e for x, _ in lines for at, n in enumerate(x.inside) if page.elements[n][0] in REGIONS for e in x.inside[:at]}
     aside = {e for e, (tag, hint) in enumerate(page.elements) if hint == 2 or hint and (tag == "article" or e not in above and held[e] <= 0.5 * total)}
@@ -201,7 +204,9 @@ def main_text(html: str | None) -> str:
     regions = [e for e, (tag, _) in enumerate(page.elements) if tag in REGIONS and e not in aside and held[e] > 0]
     articles = [e for e in regions if page.elements[e][0] == "article" and not any(aside.intersection(x.inside) for x, _ in lines if e in x.inside[:1])]
     if regions:
-        chosen = max(articles or regions, key=lambda e: (rich[e], held[e], -e))
+        wanted_regions = articles or regions
+        best = max(wanted_regions, key=lambda e: (rich[e], held[e], -e))
+        chosen = {best} | {e for e in wanted_regions if 2 * held[e] / tags[e] >= held[best] / tags[best]}
     else:
         wanted = sum(n for n, c, o in zip(size, content, ok, strict=True) if c and o) or float(size.sum())
         kept = defaultdict(float)
@@ -211,15 +216,11 @@ def main_text(html: str | None) -> str:
                     if page.elements[e][0] not in LEAVES:
                         kept[e] += n
         fit = [e for e in kept if kept[e] >= 0.9 * wanted]
-        chosen = min(fit, key=lambda e: (held[e], -e)) if fit else None
-    out = []
-    for (x, t), o, c in zip(lines, ok, content, strict=True):
-        if not o or (chosen is not None and chosen not in x.inside):
-            continue
-        if not regions and not c and x.links > 0.8 * len(t):
-            continue
-        out.append(t)
-    return "\n".join(out)
+        chosen = {min(fit, key=lambda e: (held[e], -e))} if fit else None
+    mine = [o and (chosen is None or not chosen.isdisjoint(x.inside)) for (x, _), o in zip(lines, ok, strict=True)]
+    full = [i for i, (m, c) in enumerate(zip(mine, content, strict=True)) if m and c]
+    first, last = (full[0], full[-1]) if full and not regions else (0, len(lines))
+    return "\n".join(t for i, ((x, t), m) in enumerate(zip(lines, mine, strict=True)) if m and (first <= i <= last or x.links <= 0.8 * len(t)))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

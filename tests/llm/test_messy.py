@@ -1,6 +1,7 @@
 """Every operator on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import html
 import random
 import re
 import zlib
@@ -368,6 +369,33 @@ def test_html(spark):
     assert htmltext.extract(df.where("false")).count() == 0
 
 
+def plain_article(page):
+    """The text of a well-formed page's only article, by taking tags away."""
+    body = re.search(r"<article[^>]*>(.*)</article>", page, re.S)[1]
+    body = re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>", "", body, flags=re.S)
+    body = re.sub(r"<br\b[^>]*>", " ", body)
+    blocks = re.split(r"</?(?:p|h[1-6]|ul|ol|li|div|blockquote|pre|section|table|tr|td|th)\b[^>]*>", body)
+    lines = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", "", x))).strip() for x in blocks]
+    return "\n".join(x for x in lines if x)
+
+
+def test_html_of_all_pages_by_taking_tags_away(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    want = {r.page_id: (r.url, plain_article(r.html)) for r in pages.collect()}
+    assert {r.page_id: (r.url, r.text) for r in htmltext.extract(pages).collect()} == want
+
+
+def test_html_keeps_formulas_parts_and_linked_items():
+    line = "<p>The mill stood by the river for a very long time and nobody knew who built it, or when, or why.</p>"
+    two = f"<body><nav><a href=x>Home</a></nav><article>{line * 3}</article><div class=ad>Buy!</div><article>{line * 2}<p>x = <math><mi>a</mi></math></p></article></body>"
+    text = htmltext.main_text(two)
+    assert text.count("The mill") == 5 and "x = a" in text and "Buy" not in text and "Home" not in text
+    bare = f"<body><ul><li><a href=x>Home</a></li></ul><div>{line * 3}<ul><li><a href=y>First source</a></li><li><a href=z>Second source</a></li></ul>{line * 3}</div></body>"
+    assert "First source\nSecond source" in htmltext.main_text(bare) and "Home" not in htmltext.main_text(bare)
+    long = f"<article>{line * 20_000}</article>"
+    assert htmltext.main_text(long).count("\n") == 19_999
+
+
 def test_lm_scores(spark, docs, rows, empty):
     labels = spark.createDataFrame([(5, 1), (6, 1), (5, 1), (None, 1), (7, 0), (8, None)], "doc_id long, quality int")
     got = lmscore.difference(docs, labels).collect()
