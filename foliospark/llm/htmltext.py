@@ -192,11 +192,11 @@ def main_text(html: str | None) -> str:
     size = np.array([len(t) for _, t in lines], dtype=np.float64)
     ratio = smoothed(size / np.array([max(1, x.tags) for x, _ in lines]))
     content = ratio >= threshold(ratio)
-    total, held, rich, tags = float(size.sum()), defaultdict(float), defaultdict(float), defaultdict(int)
+    total, held, rich, dense = float(size.sum()), defaultdict(float), defaultdict(float), defaultdict(float)
     for (x, _), n, c in zip(lines, size, content, strict=True):
         for e in x.inside:
             held[e] += n
-            tags[e] += max(1, x.tags)
+            dense[e] += n * n / max(1, x.tags)  # a character counts by its line's ratio
             rich[e] += n if c else 0.0
     above = {e for x, _ in lines for at, n in enumerate(x.inside) if page.elements[n][0] in REGIONS for e in x.inside[:at]}
     aside = {e for e, (tag, hint) in enumerate(page.elements) if hint == 2 or hint and (tag == "article" or e not in above and held[e] <= 0.5 * total)}
@@ -206,7 +206,7 @@ def main_text(html: str | None) -> str:
     if regions:
         wanted_regions = articles or regions
         best = max(wanted_regions, key=lambda e: (rich[e], held[e], -e))
-        chosen = {best} | {e for e in wanted_regions if 2 * held[e] / tags[e] >= held[best] / tags[best]}
+        chosen = {best} | {e for e in wanted_regions if 2 * dense[e] / held[e] >= dense[best] / held[best]}
     else:
         wanted = sum(n for n, c, o in zip(size, content, ok, strict=True) if c and o) or float(size.sum())
         kept = defaultdict(float)
