@@ -8,7 +8,9 @@ so nothing is dropped. A source's tokens come as whole passes over a block permu
 
 DataFrame functions only. A source is split into up to 4096 blocks, so a hot one is never one group.
 A null source is a source of its own; null texts have no words; a document counts one token more than
-its words. Repeated rows count each; ties in the permutation are equal rows. Extra columns stay.
+its words; very long texts are counted like any other. Blocks and order follow a hash of id and text, so null and
+repeated ids are spread too. Repeated rows count each; ties in the permutation are equal rows. Empty tables give empty results. Extra
+columns stay, whatever they are called; a column of the result whose name the documents have gets an underscore in front.
 """
 
 from __future__ import annotations
@@ -52,12 +54,12 @@ def plan(sizes: DataFrame, entropy: float | None = None, max_repeats: float = 2.
     return each.select("key", "total", "weight", quota.alias("quota"), F.expr("cast(round(weight * budget) as bigint) div total").alias("passes"), F.expr("cast(round(weight * budget) as bigint) % total").alias("rest"))
 
 
-def mix(docs: DataFrame, entropy: float | None = None, max_repeats: float = 2.0, budget: float | None = None, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` with m_tokens, m_weight, m_pass (from 0) and m_start (tokens of the pass before the row), a row for each time that a document is taken."""
+def _placed(docs: DataFrame, entropy: float | None, max_repeats: float, budget: float | None, seed: str, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    """m_doc (the whole row), m_tokens, m_weight, m_pass and m_start, a row for each time that a document is taken."""
     key = F.coalesce(F.concat(F.lit("s:"), F.col(source_col).cast("string")), F.lit("null"))
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
+    named = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
     whole = F.struct(*[docs[c] for c in docs.columns]).alias("m_doc")  # whatever the columns are called
-    rows = docs.select(whole, key.alias("m_key"), tokens(text_col).alias("m_tokens"), order.alias("m_order")).withColumn("m_block", F.substring("m_order", 1, 3))
+    rows = docs.select(whole, key.alias("m_key"), tokens(text_col).alias("m_tokens"), F.md5(named.cast("binary")).alias("m_order")).withColumn("m_block", F.substring("m_order", 1, 3))
     blocks = rows.groupBy("m_key", "m_block").agg(F.sum("m_tokens").alias("m_block_tokens"))
     sources = plan(blocks.groupBy(F.col("m_key").alias("key")).agg(F.sum("m_block_tokens").alias("total")), entropy, max_repeats, budget)
     before = F.coalesce(F.sum("m_block_tokens").over(Window.partitionBy("m_key").orderBy("m_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -65,9 +67,21 @@ def mix(docs: DataFrame, entropy: float | None = None, max_repeats: float = 2.0,
     inside = Window.partitionBy("m_key", "m_block").orderBy("m_order", "m_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.join(offsets, ["m_key", "m_block"]).withColumn("m_end", F.col("m_before") + F.sum("m_tokens").over(inside))
     times = F.col("passes") + (F.col("m_end") <= F.col("rest")).cast("long")
-    return (
-        placed.withColumn("m_times", times)
-        .where("m_times > 0")
-        .withColumn("m_pass", F.explode(F.sequence(F.lit(0), (F.col("m_times") - 1).cast("int"))))
-        .select("m_doc.*", "m_tokens", F.col("weight").alias("m_weight"), "m_pass", (F.col("m_end") - F.col("m_tokens")).alias("m_start"))
-    )
+    taken = placed.withColumn("m_times", times).where("m_times > 0").withColumn("m_pass", F.explode(F.sequence(F.lit(0), (F.col("m_times") - 1).cast("int"))))
+    return taken.select("m_doc", "m_tokens", F.col("weight").alias("m_weight"), "m_pass", (F.col("m_end") - F.col("m_tokens")).alias("m_start"))
+
+
+def mix(docs: DataFrame, entropy: float | None = None, max_repeats: float = 2.0, budget: float | None = None, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The columns of ``docs`` with m_tokens, m_weight, m_pass (from 0) and m_start (tokens of the pass before the row), a row for each time that a document is taken."""
+
+    def free(name: str) -> str:
+        return name if name not in docs.columns else free(f"_{name}")
+
+    placed = _placed(docs, entropy, max_repeats, budget, seed, id_col, source_col, text_col)
+    return placed.select("m_doc.*", *[F.col(c).alias(free(c)) for c in ("m_tokens", "m_weight", "m_pass", "m_start")])
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` with their columns alone, each as often as it is taken."""
+    given = dict(entropy=None, max_repeats=2.0, budget=None, seed="mix", id_col="doc_id", source_col="source", text_col="text")
+    return _placed(docs, **(given | options)).select("m_doc.*")

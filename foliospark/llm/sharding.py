@@ -5,8 +5,9 @@ and the least draw wins, so a child gets rows in proportion to its weight and a
 only into or out of that child's subtree. Law ``key``: the id and the tree decide; a further shard stands
 in a region of its own, so it takes rows only into itself.
 
-DataFrame functions only. Null ids draw as one key; null texts have size 1; repeated rows share a shard
-and get slots of their own; extra columns are ignored.
+DataFrame functions only. Null ids draw as one key; null texts have size 1; very long texts count like any other; repeated
+ids share a shard and get slots of their own, and their texts are spread over its parts; empty tables give empty
+results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ def assign(docs: DataFrame, tree: list[Leaf] | None = None, id_col: str = "doc_i
         "text_crc32",
         place(key, tree).alias("shard"),
         place(key, grown(tree)).alias("grown_shard"),
-        F.pmod(F.crc32(key.cast("binary")), F.lit(PARTS)).cast("int").alias("part"),
+        F.pmod(F.crc32(F.concat(key, F.lit(":"), F.col("text_crc32").cast("string")).cast("binary")), F.lit(PARTS)).cast("int").alias("part"),
     )
     counts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))

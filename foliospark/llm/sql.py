@@ -31,8 +31,9 @@ def _crc(binary_hex: str) -> str:
 OP4 = f"""
 WITH t AS (SELECT {_CRC_TABLE} AS crc),
 d AS (SELECT doc_id, coalesce(text, '') AS text, {_KEY} AS key FROM documents),
-r AS (SELECT doc_id, strlen(text)::BIGINT + 1 AS size, {_crc("hex(encode(text))")} AS text_crc32, {_crc("hex(encode(key))")} % 1024 AS part,
-             {_shard("key", False)} AS shard, {_shard("key", True)} AS grown_shard FROM d, t)
+c AS (SELECT doc_id, key, strlen(text)::BIGINT + 1 AS size, {_crc("hex(encode(text))")} AS text_crc32 FROM d, t),
+r AS (SELECT doc_id, size, text_crc32, {_crc("hex(encode(key || ':' || text_crc32))")} % 1024 AS part,
+             {_shard("key", False)} AS shard, {_shard("key", True)} AS grown_shard FROM c, t)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard,
        (row_number() OVER (PARTITION BY shard ORDER BY part, doc_id NULLS FIRST, text_crc32, size) - 1)::BIGINT AS slot, grown_shard
 FROM r"""
@@ -50,7 +51,7 @@ FROM d LEFT JOIN g USING (doc_id)"""
 
 OP10 = r"""
 WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT + 1 AS n_tokens,
-    coalesce('s:' || source, 'null') AS key, md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS o FROM documents),
+    coalesce('s:' || source, 'null') AS key, md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS o FROM documents),
 t AS (SELECT key, sum(n_tokens)::BIGINT AS total FROM d GROUP BY key),
 x AS (SELECT list(total::DOUBLE ORDER BY key) AS totals, max(total)::DOUBLE AS top FROM t),
 b(step, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL

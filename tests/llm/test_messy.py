@@ -64,6 +64,43 @@ def test_bpe_same_ids_as_the_library(docs, rows, empty):
     assert Counter(r.text for r in back.collect()) == Counter(t or "" for _, t in rows)
 
 
+def small_table(tmp_path, merges):
+    import json
+
+    letters = "abcd"
+    vocab = {x: i for i, x in enumerate([*letters, *("".join(m) for m in merges)])}
+    path = tmp_path / "small.json"
+    path.write_text(json.dumps({"model": {"vocab": vocab, "merges": [" ".join(m) for m in merges]}, "added_tokens": []}))
+    return bpe.MergeTable(str(path))
+
+
+def test_bpe_lookahead_is_sufficient_and_no_byte_less(tmp_path):
+    from itertools import product
+
+    table = small_table(tmp_path, [("c", "d"), ("b", "c"), ("a", "b")])
+    assert table.lookahead == 3
+
+    def streamed(text, lookahead):
+        t = bpe.PieceTransducer(table, lookahead, room=1)
+        return [*t.push(text.encode()), *t.finish()]
+
+    texts = ["".join(x) for n in range(1, 8) for x in product("abcd", repeat=n)]
+    assert all(streamed(x, table.lookahead) == table.encode_bytes(x.encode()) for x in texts)
+    assert any(streamed(x, table.lookahead - 1) != table.encode_bytes(x.encode()) for x in texts)
+
+
+def test_bpe_transducer_holds_a_bounded_buffer():
+    table, _ = bpe.load(bpe.tokenizer_path())
+    g = random.Random(2)
+    text = "".join(g.choice("abcdefgh th ing the") for _ in range(20_000)).replace(" ", "").encode()
+    t, out, most = bpe.PieceTransducer(table), [], 0
+    for k in range(0, len(text), 100):
+        out += t.push(text[k : k + 100])
+        most = max(most, len(t.buffer))
+    assert out + t.finish() == table.encode_bytes(text)
+    assert most <= t.room + table.lookahead + max(map(len, table.token_bytes))
+
+
 def test_bpe_chunks_do_not_matter():
     table, known = bpe.load(bpe.tokenizer_path())
     g = random.Random(5)
@@ -216,6 +253,18 @@ def test_media_round_trip(docs, rows, empty):
     assert media.media_digest(empty).count() == 0
 
 
+def test_media_knows_the_length_of_what_it_stores():
+    for text in (None, "x" * 1000, "y" * 3_000_000):
+        n, payload = media.payload_of(text)
+        (file,) = media.store([payload])
+        assert media.stored_bytes(file) == len(payload) and media.restore([file])[0] == [payload]
+        if len(payload) < 10_000:
+            tensor = media.decode([file])[0]
+            assert media.restore([file])[1][0].endswith(hashlib.sha256(np.ascontiguousarray(tensor)).hexdigest())
+    with pytest.raises(ValueError):
+        media.restore([file[:2] + file[2 + 2 + int.from_bytes(file[4:6], "big") :]])
+
+
 def test_media_picture_matches_a_plain_transform():
     g = np.random.default_rng(1)
     layout = media.Layout(19, 13, ((2, 2), (1, 1), (1, 1)))
@@ -282,6 +331,11 @@ def test_toxicity(spark, docs, rows, empty):
     assert len({r.score for r in got if r.doc_id == 7}) == 1
     assert net.scores(["the river runs " * 4000 + "awful stupid vile trash person"])[0] > net.scores(["the river runs " * 4000])[0]
     assert toxicity.classify(empty, labels).count() == 0
+    few = docs.limit(12)
+    kept = toxicity.keep_clean(few, labels)
+    assert kept.columns == docs.columns and toxicity.keep_clean(empty, labels).count() == 0
+    wide = "the river runs past the mill and " * 60_000
+    assert net.scores([wide + "awful stupid vile trash person " + wide])[0] >= net.scores([wide])[0]
     assert {r.score for r in toxicity.classify(known, labels.where("false")).collect()} == {0.5}
 
 
@@ -448,6 +502,8 @@ def test_substring(docs, rows, empty):
     want = _brute_removed(rows)
     assert sum(x[2] for x in want) > 200 and got == want
     assert substring.dedup(empty, digest=True).count() == 0
+    clash = docs.withColumns({"g": F.lit(1), "k": F.lit(2), "t": F.lit("t"), "row": F.lit(3), "s": F.lit(4), "bits": F.lit(5)})
+    assert substring.remove_repeats(clash).count() == substring.remove_repeats(docs).count() and substring.remove_repeats(empty).count() == 0
     cut = substring.remove_repeats(docs)
     assert cut.columns == docs.columns and cut.where("text is not null and text <> '' and n_chars <> length(text)").count() == 0
 
@@ -465,5 +521,8 @@ def test_mixing(docs, rows, empty):
     assert all(share[s] <= 2 * once[s] + 1 for s in share)
     assert mixing.mix(empty).count() == 0
     assert mixing.mix(docs).select(*docs.columns).columns == docs.columns
+    clash = docs.withColumns({"m_tokens": F.lit("mine"), "m_pass": F.lit(1), "m_weight": F.lit(1), "m_start": F.lit(1), "m_doc": F.lit(1), "weight": F.lit(1), "passes": F.lit(1)})
+    assert mixing.mixed(clash).columns == clash.columns and mixing.mixed(clash).count() == len(got)
+    assert {r.m_tokens for r in mixing.mix(clash).select("m_tokens", "_m_tokens").collect()} == {"mine"}
     flat = mixing.mix(docs, entropy=0.69).collect()
     assert len({r.m_weight for r in flat}) <= 2

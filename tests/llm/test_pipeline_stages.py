@@ -50,3 +50,21 @@ def test_near_dedup_and_substring_by_brute_force(spark, sf):
 
 def test_sample_is_not_cut():
     assert toxicity.SAMPLE >= 2500
+
+
+def test_stages_on_messy_rows(spark, sf, tmp_path):
+    """Null and repeated ids, null and empty texts, clashing columns, and no rows at all."""
+    w = [" ".join(f"{c}{i}" for i in range(120)) for c in "abc"]
+    rows = [(1, w[0]), (2, w[0]), (2, w[1]), (None, w[2]), (None, None), (3, None), (4, ""), (5, w[1] + " " + w[2]), (5, w[1] + " " + w[2])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, k long, h string, m_tokens int, g int, first string"
+    docs = spark.createDataFrame([(k, t, "en", "web" if i % 2 else None, None if t is None else len(t), 1, "h", 2, 3, "f") for i, (k, t) in enumerate(rows)], schema)
+    for name, given in (("full", docs), ("empty", docs.where("false"))):
+        for stage, fn in corpus_pipeline.STAGES:
+            out = fn(spark, given, sf)
+            if stage != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == docs.columns
+            out.write.parquet(f"{tmp_path}/{name}/{stage}")
+            given = spark.read.parquet(f"{tmp_path}/{name}/{stage}")
+            if name == "full" and stage == "near_dedup":
+                assert sorted({(r.doc_id, r.text) for r in given.collect()}, key=repr) == sorted({x for x in rows if x != (2, w[0])}, key=repr)
+        assert given.count() == (0 if name == "empty" else spark.read.parquet(f"{tmp_path}/{name}/mixing").count())
