@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.operators.views import let
+
 #: The characters counted for each script.
 SCRIPTS = {
     "kana": r"[\x{3040}-\x{30ff}]",
@@ -58,19 +60,32 @@ def _total(found: Column) -> Column:
     return F.aggregate(F.map_values(found), F.lit(0), lambda s, x: s + x)
 
 
+def _measured(text: Column, wanted: Column) -> Column:
+    """struct(found, wanted, total) of a text, its counts taken once."""
+    return let(F.struct(counts(text).alias("found"), wanted.alias("wanted")), lambda x: F.struct(x["found"].alias("found"), x["wanted"].alias("wanted"), _total(x["found"]).alias("total")))
+
+
 def fits(text: Column, code: Column) -> Column:
     """Most letters are of the language's scripts; too few letters always fit."""
-    found, wanted = counts(text), target_scripts(code)
-    hits = F.aggregate(F.map_entries(found), F.lit(0), lambda s, x: s + F.when(F.array_contains(wanted, x["key"]), x["value"]).otherwise(0))
-    kana = code.isin(*HAN_ONLY) & (count(text, "kana") > count(text, "han"))
-    return F.when(F.size(wanted) == 0, True).when(_total(found) < 2, True).when(kana, False).otherwise(hits * 2 >= _total(found))
+
+    def judged(x: Column) -> Column:
+        found, wanted, total = x["found"], x["wanted"], x["total"]
+        hits = F.aggregate(F.map_entries(found), F.lit(0), lambda s, e: s + F.when(F.array_contains(wanted, e["key"]), e["value"]).otherwise(0))
+        of = lambda name: F.coalesce(F.try_element_at(found, F.lit(name)), F.lit(0))
+        kana = code.isin(*HAN_ONLY) & (of("kana") > of("han"))
+        return F.when(F.size(wanted) == 0, True).when(total < 2, True).when(kana, False).otherwise(hits * 2 >= total)
+
+    return let(_measured(text, target_scripts(code)), judged)
 
 
 def intrusion(text: Column, source: Column, code: Column) -> Column:
     """A script that neither the source nor the language has: any Han, kana or hangul, others if they are half or more."""
-    found, allowed = counts(text), allowed_scripts(source, code)
-    foreign = F.exists(F.map_entries(found), lambda x: ~F.array_contains(allowed, x["key"]) & (x["key"].isin("han", "kana", "hangul") | (x["value"] * 2 >= _total(found))))
-    return F.when(F.size(allowed) == 0, False).when(_total(found) < 2, False).otherwise(foreign)
+
+    def judged(x: Column) -> Column:
+        foreign = F.exists(F.map_entries(x["found"]), lambda e: ~F.array_contains(x["wanted"], e["key"]) & (e["key"].isin("han", "kana", "hangul") | (e["value"] * 2 >= x["total"])))
+        return F.when(F.size(x["wanted"]) == 0, False).when(x["total"] < 2, False).otherwise(foreign)
+
+    return let(_measured(text, allowed_scripts(source, code)), judged)
 
 
 def with_foreign_removed(rows: DataFrame, text: str, source: str, code: str, out: str) -> DataFrame:

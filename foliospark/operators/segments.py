@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.operators.views import strip
+from foliospark.operators.views import let, strip
 
 #: Marks a cut while a text is split; a text's own mark characters are escaped meanwhile, so that none is lost.
 _MARK, _OWN, _CUT = "\u0001", "\u0001o", "\u0001c"
@@ -87,11 +87,6 @@ def markdown_blocks(lines: DataFrame) -> DataFrame:
     )
 
 
-def _let(value: Column, then) -> Column:
-    """``then`` of the value, which is computed once however often ``then`` names it."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 #: Where a window may be cut: after a CJK stop, after a sentence, after white space.
 CUTS = (r"(?s)^(.*[。！？])", r"(?sU)^(.*[.!?…][\"'»”)]*\s+)", r"(?sU)^(.*\s)")
 
@@ -102,7 +97,7 @@ def cut_length(window: Column, most: int) -> Column:
     def best(kinds: tuple[str, ...]) -> Column:
         if not kinds:
             return F.lit(most)
-        return _let(F.length(F.regexp_extract(window, kinds[0], 1)), lambda n: F.when(n > most // 2, n).otherwise(best(kinds[1:])))
+        return let(F.length(F.regexp_extract(window, kinds[0], 1)), lambda n: F.when(n > most // 2, n).otherwise(best(kinds[1:])))
 
     return best(CUTS)
 
@@ -115,13 +110,13 @@ def split_text(text: Column, most: int = 1100) -> Column:
     steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length(text) / F.lit(most // 2 + 1)).cast("int") + 1))
 
     def step(x: Column, _: Column) -> Column:
-        size = F.when(x["left"] <= most, x["left"]).otherwise(_let(F.substring(x["rest"], 1, most), lambda w: cut_length(w, most)))
+        size = F.when(x["left"] <= most, x["left"]).otherwise(let(F.substring(x["rest"], 1, most), lambda w: cut_length(w, most)))
 
         def cut(n: Column) -> Column:
             rest = F.substring(x["rest"], n + 1, x["left"])
             return F.struct(rest.alias("rest"), (x["left"] - n).cast("int").alias("left"), F.concat(x["parts"], F.array(F.substring(x["rest"], F.lit(1), n))).alias("parts"))
 
-        return F.when(x["left"] <= 0, x).otherwise(_let(size, cut))
+        return F.when(x["left"] <= 0, x).otherwise(let(size, cut))
 
     start = F.struct(text.alias("rest"), F.length(text).alias("left"), F.array().cast("array<string>").alias("parts"))
     return F.aggregate(steps, start, step, lambda x: x["parts"])

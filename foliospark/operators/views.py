@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,11 @@ def attachment(blocks: DataFrame, limit: int) -> DataFrame:
     return whole.select("document_id", F.substring("whole", 1, limit).alias("text"), (F.length("whole") > limit).alias("truncated"))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of the value, which is computed once however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def preferences(file: Column, defaults: dict[str, str]) -> Column:
     """A map: the defaults and what a JSON object says instead; the defaults alone if the file isn't one."""
     base = F.create_map(*[F.lit(x) for pair in defaults.items() for x in pair])

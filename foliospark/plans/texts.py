@@ -375,7 +375,8 @@ def sc_54(s, d):
 
 @query("sc_43_finished")
 def sc_43(s, d):
-    return C.with_finished(_outs(s, d), "output", "source", "code", "clean").select("document_id", "ord", "clean")
+    before = F.array_compact(F.array(F.lag("output").over(Window.partitionBy("document_id").orderBy("ord"))))
+    return C.with_finished(_outs(s, d).withColumn("previous", before), "output", "source", "code", "clean", "previous").select("document_id", "ord", "clean")
 
 
 @query("ag_12_script_histogram", with_tables("docs") + "SELECT document_id, " + ", ".join(f"{_n(k, 'text')}::INTEGER AS {k}" for k in S.SCRIPTS) + " FROM docs")
