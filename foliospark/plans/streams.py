@@ -34,6 +34,24 @@ def str_02(s, d):
     return S.run_to_table(S.first_copies(_stream(s, d)).select("id", "task_id", "status"), "append")
 
 
+@query("str_03_snapshots", with_tables("task_events") + "SELECT task_id, string_agg(status, ' ' ORDER BY created_at, id) AS text, max(id) AS last_id FROM task_events GROUP BY task_id")
+def str_03(s, d):
+    """What a reader of the token stream sees last: one snapshot a task, replaced with each trigger."""
+    return S.run_to_table(S.snapshots(_stream(s, d)), "complete")
+
+
+@query("str_05_idle_tasks", with_tables("task_events", more="l AS (SELECT task_id, max(created_at) AS last, arg_max(status, (created_at, id)) AS status FROM task_events GROUP BY task_id)") + "SELECT task_id, epoch_ms(last)::BIGINT AS last_ms FROM l WHERE status <> 'paused' AND epoch_ms(last) + 43200000 < (SELECT max(epoch_ms(created_at)) FROM task_events)")
+def str_05(s, d):
+    """Tasks silent for twelve hours of event time when the stream ends."""
+    return S.run_to_table(S.idle_tasks(_stream(s, d), 43_200), "append")
+
+
+@query("str_07_published", with_tables("task_events") + "SELECT DISTINCT task_id FROM task_events WHERE status = 'complete'")
+def str_07(s, d):
+    """Each completed task is published once, however often it is completed."""
+    return S.published(_stream(s, d)).select("task_id")
+
+
 @query("str_04_last_events", with_tables("task_events") + "SELECT task_id, id FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY created_at DESC, id DESC) AS n FROM task_events) WHERE n <= 5")
 def str_04(s, d):
     newest = Window.partitionBy("task_id").orderBy(F.desc("created_at"), F.desc("id"))

@@ -10,6 +10,7 @@ from foliospark.operators import translate as R
 from foliospark.operators import views as V
 from foliospark.plans.registry import query
 from foliospark.sources import importers as I
+from foliospark.sources import sinks as K
 from foliospark.sources import tables as T
 from foliospark.sources.tables import with_tables
 
@@ -54,6 +55,29 @@ def src_01(s, d):
     return I.routes(T.documents(s, d).select("document_id", "name", F.length("text").cast("long").alias("length"))).select("document_id", "suffix", "supported")
 
 
+def _archived(s: SparkSession, d: str, form: str) -> DataFrame:
+    """The exported pieces as files of a kind, read again."""
+    pieces = K.pieces(V.translated(T.blocks(s, d), T.translations(s, d), "ru"))
+    made = K.as_zip(pieces, form).select(F.concat(F.col("document_id").cast("string"), F.lit(f".{form}")).alias("path"), "content")
+    back = I.import_archives(made)
+    return back.select(F.regexp_extract("file", r"^(\d+)", 1).cast("long").alias("document_id"), "ord", "kind", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+_PIECES = with_tables("blocks", "translations", more="t AS (SELECT b.document_id, b.ord, b.kind, CASE WHEN b.translatable THEN coalesce(t.text, b.text) ELSE b.text END AS final FROM blocks b LEFT JOIN translations t ON t.document_id = b.document_id AND t.block_ord = b.ord AND t.target_lang = 'ru'), p AS (SELECT document_id, ord, CASE WHEN kind = 'heading' THEN 'heading' ELSE 'paragraph' END AS kind, trim(final) AS text FROM t WHERE kind <> 'gap' AND trim(final) <> '')") + "SELECT document_id, (row_number() OVER (PARTITION BY document_id ORDER BY ord) - 1)::INTEGER AS ord, kind, md5(text) AS text_md5 FROM p"
+
+
+@query("src_05_docx_round_trip", _PIECES)
+def src_05(s, d):
+    """Word-processor files: written, then imported."""
+    return _archived(s, d, "docx")
+
+
+@query("src_06_epub_round_trip", _PIECES)
+def src_06_epub(s, d):
+    """E-books: written, then imported."""
+    return _archived(s, d, "epub")
+
+
 @query("src_06_page_blocks")
 def src_06(s, d):
     """Blocks of marked-up pages."""

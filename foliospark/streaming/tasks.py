@@ -26,6 +26,12 @@ def latest_status(stream: DataFrame) -> DataFrame:
     return stream.groupBy("task_id").agg(F.max_by("status", F.struct("created_at", "id")).alias("status"), F.count("*").alias("events"))
 
 
+def snapshots(stream: DataFrame) -> DataFrame:
+    """The whole text of each task so far, from its pieces in order: every trigger gives a text that takes the place of the one before."""
+    pieces = F.array_sort(F.collect_list(F.struct("created_at", "id", "status")))
+    return stream.groupBy("task_id").agg(F.array_join(F.transform(pieces, lambda x: x["status"]), " ").alias("text"), F.max("id").alias("last_id"))
+
+
 def first_copies(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Each event once; copies may come up to ``delay`` late, which bounds the state."""
     return stream.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["id"])
@@ -90,3 +96,13 @@ def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
     else:
         writer.format("parquet").outputMode(mode).start(out).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def published(stream: DataFrame) -> DataFrame:
+    """What ``publish_once`` has made of all there is now, in the shared folder."""
+    spark = stream.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/published-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+    publish_once(stream, f"{folder}/out", f"{folder}/checkpoint", lambda done: done).awaitTermination()
+    return spark.read.schema("task_id long, batch int").parquet(f"{folder}/out")
