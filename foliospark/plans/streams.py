@@ -40,7 +40,7 @@ def str_03(s, d):
     return S.run_to_table(S.snapshots(_stream(s, d)), "complete")
 
 
-@query("str_05_idle_tasks", with_tables("task_events", more="l AS (SELECT task_id, max(created_at) AS last, arg_max(status, (created_at, id)) AS status FROM task_events GROUP BY task_id)") + "SELECT task_id, epoch_ms(last)::BIGINT AS last_ms FROM l WHERE status <> 'paused' AND epoch_ms(last) + 43200000 < (SELECT max(epoch_ms(created_at)) FROM task_events)")
+@query("str_05_idle_tasks", with_tables("task_events", more="l AS (SELECT task_id, max(created_at) AS last, arg_max(status, (created_at, id)) AS status FROM task_events GROUP BY task_id)") + "SELECT task_id, epoch_us(last) // 1000 AS last_ms FROM l WHERE status <> 'paused' AND epoch_us(last) // 1000 + 43200000 < (SELECT max(epoch_us(created_at) // 1000) FROM task_events)")
 def str_05(s, d):
     """Tasks silent for twelve hours of event time when the stream ends."""
     return S.run_to_table(S.idle_tasks(_stream(s, d), 43_200), "append")
