@@ -16,7 +16,7 @@ def test_all_outputs(spark, sf, name):
 
 
 def test_whole_sources(spark, sf):
-    cut = texts._all_outs(spark, sf).join(T.blocks(spark, sf).select("document_id", "ord", "text"), ["document_id", "ord"]).where("source <> text")
+    cut = texts._outs(spark, sf).join(T.blocks(spark, sf).select("document_id", "ord", "text"), ["document_id", "ord"]).where("source <> text")
     assert cut.count() == 0
 
 
