@@ -167,9 +167,11 @@ class Net:
     def vectors(self, w: Words) -> np.ndarray:
         """A row for each distinct word, and one of zeros at the end for no word."""
         out = np.zeros((len(w.word) + 1, 2 * DIM), dtype=np.float32)
-        if len(w.word):
-            out[:-1, :DIM] = self.p["word"][w.word]
-            out[:-1, DIM:] = np.add.reduceat(self.p["char"][w.grams], w.first, axis=0) / w.n_grams[:, None].astype(np.float32)
+        for a in range(0, len(w.word), 20_000):  # some words at once, as each has several grams
+            b = min(len(w.word), a + 20_000)
+            start, end = w.first[a], w.first[b - 1] + w.n_grams[b - 1]
+            out[a:b, :DIM] = self.p["word"][w.word[a:b]]
+            out[a:b, DIM:] = np.add.reduceat(self.p["char"][w.grams[start:end]], w.first[a:b] - start, axis=0) / w.n_grams[a:b, None].astype(np.float32)
         return out
 
     def _run(self, inputs: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
