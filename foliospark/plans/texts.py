@@ -310,7 +310,7 @@ _same = lambda a, b: f"({_SQUEEZE.format(x=f'lower({a})')} <> '' AND {_SQUEEZE.f
 
 def _collapse(x: str) -> str:
     words = f"string_split({_SQUEEZE.format(x=x)}, ' ')"
-    return f"array_to_string(list_filter({words}, lambda w, i: i = 1 OR lower(w) <> lower({words}[i - 1])), ' ')"
+    return f"array_to_string(list_transform(list_filter(list_zip({words}, list_prepend(NULL, {words})), lambda z: z[1] IS NOT NULL AND (z[2] IS NULL OR lower(z[1]) <> lower(z[2]))), lambda z: z[1]), ' ')"
 
 
 def _echo(a: str, b: str) -> str:
