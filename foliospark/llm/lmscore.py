@@ -7,7 +7,7 @@ per token under the target model less that under the background model: the lower
 
 Texts are dealt once into groups of a few megabytes. A group counts its words and pairs of words (64-bit hashes) and
 sends each distinct one once, dealt into slices by hash; a slice adds up the counts, which grow with the corpus and are held
-nowhere together, and sends each group the totals of what it asked for. Only the number of words reaches the driver.
+nowhere together, and sends each group the totals that differ from its own counts. Only the number of words reaches the driver.
 
 A text begins after a start mark. Null and empty texts have no tokens and a score of 0; very long texts are groups of
 their own size; rows with equal ids are documents of their own and all targets if the id is; rows with a null id are none; without
@@ -31,7 +31,7 @@ from foliospark.llm.substring import _by_slice, _slices
 #: Weights of the bigram and unigram parts and of the part for unknown words; fixed values.
 WEIGHTS = (0.6, 0.3, 0.1)
 #: Characters of a group, and distinct n-grams expected in a slice.
-TOGETHER, EXPECTED = 4 << 20, 1 << 19
+TOGETHER, EXPECTED = 8 << 20, 1 << 19
 _START = np.uint64(1)
 
 
@@ -81,12 +81,25 @@ class _Grams:
         return out
 
 
+def _small(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max()))).tobytes() if len(x) else b""
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"u{len(data) // n}").astype(np.int64) if n else np.zeros(0, dtype=np.int64)
+
+
 def _summed(rows: pd.DataFrame) -> pd.DataFrame:
-    """Totals of each n-gram that the groups of a slice have sent (g, s, keys, b, t), in each group's order."""
+    """Where the totals of the n-grams that the groups of a slice have sent (g, s, keys, b, t) differ from a group's own counts, and those totals."""
+    sizes = [len(x) // 8 for x in rows["keys"]]
     _, which = np.unique(np.frombuffer(b"".join(rows["keys"]), dtype=np.uint64), return_inverse=True)
-    totals = {c: np.bincount(which, weights=np.frombuffer(b"".join(rows[c]), dtype=np.int64)).astype(np.int64)[which] for c in ("b", "t")}
-    ends = np.cumsum([len(x) // 8 for x in rows["keys"]])[:-1]
-    return pd.DataFrame({"g": rows["g"], "s": rows["s"], **{c: [x.tobytes() for x in np.split(v, ends)] for c, v in totals.items()}})
+    own = [np.concatenate([_wide(x, n) for x, n in zip(rows[c], sizes, strict=True)]) for c in ("b", "t")]
+    totals = [np.bincount(which, weights=x).astype(np.int64)[which] for x in own]
+    more = (totals[0] != own[0]) | (totals[1] != own[1])
+    ends = np.cumsum(sizes)[:-1]
+    parts = [np.split(x, ends) for x in (more, *totals)]
+    return pd.DataFrame({"g": rows["g"], "s": rows["s"], "bits": [np.packbits(m).tobytes() for m in parts[0]], **{c: [_small(x[m]) for m, x in zip(parts[0], parts[i], strict=True)] for i, c in ((1, "b"), (2, "t"))}})
 
 
 def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -114,7 +127,7 @@ def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
         if len(table):
             grams, _ = read(table, told)
             g = table.column("g")[0].as_py()
-            out = [(s, grams.keys[at].tobytes(), *(c[at].astype(np.int64).tobytes() for c in grams.counts)) for s, at in _by_slice(_slices(grams.keys, slices))]
+            out = [(s, grams.keys[at].tobytes(), *(_small(c[at]) for c in grams.counts)) for s, at in _by_slice(_slices(grams.keys, slices))]
         return pa.table({"g": pa.array([g] * len(out), pa.int64()), "s": pa.array([x[0] for x in out], pa.int64()), **{c: pa.array([x[i] for x in out], pa.binary()) for i, c in ((1, "keys"), (2, "b"), (3, "t"))}})
 
     def loss(table: pa.Table, told: pa.Table) -> pa.Table:
@@ -122,15 +135,19 @@ def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
             return pa.table({"doc_id": pa.array([], table.schema.field("row").type.field(0).type), "n_tokens": pa.array([], pa.int64()), **{c: pa.array([], pa.float64()) for c in ("target_loss", "background_loss", "score")}})
         replies = told.filter(pa.array([s >= 0 for s in told.column("s").to_pylist()], pa.bool_()))
         grams, target = read(table, told.filter(pa.array([s < 0 for s in told.column("s").to_pylist()], pa.bool_())))
-        order = np.argsort(replies.column("s").to_numpy(), kind="stable")
-        totals = [np.frombuffer(b"".join(np.array(replies.column(c).to_pylist(), dtype=object)[order]), dtype=np.int64) for c in ("b", "t")]
+        reply = {s: x for s, *x in zip(*(replies.column(c).to_pylist() for c in ("s", "bits", "b", "t")), strict=True)}
+        totals = [c.astype(np.int64) for c in grams.counts]
+        for s, at in _by_slice(_slices(grams.keys, slices)):
+            more = np.flatnonzero(np.unpackbits(np.frombuffer(reply[s][0], np.uint8), count=at.stop - at.start)) + at.start
+            for m in (0, 1):
+                totals[m][more] = _wide(reply[s][1 + m], len(more))
         background, wanted = grams.losses(totals, words, target)
         by = np.maximum(grams.n, 1)
         return pa.table({"doc_id": table.column("row").combine_chunks().field(0), "n_tokens": grams.n, "target_loss": wanted / by, "background_loss": background / by, "score": (wanted - background) / by})
 
     counted = rows.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(lambda a, b: count(a, b), "g long, s long, keys binary, b binary, t binary")
-    totals = counted.groupBy("s").applyInPandas(_summed, "g long, s long, b binary, t binary")
-    told = totals.select("g", "s", F.lit(None).cast("long").alias("k"), "b", "t").union(asked.select("g", "s", "k", F.lit(None).cast("binary"), F.lit(None).cast("binary")))
+    totals = counted.groupBy("s").applyInPandas(_summed, "g long, s long, bits binary, b binary, t binary")
+    told = totals.select("g", "s", F.lit(None).cast("long").alias("k"), "bits", "b", "t").union(asked.select("g", "s", "k", *[F.lit(None).cast("binary")] * 3))
     return rows.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(lambda a, b: loss(a, b), f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
 
 
