@@ -84,12 +84,13 @@ def keys(x: np.ndarray, table: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 def probed(x: np.ndarray, table: int, n: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``probes`` pairs of axes of each row that lie least under its nearest ones, by the sum of squared gaps."""
     one, two = ((c.max(axis=1, keepdims=True) - c) ** 2 for c in axes(x, table, n))
-    width = two.shape[1]
-    out = np.empty((len(x), min(probes, one.shape[1] * width)), dtype=np.int64)
-    for at in range(0, len(x), 256):
-        gaps = (one[at : at + 256, :, None] + two[at : at + 256, None, :]).reshape(len(one[at : at + 256]), -1)
-        out[at : at + 256] = np.argpartition(gaps, out.shape[1] - 1, axis=1)[:, : out.shape[1]]
-    return out // width, out % width
+    first, second = np.argsort(one, axis=1, kind="stable"), np.argsort(two, axis=1, kind="stable")
+    i, j = np.divmod(np.arange(one.shape[1] * two.shape[1]), two.shape[1])
+    i, j = i[near := (i + 1) * (j + 1) <= probes], j[near]  # any other pair of places has as many pairs before it
+    gaps = np.take_along_axis(one, first, axis=1)[:, i] + np.take_along_axis(two, second, axis=1)[:, j]
+    some = min(probes, gaps.shape[1])
+    top = np.argpartition(gaps, some - 1, axis=1)[:, :some]
+    return np.take_along_axis(first, i[top], axis=1), np.take_along_axis(second, j[top], axis=1)
 
 
 def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
