@@ -90,10 +90,26 @@ def _wide(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, dtype=f"u{len(data) // n}").astype(np.int64) if n else np.zeros(0, dtype=np.int64)
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """Keys in order: the first one and the steps to the others, in as few bytes each as the largest step needs."""
+    steps = np.diff(keys).astype("<u8")
+    width = (int(steps.max()).bit_length() + 7) // 8 if len(steps) else 0
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    width, first = data[0], np.frombuffer(data, dtype="<u8", count=1, offset=1)
+    steps = np.zeros(((len(data) - 9) // width if width else 0, 8), dtype=np.uint8)
+    steps[:, :width] = np.frombuffer(data, dtype=np.uint8, offset=9).reshape(-1, max(1, width)) if width else 0
+    with np.errstate(over="ignore"):
+        return np.cumsum(np.concatenate((first, steps.reshape(-1).view("<u8"))), dtype=np.uint64)
+
+
 def _summed(rows: pd.DataFrame) -> pd.DataFrame:
     """Where the totals of the n-grams that the groups of a slice have sent (g, s, keys, b, t) differ from a group's own counts, and those totals."""
-    sizes = [len(x) // 8 for x in rows["keys"]]
-    _, which = np.unique(np.frombuffer(b"".join(rows["keys"]), dtype=np.uint64), return_inverse=True)
+    keys = [_unpacked(x) for x in rows["keys"]]
+    sizes = [len(x) for x in keys]
+    _, which = np.unique(np.concatenate(keys), return_inverse=True)
     own = [np.concatenate([_wide(x, n) for x, n in zip(rows[c], sizes, strict=True)]) for c in ("b", "t")]
     totals = [np.bincount(which, weights=x).astype(np.int64)[which] for x in own]
     more = (totals[0] != own[0]) | (totals[1] != own[1])
@@ -127,7 +143,7 @@ def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
         if len(table):
             grams, _ = read(table, told)
             g = table.column("g")[0].as_py()
-            out = [(s, grams.keys[at].tobytes(), *(_small(c[at]) for c in grams.counts)) for s, at in _by_slice(_slices(grams.keys, slices))]
+            out = [(s, _packed(grams.keys[at]), *(_small(c[at]) for c in grams.counts)) for s, at in _by_slice(_slices(grams.keys, slices))]
         return pa.table({"g": pa.array([g] * len(out), pa.int64()), "s": pa.array([x[0] for x in out], pa.int64()), **{c: pa.array([x[i] for x in out], pa.binary()) for i, c in ((1, "keys"), (2, "b"), (3, "t"))}})
 
     def loss(table: pa.Table, told: pa.Table) -> pa.Table:
