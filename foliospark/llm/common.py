@@ -60,9 +60,10 @@ class Tables:
         self.held: dict[int, tuple[DataFrame, str]] = {}
         self.made = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, *by: str) -> DataFrame:
+        """``df`` as a table, in folders by the columns ``by``, which must be its last."""
         path, self.made = f"{self.folder}/{self.made}", self.made + 1
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.held[id(out)] = (out, path)
         return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import ann, bpe, htmltext, lmscore, media, mixing, neardup, sharding, substring, toxicity
+from foliospark.llm import ann, bpe, centroids, htmltext, lmscore, media, mixing, neardup, sharding, substring, toxicity
 from foliospark.llm.common import table
 
 
@@ -52,4 +52,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.col("m_tokens").alias("n_tokens"), F.round("m_weight", 9).alias("weight"), F.col("m_pass").alias("pass_no"), F.col("m_start").alias("start"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_ann": op2_ann, "op3_media": op3_media, "op4_sharding": op4_sharding, "op5_toxicity": op5_toxicity, "op6_neardup": op6_neardup, "op7_html": op7_html, "op8_lm": op8_lm, "op9_substring": op9_substring, "op10_mixing": op10_mixing}
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_ann": op2_ann, "op3_media": op3_media, "op4_sharding": op4_sharding, "op5_toxicity": op5_toxicity, "op6_neardup": op6_neardup, "op7_html": op7_html, "op8_lm": op8_lm, "op9_substring": op9_substring, "op10_mixing": op10_mixing, "op13_centroids": op13_centroids}

@@ -87,4 +87,27 @@ s AS (SELECT o2.doc_id, sum(o2.n * {_loss("b", "true")}) AS b, sum(o2.n * {_loss
 SELECT doc_id, n AS n_tokens, round(coalesce(t, 0) / greatest(n, 1), 6) AS target_loss, round(coalesce(b, 0) / greatest(n, 1), 6) AS background_loss,
        round((coalesce(t, 0) - coalesce(b, 0)) / greatest(n, 1), 6) AS score FROM d LEFT JOIN s USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op4_sharding": OP4, "op8_lm": OP8, "op9_substring": OP9, "op10_mixing": OP10}
+
+def _clusters(k: int = 8, rounds: int = 10, size: int = 64) -> str:
+    """Rounds of assignment and exact floor means, written out one after the other."""
+    gap = "list_sum(list_transform(range(1, {n}), lambda i: (p.v[i] - c.v[i]) * (p.v[i] - c.v[i])))::BIGINT".format(n=size + 1)
+    near = lambda r: f"SELECT any_value(p.vec_id) AS vec_id, p.row, any_value(p.v) AS v, min({{'d': {gap}, 'c': c.c}}) AS x FROM p, c{r} c GROUP BY p.row"
+    steps = []
+    for r in range(rounds):
+        steps.append(f"a{r} AS MATERIALIZED ({near(r)})")
+        steps.append(
+            f"c{r + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM "
+            f"(SELECT x.c AS c, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{r}, range(1, {size + 1}) AS t(i) GROUP BY x.c, i) GROUP BY c) m ON m.c = c.c)"
+        )
+    return f"""
+WITH e AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM e),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v FROM p WHERE vec_id IS NOT NULL ORDER BY sha256('3:' || vec_id) LIMIT {k}),
+{", ".join(steps)},
+f AS MATERIALIZED ({near(rounds)})
+SELECT vec_id, x.c::INTEGER AS cluster, x.d AS distance, sum(x.d) OVER (PARTITION BY x.c)::BIGINT AS cluster_inertia, sum(x.d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM f JOIN c{rounds} c ON c.c = f.x.c"""
+
+
+ORACLES: dict[str, str] = {"op4_sharding": OP4, "op8_lm": OP8, "op9_substring": OP9, "op10_mixing": OP10, "op13_centroids": _clusters()}
