@@ -88,6 +88,21 @@ SELECT doc_id, n AS n_tokens, round(coalesce(t, 0) / greatest(n, 1), 6) AS targe
        round((coalesce(t, 0) - coalesce(b, 0)) / greatest(n, 1), 6) AS score FROM d LEFT JOIN s USING (doc_id)"""
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11 = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, {_TERMS} AS w FROM documents),
+o AS (SELECT *, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+k AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM o),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+t AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM o) WHERE term IN (SELECT term FROM q) GROUP BY row, term),
+f AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM t, k GROUP BY term),
+s AS (SELECT q.item_id, o.doc_id, sum(f.w * ((1000000000 * t.tf) // (1000 * t.tf + 20 * (50 + (50 * o.n * k.docs) // k.terms))))::BIGINT AS score
+      FROM q JOIN t USING (term) JOIN f USING (term) JOIN o USING (row), k GROUP BY q.item_id, o.row, o.doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50"""
+
 def _clusters(k: int = 8, rounds: int = 10, size: int = 64) -> str:
     """Rounds of assignment and exact floor means, written out one after the other."""
     gap = "list_sum(list_transform(range(1, {n}), lambda i: (p.v[i] - c.v[i]) * (p.v[i] - c.v[i])))::BIGINT".format(n=size + 1)
@@ -110,4 +125,4 @@ SELECT vec_id, x.c::INTEGER AS cluster, x.d AS distance, sum(x.d) OVER (PARTITIO
 FROM f JOIN c{rounds} c ON c.c = f.x.c"""
 
 
-ORACLES: dict[str, str] = {"op4_sharding": OP4, "op8_lm": OP8, "op9_substring": OP9, "op10_mixing": OP10, "op13_centroids": _clusters()}
+ORACLES: dict[str, str] = {"op4_sharding": OP4, "op8_lm": OP8, "op9_substring": OP9, "op10_mixing": OP10, "op11_search": OP11, "op13_centroids": _clusters()}

@@ -1,6 +1,6 @@
 """Word hashes and word windows of many texts at once, in numpy.
 
-A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. Words and windows get 64-bit polynomial
+A word is a maximal run of bytes other than 0x20 and 0x09-0x0D; a term is one of digits, letters and non-ASCII bytes. Words and windows get 64-bit polynomial
 hashes from prefix sums (all arithmetic modulo 2**64), each finished by a bijective mixer.
 """
 
@@ -47,12 +47,15 @@ def _ranges(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -
     return (total[end] - total[start]) * powers(_inverse(base), len(values) + 1)[start]
 
 
-def _piece_hashes(data: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte's place of each word."""
+def _piece_hashes(data: bytes, lower: bool, terms: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte's place of each word, or term."""
     b = np.frombuffer(data, dtype=np.uint8)
     if lower:
         b = np.where((b >= 65) & (b <= 90), b + 32, b).astype(np.uint8)
-    word = (b != 32) & ((b < 9) | (b > 13))
+    if terms:
+        word = (b >= 128) | ((b | 32) >= 97) & ((b | 32) <= 122) | (b >= 48) & (b <= 57)
+    else:
+        word = (b != 32) & ((b < 9) | (b > 13))
     edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).astype(np.int8)))
     start, end = edge[0::2], edge[1::2]
     if not len(start):
@@ -61,8 +64,8 @@ def _piece_hashes(data: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     return mix(h + (end - start).astype(np.uint64) * np.uint64(_R)), start
 
 
-def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """All words' hashes one after the other, and where each text's words start (one more than texts)."""
+def word_hashes(texts: list[str | None], lower: bool = False, terms: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """All words' (or terms') hashes one after the other, and where each text's words start (one more than texts)."""
     hashes: list[np.ndarray] = []
     counts = np.zeros(len(texts) + 1, dtype=np.int64)
     group: list[bytes] = []
@@ -72,7 +75,7 @@ def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarra
         nonlocal group, held, first
         if group:
             lengths = np.array([len(x) + 1 for x in group], dtype=np.int64)
-            h, at = _piece_hashes(b" ".join(group), lower)
+            h, at = _piece_hashes(b" ".join(group), lower, terms)
             hashes.append(h)
             counts[first + 1 : upto + 1] += np.bincount(np.searchsorted(np.cumsum(lengths), at, side="right"), minlength=len(group))
         group, held, first = [], 0, upto
@@ -88,7 +91,7 @@ def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarra
                     end = min(len(data), k + PIECE)
                     while end < len(data) and data[end] not in b" \t\n\x0b\x0c\r":
                         end += 1
-                    h, _ = _piece_hashes(data[k:end], lower)
+                    h, _ = _piece_hashes(data[k:end], lower, terms)
                     hashes.append(h)
                     words += len(h)
                     k = end
