@@ -243,8 +243,8 @@ def _are_stars(pairs: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("top").alias("top")).where("up + top > 1").isEmpty()
 
 
-def linked_labels(sets: list[np.ndarray], label: np.ndarray, leaders: int = 32) -> np.ndarray:
-    """Labels (least places) once all pairs with 100 * intersection >= 75 * union are joined to what ``label`` joins.
+def linked_labels(sets: list[np.ndarray], label: np.ndarray, leaders: int = 32, percent: int = 75) -> np.ndarray:
+    """Labels (least places) once all pairs with 100 * intersection >= percent * union are joined to what ``label`` joins.
 
     Intersections are counted over the lists of documents of each shingle. After some leaders only documents outside
     the largest component are compared, each with all others: pairs inside it are joined already.
@@ -253,7 +253,7 @@ def linked_labels(sets: list[np.ndarray], label: np.ndarray, leaders: int = 32)
     doc = np.repeat(np.arange(len(sets)), n)
     _, run, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = times[run] > 1
-    able = 4 * np.bincount(doc[shared], minlength=len(sets)) >= 3 * n  # else too much of the set is in no other
+    able = 100 * np.bincount(doc[shared], minlength=len(sets)) >= percent * n  # else too much of the set is in no other
     order = np.argsort(run, kind="stable")
     lists, first = doc[order], np.concatenate(([0], np.cumsum(times)))
     edge = np.concatenate(([0], np.cumsum(n)))
@@ -264,7 +264,7 @@ def linked_labels(sets: list[np.ndarray], label: np.ndarray, leaders: int = 32)
         many = times[own]
         places = np.repeat(first[own] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
         both = np.bincount(lists[places], minlength=len(sets))
-        hit = np.flatnonzero(100 * both >= 75 * (n + n[x] - both))
+        hit = np.flatnonzero(100 * both >= percent * (n + n[x] - both))
         return least_labels(label, np.full(len(hit), x), hit)
 
     todo = np.flatnonzero(able)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import ann, bpe, centroids, htmltext, lexical, lmscore, media, mixing, neardup, sharding, substring, toxicity
+from foliospark.llm import ann, bpe, centroids, htmltext, jaccardjoin, lexical, lmscore, media, mixing, neardup, sharding, substring, toxicity
 from foliospark.llm.common import table
 
 
@@ -56,8 +56,12 @@ def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.Index(table(spark, sf_dir, "documents").select("doc_id", "text")).search(table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op12_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccardjoin.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_ann": op2_ann, "op3_media": op3_media, "op4_sharding": op4_sharding, "op5_toxicity": op5_toxicity, "op6_neardup": op6_neardup, "op7_html": op7_html, "op8_lm": op8_lm, "op9_substring": op9_substring, "op10_mixing": op10_mixing, "op11_search": op11_search, "op13_centroids": op13_centroids}
+QUERIES = {"op1_bpe": op1_bpe, "op2_ann": op2_ann, "op3_media": op3_media, "op4_sharding": op4_sharding, "op5_toxicity": op5_toxicity, "op6_neardup": op6_neardup, "op7_html": op7_html, "op8_lm": op8_lm, "op9_substring": op9_substring, "op10_mixing": op10_mixing, "op11_search": op11_search, "op12_join": op12_join, "op13_centroids": op13_centroids}

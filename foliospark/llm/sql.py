@@ -103,6 +103,23 @@ s AS (SELECT q.item_id, o.doc_id, sum(f.w * ((1000000000 * t.tf) // (1000 * t.tf
 SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank, doc_id, score
 FROM s WHERE score > 0 QUALIFY rank <= 50"""
 
+def _linked(percent: int, more: str = "") -> str:
+    """Components of documents whose shingle sets are similar: all pairs that share a shingle are counted."""
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+l AS MATERIALIZED (SELECT a, b FROM b JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= {percent} * (na.n + nb.n - common)),
+c(doc_id, other) AS (SELECT a, b FROM l UNION SELECT c.doc_id, l.b FROM c JOIN l ON c.other = l.a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, m.first) AS component_id{more}
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS first FROM c GROUP BY doc_id) m USING (doc_id)"""
+
+
+OP6, OP12 = _linked(75, ", coalesce(m.first >= w.doc_id, true) AS kept"), _linked(80)
+
+
 def _clusters(k: int = 8, rounds: int = 10, size: int = 64) -> str:
     """Rounds of assignment and exact floor means, written out one after the other."""
     gap = "list_sum(list_transform(range(1, {n}), lambda i: (p.v[i] - c.v[i]) * (p.v[i] - c.v[i])))::BIGINT".format(n=size + 1)
@@ -125,4 +142,4 @@ SELECT vec_id, x.c::INTEGER AS cluster, x.d AS distance, sum(x.d) OVER (PARTITIO
 FROM f JOIN c{rounds} c ON c.c = f.x.c"""
 
 
-ORACLES: dict[str, str] = {"op4_sharding": OP4, "op8_lm": OP8, "op9_substring": OP9, "op10_mixing": OP10, "op11_search": OP11, "op13_centroids": _clusters()}
+ORACLES: dict[str, str] = {"op4_sharding": OP4, "op6_neardup": OP6, "op8_lm": OP8, "op9_substring": OP9, "op10_mixing": OP10, "op11_search": OP11, "op12_join": OP12, "op13_centroids": _clusters()}
