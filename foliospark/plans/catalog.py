@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.plans import prompts, scalars, streams, structure, texts, translate, views  # noqa: F401
+from foliospark.plans import files, prompts, scalars, streams, structure, texts, translate, views  # noqa: F401
 from foliospark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -10,7 +10,9 @@ from foliospark.operators import planning as M
 from foliospark.operators import segments as P
 from foliospark.operators import state as D
 from foliospark.operators import views as V
+from foliospark.plans.files import RTF, RTF_BODY
 from foliospark.plans.registry import query
+from foliospark.sources import importers as I
 from foliospark.sources import sinks as K
 from foliospark.sources import tables as T
 from foliospark.sources.tables import with_tables
@@ -304,14 +306,16 @@ def snk_07(s, d):
     return back.select("document_id", F.col("j.title").alias("title"), F.col("j.sourceFormat").alias("format"), F.size("j.blocks").cast("long").alias("blocks"), F.md5(lines.cast("binary")).alias("blocks_md5"))
 
 
-@query("snk_04_rtf")
+@query("snk_04_rtf", _EXP + f"SELECT document_id, {RTF_BODY} AS body FROM (SELECT *, {RTF} AS r FROM p) GROUP BY document_id")
 def snk_04(s, d):
     return K.as_rtf(_titled(s, d))
 
 
-@query("snk_06_odt")
+@query("snk_06_odt", _EXP + f", q AS (SELECT document_id, -1 AS ord, 'heading' AS kind, {_BOOK} AS text FROM p GROUP BY document_id UNION ALL SELECT * FROM p) SELECT document_id, (row_number() OVER (PARTITION BY document_id ORDER BY ord) - 1)::INTEGER AS ord, kind, md5(text) AS text_md5 FROM q")
 def snk_06(s, d):
-    return K.as_zip(_titled(s, d), "odt").select("document_id", "members", F.length("content").alias("n_bytes"))
+    """Text documents, read again: the title, then the pieces."""
+    files = K.as_zip(_titled(s, d), "odt").select(F.concat(F.col("document_id").cast("string"), F.lit(".odt")).alias("path"), "content")
+    return I.import_archives(files).select(F.regexp_extract("file", r"^(\d+)", 1).cast("long").alias("document_id"), "ord", "kind", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query("snk_14_versioned_names", with_tables("exports") + "SELECT id, concat('file-', document_id::STRING, '.', target_lang, '.', strftime(created_at, '%Y%m%d-%H%M%S'), CASE WHEN n > 1 THEN concat('-', n::STRING) ELSE '' END, '.', format) AS name FROM (SELECT *, row_number() OVER (PARTITION BY document_id, target_lang, created_at, format ORDER BY id) AS n FROM exports)")

@@ -5,23 +5,28 @@ Only the standard library is at hand: PDF files and text recognition are named a
 
 from __future__ import annotations
 
+import hashlib
 import io
+import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from posixpath import dirname, join, normpath
+from urllib.parse import unquote, urlsplit
 from xml.etree import ElementTree
+from xml.parsers.expat import ExpatError
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.sources.markup import BLOCKS as TEXT_BLOCKS
+from foliospark.sources.markup import SKIPPED, elements, utf8
+
 SUFFIXES = (".txt", ".md", ".markdown", ".docx", ".epub", ".pdf")
 #: The largest file, and the most members and unpacked bytes of an archive.
 LARGEST, MEMBERS, UNPACKED = 512 << 20, 20_000, 512 << 20
 BLOCKS = "file string, ord int, section string, kind string, text string, locator string, error string"
-_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figcaption caption".split())
-_SKIPPED = frozenset(("script", "style", "svg", "math", "head"))
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -99,18 +104,18 @@ class _Blocks(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.place += 1
-        if tag in _SKIPPED:
+        if tag in SKIPPED:
             self.skipped += 1
-        elif tag in _TAGS or tag in ("div", "section", "article", "body", "ul", "ol", "table", "tr"):
+        elif tag in TEXT_BLOCKS or tag in ("div", "section", "article", "body", "ul", "ol", "table", "tr"):
             self.flush()
             self.tag = tag
         elif tag == "br":
             self.text.append("\n")
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _SKIPPED:
+        if tag in SKIPPED:
             self.skipped = max(0, self.skipped - 1)
-        elif tag in _TAGS:
+        elif tag in TEXT_BLOCKS:
             self.flush()
             self.tag = ""
 
@@ -127,7 +132,21 @@ def html_blocks(html: str) -> list[tuple[str, str, str, str]]:
     return parser.out
 
 
-def epub_blocks(data: bytes) -> list[tuple[str, str, str, str]]:
+def chapter_blocks(data: bytes, name: str) -> list[tuple[str, str, str, str | None]]:
+    """Blocks of a chapter with the numbers of their elements; one that isn't well-formed is read as a page, without them."""
+    try:
+        found = elements(utf8(data))
+    except ExpatError:
+        return [(f"{name}#{s}", k, t, None) for s, k, t, _ in html_blocks(data.decode("utf-8", "replace"))]
+    out, section = [], 0
+    for n, e in enumerate(found):
+        heading = e.name[0] == "h" and e.name[1:].isdigit()
+        section += heading
+        out.append((f"{name}#section-{section}" if section else f"{name}#main", "heading" if heading else "paragraph", e.text, f"{name}:{n}"))
+    return out
+
+
+def epub_blocks(data: bytes) -> list[tuple[str, str, str, str | None]]:
     """Blocks of the chapters in the order of the spine; locators are file and element."""
     z = guarded(data)
     book = ElementTree.fromstring(z.read("META-INF/container.xml")).find(".//{*}rootfile").get("full-path")
@@ -135,24 +154,106 @@ def epub_blocks(data: bytes) -> list[tuple[str, str, str, str]]:
     items = {i.get("id"): i.get("href") for i in package.iter("{http://www.idpf.org/2007/opf}item")}
     out = []
     for ref in package.iter("{http://www.idpf.org/2007/opf}itemref"):
-        name = normpath(join(dirname(book), items[ref.get("idref")]))
-        out += [(f"{name}#{s}", k, t, f"{name}:{n}") for s, k, t, n in html_blocks(z.read(name).decode("utf-8", "replace"))]
+        name = normpath(join(dirname(book), unquote(urlsplit(items[ref.get("idref")]).path)))
+        out += chapter_blocks(z.read(name), name)
     return out
 
 
-def import_archives(rows: DataFrame) -> DataFrame:
-    """Blocks of word-processor and e-book files (path, content); a file that can't be read is one row with an error."""
-    readers = {".docx": docx_blocks, ".epub": epub_blocks}
+def odt_blocks(data: bytes) -> list[tuple[str, str, str, str]]:
+    """Headings and paragraphs of a text document in order, the document's title first."""
+    x = "{urn:oasis:names:tc:opendocument:xmlns:text:1.0}"
+    out, section = [], 0
+    for n, e in enumerate(e for e in ElementTree.fromstring(guarded(data).read("content.xml")).iter() if e.tag in (f"{x}h", f"{x}p")):
+        text = (e.text or "") + "".join(("\n" if c.tag == f"{x}line-break" else "".join(c.itertext())) + (c.tail or "") for c in e)
+        if text.strip():
+            section += e.tag == f"{x}h"
+            out.append((f"section-{section}" if section else "main", "heading" if e.tag == f"{x}h" else "paragraph", text, str(n)))
+    return out
+
+
+def text_of(data: bytes) -> str:
+    """A text file's characters: UTF-8 with or without its mark, else CP1251."""
+    try:
+        return data.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return data.decode("cp1251")
+
+
+def text_blocks(data: bytes) -> list[tuple[str, str, str, str]]:
+    """Paragraphs of a text file, which blank lines part; locators are the first characters' places."""
+    return [("main", "paragraph", m[0].strip(), str(m.start())) for m in re.finditer(r"(?:^(?![^\S\n]*$).*\n?)+", text_of(data).replace("\r\n", "\n"), re.M)]
+
+
+def marked_blocks(data: bytes) -> list[tuple[str, str, str, str]]:
+    """Headings (lines with # marks) and paragraphs of a file with marks; a fence's lines are one block of code."""
+    out, held, section, fence, kind = [], [], 0, "", "paragraph"
+
+    def close() -> None:
+        nonlocal held
+        text = "\n".join(held).strip() if kind == "paragraph" else "\n".join(held)
+        if text:
+            out.append((f"section-{section}" if section else "main", kind, text, str(place)))
+        held = []
+
+    place = 0
+    for n, line in enumerate(text_of(data).replace("\r\n", "\n").split("\n")):
+        mark = line.lstrip()[:3]
+        if fence:
+            held.append(line)
+            if line.strip() == fence:
+                close()
+                fence, kind = "", "paragraph"
+        elif mark in ("```", "~~~"):
+            close()
+            fence, kind, held, place = mark, "code", [line], n
+        elif found := re.match(r"\s{0,3}#{1,6}\s+(.*)", line):
+            close()
+            section, place = section + 1, n
+            out.append((f"section-{section}", "heading", found[1].strip(), str(n)))
+        elif line.strip():
+            place = place if held else n
+            held.append(line)
+        else:
+            close()
+    close()
+    return out
+
+
+#: Readers of a file's bytes by suffix: (section, kind, text, locator) in order.
+READERS: dict[str, Callable[[bytes], list[tuple]]] = {".txt": text_blocks, ".md": marked_blocks, ".markdown": marked_blocks, ".docx": docx_blocks, ".epub": epub_blocks, ".odt": odt_blocks}
+
+
+def file_blocks(path: str, content: bytes) -> list[tuple]:
+    """Rows of BLOCKS of a file; one that can't be read is a row with an error."""
+    try:
+        if len(content) > LARGEST:
+            raise ValueError("file too large")
+        suffix = path[path.rfind(".") :].lower() if "." in path.rpartition("/")[2] else ""
+        if suffix not in READERS:
+            raise ValueError(f"no reader of {suffix or 'files without suffix'}")
+        return [(path, i, *x, None) for i, x in enumerate(READERS[suffix](content))]
+    except Exception as e:  # noqa: BLE001  one bad file must not stop the others
+        return [(path, None, None, None, None, None, f"{type(e).__name__}: {e}")]
+
+
+def member_digests(rows: DataFrame) -> DataFrame:
+    """path, member, md5 of the members of archives (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
             for path, content in zip(b["path"], b["content"], strict=True):
-                try:
-                    reader = readers[path[path.rfind(".") :].lower()]
-                    out += [(path, i, *x, None) for i, x in enumerate(reader(bytes(content)))]
-                except Exception as e:  # noqa: BLE001  one bad file must not stop the others
-                    out.append((path, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+                with guarded(bytes(content)) as z:
+                    yield pd.DataFrame([(path, i.filename, hashlib.md5(z.read(i)).hexdigest()) for i in z.infolist()], columns=["path", "member", "md5"])
+
+    return rows.select("path", "content").mapInPandas(run, "path string, member string, md5 string")
+
+
+def import_archives(rows: DataFrame) -> DataFrame:
+    """Blocks of files (path, content); a file that can't be read is one row with an error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [row for path, content in zip(b["path"], b["content"], strict=True) for row in file_blocks(path, bytes(content))]
             yield pd.DataFrame(out, columns=["file", "ord", "section", "kind", "text", "locator", "error"]).astype({"ord": "Int32"})
 
     return rows.select("path", "content").mapInPandas(run, BLOCKS)

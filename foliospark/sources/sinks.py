@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.operators.views import strip
+from foliospark.sources.importers import guarded
+from foliospark.sources.markup import with_elements, with_paragraphs
 
 
 def escaped(c: Column) -> Column:
@@ -40,10 +42,22 @@ def _separated(rows: DataFrame, piece: Column, order: Window) -> DataFrame:
     return given.withColumn("item", F.concat(F.when(gap, "\n\n").otherwise(""), "piece"))
 
 
+#: Fixed value: the heading that an importer of pages puts before each of them.
+PAGE_MARKER = r"(?U)^\s*Страница \d+\s*$"
+
+
+def _unmarked(blocks: DataFrame) -> DataFrame:
+    """Blocks without the page headings that an importer has added: those have no place in the source."""
+    if not {"kind", "text"} <= set(blocks.columns):
+        return blocks
+    placed = F.col("locator").isNotNull() if "locator" in blocks.columns else F.lit(False)
+    return blocks.where(~F.coalesce((F.col("kind") == "heading") & ~placed & F.col("text").rlike(PAGE_MARKER), F.lit(False)))
+
+
 def as_text(blocks: DataFrame) -> DataFrame:
-    """Bodies of all blocks (document_id, ord, prefix, final, suffix): gaps, code and white space as they are."""
+    """Bodies of all blocks (document_id, ord, prefix, final, suffix): gaps, code and white space as they are, no page headings."""
     order = Window.partitionBy("document_id").orderBy("ord")
-    rows = _separated(blocks, F.concat("prefix", "final", "suffix"), order)
+    rows = _separated(_unmarked(blocks), F.concat("prefix", "final", "suffix"), order)
     return rows.groupBy("document_id").agg(_ordered(rows, F.col("item"), "").alias("body"))
 
 
@@ -56,7 +70,7 @@ def as_markdown(blocks: DataFrame) -> DataFrame:
     titled = F.concat(mark, strip("final"), F.when(F.col("suffix") == "", "\n").otherwise(F.col("suffix")))
     first = ~heading & (F.col("section_title") != "") & ~F.coalesce(F.lag("section").over(order) == F.col("section"), F.lit(False))
     plain = F.concat("prefix", "final", "suffix")
-    marked = blocks.withColumn("title_line", F.when(first, F.concat(F.lit("## "), "section_title", F.lit("\n\n"))).otherwise(""))
+    marked = _unmarked(blocks).withColumn("title_line", F.when(first, F.concat(F.lit("## "), "section_title", F.lit("\n\n"))).otherwise(""))
     rows = _separated(marked, F.when(heading, titled).otherwise(plain), order)
     ends = F.coalesce(F.lag("piece").over(order), F.lit(""))
     lead = F.when((F.col("title_line") != "") & (ends != "") & ~F.endswith(ends, F.lit("\n\n")), "\n\n").otherwise("")
@@ -190,7 +204,7 @@ def as_zip(rows: DataFrame, form: str) -> DataFrame:
                 out.append((doc, len(members), data.getvalue()))
             yield pd.DataFrame(out, columns=["document_id", "members", "content"])
 
-    return docs.mapInPandas(run, "document_id long, members int, content binary")
+    return docs.mapInPandas(run, f"document_id {dict(rows.dtypes)['document_id']}, members int, content binary")
 
 
 def versioned(exports: DataFrame) -> DataFrame:
@@ -227,3 +241,87 @@ def replace_table(rows: DataFrame, path: str) -> None:
     if not system.rename(staged, place):
         raise OSError(f"{path} could not be replaced")
     system.delete(old, True)
+
+
+def _bytes(bodies: DataFrame) -> DataFrame:
+    return bodies.select("document_id", F.encode("body", "UTF-8").alias("content"))
+
+
+def _plain_body(rows: DataFrame) -> DataFrame:
+    return _bytes(as_text(rows.withColumns({"prefix": F.lit(""), "suffix": F.lit(""), "final": F.col("text")})))
+
+
+def _marked_body(rows: DataFrame) -> DataFrame:
+    whole = rows.withColumns({"prefix": F.lit(""), "suffix": F.lit("\n\n"), "final": F.col("text"), "section": F.lit(0), "section_title": F.lit("")})
+    return _bytes(as_markdown(whole))
+
+
+#: What makes a file's bytes (document_id, content) of pieces (document_id, ord, kind, text, title, format), by suffix.
+WRITERS = {
+    ".txt": _plain_body,
+    ".md": _marked_body,
+    ".markdown": _marked_body,
+    ".html": lambda rows: _bytes(as_html(rows)),
+    ".rtf": lambda rows: _bytes(as_rtf(rows)),
+    ".fb2": lambda rows: _bytes(as_fictionbook(rows)),
+    ".json": lambda rows: _bytes(as_json(rows)),
+    ".odt": lambda rows: as_zip(rows, "odt"),
+    ".docx": lambda rows: as_zip(rows, "docx"),
+    ".epub": lambda rows: as_zip(rows, "epub"),
+}
+#: Suffixes that are known and can't be written here: pages need a renderer.
+UNWRITTEN = (".pdf",)
+
+
+def exported(pieces_: DataFrame, suffixes: tuple[str, ...] = tuple(WRITERS)) -> DataFrame:
+    """document_id, suffix, content of documents by their column ``suffix``; those that nothing writes are left out (see ``refused``)."""
+    made = None
+    for suffix in suffixes:
+        one = WRITERS[suffix](pieces_.where(F.col("suffix") == suffix)).select("document_id", F.lit(suffix).alias("suffix"), "content")
+        made = one if made is None else made.unionByName(one)
+    return made
+
+
+def refused(docs: DataFrame) -> DataFrame:
+    """Documents (document_id, suffix) whose suffix nothing writes, and why."""
+    known = F.col("suffix").isin(*UNWRITTEN)
+    return docs.where(~F.coalesce(F.col("suffix").isin(*WRITERS), F.lit(False))).select("document_id", "suffix", F.when(known, "needs a renderer").otherwise("no such format").alias("error"))
+
+
+def write_back(originals: DataFrame, translations: DataFrame) -> DataFrame:
+    """path, content, error of word-processor files and e-books (path, content) whose texts (path, locator, text) are changed in
+    place. Every other member, and every other byte of a changed one, is as it was. A file that can't be
+    rewritten has an error and no content; one without translations stays as it is."""
+
+    def run(files: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for path, content in zip(files["path"], files["content"], strict=True):
+            try:
+                out.append((path, rewritten(path, bytes(content), list(zip(texts["locator"], texts["text"], strict=True))), None))
+            except Exception as e:  # noqa: BLE001  one bad file must not stop the others
+                out.append((path, None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(out, columns=["path", "content", "error"])
+
+    told = translations.select("path", "locator", "text")
+    return originals.select("path", "content").groupBy("path").cogroup(told.groupBy("path")).applyInPandas(run, "path string, content binary, error string")
+
+
+def rewritten(path: str, content: bytes, texts: list[tuple[str, str]]) -> bytes:
+    """An archive whose texts at the locators are changed, member by member."""
+    word = path.lower().endswith(".docx")
+    if not word and not path.lower().endswith(".epub"):
+        raise ValueError("only .docx and .epub can be written back")
+    by: dict[str, dict[int, str]] = {}
+    for locator, text in texts:
+        if locator is not None and text is not None:
+            member, _, place = ("word/document.xml", "", locator) if word else locator.rpartition(":")
+            by.setdefault(member, {})[int(place)] = text
+    out, change = io.BytesIO(), with_paragraphs if word else with_elements
+    with guarded(content) as old, zipfile.ZipFile(out, "w") as new:
+        for item in old.infolist():
+            data = old.read(item)
+            same = zipfile.ZipInfo(item.filename, item.date_time)
+            same.compress_type, same.external_attr, same.comment = item.compress_type, item.external_attr, item.comment
+            new.writestr(same, change(data, by[item.filename]) if item.filename in by else data)
+        new.comment = old.comment
+    return out.getvalue()
