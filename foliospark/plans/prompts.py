@@ -211,7 +211,7 @@ def snk_17(s, d):
     rows = T.models(s, d).groupBy("model_id").agg(F.min("filename").alias("filename"), F.count("*").alias("files"))
     K.replace_table(rows.limit(1), path)
     K.replace_table(rows, path)
-    return s.read.schema(rows.schema).parquet(path)
+    return K.current_table(s, path, rows.schema)
 
 
 # Text of pages

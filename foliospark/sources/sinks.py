@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -228,19 +229,44 @@ def converted(rows: DataFrame, taken: DataFrame) -> DataFrame:
     return used.select("id", F.concat("stem", mark, F.lit("."), "format").alias("name"))
 
 
-def replace_table(rows: DataFrame, path: str) -> None:
-    """Replace a small table as a whole: the new one is written beside it and then takes its place, so no reader sees half of it."""
+def _folders(spark, path: str) -> tuple:
+    """The file system of a table's folder, and the names of its versions in order."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath().getName() for f in system.listStatus(folder)] if system.exists(folder) else []
+    return system, sorted(n for n in found if n.startswith("version="))
+
+
+def replace_table(rows: DataFrame, path: str) -> str:
+    """Replace a small table as a whole: a new version is written under a hidden name and put in place by one rename. Whoever
+    reads an earlier one goes on reading it; of two writers at once the one with the greater name is read. Gives the version's name."""
     spark = rows.sparkSession
-    files = spark._jvm.org.apache.hadoop.fs
-    place, staged, old = (files.Path(f"{path}{x}") for x in ("", ".new", ".old"))
-    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    rows.write.mode("overwrite").parquet(f"{path}.new")
-    system.delete(old, True)
-    if system.exists(place):
-        system.rename(place, old)
-    if not system.rename(staged, place):
+    files, staged = spark._jvm.org.apache.hadoop.fs, f"{path}/.{uuid.uuid4().hex}"
+    rows.write.parquet(staged)
+    system, names = _folders(spark, path)
+    last = int(names[-1].split("=")[1].split("-")[0]) if names else 0
+    name = f"version={last + 1:012d}-{uuid.uuid4().hex[:8]}"
+    if not system.rename(files.Path(staged), files.Path(f"{path}/{name}")):
         raise OSError(f"{path} could not be replaced")
-    system.delete(old, True)
+    return name
+
+
+def current_table(spark, path: str, schema=None, version: str | None = None) -> DataFrame:
+    """The newest version of a table, or the one that is named."""
+    name = version or next(iter(reversed(_folders(spark, path)[1])), None)
+    if name is None:
+        raise FileNotFoundError(path)
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{path}/{name}")
+
+
+def drop_versions(spark, path: str, keep: int = 2) -> list[str]:
+    """Deletes all but the newest versions; readers of those have to be done by then. Gives the names that are gone."""
+    system, names = _folders(spark, path)
+    gone = names[: max(0, len(names) - max(1, keep))]
+    for n in gone:
+        system.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}"), True)
+    return gone
 
 
 def _bytes(bodies: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from foliospark.shared import shared_dir
+from foliospark.streaming.state import keyed_batches, latest, state_store
 
 EVENTS = "id long, task_id long, status string, message string, created_at timestamp, value double"
 
@@ -65,24 +66,34 @@ def idle_tasks(stream: DataFrame, seconds: int = 240) -> DataFrame:
     return rows.groupBy("task_id").applyInPandasWithState(run, "task_id long, last_ms long", "last_ms long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def publish_once(stream: DataFrame, target: str, checkpoint: str, make: Callable[[DataFrame], DataFrame]):
-    """Publishes each completed task once: a batch leaves out tasks already in the target, and its own folder is
-    overwritten if the batch is run again."""
+def first_of(stream: DataFrame, *keys: str) -> DataFrame:
+    """The first row of each key that the stream ever brings; its state is the keys seen, kept from trigger to trigger."""
+    return stream.dropDuplicates([*keys])
+
+
+def each_once(stream: DataFrame, target: str, checkpoint: str, make: Callable[[DataFrame], DataFrame]):
+    """What ``make`` gives of each row, once: a trigger's rows go into its own folder, which is overwritten if the trigger runs
+    again, and the checkpoint knows the triggers done; no trigger reads what others have written."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        done = rows.where("status = 'complete'").select("task_id").distinct()
-        try:
-            have = spark.read.parquet(target).where(F.col("batch") != number).select("task_id")
-            done = done.join(have, "task_id", "left_anti")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        make(done).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        make(rows).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def publish_once(stream: DataFrame, target: str, checkpoint: str, make: Callable[[DataFrame], DataFrame]):
+    """Publishes each task once, with its first completion."""
+    done = first_of(stream.where("status = 'complete'").select("task_id"), "task_id")
+    return each_once(done, target, checkpoint, make)
+
+
+def resume(stream: DataFrame, target: str, checkpoint: str, make: Callable[[DataFrame], DataFrame]):
+    """Works on the segments (task_id, block_ord, segment_ord, status, ..) that aren't complete, each once. Stopped at any time and started again with the
+    same target and checkpoint, it goes on with the triggers that weren't done."""
+    pending = first_of(stream.where("status <> 'complete'"), "task_id", "block_ord", "segment_ord")
+    return each_once(pending, target, checkpoint, make)
+
+
 def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
     """All there is now, through a stream into Parquet files in the shared folder: no row passes through the driver."""
     spark = stream.sparkSession
@@ -106,3 +117,15 @@ def published(stream: DataFrame) -> DataFrame:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
     publish_once(stream, f"{folder}/out", f"{folder}/checkpoint", lambda done: done).awaitTermination()
     return spark.read.schema("task_id long, batch int").parquet(f"{folder}/out")
+
+
+def drained(stream: DataFrame, *keys: str) -> DataFrame:
+    """All there is now through a stateful stream whose rows replace those of their keys; without keys all rows stay."""
+    spark = stream.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+    with state_store(spark):
+        writer = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+        writer.outputMode("update" if keys else "append").foreachBatch(keyed_batches(f"{folder}/rows")).start().awaitTermination()
+    return latest(spark, f"{folder}/rows", stream.schema, *keys) if keys else spark.read.schema(stream.schema).parquet(f"{folder}/rows").select(*stream.columns)

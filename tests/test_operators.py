@@ -1,9 +1,11 @@
 """Small fixtures for what SQL can't or doesn't show."""
 
 import io
+import threading
 import zipfile
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import answers as A
@@ -98,9 +100,32 @@ def test_prompt_has_no_empty_parts(spark):
 
 
 def test_tables_are_replaced_whole(spark, tmp_path):
-    for n in (3, 5):
-        K.replace_table(spark.range(n), f"{tmp_path}/registry")
-        assert spark.read.parquet(f"{tmp_path}/registry").count() == n
+    path = f"{tmp_path}/registry"
+    with pytest.raises(FileNotFoundError):
+        K.current_table(spark, path)
+    names = [K.replace_table(spark.range(n).coalesce(1), path) for n in (3, 5, 7)]
+    assert K.current_table(spark, path).count() == 7 and K.current_table(spark, path, version=names[0]).count() == 3
+    assert K.drop_versions(spark, path) == names[:1] and K.current_table(spark, path).count() == 7
+
+
+def test_readers_never_miss_a_table(spark, tmp_path):
+    path, failed, seen, stop = f"{tmp_path}/registry", [], set(), threading.Event()
+    K.replace_table(spark.range(1).coalesce(1), path)
+
+    def read():
+        while not stop.is_set():
+            try:
+                seen.add(K.current_table(spark, path, "id long").count())
+            except Exception as e:  # noqa: BLE001
+                failed.append(e)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for n in range(2, 8):
+        K.replace_table(spark.range(n).coalesce(1), path)
+    stop.set()
+    reader.join()
+    assert not failed and len(seen) > 1 and seen <= set(range(1, 8))
 
 
 def test_packs_keep_headings_and_lengths_apart(spark):
