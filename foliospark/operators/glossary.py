@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.operators.terms import LARGEST, automaton, letter, word
+
 
 def term_pattern(term: Column) -> Column:
     """A pattern that finds the term as whole words, whatever its case."""
@@ -21,8 +22,24 @@ def _words(text: Column) -> Column:
 
 
 def with_terms(rows: DataFrame, text: str, terms: DataFrame) -> DataFrame:
-    """rows joined to the terms (column term) that stand in their text as whole words: an equi-join on the term's first word,
-    then the pattern; terms without letters or digits are looked for by pattern alone."""
+    """rows joined to the terms (column term) that stand in their text as whole words. A list of up to LARGEST terms is
+    an automaton that reads each text once; a larger one is joined on the terms' first words."""
+    listed = terms.select("term").distinct().limit(LARGEST + 1).collect()  # of bounded size
+    if len(listed) > LARGEST:
+        return _joined_terms(rows, text, terms)
+    names = tuple(sorted(r["term"] for r in listed if r["term"]))
+
+    @F.pandas_udf("array<string>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = automaton(names, letter)
+        for texts in batches:
+            yield texts.map(lambda t: [names[n] for n in known.numbers(t or "")])
+
+    return rows.withColumn("term", F.explode(found(text))).join(terms, "term").select(*rows.columns, *terms.columns)
+
+
+def _joined_terms(rows: DataFrame, text: str, terms: DataFrame) -> DataFrame:
+    """The same by an equi-join on the term's first word, then the pattern; terms without letters or digits are looked for by pattern alone."""
     ready = terms.withColumn("g_pattern", term_pattern(F.col("term"))).withColumn("g_first", F.try_element_at(_words(F.col("term")), F.lit(1)))
     plain = ready.where("g_first IS NULL")
     found = rows.withColumn("g_word", F.explode(_words(F.col(text)))).join(ready, F.col("g_word") == F.col("g_first")).drop("g_word")
@@ -45,18 +62,27 @@ def add_terms(glossary: DataFrame, new: DataFrame) -> DataFrame:
     return clean.dropDuplicates(key).join(glossary, key, "left_anti")
 
 
+#: What a mark begins and ends with; between them its number.
+MARK = ("TERMQ", "QX")
+
+
 def protect(text: str, terms: list[tuple[str, str]]) -> tuple[str, dict[str, str]]:
     """Terms replaced by numbered marks, longest term first; and what each mark stands for."""
-    marks: dict[str, str] = {}
-    for source, target in sorted((t for t in terms if t[0]), key=lambda t: -len(t[0])):
+    name = lambda k: f"{MARK[0]}{k:04d}{MARK[1]}"
+    out, order = automaton(tuple(source for source, _ in terms), word).replaced(text, name)
+    return out, {name(k): terms[n][1] for k, n in enumerate(order)}
+
+
+def highlighted(text: Column, terms: list[str], before: str = "<mark>", after: str = "</mark>") -> Column:
+    """The text with marks around the terms, wherever they stand."""
+    names = tuple(terms)
 
-        def mark(_: re.Match, target: str = target) -> str:
-            name = f"TERMQ{len(marks):04d}QX"
-            marks[name] = target
-            return name
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else automaton(names).marked(t, before, after))
 
-        text = re.sub(rf"(?<!\w){re.escape(source)}(?!\w)", mark, text, flags=re.IGNORECASE)
-    return text, marks
+    return run(text)
 
 
 def restore(text: str, marks: dict[str, str]) -> str | None:
@@ -68,6 +94,12 @@ def restore(text: str, marks: dict[str, str]) -> str | None:
     return text
 
 
+def restored(text: Column, marks: Column) -> Column:
+    """The text with each mark of a map replaced, or null if a mark isn't there exactly once; inside Spark, mark by mark."""
+    once = lambda m: F.length(text) - F.length(F.replace(text, m, F.lit(""))) == F.length(m)
+    return F.when(F.forall(F.map_keys(marks), once), F.aggregate(F.map_entries(marks), text, lambda t, m: F.replace(t, m["key"], m["value"])))
+
+
 def protected(rows: DataFrame, terms: list[tuple[str, str]]) -> DataFrame:
     """rows with ``protected``, ``marks`` (map) and ``restored`` of their text."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.operators.folds import fold_sorted
 from foliospark.operators.views import let, strip
 
 #: Marks a cut while a text is split; a text's own mark characters are escaped meanwhile, so that none is lost.
@@ -128,38 +129,33 @@ def segments(blocks: DataFrame, most: int = 1100) -> DataFrame:
     return rows.select("document_id", F.col("ord").alias("block_ord"), F.posexplode(split_text(F.col("text"), most)).alias("segment_ord", "text"))
 
 
+#: A segment of so many characters at most is short, one of so many at least is long.
+SHORT, LONG = 48, 160
+
+
 def packs(rows: DataFrame, most: int, items: int = 4, group_blocks: bool = True) -> DataFrame:
     """task_id, block_ord, segment_ord, pack: greedy packs of short neighbours for one model call.
 
     A pack closes at ``items`` segments, where the next would exceed ``most`` characters (64 at least), where a short
-    segment (48 or fewer) meets a long one (160 or more), and between a heading and anything else. With
-    ``group_blocks`` a piece of a split block goes alone. Order within a task matters, so a task is one fold.
+    segment meets a long one, and between a heading and anything else. With ``group_blocks`` a piece of a split block goes
+    alone. Order within a task matters, so its segments stream through one fold.
     """
     limit = max(64, most)
-    one = F.struct("block_ord", "segment_ord", F.length("source").alias("n"), "kind", "whole")
-    tasks = (rows if group_blocks else rows.withColumn("whole", F.lit(True))).groupBy("task_id").agg(F.array_sort(F.collect_list(one)).alias("all"))
-
-    def step(x: Column, s: Column) -> Column:
-        least, longest = F.least(x["least"], s["n"]), F.greatest(x["longest"], s["n"])
-        mixed = (least <= 48) & (longest >= 160)
-        heading = (x["kind"] != s["kind"]) & ((x["kind"] == "heading") | (s["kind"] == "heading"))
-        close = (x["count"] > 0) & ((x["count"] >= items) | (x["size"] + s["n"] > limit) | mixed | heading | ~s["whole"] | ~x["whole"])
-        new = (x["count"] == 0) | close
-        pack = F.when(close, x["pack"] + 1).otherwise(x["pack"])
-        return F.struct(
-            pack.alias("pack"),
-            F.when(new, 1).otherwise(x["count"] + 1).alias("count"),
-            F.when(new, s["n"]).otherwise(x["size"] + s["n"]).alias("size"),
-            F.when(new, s["n"]).otherwise(least).alias("least"),
-            F.when(new, s["n"]).otherwise(longest).alias("longest"),
-            s["kind"].alias("kind"),
-            s["whole"].alias("whole"),
-            F.concat(x["out"], F.array(F.struct(s["block_ord"].alias("block_ord"), s["segment_ord"].alias("segment_ord"), pack.alias("pack")))).alias("out"),
-        )
-
-    zero = F.lit(0)
-    start = F.struct(zero.alias("pack"), zero.alias("count"), zero.alias("size"), zero.alias("least"), zero.alias("longest"), F.lit("").alias("kind"), F.lit(True).alias("whole"), F.array().cast("array<struct<block_ord:int,segment_ord:int,pack:int>>").alias("out"))
-    return tasks.select("task_id", F.explode(F.aggregate("all", start, step, lambda x: x["out"])).alias("x")).select("task_id", "x.*")
+
+    def step(pack: tuple | None, segment: tuple) -> tuple[tuple, tuple]:
+        size, kind, whole = segment
+        if pack is not None:
+            number, count, total, least, longest, other, alone = pack
+            mixed = min(least, size) <= SHORT and max(longest, size) >= LONG
+            heading = kind != other and "heading" in (kind, other)
+            if count < items and total + size <= limit and not mixed and not heading and whole and not alone:
+                return (number,), (number, count + 1, total + size, min(least, size), max(longest, size), kind, alone)
+        number = pack[0] + 1 if pack else 0
+        return (number,), (number, 1, size, size, size, kind, not whole)
+
+    whole = rows if group_blocks else rows.withColumn("whole", F.lit(True))
+    sized = whole.withColumn("n", F.length("source"))
+    return fold_sorted(sized, ["task_id"], ["block_ord", "segment_ord"], ["n", "kind", "whole"], step, "pack int")
 
 
 def context_window(pairs: DataFrame, key: str, order: list[str], room: int) -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.operators.folds import fold_sorted
+
 Translator = Callable[[str], str]
 
 
@@ -35,22 +37,46 @@ def call(rows: DataFrame, translator: Translator = stub, bare: str = "request")
                     answer, n = translator(plain), 2
                 out.append(answer)
                 tries.append(n)
-            yield pd.DataFrame({"request": b["request"], "bare": b["bare"], "output": out, "attempts": tries})
+            yield pd.DataFrame({"asked": b["asked"], "output": out, "attempts": tries})
 
-    asked = rows.withColumn("bare", F.col(bare))
-    answers = asked.select("request", "bare").distinct().mapInPandas(run, "request string, bare string, output string, attempts int")
-    return asked.join(answers, ["request", "bare"]).drop("bare")
+    digest = F.sha2(F.concat_ws("\u0000", F.length("request").cast("string"), "request", F.col(bare)), 256)  # what travels in place of both texts
+    asked = rows.withColumn("asked", digest)
+    once = asked.groupBy("asked").agg(F.first("request").alias("request"), F.first(bare).alias("bare"))
+    answers = once.mapInPandas(run, "asked string, output string, attempts int")
+    return asked.join(answers, "asked").drop("asked")
 
 
-def narratives(rows: DataFrame, every: int = 20) -> DataFrame:
-    """Where a task's running summary is due: at the first pack with ``every`` or more segments done since the last one."""
+#: Characters of new translations that a summary is made from, and of the summary itself.
+FRESH, SUMMARY = 1600, 900
 
-    tasks = rows.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("pack", "count"))).alias("all"))
+Summariser = Callable[[str, str], str]
+
+
+def stub_summary(summary: str, fresh: str) -> str:
+    """A deterministic stand-in for a model: what was there, and the start of what is new."""
+    return f"{summary} {fresh[:40]}"
 
-    def step(x, p):
-        done = x["done"] + p["count"]
-        due = done >= every
-        return F.struct(F.when(due, 0).otherwise(done).alias("done"), F.concat(x["out"], F.array(F.struct(p["pack"].alias("pack"), due.alias("due")))).alias("out"))
 
-    start = F.struct(F.lit(0).alias("done"), F.array().cast("array<struct<pack:int,due:boolean>>").alias("out"))
-    return tasks.select("task_id", F.explode(F.aggregate("all", start, step, lambda x: x["out"])).alias("x")).select("task_id", "x.*")
+def narratives(rows: DataFrame, every: int = 20, summarise: Summariser = stub_summary) -> DataFrame:
+    """due and narrative of each pack of a task (task_id, pack, count, output): the running summary of the book so far.
+
+    It is due at the first pack with ``every`` or more segments done since the last one, and made from the summary before it
+    and the end of the translations since then, its white space squeezed and cut to SUMMARY characters. A summariser that
+    fails leaves the summary as it was until the next one is due.
+    """
+
+    def step(state: tuple | None, pack: tuple) -> tuple[tuple, tuple]:
+        done, fresh, summary = state or (0, "", "")
+        done, text = done + pack[0], (pack[1] or "").strip()
+        fresh = (f"{fresh}\n{text}" if fresh and text else fresh or text)[-FRESH:]
+        due = done >= every
+        if due:
+            if fresh or summary:
+                try:
+                    summary = " ".join(summarise(summary, fresh).split())[:SUMMARY]
+                except Exception:  # noqa: BLE001  a summary is a help, no result
+                    pass
+            done, fresh = 0, ""
+        return (due, summary), (done, fresh, summary)
+
+    return fold_sorted(rows, ["task_id"], ["pack"], ["count", "output"], step, "due boolean, narrative string")

@@ -155,24 +155,24 @@ def win_08(s, d):
     return P.context_window(T.segments(s, d).where("status = 'complete'"), "task_id", ["block_ord", "segment_ord"], 90)
 
 
-_PACK = """o AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY block_ord, segment_ord) AS rn, length(source) AS n FROM (SELECT s.*, {whole} AS whole FROM segments s {where})),
+PACK = """o AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY block_ord, segment_ord) AS rn, length(source) AS n FROM (SELECT s.*, {whole} AS whole FROM segments s {where})),
 k(task_id, rn, block_ord, segment_ord, pack, cnt, size, least, longest, kind, whole) AS (
 SELECT task_id, rn, block_ord, segment_ord, 0, 1, n, n, n, kind, whole FROM o WHERE rn = 1 UNION ALL
 SELECT o.task_id, o.rn, o.block_ord, o.segment_ord, CASE WHEN x THEN pack + 1 ELSE pack END, CASE WHEN x THEN 1 ELSE cnt + 1 END, CASE WHEN x THEN n ELSE size + n END, CASE WHEN x THEN n ELSE least(k.least, n) END, CASE WHEN x THEN n ELSE greatest(k.longest, n) END, o.kind, o.whole
 FROM k JOIN o ON o.task_id = k.task_id AND o.rn = k.rn + 1, LATERAL (SELECT k.cnt >= 4 OR k.size + o.n > {most} OR (least(k.least, o.n) <= 48 AND greatest(k.longest, o.n) >= 160) OR (k.kind <> o.kind AND 'heading' IN (k.kind, o.kind)) OR NOT k.whole OR NOT o.whole AS x))"""
 
 
-@query("win_09_pack_pending", with_tables("segments", more=_PACK.format(whole="true", where="", most=500), recursive=True) + "SELECT task_id, block_ord, segment_ord, pack FROM k")
+@query("win_09_pack_pending", with_tables("segments", more=PACK.format(whole="true", where="", most=500), recursive=True) + "SELECT task_id, block_ord, segment_ord, pack FROM k")
 def win_09(s, d):
     return P.packs(T.segments(s, d), 500, group_blocks=False)
 
 
-@query("win_10_group_segments", with_tables("segments", more=_PACK.format(whole="segment_ord = 0 AND count(*) OVER (PARTITION BY task_id, block_ord) = 1", where="WHERE status <> 'complete'", most=500), recursive=True) + "SELECT task_id, block_ord, segment_ord, pack FROM k")
+@query("win_10_group_segments", with_tables("segments", more=PACK.format(whole="segment_ord = 0 AND count(*) OVER (PARTITION BY task_id, block_ord) = 1", where="WHERE status <> 'complete'", most=500), recursive=True) + "SELECT task_id, block_ord, segment_ord, pack FROM k")
 def win_10(s, d):
     return P.packs(V.whole_blocks(T.segments(s, d).where("status <> 'complete'")), 500)
 
 
-@query("jn_22_zip_outputs", with_tables("segments", more=_PACK.format(whole="true", where="", most=500) + ", z AS (SELECT *, row_number() OVER (PARTITION BY task_id, pack ORDER BY block_ord, segment_ord) - 1 AS pos, count(*) OVER (PARTITION BY task_id, pack) AS n FROM k)", recursive=True) + "SELECT task_id, block_ord, segment_ord, concat('out ', pos::STRING) AS translation FROM z WHERE n = 1 OR (task_id + pack) % 5 <> 0", )
+@query("jn_22_zip_outputs", with_tables("segments", more=PACK.format(whole="true", where="", most=500) + ", z AS (SELECT *, row_number() OVER (PARTITION BY task_id, pack ORDER BY block_ord, segment_ord) - 1 AS pos, count(*) OVER (PARTITION BY task_id, pack) AS n FROM k)", recursive=True) + "SELECT task_id, block_ord, segment_ord, concat('out ', pos::STRING) AS translation FROM z WHERE n = 1 OR (task_id + pack) % 5 <> 0", )
 def jn_22(s, d):
     packed = P.packs(T.segments(s, d), 500, group_blocks=False)
     n = F.count("*").cast("int")
@@ -228,29 +228,42 @@ def sc_22(s, d):
     return G.with_terms(T.blocks(s, d).select("text"), "text", terms).groupBy("term_id").agg(F.count("*").alias("blocks"))
 
 
-@query("sc_23_highlight")
+_ALTERNATIVES = "|".join(sorted({t[3] for t in T.GLOSSARY}, key=lambda x: (-len(x), x)))
+
+
+@query("sc_23_highlight", with_tables("blocks") + f"SELECT document_id, ord, regexp_replace(text, '(?i)({_ALTERNATIVES})', '<mark>\\1</mark>', 'g') AS marked FROM blocks")
 def sc_23(s, d):
-    """All occurrences of the terms, longest alternative first, whatever stands around them."""
-    terms = sorted({t[3] for t in T.GLOSSARY}, key=lambda x: (-len(x), x))
-    pattern = "(?iu)(" + "|".join(f"\\Q{t}\\E" for t in terms) + ")"
-    return T.blocks(s, d).select("document_id", "ord", F.size(F.regexp_extract_all("text", F.lit(pattern), 1)).alias("marks"))
+    """All occurrences of the terms marked, longest alternative first, whatever stands around them."""
+    return T.blocks(s, d).select("document_id", "ord", G.highlighted(F.col("text"), sorted({t[3] for t in T.GLOSSARY})).alias("marked"))
+
+
+_EN_RU = [(t[3], t[4]) for t in T.GLOSSARY if t[1] == "en" and t[2] == "ru"]
+
+
+def _protected() -> str:
+    """The longest term first: the text is split where a term stands and joined again with numbered marks; targets in their places give what comes back."""
+    steps = ["p0 AS (SELECT document_id, ord, text AS t, text AS back, 0::BIGINT AS n FROM blocks WHERE lang = 'en')"]
+    terms = sorted(_EN_RU, key=lambda t: -len(t[0]))
+    for k, (source, target) in enumerate(terms):
+        split = f"string_split_regex(t, '(?i)\\b{source}\\b')"
+        joined = f"array_to_string(list_transform({split}, lambda x, i: CASE WHEN i = 1 THEN x ELSE 'TERMQ' || lpad((n + i - 2)::VARCHAR, 4, '0') || 'QX' || x END), '')"
+        steps.append(f"p{k + 1} AS (SELECT document_id, ord, {joined} AS t, regexp_replace(back, '(?i)\\b{source}\\b', '{target}', 'g') AS back, n + len({split}) - 1 AS n FROM p{k})")
+    return ", ".join([*steps, f"p AS (SELECT * FROM p{len(terms)})"])
 
 
-@query("sc_20_protect_terms")
+@query("sc_20_protect_terms", with_tables("blocks", more=_protected()) + "SELECT document_id, ord, t AS protected, n::INTEGER AS marks, back AS restored FROM p")
 def sc_20(s, d):
     """Terms as numbered marks and back; restored is null where a mark was lost."""
-    terms = [(t[3], t[4]) for t in T.GLOSSARY if t[1] == "en" and t[2] == "ru"]
-    return G.protected(T.blocks(s, d).where("lang = 'en'").select("document_id", "ord", "text"), terms).select("document_id", "ord", "protected", F.size("marks").alias("marks"), "restored")
+    return G.protected(T.blocks(s, d).where("lang = 'en'").select("document_id", "ord", "text"), _EN_RU).select("document_id", "ord", "protected", F.size("marks").alias("marks"), "restored")
 
 
-@query("sc_21_restore_terms", with_tables("segments") + "SELECT task_id, block_ord, segment_ord, source AS restored, true AS intact FROM segments")
+@query("sc_21_restore_terms", with_tables("blocks", more=_protected()) + "SELECT document_id, ord, CASE WHEN document_id % 3 > 0 OR n = 0 THEN back END AS restored FROM p")
 def sc_21(s, d):
-    """Marks replaced by a fold over the map's entries; intact only if each mark stands once."""
-    marked = F.concat(F.lit("TERMQ0000QX"), F.substring("source", 8, 1000))
-    rows = T.segments(s, d).withColumn("marked", marked).withColumn("marks", F.create_map(F.lit("TERMQ0000QX"), F.lit("Segment")))
-    restored = F.aggregate(F.map_entries("marks"), F.col("marked"), lambda t, m: F.replace(t, m["key"], m["value"]))
-    intact = F.forall(F.map_keys("marks"), lambda m: (F.length("marked") - F.length(F.replace(F.col("marked"), m, F.lit("")))) == F.length(m))
-    return rows.select("task_id", "block_ord", "segment_ord", restored.alias("restored"), intact.alias("intact"))
+    """Marks replaced by their terms' translations; a third of the documents have lost their first mark or have it twice, and give nothing."""
+    rows = G.protected(T.blocks(s, d).where("lang = 'en'").select("document_id", "ord", "text"), _EN_RU).select("document_id", "ord", "protected", "marks")
+    first = F.lit("".join((G.MARK[0], "0000", G.MARK[1])))
+    spoiled = F.when(F.col("document_id") % 6 == 0, F.replace("protected", first, F.lit(""))).when(F.col("document_id") % 3 == 0, F.replace("protected", first, F.concat(first, F.lit(" "), first))).otherwise(F.col("protected"))
+    return rows.select("document_id", "ord", G.restored(spoiled, F.col("marks")).alias("restored"))
 
 
 @query("dml_01_add_terms", with_tables("terms", more="n AS (SELECT DISTINCT 'en' AS source_lang, 'ru' AS target_lang, trim(split_part(p_name, ' ', 1)) AS source, trim(split_part(p_name, ' ', 2)) AS target FROM part UNION SELECT source_lang, target_lang, source, target FROM terms WHERE id < 3)") + "SELECT n.* FROM n ANTI JOIN terms t USING (source_lang, target_lang, source, target)")

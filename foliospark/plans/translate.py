@@ -9,6 +9,7 @@ from foliospark.operators import segments as P
 from foliospark.operators import translate as R
 from foliospark.operators import views as V
 from foliospark.plans.registry import query
+from foliospark.plans.texts import PACK
 from foliospark.sources import importers as I
 from foliospark.sources import sinks as K
 from foliospark.sources import tables as T
@@ -39,9 +40,18 @@ def pipeline_b(s, d):
     return V.assembled(P.zip_outputs(packed, answers.select("task_id", "pack", "output")), "translation")
 
 
-@query("udf_04_narrative_due")
+_PACKED = PACK.format(whole="segment_ord = 0 AND count(*) OVER (PARTITION BY task_id, block_ord) = 1", where="", most=500)
+_NARRATIVE = (
+    "a AS (SELECT k.task_id, k.pack, count(*) AS count, string_agg(array_to_string(list_reverse(string_split(s.source, ' ')), ' '), chr(10) || chr(10) ORDER BY k.block_ord, k.segment_ord) AS output FROM k JOIN segments s ON s.task_id = k.task_id AND s.block_ord = k.block_ord AND s.segment_ord = k.segment_ord GROUP BY k.task_id, k.pack), "
+    "r AS (SELECT task_id, pack, 1 AS n, CASE WHEN count >= 5 THEN 0 ELSE count END AS done, CASE WHEN count >= 5 THEN '' ELSE trim(output) END AS fresh, CASE WHEN count >= 5 THEN left(trim(regexp_replace(' ' || left(trim(output), 40), '\\s+', ' ', 'g')), 900) ELSE '' END AS narrative, count >= 5 AS due FROM a WHERE pack = 0 UNION ALL "
+    "SELECT task_id, pack, n, CASE WHEN due THEN 0 ELSE now END, CASE WHEN due THEN '' ELSE text END, CASE WHEN due THEN left(trim(regexp_replace(narrative || ' ' || left(text, 40), '\\s+', ' ', 'g')), 900) ELSE narrative END, due FROM "
+    "(SELECT a.task_id, a.pack, r.n + 1 AS n, r.done + a.count AS now, right(CASE WHEN r.fresh = '' THEN trim(a.output) ELSE r.fresh || chr(10) || trim(a.output) END, 1600) AS text, r.narrative, r.done + a.count >= 5 AS due FROM r JOIN a ON a.task_id = r.task_id AND a.pack = r.pack + 1)) "
+)
+
+
+@query("udf_04_narrative_due", with_tables("segments", more=f"{_PACKED}, {_NARRATIVE}", recursive=True) + "SELECT task_id, pack, due, narrative FROM r")
 def udf_04(s, d):
-    return R.narratives(_calls(s, d)[2].select("task_id", "pack", "count"), every=5)
+    return R.narratives(_calls(s, d)[2].select("task_id", "pack", "count", "output"), every=5)
 
 
 @query("src_02_decoded", "SELECT doc_id, 'utf-8' AS encoding, text FROM documents")
