@@ -84,7 +84,7 @@ class Terms:
         """The text with names in place of its terms, and the terms in the order of the names.
 
         The longest terms take their places first, equally long ones in their own order, each from left to right; a term can't
-        stand in or right beside a place that is taken, as a name is a word of its own.
+        stand in or right beside the place of one before it, as a name is a word of its own.
         """
         places: dict[int, list[tuple[int, int]]] = {}
         for start, end, numbers in self.hits(text):
@@ -92,10 +92,13 @@ class Terms:
         taken = bytearray(len(text) + 2)  # one more on either side
         chosen: list[tuple[int, int, int]] = []
         for n in sorted(places, key=lambda n: (-len(self.terms[n]), n)):
+            mine: list[tuple[int, int, int]] = []
             for start, end in sorted(places[n]):
-                if not any(taken[start : end + 2]):
-                    taken[start + 1 : end + 1] = b"\1" * (end - start)
-                    chosen.append((start, end, n))
+                if not any(taken[start : end + 2]) and (not mine or start >= mine[-1][1]):
+                    mine.append((start, end, n))
+            for start, end, _ in mine:
+                taken[start + 1 : end + 1] = b"\1" * (end - start)
+            chosen += mine
         at, out = 0, []
         for start, end, k in sorted((s, e, k) for k, (s, e, _) in enumerate(chosen)):
             out += [text[at:start], name(k)]

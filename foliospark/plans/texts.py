@@ -332,11 +332,16 @@ def _echo(a: str, b: str) -> str:
 
 _reason = f"CASE WHEN contains({_o}, '</think>') THEN list_last(string_split({_o}, '</think>')) WHEN contains({_o}, '<think>') THEN '' ELSE {_o} END"
 _column("sc_30_reasoning", "clean", lambda o, s, c: C.without_reasoning(o), _STRIP.format(x=f"regexp_replace({_reason}, '<\\|[a-z_]+\\|>', '', 'g')"))
-_lab = "(trim(regexp_extract({x}, '^[\\[［【]\\s*([^\\]］】\\n]{{1,40}}?)\\s*[\\]］】]\\s*', 1)) <> '' AND NOT regexp_matches(regexp_extract({x}, '^[\\[［【]\\s*([^\\]］】\\n]{{1,40}}?)\\s*[\\]］】]\\s*', 1), '[.!?…。！？]'))"
-_rest = "regexp_replace({x}, '^[\\[［【]\\s*([^\\]］】\\n]{{1,40}}?)\\s*[\\]］】]\\s*', '')"
-_column("sc_31_bare_headers", "has_header", lambda o, s, c: C.has_bare_header(o), f"len(list_filter(string_split({_o}, chr(10)), lambda x: {_lab.format(x='trim(x)')} AND trim({_rest.format(x='trim(x)')}) = '')) > 0")
-_column("sc_31_without_headers", "clean", lambda o, s, c: C.without_headers(o), None)
-_column("sc_37_emphasis_label", "label", lambda o, s, c: C.has_emphasis_label(o), f"len(list_filter(string_split({_o}, chr(10)), lambda x: regexp_extract(x, '^\\s*\\*{{1,3}}\\s*([^*\\n]{{1,80}}?)\\s*\\*{{1,3}}\\s*$', 1) <> '' AND NOT regexp_matches(regexp_extract(x, '^\\s*\\*{{1,3}}\\s*([^*\\n]{{1,80}}?)\\s*\\*{{1,3}}\\s*$', 1), '[.!?…]') AND len(string_split(trim(regexp_extract(x, '^\\s*\\*{{1,3}}\\s*([^*\\n]{{1,80}}?)\\s*\\*{{1,3}}\\s*$', 1)), ' ')) <= 8)) > 0")
+_UPTO = "strpos(translate({x}, '］】', ']]'), ']')"
+_INNER = _SQUEEZE.format(x="substr({x}, 2, greatest(" + _UPTO + " - 2, 0))")
+_LABEL = "(left({x}, 1) IN ('[', '［', '【') AND " + _UPTO + " > 0 AND length(" + _INNER + ") BETWEEN 1 AND 40 AND translate(" + _INNER + ", '.!?…。！？', '') = " + _INNER + ")"
+_BODY = "CASE WHEN " + _LABEL + " THEN " + _STRIP.format(x="substr({x}, " + _UPTO + " + 1)") + " ELSE {x} END"
+_STRIPPED = f"list_transform(string_split({_o}, chr(10)), lambda y: {_STRIP.format(x='y')})"
+_column("sc_31_bare_headers", "has_header", lambda o, s, c: C.has_bare_header(o), f"len(list_filter({_STRIPPED}, lambda x: {_LABEL.format(x='x')} AND {_BODY.format(x='x')} = '')) > 0")
+_bodies = f"list_transform({_STRIPPED}, lambda x: {{'label': {_LABEL.format(x='x')}, 'body': {_BODY.format(x='x')}}})"
+_column("sc_31_without_headers", "clean", lambda o, s, c: C.without_headers(o), f"CASE WHEN len(list_filter({_bodies}, lambda b: b.body <> '')) > 0 THEN {_STRIP.format(x=f'array_to_string(list_transform(list_filter({_bodies}, lambda b: NOT (b.label AND b.body = ' + chr(39) * 2 + ')), lambda b: b.body), chr(10))')} ELSE {_STRIP.format(x=_o)} END")
+_starred = "length(x) - length(ltrim(x, '*')) BETWEEN 1 AND 3 AND length(x) - length(rtrim(x, '*')) BETWEEN 1 AND 3 AND length({i}) BETWEEN 1 AND 80 AND len(string_split({i}, ' ')) <= 8 AND translate(trim(x, '*'), '*.!?…', '') = trim(x, '*')".format(i=_SQUEEZE.format(x="trim(x, '*')"))
+_column("sc_37_emphasis_label", "label", lambda o, s, c: C.has_emphasis_label(o), f"len(list_filter({_STRIPPED}, lambda x: {_starred})) > 0")
 _column("sc_39_same_text", "same", lambda o, s, c: C.same_text(o, s), _same(_o, _s))
 _column("sc_39_collapsed", "collapsed", lambda o, s, c: C.collapsed(o), _collapse(_o))
 _column("sc_39_repeats_source", "repeats", lambda o, s, c: C.repeats_source(o, s), f"{_echo(_o, _s)} OR (length({_SQUEEZE.format(x=f'lower({_s})')}) >= 8 AND contains({_SQUEEZE.format(x=f'lower({_o})')}, {_SQUEEZE.format(x=f'lower({_s})')}))")
