@@ -88,14 +88,23 @@ def intrusion(text: Column, source: Column, code: Column) -> Column:
     return let(_measured(text, allowed_scripts(source, code)), judged)
 
 
+def _without(script: str):
+    """What takes a script's characters away where it is among the bad ones."""
+    return lambda text: F.when(F.array_contains("s_bad", script), F.regexp_replace(text, SCRIPTS[script], "")).otherwise(text)
+
+
 def with_foreign_removed(rows: DataFrame, text: str, source: str, code: str, out: str) -> DataFrame:
-    """rows with ``out``: the text without a foreign minority; one that is mostly foreign stays. Step by step, so that
-    no count is written out twice in the plan."""
+    """rows with ``out``: the text without a foreign minority; one that is mostly foreign stays. Both texts are counted once, and
+    the scripts' patterns are fixed, each used where its script has to go."""
     t = F.col(text)
-    rows = rows.withColumns({"s_found": counts(t), "s_allowed": allowed_scripts(F.col(source), F.col(code)), "s_in": intrusion(t, F.col(source), F.col(code))})
-    foreign = F.aggregate(F.map_entries("s_found"), F.lit(0), lambda s, x: s + F.when(F.array_contains("s_allowed", x["key"]), 0).otherwise(x["value"]))
-    patterns = F.create_map(*[F.lit(x) for pair in SCRIPTS.items() for x in pair])
-    bad = F.filter(F.map_keys("s_found"), lambda k: ~F.array_contains("s_allowed", k))
-    rows = rows.withColumns({"s_foreign": foreign, "s_total": _total(F.col("s_found")), "s_bad": F.concat(F.lit("("), F.array_join(F.transform(bad, lambda k: F.element_at(patterns, k)), "|"), F.lit(")"))})
-    cleaned = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, F.col("s_bad"), F.lit("")), r"[ \t]{2,}", " "), r" +([,.;:!?…])", "$1"))
-    return rows.withColumn(out, F.when(~F.col("s_in") | (F.col("s_foreign") * 2 >= F.col("s_total")), t).otherwise(cleaned)).drop("s_found", "s_allowed", "s_in", "s_foreign", "s_total", "s_bad")
+    rows = rows.withColumns({"s_found": counts(t), "s_target": target_scripts(F.col(code)), "s_source": F.map_keys(counts(F.col(source)))})
+    rows = rows.withColumns({"s_allowed": F.array_union("s_target", "s_source"), "s_total": _total(F.col("s_found"))})
+    bad = F.map_filter("s_found", lambda k, _: ~F.array_contains("s_allowed", k))
+    rows = rows.withColumns({"s_bad": F.map_keys(bad), "s_foreign": _total(bad), "s_strange": F.exists(F.map_entries(bad), lambda e: e["key"].isin("han", "kana", "hangul") | (e["value"] * 2 >= F.col("s_total")))})
+    small = (F.size("s_target") > 0) & (F.col("s_total") >= 2) & F.col("s_strange") & (F.col("s_foreign") * 2 < F.col("s_total"))
+    left = t
+    for script in SCRIPTS:
+        left = let(left, _without(script))
+    rows = rows.withColumn("s_left", F.when(small, left))
+    tidy = F.trim(F.regexp_replace(F.regexp_replace("s_left", r"[ \t]{2,}", " "), r" +(?=[,.;:!?…])", ""))
+    return rows.withColumn(out, F.when(small, tidy).otherwise(t)).drop("s_found", "s_target", "s_source", "s_allowed", "s_total", "s_bad", "s_foreign", "s_strange", "s_left")

@@ -8,7 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.functions import cleaning as C
+from foliospark.functions import scripts
 from foliospark.operators.folds import fold_sorted
+from foliospark.shared import shared_dir
 
 Translator = Callable[[str], str]
 
@@ -46,6 +49,38 @@ def call(rows: DataFrame, translator: Translator = stub, bare: str = "request")
     return asked.join(answers, "asked").drop("asked")
 
 
+def attempted(rows: DataFrame, translator: Translator = stub) -> DataFrame:
+    """rows (request, bare, source, code, previous, supplied) with ``output``, ``attempts`` and ``error``: finished answers.
+
+    An answer that missed (see ``cleaning.missed``) or repeats the background is asked for once more without any, if there was some,
+    or if the answer is the source again or in a foreign script. What stays empty then is an error. Each of
+    the two calls is a table of its own, so that no request is sent twice.
+    """
+    shared_dir(rows.sparkSession)
+
+    def asked(these: DataFrame, request: str) -> DataFrame:
+        once = these.withColumn("asked", F.sha2(request, 256)).groupBy("asked").agg(F.first(request).alias("text"))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"asked": b["asked"], "raw": [translator(t) for t in b["text"]]})
+
+        answers = once.mapInPandas(run, "asked string, raw string")
+        return these.join(answers, F.sha2(these[request], 256) == answers["asked"]).drop("asked")
+
+    columns = rows.columns
+    first = C.with_finished(asked(rows, "request"), "raw", "source", "code", "output", "previous")
+    background = F.array_join("previous", " ")
+    again = scripts.intrusion(F.col("output"), F.col("source"), F.col("code")) | C.echoes(F.col("output"), F.col("source"))
+    bad = C.missed(F.col("output"), F.col("source"), F.col("code"), F.col("previous")) | C.repeats_context(F.col("output"), background)
+    judged = first.withColumn("retry", bad & (F.col("supplied") | again)).select(*columns, "output", "retry").checkpoint()
+    none = F.array().cast("array<string>")
+    second = C.with_finished(asked(judged.where("retry").drop("output"), "bare").withColumn("no_previous", none), "raw", "source", "code", "output", "no_previous")
+    both = judged.where("NOT retry").select(*columns, "output", F.lit(1).alias("attempts")).unionByName(second.select(*columns, "output", F.lit(2).alias("attempts")))
+    done = scripts.with_foreign_removed(both, "output", "source", "code", "output")
+    return done.withColumn("error", F.when(F.trim("output") == "", "the answer is empty"))
+
+
 #: Characters of new translations that a summary is made from, and of the summary itself.
 FRESH, SUMMARY = 1600, 900
 

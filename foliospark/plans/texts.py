@@ -380,13 +380,40 @@ _ok = {k: "(" + " OR ".join([f"{_n(k, _s)} > 0", *[f"code = '{c}'" for c, v in _
 _intr = f"CASE WHEN {_sum(_o)} < 2 THEN false ELSE " + " OR ".join(f"({_n(k, _o)} > 0 AND NOT {_ok[k]}" + ("" if k in ("han", "kana", "hangul") else f" AND 2 * {_n(k, _o)} >= {_sum(_o)}") + ")" for k in S.SCRIPTS) + " END"
 _column("sc_52_script_fits", "fits", lambda o, s, c: S.fits(o, c), _fits)
 _column("sc_53_intrusion", "intrusion", lambda o, s, c: S.intrusion(o, s, c), _intr)
-_column("sc_44_missed", "missed", lambda o, s, c: C.missed(o, s, c, F.array()), None)
-_column("sc_38_polished", "clean", lambda o, s, c: C.polished(C.paired_quotes(o), F.lit("ru")), None)
+_leaked = f"(length({_SQUEEZE.format(x='prev')}) >= 4 AND len(list_filter(string_split({_o}, chr(10)), lambda x: starts_with(lower({_SQUEEZE.format(x='x')}), lower({_SQUEEZE.format(x='prev')})))) > 0)"
+_header = f"len(list_filter({_STRIPPED}, lambda x: {_LABEL.format(x='x')} AND {_BODY.format(x='x')} = '')) > 0"
+_scaffold = "(" + " OR ".join(f"contains(lower({_o}), '{x}')" for x in C.SCAFFOLD) + ")"
+_missed = f"{_STRIP.format(x=_o)} = '' OR {_echo(_o, _s)} OR len(list_filter({_STRIPPED}, lambda x: {_starred})) > 0 OR {_header} OR {_scaffold} OR coalesce({_leaked}, false) OR ({_intr}) OR NOT ({_fits})"
+
+
+@query("sc_44_missed", _OUTS.rstrip() + ", w AS (SELECT *, lag(output) OVER (PARTITION BY document_id ORDER BY ord) AS prev FROM outs) " + f"SELECT document_id, ord, {_missed} AS missed FROM w")
+def sc_44(s, d):
+    """Answers that say nothing, with the answer before as what they mustn't repeat."""
+    before = F.array_compact(F.array(F.lag("output").over(Window.partitionBy("document_id").orderBy("ord"))))
+    rows = _outs(s, d).withColumn("previous", before)
+    return rows.select("document_id", "ord", C.missed(F.col("output"), F.col("source"), F.col("code"), F.col("previous")).alias("missed"))
+
+
+_QUOTED = (
+    f"list_reduce(list_prepend({{'open': false, 'out': ''}}, list_transform(range(1, length({_o})::BIGINT + 1), lambda i: {{'open': false, 'out': substr({_o}, i, 1)}})), lambda a, x: "
+    "{'open': CASE WHEN x.out IN ('«', '„') OR x.out IN ('\"', '“') AND NOT a.open THEN true WHEN x.out IN ('»', '”', '\"', '“') THEN false ELSE a.open END, "
+    "'out': a.out || CASE WHEN x.out IN ('«', '„') OR x.out IN ('\"', '“') AND NOT a.open THEN '«' WHEN x.out IN ('»', '”', '\"', '“') THEN '»' ELSE x.out END}).out"
+)
+_prose = _QUOTED
+for _where, _instead in (("«([,.;:!?…»)(—–-]|$)", "»\\1"), ("[ \\t]+([,.;:!?…»])", "\\1"), ("([,.;:!?])\\s*,", "\\1"), ("«[ \\t]+", "«"), ("([.!?…»])\\(", "\\1 (")):
+    _prose = f"regexp_replace({_prose}, '{_where}', '{_instead}', 'g')"
+_column("sc_38_polished", "clean", lambda o, s, c: C.polished(C.paired_quotes(o), F.lit("ru")), _prose)
 _column("sc_50_target_scripts", "scripts", lambda o, s, c: F.array_join(F.array_sort(S.target_scripts(c)), ","), "CASE code " + " ".join(f"WHEN '{k}' THEN '{','.join(sorted(v))}'" for k, v in _TARGETS.items()) + " END")
 _column("sc_51_allowed_scripts", "scripts", lambda o, s, c: F.array_join(F.array_sort(S.allowed_scripts(s, c)), ","), "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN {_ok[k]} THEN '{k}' END" for k in S.SCRIPTS) + "], lambda x: x IS NOT NULL)), ',')")
 
 
-@query("sc_54_without_foreign")
+_left = _o
+for _k, _v in S.SCRIPTS.items():
+    _left = f"regexp_replace({_left}, CASE WHEN {_ok[_k]} OR {_n(_k, _o)} = 0 THEN '[^\\x{{0}}-\\x{{10FFFF}}]' ELSE '{_v}' END, '', 'g')"
+_foreign = "(" + " + ".join(f"CASE WHEN {_ok[k]} THEN 0 ELSE {_n(k, _o)} END" for k in S.SCRIPTS) + ")"
+
+
+@query("sc_54_without_foreign", _OUTS + f"SELECT document_id, ord, CASE WHEN ({_intr}) AND 2 * {_foreign} < {_sum(_o)} THEN trim(regexp_replace(regexp_replace({_left}, '[ \\t]{{2,}}', ' ', 'g'), ' +([,.;:!?…])', '\\1', 'g')) ELSE {_o} END AS clean FROM outs")
 def sc_54(s, d):
     return S.with_foreign_removed(_outs(s, d), "output", "source", "code", "clean").select("document_id", "ord", "clean")
 
