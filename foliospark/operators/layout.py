@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.operators.ranges import overlapping, within
 from foliospark.operators.views import strip
 
+#: Side of the cells in which boxes and lines of a page meet, about the length of a short line.
+CELL = 64.0
+
 
 def group_ocr_lines(lines: DataFrame) -> DataFrame:
     """lines with ``paragraph``: a new one far below, far above or beside the last line; lines of digits stand alone."""
@@ -31,12 +35,13 @@ def paragraphs(lines: DataFrame) -> DataFrame:
 
 
 def outside_boxes(lines: DataFrame, boxes: DataFrame, pad: int = 6, share: float = 0.35) -> DataFrame:
-    """Lines of which no box of their page covers more than a share. Lines meet the boxes of their own page only."""
-    b = boxes.select("page", *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
-    wide = F.least("x1", F.col("b_x1") + pad) - F.greatest("x0", F.col("b_x0") - pad)
-    high = F.least("y1", F.col("b_y1") + pad) - F.greatest("y0", F.col("b_y0") - pad)
+    """Lines of which no box of their page covers more than a share. Lines meet the boxes in the same cells of their page only."""
+    b = boxes.select("page", *[(F.col(c) + d).alias(f"b_{c}") for c, d in (("x0", -pad), ("y0", -pad), ("x1", pad), ("y1", pad))])
+    wide = F.least("x1", "b_x1") - F.greatest("x0", "b_x0")
+    high = F.least("y1", "b_y1") - F.greatest("y0", "b_y0")
     area = F.greatest(F.lit(1), (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
-    covered = lines.join(b, "page").where((wide > 0) & (high > 0) & (wide * high / area > share)).select("page", "idx").distinct()
+    met = overlapping(lines, b, ["page"], [("x0", "x1", "b_x0", "b_x1"), ("y0", "y1", "b_y0", "b_y1")], CELL)
+    covered = met.where(wide * high / area > share).select("page", "idx").distinct()
     return lines.join(covered, ["page", "idx"], "left_anti")
 
 
@@ -90,7 +95,7 @@ def header_partner(headers: DataFrame) -> DataFrame:
     left = rows.where("col = 0").select("page", "idx", "baseline")
     right = rows.where("col = 1").select("page", F.col("idx").alias("partner"), F.col("baseline").alias("b"))
     far = F.abs(F.col("baseline") - F.col("b"))
-    near = left.join(right, "page").where(far <= 2.0).withColumn("n", F.row_number().over(Window.partitionBy("page", "idx").orderBy(far, "partner")))
+    near = within(left, right, ["page"], "baseline", "b", 2.0).withColumn("n", F.row_number().over(Window.partitionBy("page", "idx").orderBy(far, "partner")))
     return near.where("n = 1").select("page", "idx", "partner")
 
 

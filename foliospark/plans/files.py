@@ -144,3 +144,50 @@ def snk_08(s, d):
 @query("snk_09_epub_write_back", _back(3))
 def snk_09(s, d):
     return _rewritten(s, d, "epub")
+
+
+#: Letters of a made-up Cyrillic text, which old files hold in CP1251.
+_LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувшхыз"
+_OLD = f"translate(regexp_replace(lower(text), '[^a-z .,]', ''), '{_LATIN}', '{_CYRILLIC}')"
+_OLD_DUCK = _OLD.replace("'')", "'', 'g')")
+_NAMES = (".txt", ".md", ".markdown", ".docx", ".zip")
+_LIMIT = 6000
+
+
+def _written(s: SparkSession, d: str) -> str:
+    """Documents as files: two in three in UTF-8, with or without its mark, one in CP1251, every fiftieth in neither."""
+    folder = _folder(s, "files")
+    rows = T.documents(s, d).select("document_id", F.col("text"), F.expr(_OLD).alias("old"))
+
+    @F.pandas_udf("binary")
+    def cp1251(texts):
+        return texts.map(lambda t: t.encode("cp1251"))
+
+    n = F.col("document_id")
+    utf8 = F.concat(F.when(n % 2 == 0, F.unhex(F.lit("EFBBBF"))).otherwise(F.unhex(F.lit(""))), F.encode("text", "UTF-8"))
+    content = F.when(n % 50 == 0, F.unhex(F.lit("FF98FF"))).when(n % 3 == 1, cp1251("old")).otherwise(utf8)
+    name = F.concat(F.lit("book-"), n.cast("string"), F.expr(T.pick("document_id", _NAMES)))
+    S.write(rows.select(name.alias("name"), content.alias("content")), folder)
+    return folder
+
+
+_BYTES = f"SELECT document_id, {T.pick('document_id', _NAMES)} AS suffix, CASE WHEN document_id % 50 = 0 THEN 3 WHEN document_id % 3 = 1 THEN length({_OLD_DUCK}) ELSE strlen(text) + CASE WHEN document_id % 2 = 0 THEN 3 ELSE 0 END END AS length, text, {_OLD_DUCK} AS old FROM docs"
+
+
+@query("src_01_files", with_tables("docs", more=f"b AS ({_BYTES})") + f"SELECT document_id, suffix, length::BIGINT AS length, CASE WHEN suffix NOT IN ('.txt', '.md', '.markdown', '.docx') THEN 'no reader' WHEN length > {_LIMIT} THEN 'too large' END AS refused FROM b")
+def src_01_files(s, d):
+    """What an import makes of a folder's files before it reads any: only their names and lengths are looked at."""
+    found = s.read.format("binaryFile").load(_written(s, d)).select("path", "length")
+    routed = I.routes(found.withColumn("name", F.element_at(F.split("path", "/"), -1)))
+    refused = F.when(~F.col("suffix").isin(*I.SUFFIXES), "no reader").when(F.col("length") > _LIMIT, "too large")
+    return routed.select(_id("path").alias("document_id"), "suffix", "length", refused.alias("refused"))
+
+
+@query(
+    "src_02_binary_files",
+    with_tables("docs", more=f"b AS ({_BYTES})") + f"SELECT document_id, CASE WHEN document_id % 50 = 0 THEN NULL WHEN document_id % 3 = 1 AND regexp_matches(old, '[{_CYRILLIC}]') THEN 'cp1251' ELSE 'utf-8' END AS encoding, md5(CASE WHEN document_id % 50 = 0 THEN NULL WHEN document_id % 3 = 1 THEN old ELSE text END) AS text_md5 FROM b WHERE suffix IN ('.txt', '.md', '.markdown') AND length <= {_LIMIT}",
+)
+def src_02_files(s, d):
+    """Text files of bounded length, read as bytes: names and lengths are filtered before any content is. A file in neither encoding is a row without text."""
+    raw = s.read.format("binaryFile").option("pathGlobFilter", "*.{txt,md,markdown}").load(_written(s, d)).where(F.col("length") <= _LIMIT)
+    return I.decoded(raw, "content").select(_id("path").alias("document_id"), "encoding", F.md5(F.col("text").cast("binary")).alias("text_md5"))

@@ -76,7 +76,7 @@ def jn_20(s, d):
     return L.header_partner(T.glyph_lines(s, d))
 
 
-@query("win_15_spread_headers")
+@query("win_15_spread_headers", with_tables("glyphs", more=f"c AS (SELECT *, {_COL} AS col FROM glyphs)") + "SELECT page, idx, partner FROM (SELECT l.page, l.idx, r.idx AS partner, row_number() OVER (PARTITION BY l.page, l.idx ORDER BY abs(l.baseline - r.baseline), r.idx) AS n FROM c l JOIN c r ON l.page = r.page AND l.col = 0 AND r.col = 1 AND abs(l.baseline - r.baseline) <= 2) WHERE n = 1" + " QUALIFY row_number() OVER (PARTITION BY page, partner ORDER BY idx) = 1")
 def win_15(s, d):
     """Each right half is used once: by the first left half that wants it."""
     near = L.header_partner(T.glyph_lines(s, d))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import cleaning as C
+from foliospark.functions import languages as L
 from foliospark.functions import scripts as S
 from foliospark.operators import glossary as G
 from foliospark.operators import segments as P
@@ -424,6 +425,26 @@ def sc_43(s, d):
     return C.with_finished(_outs(s, d).withColumn("previous", before), "output", "source", "code", "clean", "previous").select("document_id", "ord", "clean")
 
 
+_GRAMS = "unnest(list_transform(range(1, length(c) - 1), lambda i: substr(c, i, 3))) AS g"
+_FOLD = _SQUEEZE.format(x="lower(text)")
+
+
+@query(
+    "sc_55_language_profiles",
+    f"WITH d AS (SELECT doc_id, lang, {_FOLD} AS c FROM documents), k AS (SELECT lang, g, count(*) AS n FROM (SELECT lang, {_GRAMS} FROM d WHERE doc_id % 5 <> 0) GROUP BY lang, g), "
+    "v AS (SELECT count(DISTINCT g) AS v FROM k), t AS (SELECT lang, sum(n) + any_value(v) AS total FROM k, v GROUP BY lang), "
+    f"p AS (SELECT g, t.lang, ln((coalesce(n, 0) + 1)::DOUBLE / total) AS p FROM (SELECT DISTINCT g FROM k) u CROSS JOIN t LEFT JOIN k USING (g, lang)), q AS (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, {_GRAMS} FROM d WHERE doc_id % 5 = 0) GROUP BY doc_id, g), "
+    "s AS (SELECT doc_id, p.lang, sum(n * p) AS s FROM q JOIN p USING (g) GROUP BY doc_id, p.lang), b AS (SELECT doc_id, max_by(lang, s) AS language FROM s GROUP BY doc_id) "
+    "SELECT d.doc_id, b.language, coalesce(b.language = d.lang, false) AS hit FROM d LEFT JOIN b USING (doc_id) WHERE d.doc_id % 5 = 0",
+)
+def sc_55_profiles(s, d):
+    """Profiles from four fifths of the documents, languages of the rest."""
+    docs = T.read(s, d, "documents").select("doc_id", "lang", "text")
+    asked = docs.where("doc_id % 5 = 0")
+    found = L.detected(asked, "doc_id", "text", L.profiles(docs.where("doc_id % 5 <> 0"), "lang", "text"))
+    return found.join(asked.select("doc_id", "lang"), "doc_id").select("doc_id", "language", F.coalesce(F.col("language") == F.col("lang"), F.lit(False)).alias("hit"))
+
+
 @query("ag_12_script_histogram", with_tables("docs") + "SELECT document_id, " + ", ".join(f"{_n(k, 'text')}::INTEGER AS {k}" for k in S.SCRIPTS) + " FROM docs")
 def ag_12(s, d):
     return T.documents(s, d).select("document_id", *[S.count(F.col("text"), k).alias(k) for k in S.SCRIPTS])
