@@ -6,13 +6,14 @@ key, and the more vectors there are, the more coordinates the second hash has. E
 table; a query probes the ``probes`` keys of each that lie nearest to its own rotations. Keys travel by their first axis,
 dealt into blocks of bounded size on either side; inside a block only vectors of probed keys are candidates, which are
 reranked by their exact inner product in double precision, and each query's best are merged. Vectors are split
-by norm into ranges with tables of their own; where norms differ within a range, its vectors get one more coordinate
-that makes them equal, so that nearest by angle is nearest by product. Ranges of a block or less are scanned whole,
-and so is each range, block by block, for the queries that found fewer than ``k`` + 1 of its classes under their keys.
+by norm into ranges with tables of their own, of whatever size; where norms differ within a range, its vectors get one more
+coordinate that makes them equal, so that nearest by angle is nearest by product. In a smaller range the nearest are farther off, so
+more keys are probed (``probes_for``). A range is scanned whole, block by block, only for the queries that found fewer than
+``k`` + 1 of its classes under their keys.
 
 Equal vectors are one class, searched once; a class keeps its ``k`` + 1 smallest ids, which is all that a
 result can hold. Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null
-ids; ids that occur twice count once for each of their vectors; fewer than k candidates give all.
+ids; rows that repeat both id and vector count once, an id with several vectors is a candidate with each of them; fewer than k candidates give all.
 Empty tables give empty results. Only vectors of the same dimension are compared. Extra columns are ignored, whatever they are called.
 """
 
@@ -29,9 +30,11 @@ from pyspark.sql.types import FloatType
 
 from foliospark.llm.common import cut
 
-#: Vectors of a block; a norm range of no more is scanned whole.
+#: Vectors and queries of a block.
 BLOCK = 8192
 QUERY_BLOCK = 8192
+#: Vectors of a range from which on ``probes`` keys a table reach the recall, and the power by which a smaller one takes more.
+ENOUGH, MORE = 10_000, 0.3
 #: Norm ranges for each factor of two.
 RANGES = 4
 #: A second hash has as many coordinates as the range has vectors of this number, 16 at least.
@@ -81,6 +84,11 @@ def keys(x: np.ndarray, table: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return one.argmax(axis=1), two.argmax(axis=1)
 
 
+def probes_for(n: int, probes: int) -> int:
+    """Keys a table that a query probes in a range of n vectors."""
+    return int(np.ceil(probes * max(1.0, (ENOUGH / max(1, n)) ** MORE)))
+
+
 def probed(x: np.ndarray, table: int, n: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``probes`` pairs of axes of each row that lie least under its nearest ones, by the sum of squared gaps."""
     one, two = ((c.max(axis=1, keepdims=True) - c) ** 2 for c in axes(x, table, n))
@@ -126,7 +134,7 @@ def _hashed(rows: DataFrame, key: list[str], tables: int, probes: int, query: bo
                 ready, n = prepared(unit, 1.0, query, bool(part["lift"].iloc[0])), int(part["n"].iloc[0])
                 for t in range(tables):
                     if query:
-                        one, two = probed(ready, t, n, probes)
+                        one, two = probed(ready, t, n, probes_for(n, probes))
                         row = np.repeat(np.arange(len(x)), one.shape[1])
                         order = np.lexsort((two.ravel(), one.ravel(), row))
                         row, one, two = row[order], one.ravel()[order], two.ravel()[order].astype(np.uint16)
@@ -223,7 +231,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 16
     kind = "<f4" if isinstance(inner, FloatType) else "<f8"  # how vectors travel, without loss
     base, asked = valid(vectors, id_col, vector_col), valid(queries, id_col, vector_col)
     first = Window.partitionBy("h1", "h2").orderBy("id")
-    distinct = base.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
+    once = base.groupBy("h1", "h2", "id").agg(F.first("v").alias("v"))  # a row may come many times
+    distinct = once.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
     classes = distinct.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids"))  # k + 1 ids at most
     sized = cut(_sized(classes))
     longest = sized.agg(F.max("lg")).first()[0] or 0.0
@@ -231,12 +240,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 16
     asked_classes = asked.groupBy("h1", "h2").agg(F.first("v").alias("v")).withColumn("dim", F.size("v"))
     # one row for each dimension in use and norm range
     shape = cut(known.groupBy("dim", "range").agg(F.count("*").alias("n"), F.max("lg").alias("top"), F.min("lg").alias("low")))
-    hashed = F.broadcast(shape.where(F.col("n") > BLOCK).select("dim", "range", "n", "top", (F.col("low") < F.col("top") + float(np.log2(0.999))).alias("lift")))
-    small = F.broadcast(shape.where(F.col("n") <= BLOCK).select("dim", "range"))
+    hashed = shape.select("dim", "range", "n", "top", (F.col("low") < F.col("top") + float(np.log2(0.999))).alias("lift"))
     in_tables = asked_classes.join(hashed, "dim")
-    in_small = asked_classes.join(F.broadcast(shape.where(F.col("n") <= BLOCK).select("dim").distinct()), "dim").withColumn("range", F.lit(-1))
-    data = _hashed(known.join(hashed, ["dim", "range"]), ["rep"], tables, 1, False, kind).unionByName(_whole(known.join(small, ["dim", "range"]).withColumn("range", F.lit(-1)), ["rep"], kind))
-    probes_of = _hashed(in_tables, ["h1", "h2"], tables, probes, True, kind).unionByName(_whole(in_small, ["h1", "h2"], kind))
+    data = _hashed(known.join(hashed, ["dim", "range"]), ["rep"], tables, 1, False, kind)
+    probes_of = _hashed(in_tables, ["h1", "h2"], tables, probes, True, kind)
     top = cut(_compared(data, probes_of, k, kind))
     have = top.groupBy("h1", "h2", "range").agg(F.count("*").alias("have"))
     short = cut(in_tables.join(have, ["h1", "h2", "range"], "left").where(F.coalesce("have", F.lit(0)) <= k).select("h1", "h2", "v", "dim", "range"))
