@@ -33,7 +33,12 @@ HINTS = frozenset(
     "sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead comment comments reply replies respond disqus share sharing social "
     "related recommended recommendations widget widgets login search skip toolbar contentinfo complementary".split()
 )
-#: Of those, the ones that are never the article, however long.
+#: Words that name a part or a place and say nothing by themselves: a name is a hint if it has nothing else beside a word above.
+PARTS = frozenset(
+    "area articles bar block bottom box col column container content entry full global group inner item items left list main outer page pane panel post posts primary right row secondary section site "
+    "slot top unit user wrap wrapper blog article".split()
+)
+#: Of the hints, the ones that are never the article, however long.
 READERS = frozenset("comment comments reply replies respond disqus".split())
 #: Blocks that hold text rather than other blocks.
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li pre dt dd figcaption caption address summary".split())
@@ -52,6 +57,17 @@ class _Line:
         self.inside = inside
 
 
+def hinted(value: str) -> int:
+    """0, 1 or 2 (readers' comments) for the names in a class, an id or a role. A name is read whole: has-comments,
+    comments-open or side-effects say something about what isn't one of the parts to leave out."""
+    found = 0
+    for name in value.lower().split():
+        words = [w for w in _WORDS.findall(name) if not w.isdigit()]
+        if words and not HINTS.isdisjoint(words) and all(w in HINTS or w in PARTS for w in words):
+            found = max(found, 1 if READERS.isdisjoint(words) else 2)
+    return found
+
+
 class PageLines(HTMLParser):
     """Lines of a page; ``elements`` has each container's tag and 0, or 1 if hinted, or 2 if readers' comments."""
 
@@ -105,9 +121,9 @@ class PageLines(HTMLParser):
         hints = 0
         hidden = False
         for name, value in attrs:
-            if name in ("class", "id", "role") and value and not HINTS.isdisjoint(words := _WORDS.findall(value.lower())):
-                hints = max(hints, 1 if READERS.isdisjoint(words) else 2)
-            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", "").lower():
+            if name in ("class", "id", "role") and value:
+                hints = max(hints, hinted(value))
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", "").lower():
                 hidden = True
         header = tag == "header" and not any(t in REGIONS for t, _ in self.stack)
         if tag in DROPPED or header or hidden:
@@ -181,11 +197,8 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = PageLines()
-    try:
-        page.feed(html)
-        page.close()
-    except AssertionError:  # the parser's word for a broken declaration; what it has read so far counts
-        page._break()
+    page.feed(html)
+    page.close()
     lines = [(x, t) for x in page.lines if (t := _SPACE.sub(" ", "".join(x.parts)).strip())]
     if not lines:
         return ""
@@ -199,7 +212,9 @@ def main_text(html: str | None) -> str:
             dense[e] += n * n / max(1, x.tags)  # a character counts by its line's ratio
             rich[e] += n if c else 0.0
     above = {e for x, _ in lines for at, n in enumerate(x.inside) if page.elements[n][0] in REGIONS for e in x.inside[:at]}
-    aside = {e for e, (tag, hint) in enumerate(page.elements) if hint == 2 or hint and (tag == "article" or e not in above and held[e] <= 0.5 * total)}
+    # what holds an article is no readers' comments, nor is what holds all lines that the ratios call content
+    prose = sum(n for n, c in zip(size, content, strict=True) if c)
+    aside = {e for e, (tag, hint) in enumerate(page.elements) if hint == 2 and e not in above and rich[e] < prose or hint and (tag == "article" or e not in above and held[e] <= 0.5 * total)}
     ok = [not aside.intersection(x.inside) for x, _ in lines]
     regions = [e for e, (tag, _) in enumerate(page.elements) if tag in REGIONS and e not in aside and held[e] > 0]
     articles = [e for e in regions if page.elements[e][0] == "article" and not any(aside.intersection(x.inside) for x, _ in lines if e in x.inside[:1])]
