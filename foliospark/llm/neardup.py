@@ -286,6 +286,7 @@ def _class_links(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataF
         out_a, out_b = [], []
         for x, y in pairwise(edge.tolist()):
             part = g.iloc[x:y]
+            part = part[~part["r"].duplicated().to_numpy()]  # rows that are equal in id and text
             sets = shingle_sets(part["t"].tolist())
             mine = np.array([fingerprint(s) == bytes(f) for s, f in zip(sets, part["finger"], strict=True)])  # a repeated id has several texts
             if mine.sum() < 2:
@@ -314,16 +315,16 @@ def labelled(docs: DataFrame, tables: Tables, id_col: str, text_col: str, recall
     known = tables.keep(profiles(rows, trees_for(recall, 0.75, 2), 0.75).withColumn("r", F.monotonically_increasing_id()))
     full = known.where("n > 0")
     copies = tables.keep(full.groupBy("finger").agg(F.min("r").alias("r"), F.min(F.struct("k", "h")).alias("least")))
-    reps = tables.keep(full.select("r", "k", "n", "sig", "roots", "finger").join(copies.select("r"), "r"))
+    reps = tables.keep(full.select("r", "k", "h", "n", "sig", "roots", "finger").join(copies.select("r"), "r"))
     edges, used = coarse_edges(reps, tables, 0.75, node_limit, max_depth)
     coarse = components(edges, tables)
     tables.drop(*used)
-    classed = tables.keep(reps.select("r", "k", "n", "finger").join(coarse, "r"))
+    classed = tables.keep(reps.select("r", "k", "h", "n", "finger").join(coarse, "r"))
     tables.drop(reps)
     sizes = tables.keep(classed.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")))
     small = (F.col("size") <= class_limit) & (F.col("shingles") <= SHINGLES)
     # classes grow with the documents: no broadcast at any size
-    members = lambda which: rows.select("k", "t").join(classed.join(sizes.where(which), "root").hint("merge"), "k").withColumn("c", F.col("r"))
+    members = lambda which: rows.join(classed.join(sizes.where(which), "root").hint("merge"), ["k", "h"]).withColumn("c", F.col("r"))
     links = _linked(members(small), "root")
     if not sizes.where(~small).isEmpty():
         links = links.union(_large_classes(tables.keep(members(~small)), tables, class_limit))

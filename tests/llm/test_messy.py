@@ -175,6 +175,25 @@ def test_ann_searches_by_hashing(spark):
     assert sum(len(set(got[q]) & set(want[q])) for q in got) >= 0.9 * 20 * len(got)
 
 
+def test_ann_counts_repeated_rows_once(spark):
+    g = np.random.default_rng(6)
+    one, x = g.standard_normal(16), g.standard_normal((40, 16))
+    rows = [(1, one)] * 30 + [(i, one) for i in range(2, 10)] + [(11, one), (20, one)] + [(100 + i, v) for i, v in enumerate(x)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>").repartition(5)
+    got = [(r.rank, r.vec_id) for r in sorted(ann.search(df, df.where("vec_id = 20")).collect())]
+    assert [i for _, i in got[:10]] == [1, *range(2, 10), 11] and [r for r, _ in got] == list(range(1, 21)) and len({i for _, i in got}) == 20
+
+
+@pytest.mark.parametrize("table", ["sf0.01", "sf0.1"])
+def test_ann_on_the_supplied_tables(spark, table):
+    """Recall by brute force, and by hashing alone: no range is scanned where the keys give enough."""
+    rows = spark.read.parquet(f"/root/testdata/{table}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    x = np.stack(rows["embedding"].to_list()).astype(np.float64)
+    got, want = nearest(spark, x, range(0, len(x), 20))
+    assert sum(len(set(got[q]) & set(want[q])) for q in got) >= 0.9 * 20 * len(got)
+    assert got != want and ann.probes_for(len(x), 52) < ann.probes_for(500, 52) + 1 <= 130
+
+
 def test_ann_gives_all_of_a_few(spark):
     got, want = nearest(spark, np.random.default_rng(1).standard_normal((15, 64)), range(15))
     assert got == want
@@ -196,6 +215,16 @@ def test_ann_with_all_away_from_the_query(spark):
     assert got == want
 
 
+def test_html_names_are_read_whole():
+    prose = "<p>" + "A long enough sentence of the article that says something here. " * 5 + "</p>"
+    readers = '<div class="comments-area"><p>no way, a reader</p></div><div class="post-comments"><p>another reader</p></div><ul class="comment-list"><li>reader three</li></ul>'
+    for name, article in enumerate(('<article class="post comments-open">%s</article>', '<div class="post has-comments">%s</div>', '<div class="comments"><article>%s</article></div>', '<div id="reply-to-critics">%s</div>')):
+        assert htmltext.main_text(f"<html><body>{article.replace('%s', prose)}{readers}</body></html>") == prose[3:-4].strip(), name
+    for part in ('<div id="side-effects">%s</div>', '<section id="reply-to-critics">%s</section>'):
+        assert htmltext.main_text(f"<article>{prose}{part.replace('%s', prose)}</article>").count("\n") == 1
+    assert [htmltext.hinted(x) for x in ("site-header", "has-comments", "post comment-list", "side-effects", "sidebar-2", "")] == [1, 0, 2, 0, 1, 0]
+
+
 @pytest.mark.parametrize("bad", ["<![foo", "<![foo bar>", "<![ endif]>", "<![1]>"])
 def test_html_goes_on_after_an_unknown_section(bad):
     page = f"<html><body><article><p>The first paragraph.</p>{bad}<p>The second one.</p><p>The third one.</p></article></body></html>"
@@ -382,6 +411,14 @@ def test_neardup_loses_no_text_of_a_repeated_id(spark):
         assert got == sorted(want, key=repr)
 
 
+def test_neardup_many_texts_and_rows_of_one_id(spark):
+    g = random.Random(8)
+    base = [f"w{g.randrange(9000)}" for _ in range(100)]
+    rows = [(1, " ".join([*base, f"end{i}"])) for i in range(300)] + [(2, " ".join(base))] * 300 + [(3, "something else that has nothing in common with it")]
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 3)} and len(got) == 601
+
+
 def test_linked_labels_by_brute_force():
     g = np.random.default_rng(3)
     for _ in range(40):
