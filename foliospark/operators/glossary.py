@@ -100,6 +100,22 @@ def restored(text: Column, marks: Column) -> Column:
     return F.when(F.forall(F.map_keys(marks), once), F.aggregate(F.map_entries(marks), text, lambda t, m: F.replace(t, m["key"], m["value"])))
 
 
+def changed_terms(glossary: DataFrame, new: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The glossary (id, source, target) with other targets (id, target) and without terms (id); and the ids that it hasn't, which are errors."""
+    told = new.select("id", F.col("target").alias("new_target"))
+    after = glossary.join(gone.select("id").distinct(), "id", "left_anti").join(told, "id", "left").select("id", "source", F.coalesce("new_target", "target").alias("target"))
+    return after, new.select("id").union(gone.select("id")).distinct().join(glossary, "id", "left_anti").select("id", F.lit("no such term").alias("error"))
+
+
+def in_order(glossary: DataFrame) -> DataFrame:
+    """glossary with ``place``: longest source first, then by source and id. Places are counted within each length, after the longer ones."""
+    sized = glossary.withColumn("size", F.length("source"))
+    lengths = sized.groupBy("size").agg(F.count("*").alias("many"))  # a row for each length
+    before = lengths.withColumn("before", F.coalesce(F.sum("many").over(Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("many")
+    own = F.row_number().over(Window.partitionBy("size").orderBy("source", "id"))
+    return sized.withColumn("own", own).join(before, "size").withColumn("place", F.col("before") + F.col("own")).drop("size", "own", "before")
+
+
 def protected(rows: DataFrame, terms: list[tuple[str, str]]) -> DataFrame:
     """rows with ``protected``, ``marks`` (map) and ``restored`` of their text."""
 
@@ -123,11 +139,12 @@ MEMORY = 200
 
 def overlaps(queries: DataFrame, pairs: DataFrame) -> DataFrame:
     """For each query (query_id, text) and pair of the memory (pair_id, source; smaller ids are newer) that share tokens, how
-    many and the longest. The memory is the MEMORY newest pairs, so each query meets a bounded number; equal texts don't count."""
+    many and the longest. The memory is the MEMORY newest pairs, so each query meets a bounded number; equal texts don't count.
+    Tokens travel with ids and the texts' digests, not with the texts."""
     newest = pairs.orderBy("pair_id").limit(MEMORY)
-    squeeze = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    q = queries.select("query_id", squeeze("text").alias("q"), F.explode(tokens(F.col("text"))).alias("token"))
-    p = newest.select("pair_id", squeeze("source").alias("p"), F.explode(tokens(F.col("source"))).alias("token"))
+    digest = lambda c: F.md5(F.lower(F.trim(F.regexp_replace(c, r"\s+", " "))).cast("binary"))
+    q = queries.select("query_id", digest("text").alias("q"), F.explode(tokens(F.col("text"))).alias("token"))
+    p = newest.select("pair_id", digest("source").alias("p"), F.explode(tokens(F.col("source"))).alias("token"))
     return q.join(p, "token").where("q <> p").groupBy("query_id", "pair_id").agg(F.count("*").alias("overlap"), F.max_by("token", F.struct(F.length("token"), "token")).alias("anchor"))
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.operators.folds import fold_sorted
 from foliospark.operators.ranges import overlapping, within
 from foliospark.operators.views import strip
 
@@ -73,20 +76,20 @@ def split_columns(lines: DataFrame) -> DataFrame:
 
 def merged_fragments(lines: DataFrame) -> DataFrame:
     """Fragments of one row of a page joined: baselines within 1.4 (averaged as they join) and a gap of -1 to 16.
-    The average is carried from one to the next, so a page is one fold."""
-    one = F.struct((-F.col("baseline")).alias("o"), "x0", "idx", "x1", "baseline", "text")
-    pages = lines.groupBy("page").agg(F.array_sort(F.collect_list(one)).alias("all"))
-    kind = "array<struct<text:string,x0:double,x1:double,baseline:double>>"
+    The row so far is carried from one fragment to the next; its last state is the row."""
 
-    def step(acc: Column, f: Column) -> Column:
-        top = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (F.abs(top["baseline"] - f["baseline"]) < 1.4) & (f["x0"] - top["x1"]).between(-1.0, 16.0)
-        joined = F.struct(F.trim(F.concat(top["text"], F.lit(" "), f["text"])).alias("text"), F.least(top["x0"], f["x0"]).alias("x0"), F.greatest(top["x1"], f["x1"]).alias("x1"), ((top["baseline"] + f["baseline"]) / 2).alias("baseline"))
-        alone = F.struct(f["text"].alias("text"), f["x0"].alias("x0"), f["x1"].alias("x1"), f["baseline"].alias("baseline"))
-        return F.when(fits, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(alone)))
+    def step(row: tuple | None, f: tuple) -> tuple[tuple, tuple]:
+        text, x1, baseline = f[0], f[1], f[2]
+        if row and abs(row[4] - baseline) < 1.4 and -1.0 <= f[3] - row[3] <= 16.0:
+            row = (row[0], f"{row[1]} {text}".strip(" "), min(row[2], f[3]), max(row[3], x1), (row[4] + baseline) / 2)
+        else:
+            row = (row[0] + 1 if row else 0, text, f[3], x1, baseline)
+        return row, row
 
-    folded = F.aggregate("all", F.array().cast(kind), lambda acc, f: F.when(F.size(acc) == 0, F.array(F.struct(f["text"].alias("text"), f["x0"].alias("x0"), f["x1"].alias("x1"), f["baseline"].alias("baseline")))).otherwise(step(acc, f)))
-    return pages.select("page", F.posexplode(folded).alias("line", "x")).select("page", "line", "x.*")
+    ready = lines.select("page", (-F.col("baseline")).alias("o"), F.col("x0").alias("start"), "idx", "text", "x1", "baseline", "x0")
+    folded = fold_sorted(ready, ["page"], ["o", "start", "idx"], ["text", "x1", "baseline", "x0"], step, "line int, text string, x0 double, x1 double, baseline double")
+    last = F.max_by(F.struct("text", "x0", "x1", "baseline"), F.struct("o", "start", "idx"))
+    return folded.groupBy("page", "line").agg(last.alias("x")).select("page", "line", "x.*")
 
 
 def header_partner(headers: DataFrame) -> DataFrame:
@@ -105,19 +108,25 @@ def column_edges(lines: DataFrame) -> DataFrame:
     return rows.withColumn("at_edge", F.col("x0") <= F.min("x0").over(Window.partitionBy("page", "col")) + 3.0)
 
 
-def stitched(rows: DataFrame) -> DataFrame:
-    """rows (doc, ord, page, text, at_edge) with ``anchor``: a paragraph that goes on from an unfinished one, in lower
-    case or at the edge of a new page, belongs to it. What is unfinished carries over, so a document is one fold."""
-    one = F.struct("ord", "page", "text", "at_edge")
-    docs = rows.groupBy("doc").agg(F.array_sort(F.collect_list(one)).alias("all"))
+#: Signs before a sentence's first letter, what ends a sentence, and what may stand after that.
+BEFORE, ENDS, AFTER = "«“\"'’([ ", ".!?…", "'\"”’)]"
 
-    def step(x: Column, p: Column) -> Column:
-        goes_on = (x["anchor"] >= 0) & ~x["ended"] & (p["text"].rlike(r"^[«“\"'’(\[ ]*\p{Ll}") | ((p["page"] != x["page"]) & p["at_edge"]))
-        anchor = F.when(goes_on, x["anchor"]).otherwise(p["ord"])
-        return F.struct(anchor.cast("int").alias("anchor"), p["page"].alias("page"), strip(p["text"]).rlike("[.!?…]['\"”’)\\]]*$").alias("ended"), F.concat(x["out"], F.array(F.struct(p["ord"].alias("ord"), anchor.cast("int").alias("anchor")))).alias("out"))
 
-    start = F.struct(F.lit(-1).alias("anchor"), F.lit(0).alias("page"), F.lit(True).alias("ended"), F.array().cast("array<struct<ord:int,anchor:int>>").alias("out"))
-    return docs.select("doc", F.explode(F.aggregate("all", start, step, lambda x: x["out"])).alias("x")).select("doc", "x.*")
+def stitched(rows: DataFrame) -> DataFrame:
+    """rows (doc, ord, page, text, at_edge) with ``anchor``: a paragraph that goes on from an unfinished one, in lower
+    case or at the edge of a new page, belongs to it. What is unfinished is carried from one to the next."""
+
+    def step(last: tuple | None, p: tuple) -> tuple[tuple, tuple]:
+        place, page, text, at_edge = p
+        goes_on = False
+        if last is not None and not last[2]:
+            first = text.lstrip(BEFORE)[:1]
+            goes_on = unicodedata.category(first) == "Ll" if first else False
+            goes_on = goes_on or page != last[1] and at_edge
+        anchor = last[0] if goes_on else place
+        return (anchor,), (anchor, page, text.strip().rstrip(AFTER)[-1:] in tuple(ENDS))
+
+    return fold_sorted(rows.withColumn("place", F.col("ord")), ["doc"], ["ord"], ["place", "page", "text", "at_edge"], step, "anchor int")
 
 
 def spaced_glyphs(glyphs: DataFrame) -> DataFrame:

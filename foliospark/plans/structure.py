@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliospark.operators import glossary as G
 from foliospark.operators import layout as L
 from foliospark.operators import planning as M
 from foliospark.operators import segments as P
@@ -12,6 +15,8 @@ from foliospark.operators import state as D
 from foliospark.operators import views as V
 from foliospark.plans.files import RTF, RTF_BODY
 from foliospark.plans.registry import query
+from foliospark.shared import shared_dir
+from foliospark.sources import formats as S
 from foliospark.sources import importers as I
 from foliospark.sources import sinks as K
 from foliospark.sources import tables as T
@@ -88,12 +93,18 @@ def jn_25(s, d):
     return L.column_edges(T.glyph_lines(s, d)).select("page", "idx", "at_edge")
 
 
-@query("win_12_merged_fragments")
+_FRAGMENTS = "o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY -baseline, x0, idx) AS n FROM glyphs), r AS (SELECT page, n, 0 AS line, text, x0, x1, baseline FROM o WHERE n = 1 UNION ALL SELECT page, n, CASE WHEN fits THEN line ELSE line + 1 END, CASE WHEN fits THEN trim(t || ' ' || text) ELSE text END, CASE WHEN fits THEN least(a0, x0) ELSE x0 END, CASE WHEN fits THEN greatest(a1, x1) ELSE x1 END, CASE WHEN fits THEN (b + baseline) / 2 ELSE baseline END FROM (SELECT o.page, o.n, r.line, r.text AS t, r.x0 AS a0, r.x1 AS a1, r.baseline AS b, o.text, o.x0, o.x1, o.baseline, abs(r.baseline - o.baseline) < 1.4 AND o.x0 - r.x1 BETWEEN -1.0 AND 16.0 AS fits FROM r JOIN o ON o.page = r.page AND o.n = r.n + 1))"
+
+
+@query("win_12_merged_fragments", with_tables("glyphs", more=_FRAGMENTS, recursive=True) + "SELECT page, line, text, x0, x1, baseline FROM r QUALIFY row_number() OVER (PARTITION BY page, line ORDER BY n DESC) = 1")
 def win_12(s, d):
     return L.merged_fragments(T.glyph_lines(s, d))
 
 
-@query("win_14_stitched")
+_STITCH = "o AS (SELECT document_id AS doc, ord, ord // 5 AS page, text, ord % 5 = 0 AS at_edge, row_number() OVER (PARTITION BY document_id ORDER BY ord) AS n FROM blocks WHERE kind <> 'gap'), e AS (SELECT *, regexp_matches(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '[.!?…][''\"”’)\\]]*$') AS ended, regexp_matches(text, '^[«“\"''’(\\[ ]*\\p{Ll}') AS low FROM o), r AS (SELECT doc, n, ord, page, ord AS anchor, ended FROM e WHERE n = 1 UNION ALL SELECT e.doc, e.n, e.ord, e.page, CASE WHEN NOT r.ended AND (e.low OR e.page <> r.page AND e.at_edge) THEN r.anchor ELSE e.ord END, e.ended FROM r JOIN e ON e.doc = r.doc AND e.n = r.n + 1)"
+
+
+@query("win_14_stitched", with_tables("blocks", more=_STITCH, recursive=True) + "SELECT doc, ord, anchor FROM r")
 def win_14(s, d):
     rows = T.blocks(s, d).where("kind <> 'gap'").select(F.col("document_id").alias("doc"), "ord", (F.col("ord") / 5).cast("int").alias("page"), "text", (F.col("ord") % 5 == 0).alias("at_edge"))
     return L.stitched(rows)
@@ -141,9 +152,15 @@ def sc_81_setup(s, d):
     return M.setup(T.models(s, d), _devices(s), s.createDataFrame([], "model_id string"))
 
 
-@query("ag_21_best_vram", "SELECT * FROM (VALUES ('desk', 9.5::DOUBLE), ('old', NULL), ('book', 3.0), ('bare', 22.0)) t(device, best)")
+_GPUS = "CASE WHEN p_size % 6 = 0 THEN NULL ELSE p_size * 0.25D END"
+
+
+@query("ag_21_best_vram", f"SELECT p_partkey % 60 AS device, max(CASE WHEN p_size % 6 <> 0 AND p_size * 0.5::DOUBLE >= {M.LEAST_VRAM} THEN p_size * 0.25::DOUBLE END) AS best FROM part GROUP BY 1")
 def ag_21(s, d):
-    return _devices(s).select("device", M.best_free_vram(F.col("gpus")).alias("best"))
+    """Devices with many cards each: parts stand for cards, their sizes for memory, which some don't tell."""
+    card = F.struct(F.col("p_name").alias("name"), (F.col("p_size") * 0.5).alias("total"), F.expr(_GPUS).alias("free"))
+    devices = T.read(s, d, "part").groupBy((F.col("p_partkey") % 60).alias("device")).agg(F.collect_list(card).alias("gpus"))
+    return devices.select("device", M.best_free_vram(F.col("gpus")).alias("best"))
 
 
 # State
@@ -214,11 +231,33 @@ def dml_09(s, d):
     return D.upsert(old, new, key)
 
 
-@query("dml_10_delete_terms", with_tables("terms") + "SELECT id, source, CASE WHEN id = 1 THEN 'это' ELSE target END AS target FROM terms WHERE id NOT IN (4, 5)")
+_BOOK_TERMS = "SELECT p_partkey AS id, split_part(p_name, ' ', 1) AS source, split_part(p_name, ' ', 2) AS target FROM part"
+
+
+def _part_terms(s: SparkSession, d: str) -> DataFrame:
+    """A glossary made of the parts' names."""
+    word = lambda n: F.split_part("p_name", F.lit(" "), F.lit(n))
+    return T.read(s, d, "part").select(F.col("p_partkey").alias("id"), word(1).alias("source"), word(2).alias("target"))
+
+
+@query(
+    "dml_10_delete_terms",
+    f"WITH g AS ({_BOOK_TERMS}), n AS (SELECT id * 3 AS id, upper(target) AS target FROM g WHERE id % 7 = 1), x AS (SELECT id * 2 AS id FROM g WHERE id % 5 = 2) "
+    "SELECT g.id, source, coalesce(n.target, g.target) AS target, NULL AS error FROM g LEFT JOIN n ON n.id = g.id WHERE g.id NOT IN (SELECT id FROM x) UNION ALL "
+    "SELECT id, NULL, NULL, 'no such term' FROM (SELECT id FROM n UNION SELECT id FROM x) WHERE id NOT IN (SELECT id FROM g)",
+)
 def dml_10(s, d):
-    changed = s.createDataFrame([(1, "это")], "id int, new string")
-    gone = s.createDataFrame([(4,), (5,)], "id int")
-    return T.glossary(s).join(gone, "id", "left_anti").join(changed, "id", "left").select("id", "source", F.coalesce("new", "target").alias("target"))
+    """Terms with other targets and terms taken out; those that aren't there come back as errors."""
+    terms = _part_terms(s, d)
+    new = terms.where("id % 7 = 1").select((F.col("id") * 3).alias("id"), F.upper("target").alias("target"))
+    gone = terms.where("id % 5 = 2").select((F.col("id") * 2).alias("id"))
+    after, errors = G.changed_terms(terms, new, gone)
+    return after.withColumn("error", F.lit(None).cast("string")).unionByName(errors, allowMissingColumns=True)
+
+
+@query("ord_01_terms", f"SELECT id, source, row_number() OVER (ORDER BY length(source) DESC, source, id) AS place FROM ({_BOOK_TERMS})")
+def ord_01(s, d):
+    return G.in_order(_part_terms(s, d)).select("id", "source", "place")
 
 
 @query("dml_11_added_columns", with_tables("tasks", "projects") + "SELECT t.task_id, CASE WHEN t.task_id % 3 = 0 THEN p.lang_a ELSE t.target_lang END AS target_lang FROM tasks t, (SELECT lang_a FROM projects WHERE project_id = 1) p")
@@ -329,11 +368,15 @@ def snk_15(s, d):
     return T.exports(s, d).select("id", "document_id", "format").unionByName(new)
 
 
-@query("snk_16_import_check", with_tables("docs") + "SELECT document_id, sha256(text) AS digest, true AS same FROM docs")
+@query("snk_16_import_check", with_tables("docs") + "SELECT document_id, sha256(text) AS digest, document_id % 10 <> 0 AS same FROM docs")
 def snk_16(s, d):
-    docs = T.documents(s, d).select("document_id", F.sha2("text", 256).alias("digest"))
-    copy = T.documents(s, d).select("document_id", F.sha2("text", 256).alias("again"))
-    return docs.join(copy, "document_id").select("document_id", "digest", (F.col("digest") == F.col("again")).alias("same"))
+    """Files against the digests noted when they were imported; every tenth has changed since."""
+    folder = f"{shared_dir(s).rstrip('/')}/import-{uuid.uuid4().hex}"
+    docs = T.documents(s, d).select("document_id", "text", F.sha2("text", 256).alias("digest"))
+    changed = F.when(F.col("document_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    S.write(docs.select(F.concat(F.lit("file-"), F.col("document_id").cast("string"), F.lit(".txt")).alias("name"), F.encode(changed, "UTF-8").alias("content")), folder)
+    found = S.digests(s, folder).select(F.regexp_extract("file", r"(\d+)", 1).cast("long").alias("document_id"), F.col("digest").alias("now"))
+    return docs.join(found, "document_id").select("document_id", "digest", (F.col("digest") == F.col("now")).alias("same"))
 
 
 @query("src_12_parsed_json", with_tables("blocks") + "SELECT document_id, ord, kind, text FROM blocks")

@@ -136,15 +136,6 @@ def flt_17(s, d):
     return rows.withColumn("k", F.row_number().over(newest)).where("k <= 2").select("dialog_id", "turn")
 
 
-@query("flt_18_chat_context")
-def flt_18(s, d):
-    """Pairs that may stand beside a new text of four words or more."""
-    rows = _pairs(s, d).where(F.regexp_count(F.col("source"), F.lit(r"\p{L}{2,}")) >= 4)
-    rows = rows.where(~C.repeats_source(F.col("translation"), F.col("source")) & S.fits(F.col("translation"), F.lit("en")))
-    newest = Window.partitionBy("dialog_id").orderBy(F.desc("turn"))
-    return rows.withColumn("k", F.row_number().over(newest)).where("k <= 2").select("dialog_id", "turn")
-
-
 @query("win_07_context_tail", with_tables("segments") + "SELECT task_id, block_ord, segment_ord, translation, (m - n + 1)::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY block_ord DESC, segment_ord DESC) AS n, least(8, count(*) OVER (PARTITION BY task_id)) AS m FROM segments WHERE status = 'complete') WHERE n <= 8")
 def win_07(s, d):
     rows = V.last_context(T.segments(s, d), 8)
@@ -276,24 +267,30 @@ def dml_01(s, d):
 
 _TOKENS = "list_distinct(list_transform(regexp_extract_all({x}, '(\\pL{{4,}})', 1), lambda v: lower(v)))"
 _MEMORY = with_tables(
-    "segments",
-    more="b AS (SELECT item_id AS query_id, lower(" + _SQUEEZE.format(x="text") + ") AS q, unnest(" + _TOKENS.format(x="text") + ") AS token FROM benchmark), p AS (SELECT doc_id AS pair_id, lower(" + _SQUEEZE.format(x="text") + ") AS p, unnest(" + _TOKENS.format(x="text") + ") AS token FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 200)), "
+    "blocks",
+    "translations",
+    more="m AS (SELECT row_number() OVER (ORDER BY t.updated_at DESC, b.document_id, b.ord) AS doc_id, b.text FROM translations t JOIN blocks b ON b.document_id = t.document_id AND b.ord = t.block_ord WHERE t.edited AND length(trim(t.text)) > 0 AND t.target_lang = 'ru' QUALIFY doc_id <= 200), b AS (SELECT item_id AS query_id, lower(" + _SQUEEZE.format(x="text") + ") AS q, unnest(" + _TOKENS.format(x="text") + ") AS token FROM benchmark), p AS (SELECT doc_id AS pair_id, lower(" + _SQUEEZE.format(x="text") + ") AS p, unnest(" + _TOKENS.format(x="text") + ") AS token FROM m), "
     "o AS (SELECT query_id, pair_id, count(*) AS overlap, arg_max(token, (length(token), token)) AS anchor FROM b JOIN p USING (token) WHERE q <> p GROUP BY ALL)",
 )
 
 
+def _confirmed(s: SparkSession, d: str) -> DataFrame:
+    """The memory: the newest pairs that a person has confirmed, numbered from the newest."""
+    order = Window.orderBy("n")  # over MEMORY rows
+    newest = V.confirmed_pairs(T.blocks(s, d), T.translations(s, d), "ru", G.MEMORY).withColumn("n", F.monotonically_increasing_id())
+    return newest.select(F.row_number().over(order).alias("pair_id"), "source")
+
+
 @query("jn_18_memory_examples", _MEMORY + "SELECT query_id, pair_id, overlap, anchor, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, pair_id) AS place FROM o) WHERE place <= 3")
 def jn_18(s, d):
     queries = T.read(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    pairs = T.documents(s, d).select(F.col("document_id").alias("pair_id"), F.col("text").alias("source"))
-    return G.memory_examples(queries, pairs)
+    return G.memory_examples(queries, _confirmed(s, d))
 
 
 @query("ord_12_memory_order", _MEMORY + "SELECT query_id, max(overlap) AS best, count(*) AS candidates FROM o GROUP BY query_id")
 def ord_12(s, d):
     queries = T.read(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    pairs = T.documents(s, d).select(F.col("document_id").alias("pair_id"), F.col("text").alias("source"))
-    return G.overlaps(queries, pairs).groupBy("query_id").agg(F.max("overlap").alias("best"), F.count("*").alias("candidates"))
+    return G.overlaps(queries, _confirmed(s, d)).groupBy("query_id").agg(F.max("overlap").alias("best"), F.count("*").alias("candidates"))
 
 
 # Model output
@@ -387,6 +384,18 @@ _scaffold = "(" + " OR ".join(f"contains(lower({_o}), '{x}')" for x in C.SCAFFOL
 _missed = f"{_STRIP.format(x=_o)} = '' OR {_echo(_o, _s)} OR len(list_filter({_STRIPPED}, lambda x: {_starred})) > 0 OR {_header} OR {_scaffold} OR coalesce({_leaked}, false) OR ({_intr}) OR NOT ({_fits})"
 
 
+_SAYS = _DIALOG.replace("reply, CASE", "reply AS output, CASE")
+
+
+@query("flt_18_chat_context", with_tables("turns", more=_SAYS) + f"SELECT dialog_id, turn FROM (SELECT dialog_id, turn, row_number() OVER (PARTITION BY dialog_id ORDER BY turn DESC) AS k FROM q WHERE len(regexp_extract_all(source, '\\p{{L}}{{2,}}')) >= 4 AND NOT ({_echo(_o, _s)} OR (length({_SQUEEZE.format(x=f'lower({_s})')}) >= 8 AND contains({_SQUEEZE.format(x=f'lower({_o})')}, {_SQUEEZE.format(x=f'lower({_s})')}))) AND CASE WHEN {_sum(_o)} < 2 THEN true ELSE 2 * {_n('latin', _o)} >= {_sum(_o)} END) WHERE k <= 2")
+def flt_18(s, d):
+    """Pairs that may stand beside a new text of four words or more."""
+    rows = _pairs(s, d).where(F.regexp_count(F.col("source"), F.lit(r"\p{L}{2,}")) >= 4)
+    rows = rows.where(~C.repeats_source(F.col("translation"), F.col("source")) & S.fits(F.col("translation"), F.lit("en")))
+    newest = Window.partitionBy("dialog_id").orderBy(F.desc("turn"))
+    return rows.withColumn("k", F.row_number().over(newest)).where("k <= 2").select("dialog_id", "turn")
+
+
 @query("sc_44_missed", _OUTS.rstrip() + ", w AS (SELECT *, lag(output) OVER (PARTITION BY document_id ORDER BY ord) AS prev FROM outs) " + f"SELECT document_id, ord, {_missed} AS missed FROM w")
 def sc_44(s, d):
     """Answers that say nothing, with the answer before as what they mustn't repeat."""

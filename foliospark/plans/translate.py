@@ -29,9 +29,24 @@ def udf_01(s, d):
     return P.zip_outputs(packed, answers.select("task_id", "pack", "output")).select("task_id", "block_ord", "segment_ord", "translation")
 
 
-@query("udf_03_attempts", with_tables("segments") + "SELECT 1 AS attempts, count(DISTINCT task_id) AS tasks FROM segments")
+_BACK = "concat('*[Background]*', chr(10), 'About task ', CAST(task_id AS STRING), chr(10), '*[Source text]*', chr(10), source)"
+
+
+def _forgetful(text: str) -> str:
+    """A model that gives every second prompt with a background back as it is."""
+    return text if text.startswith("*[") and len(text) % 2 == 0 else stub_line(text)
+
+
+def stub_line(text: str) -> str:
+    return R.stub(text.rpartition("\n")[2])
+
+
+@query("udf_03_attempts", with_tables("segments") + f"SELECT task_id, block_ord, segment_ord, array_to_string(list_reverse(string_split(source, ' ')), ' ') AS output, CASE WHEN task_id % 2 = 0 AND length({_BACK}) % 2 = 0 THEN 2 ELSE 1 END AS attempts FROM segments")
 def udf_03(s, d):
-    return _calls(s, d)[2].groupBy("attempts").agg(F.count_distinct("task_id").alias("tasks"))
+    """Answers that repeat their prompt are asked for again without background."""
+    rows = T.segments(s, d).withColumns({"supplied": F.col("task_id") % 2 == 0, "bare": F.col("source"), "code": F.lit("de"), "previous": F.array().cast("array<string>")})
+    rows = rows.withColumn("request", F.when(F.col("supplied"), F.expr(_BACK.replace("chr(10)", "char(10)"))).otherwise(F.col("source")))
+    return R.attempted(rows.select("task_id", "block_ord", "segment_ord", "request", "bare", "source", "code", "previous", "supplied"), _forgetful).select("task_id", "block_ord", "segment_ord", "output", "attempts")
 
 
 @query("pipeline_b_reassembled", with_tables("segments") + "SELECT task_id, block_ord, string_agg(array_to_string(list_reverse(string_split(source, ' ')), ' '), '' ORDER BY segment_ord) AS text FROM segments GROUP BY ALL")

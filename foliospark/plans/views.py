@@ -90,10 +90,10 @@ def flt_07(s, d):
     return V.results(T.tasks(s, d), status="complete", language="en", name="file", first="1996-01-01", last="1999-12-31").select("task_id", "status", "day")
 
 
-@query("flt_08_task_search", with_tables("tasks", "projects") + "SELECT t.task_id FROM tasks t JOIN projects p USING (project_id) WHERE contains(lower(concat_ws(' ', t.document_name, p.title)), '7.md')")
+@query("flt_08_task_search", with_tables("tasks", "projects") + "SELECT t.task_id FROM tasks t JOIN projects p USING (project_id) WHERE contains(lower(concat_ws(' ', t.document_name, p.title)), '6.md customer#')")
 def flt_08(s, d):
     both = T.tasks(s, d).join(T.projects(s, d).select("project_id", "title"), "project_id")
-    return both.where(V.has(F.concat_ws(" ", "document_name", "title"), "7.md")).select("task_id")
+    return both.where(V.has(F.concat_ws(" ", "document_name", "title"), "6.md customer#")).select("task_id")
 
 
 @query("flt_09_dialog_search", with_tables("turns") + "SELECT dialog_id FROM turns WHERE turn = 0 AND contains(lower(substr(text, 1, 48)), 'the')")
@@ -428,11 +428,6 @@ def ag_31(s, d):
 # Orders
 
 
-@query("ord_01_terms", with_tables("terms") + "SELECT id, source, row_number() OVER (ORDER BY length(source) DESC, source, id)::INTEGER AS place FROM terms")
-def ord_01(s, d):
-    return T.glossary(s).select("id", "source", F.row_number().over(Window.partitionBy().orderBy(F.desc(F.length("source")), "source", "id")).alias("place"))  # a glossary is small
-
-
 @query("ord_03_last_segments", with_tables("segments") + "SELECT task_id, block_ord, segment_ord FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY block_ord DESC, segment_ord DESC) AS n FROM segments WHERE status = 'complete') WHERE n <= 2")
 def ord_03(s, d):
     return V.last_context(T.segments(s, d), 2).select("task_id", "block_ord", "segment_ord")
