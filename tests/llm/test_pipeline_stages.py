@@ -1,9 +1,17 @@
 """Near-dedup and substring stages of the pipeline against brute force."""
 
+import hashlib
 import re
+from collections import Counter
+
+import duckdb
+import pandas as pd
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from foliospark.llm import toxicity
+from foliospark.llm import common, toxicity
+from foliospark.llm.queries import QUERIES
+from foliospark.llm.sql import ORACLES
 
 
 def words(text, lower=False):
@@ -11,9 +19,8 @@ def words(text, lower=False):
     return re.findall(rb"[^\x20\x09-\x0D]+", data.lower() if lower else data)
 
 
-def test_near_dedup_and_substring_by_brute_force(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    rows = {r.doc_id: r.text for r in docs.collect()}
+def first_of_classes(rows):
+    """The smallest id of each class of near copies, by all pairs."""
     sets = {}
     for k, t in rows.items():
         w = words(t, lower=True)
@@ -32,19 +39,50 @@ def test_near_dedup_and_substring_by_brute_force(spark, sf):
             if x and y and 4 * min(len(x), len(y)) >= 3 * max(len(x), len(y)) and 100 * len(x & y) >= 75 * len(x | y):
                 i, j = find(a), find(b)
                 up[max(i, j)] = min(i, j)
-    left = corpus_pipeline.drop_near_copies(spark, docs, sf)
-    assert sorted(r.doc_id for r in left.select("doc_id").collect()) == [k for k in keys if find(k) == k]
+    return [k for k in keys if find(k) == k]
+
 
+def without_repeats(rows):
+    """Words of each document without those in a window that starts in an earlier one; None where nothing goes. Documents that lose all are gone."""
     seen, want = {}, {}
-    split = {k: words(rows[k]) for k in keys if find(k) == k}
+    split = {k: words(rows[k]) for k in sorted(rows)}
     for k, w in split.items():
         for i in range(len(w) - 49):
             seen.setdefault(tuple(w[i : i + 50]), k)
     for k, w in split.items():
         gone = {p for i in range(len(w) - 49) if seen[tuple(w[i : i + 50])] < k for p in range(i, i + 50)}
         if not gone or len(gone) < len(w):
-            want[k] = [x for p, x in enumerate(w) if p not in gone]
+            want[k] = [x for p, x in enumerate(w) if p not in gone] if gone else None
+    return want
+
+
+def test_near_dedup_and_substring_by_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    left = corpus_pipeline.drop_near_copies(spark, docs, sf)
+    kept = first_of_classes(rows)
+    assert sorted(r.doc_id for r in left.select("doc_id").collect()) == kept
     got = {r.doc_id: words(r.text) for r in corpus_pipeline.cut_repeats(spark, left, sf).collect()}
+    assert got == {k: words(rows[k]) if w is None else w for k, w in without_repeats({k: rows[k] for k in kept}).items()}
+
+
+def test_the_whole_run_by_brute_force(spark, sf):
+    """The network's own scores, all pairs, all windows, the mixture in SQL and the tokenizers library, one after the other."""
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text").toPandas()
+    clean = {r.doc_id for r in QUERIES["op5_toxicity"](spark, sf).where("predicted = 0").collect()}
+    texts = {k: t for k, t in zip(table["doc_id"], table["text"], strict=True) if k in clean}
+    kept = first_of_classes(texts)
+    left = {k: texts[k] if w is None else b" ".join(w).decode("utf-8", "surrogatepass") for k, w in without_repeats({k: texts[k] for k in kept}).items()}
+    documents = pd.DataFrame({"doc_id": list(left), "text": list(left.values())}).merge(table[["doc_id", "source"]], on="doc_id")
+    duck = duckdb.connect()
+    duck.register("documents", documents)
+    taken = Counter(r[0] for r in duck.sql(f"SELECT doc_id FROM ({ORACLES['op10_mixing']})").fetchall())
+    lib, want = Tokenizer.from_file(common.tokenizer_path()), Counter()
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for k, times in taken.items():
+        ids = lib.encode(left[k] or "", add_special_tokens=False).ids
+        want[(k, len(ids), digest(",".join(map(str, ids))), digest(lib.decode(ids, skip_special_tokens=False)))] = times
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, sf).collect())
     assert got == want
 
 
