@@ -68,8 +68,11 @@ def attempted(rows: DataFrame, translator: Translator = stub) -> DataFrame:
         answers = once.mapInPandas(run, "asked string, raw string")
         return these.join(answers, F.sha2(these[request], 256) == answers["asked"]).drop("asked")
 
-    columns = rows.columns
-    first = C.with_finished(asked(rows, "request"), "raw", "source", "code", "output", "previous")
+    inputs = ["request", "bare", "source", "code", "previous", "supplied"]
+    key = F.sha2(F.to_json(F.struct(*inputs)), 256)
+    columns = ["key", *inputs]
+    once = rows.withColumn("key", key).groupBy("key").agg(*[F.first(c).alias(c) for c in inputs])  # equal ones are one piece of work
+    first = C.with_finished(asked(once, "request"), "raw", "source", "code", "output", "previous")
     background = F.array_join("previous", " ")
     again = scripts.intrusion(F.col("output"), F.col("source"), F.col("code")) | C.echoes(F.col("output"), F.col("source"))
     bad = C.missed(F.col("output"), F.col("source"), F.col("code"), F.col("previous")) | C.repeats_context(F.col("output"), background)
@@ -77,8 +80,8 @@ def attempted(rows: DataFrame, translator: Translator = stub) -> DataFrame:
     none = F.array().cast("array<string>")
     second = C.with_finished(asked(judged.where("retry").drop("output"), "bare").withColumn("no_previous", none), "raw", "source", "code", "output", "no_previous")
     both = judged.where("NOT retry").select(*columns, "output", F.lit(1).alias("attempts")).unionByName(second.select(*columns, "output", F.lit(2).alias("attempts")))
-    done = scripts.with_foreign_removed(both, "output", "source", "code", "output")
-    return done.withColumn("error", F.when(F.trim("output") == "", "the answer is empty"))
+    done = scripts.with_foreign_removed(both, "output", "source", "code", "output").select("key", "output", "attempts")
+    return rows.withColumn("key", key).join(done, "key").drop("key").withColumn("error", F.when(F.trim("output") == "", "the answer is empty"))
 
 
 #: Characters of new translations that a summary is made from, and of the summary itself.

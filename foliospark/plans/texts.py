@@ -208,13 +208,24 @@ def win_22(s, d):
 _WORD = "(?i)(^|[^\\pL\\pN])' || {t} || '($|[^\\pL\\pN])"
 
 
-@query("jn_17_missing_terms", with_tables("blocks", "translations", "terms") + f"SELECT b.document_id, b.ord, g.id AS term_id FROM blocks b JOIN translations t ON t.document_id = b.document_id AND t.block_ord = b.ord AND t.target_lang = 'ru' JOIN terms g ON g.target_lang = 'ru' AND regexp_matches(b.text, '{_WORD.format(t='g.source')}') AND NOT regexp_matches(t.text, '{_WORD.format(t='g.target')}')")
+def _stands(x: str, term: str) -> str:
+    """SQL: the term stands in x as whole words; a pattern for each term is compiled once."""
+    return f"regexp_matches({x}, '{_WORD.format(t=term)}')".replace("' || ", "").replace(" || '", "")
+
+
+_MISSING = " UNION ALL ".join(f"SELECT document_id, ord, {t[0]} AS term_id FROM x WHERE {_stands('source', t[3])} AND NOT {_stands('translation', t[4])}" for t in T.GLOSSARY if t[2] == "ru")
+
+
+@query("jn_17_missing_terms", with_tables("blocks", "translations", more="x AS (SELECT b.document_id, b.ord, b.text AS source, t.text AS translation FROM blocks b JOIN translations t ON t.document_id = b.document_id AND t.block_ord = b.ord AND t.target_lang = 'ru')") + _MISSING)
 def jn_17(s, d):
     pairs = V.translated(T.blocks(s, d), T.translations(s, d), "ru").where("translation IS NOT NULL").select("document_id", "ord", F.col("text").alias("source"), "translation")
     return G.missing_terms(pairs, T.glossary(s).where("target_lang = 'ru'")).select("document_id", "ord", "term_id")
 
 
-@query("sc_22_term_matches", with_tables("blocks", "terms") + f"SELECT g.id AS term_id, count(*) AS blocks FROM blocks b JOIN terms g ON regexp_matches(b.text, '{_WORD.format(t='g.source')}') GROUP BY g.id")
+_MATCHES = " UNION ALL ".join(f"SELECT {t[0]} AS term_id, count(*) AS blocks FROM blocks WHERE {_stands('text', t[3])} HAVING count(*) > 0" for t in T.GLOSSARY)
+
+
+@query("sc_22_term_matches", with_tables("blocks") + _MATCHES)
 def sc_22(s, d):
     terms = T.glossary(s).select(F.col("id").alias("term_id"), F.col("source").alias("term"))
     return G.with_terms(T.blocks(s, d).select("text"), "text", terms).groupBy("term_id").agg(F.count("*").alias("blocks"))

@@ -29,7 +29,7 @@ def udf_01(s, d):
     return P.zip_outputs(packed, answers.select("task_id", "pack", "output")).select("task_id", "block_ord", "segment_ord", "translation")
 
 
-_BACK = "concat('*[Background]*', chr(10), 'About task ', CAST(task_id AS STRING), chr(10), '*[Source text]*', chr(10), source)"
+_BACK = "concat('*[Background]*', chr(10), 'About an old mill.', chr(10), '*[Source text]*', chr(10), source)"
 
 
 def _forgetful(text: str) -> str:
