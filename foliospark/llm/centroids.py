@@ -5,7 +5,8 @@ distance to every other one. When centroids move, the upper bound grows by its o
 isn't loosened by the other centroids' full drift: all vectors of a cluster lie in a sphere around its old centroid,
 and in the plane through that centre and the old and new places of another centroid, ``d(x, old) - d(x, new)`` is at
 most ``drift * cos(angle)``, where the angle is that of the nearest line from the middle of the move that
-touches the sphere. Spheres on the side that the centroid leaves behind need no loosening at all. Vectors whose bounds
+touches the sphere. Spheres on the side that the centroid leaves behind need no loosening at all. Where the sphere holds the middle, the
+plane halfway between both old centroids still bounds the angle, as all vectors of the cluster lie on its own side. Vectors whose bounds
 still part keep their cluster unseen; the ambiguous ones are scanned exactly against all centroids.
 
 Spark holds the vectors: a round is one narrow pass over a table of (id, packed integers, cluster, bounds), which
@@ -39,8 +40,15 @@ SLACK = 1e-9
 _STATE = "vec_id long, x binary, cluster int, upper double, lower double, many long, sums array<long>, radius double, scanned long, part int"
 
 
-def loosening(old: np.ndarray, new: np.ndarray, radius: np.ndarray) -> np.ndarray:
-    """[i, j]: at most what d(x, j) falls by as centroid j moves, for x in the sphere of ``radius[i]`` around old centroid i."""
+def _turned(cos: np.ndarray, towards: np.ndarray) -> np.ndarray:
+    """cos(a - b) of angles given by their cosines, 1 where b is the larger."""
+    cos, towards = np.clip(cos, -1.0, 1.0), np.clip(towards, -1.0, 1.0)
+    return np.where(cos >= towards, 1.0, cos * towards + np.sqrt((1 - cos * cos) * (1 - towards * towards)))
+
+
+def loosening(old: np.ndarray, new: np.ndarray, radius: np.ndarray, nearest: bool = True) -> np.ndarray:
+    """[i, j]: at most what d(x, j) falls by as centroid j moves, for x in the sphere of ``radius[i]`` around old centroid i,
+    and with ``nearest`` no nearer to old centroid j."""
     a, b, r = old.astype(np.float64), new.astype(np.float64), np.asarray(radius, dtype=np.float64)
     out = np.zeros((len(a), len(a)))
     for j in range(len(a)):
@@ -48,13 +56,21 @@ def loosening(old: np.ndarray, new: np.ndarray, radius: np.ndarray) -> np.ndarra
         drift = np.sqrt(move @ move)
         if not drift:
             continue
-        centre = a - (a[j] + b[j]) / 2
-        along = centre @ move / drift
+        middle = (a[j] + b[j]) / 2
+        centre = a - middle
         far = np.sqrt((centre * centre).sum(axis=1))
-        across = np.sqrt(np.maximum(0.0, far * far - along * along))
-        tangent = np.sqrt(np.maximum(0.0, far * far - r * r))
-        whole = (far <= r) | (across * tangent <= along * r)  # the sphere holds the middle, or meets the line ahead
-        out[:, j] = drift * np.clip(np.where(whole, 1.0, (along * tangent + across * r) / np.where(whole, 1.0, far * far)) + SLACK, 0.0, 1.0)
+        held = far <= r  # the sphere holds the middle: its vectors may lie in any direction
+        some = np.where(held, 1.0, far)
+        angle = _turned(centre @ move / (drift * some), np.sqrt(np.maximum(0.0, 1 - (r / some) ** 2)))
+        cos = np.where(held, 1.0, angle)
+        if nearest:
+            gap = a[j] - a
+            wide = np.sqrt((gap * gap).sum(axis=1))
+            some = np.where(wide > 0, wide, 1.0)
+            beyond = ((middle - (a + a[j]) / 2) * gap).sum(axis=1) / some  # of the middle, from the plane halfway
+            side = _turned(-(gap @ move) / (drift * some), beyond / np.maximum(far + r, 1e-300))
+            cos = np.where((wide > 0) & (beyond > 0), np.minimum(cos, side), cos)
+        out[:, j] = drift * np.clip(cos + SLACK, 0.0, 1.0)
     return out
 
 

@@ -34,15 +34,16 @@ def found(df):
     return sorted((tuple(r) for r in df.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256").collect()), key=repr)
 
 
-def test_loosening_holds_for_every_point_of_the_sphere_and_is_less_than_the_drift():
+@pytest.mark.parametrize("nearest", [False, True])
+def test_loosening_holds_for_every_point_of_the_sphere_and_is_less_than_the_drift(nearest):
     g = np.random.default_rng(1)
-    less = 0
+    less = tight = 0
     for _ in range(60):
         k, d = 5, int(g.choice([2, 3, 16]))
         old = g.normal(0, 50, (k, d)).round()
         new = (old + g.normal(0, g.choice([1, 20, 80]), (k, d))).round()
-        radius = g.uniform(0, 60, k)
-        bound = centroids.loosening(old, new, radius)
+        radius = g.uniform(0, 90, k)
+        bound = centroids.loosening(old, new, radius, nearest)
         drift = np.sqrt(((new - old) ** 2).sum(axis=1))
         assert (bound <= drift * (1 + 1e-6)).all() and (bound >= 0).all()
         less += int((bound < 0.9 * drift).sum())
@@ -50,9 +51,14 @@ def test_loosening_holds_for_every_point_of_the_sphere_and_is_less_than_the_drif
             step = g.normal(size=(4000, d))
             x = old[i] + step / np.sqrt((step**2).sum(axis=1, keepdims=True)) * radius[i] * g.uniform(0, 1, (4000, 1)) ** 0.1
             for j in range(k):
-                fall = np.sqrt(((x - old[j]) ** 2).sum(axis=1)) - np.sqrt(((x - new[j]) ** 2).sum(axis=1))
-                assert fall.max() <= bound[i, j] + 1e-6
-    assert less > 300
+                before = np.sqrt(((x - old[j]) ** 2).sum(axis=1))
+                fall = before - np.sqrt(((x - new[j]) ** 2).sum(axis=1))
+                if nearest:
+                    fall = fall[np.sqrt(((x - old[i]) ** 2).sum(axis=1)) <= before]
+                if i != j and len(fall):
+                    assert fall.max() <= bound[i, j] + 1e-6
+                    tight += bool(fall.max() > 0.8 * bound[i, j])
+    assert less > 250 and tight > 300
 
 
 @pytest.mark.parametrize("scale", [1.0, 3000.0, 100_000.0])
