@@ -6,7 +6,7 @@ region. Links of a document at home with pivot p reach only documents whose dist
 farthest member plus the link distance, and at most their own nearest pivot's plus twice the link distance; within this
 window of the triangle inequality boundary documents are replicated. A pair of two documents at home nowhere meets in
 the outer region, so no pair is lost. Regions are joined recursively in the same way; what is joined already
-isn't compared again, and regions that are small, or that pivots don't divide, are compared exhaustively. All
+isn't compared again, and regions that are small, or that pivots divide too little to pay for the replicas, are compared exhaustively. All
 distances are exact counts over whole sets; sets are of 64-bit hashes of words and shingles.
 
 Where all is far from all, pivots tell nothing: documents without a common shingle have distance 1. So the first regions
@@ -43,6 +43,8 @@ LEAF = 48
 LIMIT, SHINGLES = 4096, 2_000_000
 #: Share of the hash space tried first, times the share of shingles that a linked document may have alone.
 FIRST = 1.875
+#: Shares of a region: pivots divide it if no part has more than MOST of it and all parts together, with their replicas, no more than ALL.
+MOST, ALL = 0.7, 1.3
 #: Documents of a shingle that are counted exactly; more count as so many.
 MANY = 1 << 14
 _SLACK = 1e-9
@@ -180,9 +182,10 @@ def joined(sets: list[np.ndarray], label: np.ndarray, percent: int) -> np.ndarra
         far, linked = distances([sets[i] for i in at.tolist()], [sets[i] for i in some.tolist()], percent)
         j, x = np.nonzero(linked)
         label = least_labels(label, some[j], at[x])
-        for part in divided(far, percent):
-            if len(part) > 1:
-                todo.append((at[part], -1 if 10 * len(part) > 9 * len(at) else depth + 1))
+        parts = divided(far, percent)
+        if max(map(len, parts)) > MOST * len(at) or sum(map(len, parts)) > ALL * len(at):
+            parts, depth = [np.arange(len(at))], -2
+        todo += [(at[part], depth + 1) for part in parts if len(part) > 1]
     return label
 
 
@@ -237,37 +240,35 @@ def _sizes(members: DataFrame) -> DataFrame:
 def region_links(members: DataFrame, sets: DataFrame, tables: Tables, percent: int, limit: int = LIMIT, levels: int = 4) -> DataFrame:
     """a, b: links that join all linked documents of each region (region, r, n)."""
     members = members.withColumn("c", F.col("r"))
-    links, before = None, None
+    links = None
     add = lambda x: x if links is None else links.union(x)
     for level in range(levels + 1):
         sizes = tables.keep(_sizes(members).where("low != high"))
         small = (F.col("size") <= limit) & (F.col("shingles") <= SHINGLES)
         links = add(linked(members.join(sizes.where(small), "region"), sets, percent))
         large = sizes.where(~small)
-        if before is not None:  # pivots have to divide a region
-            large = large.join(before, "region", "left").withColumn("stuck", F.coalesce(10 * F.col("size") > 9 * F.col("above"), F.lit(False)))
-        else:
-            large = large.withColumn("stuck", F.lit(False))
-        large = tables.keep(large.select("region", "size", "shingles", (F.col("stuck") | F.lit(level == levels)).alias("stuck")))
-        stuck, open_ = large.where("stuck"), large.where("NOT stuck")
-        if not stuck.isEmpty():
-            links = add(_blocked(tables.keep(members.join(stuck.select("region"), "region")), sets, tables, percent, limit))
-        if open_.isEmpty():
+        if large.isEmpty():
             break
         half = max(1, limit // 2)
         slices = F.ceil(F.greatest(F.col("size") / half, F.col("shingles") / (SHINGLES // 2))).cast("int")
-        inside = tables.keep(members.join(open_.select("region", "size", slices.alias("slices")), "region"))
+        inside = tables.keep(members.join(large.select("region", "size", slices.alias("slices")), "region"))
+        if level == levels:
+            links = add(_blocked(inside.drop("size", "slices"), sets, tables, percent, limit))
+            break
         order = Window.partitionBy("region").orderBy(F.xxhash64(F.lit(level), "r"), "r")
         pivots = inside.withColumn("slot", F.row_number().over(order)).where(F.col("slot") <= PIVOTS).join(sets, "r")
         pivots = pivots.select(F.col("region").alias("of"), F.col("r").alias("p"), "slot", F.col("s").alias("ps"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("piece"))
         left = inside.join(sets, "r").select("region", "r", "s", F.pmod(F.xxhash64("r"), F.col("slices")).cast("int").alias("slice"))
         split = tables.keep(left.groupBy("region", "slice").cogroup(pivots.groupBy("of", "piece")).applyInPandas(_split(level, percent), "r long, parent long, slot int, pivot long"))
-        links = add(split.where("slot < 0 AND r != pivot").select(F.col("pivot").alias("a"), F.col("r").alias("b")))
-        links = tables.keep(links)
+        links = tables.keep(add(split.where("slot < 0 AND r != pivot").select(F.col("pivot").alias("a"), F.col("r").alias("b"))))
         known = tables.keep(components(links, tables))
-        below = split.where("slot >= 0").select("r", "parent", F.xxhash64(F.lit(level), "parent", "slot").alias("region"))
-        before = tables.keep(below.select("region", F.col("parent")).distinct().join(open_.select(F.col("region").alias("parent"), F.col("size").alias("above")), "parent").select("region", "above"))
-        members = tables.keep(below.select("region", "r").join(sets.select("r", (F.length("s") / 8).cast("long").alias("n")).dropDuplicates(["r"]), "r").join(known, "r", "left").select("region", "r", "n", F.coalesce("root", "r").alias("c")))
+        told = tables.keep(inside.drop("c").join(known, "r", "left").withColumn("c", F.coalesce("root", "r")).drop("root"))
+        parts = split.where("slot >= 0").groupBy("parent", "slot").agg(F.count("*").alias("m")).groupBy(F.col("parent").alias("region")).agg(F.sum("m").alias("all"), F.max("m").alias("most"))
+        poor = tables.keep(parts.join(large.select("region", "size"), "region").where((F.col("most") > MOST * F.col("size")) | (F.col("all") > ALL * F.col("size"))).select("region"))
+        if not poor.isEmpty():  # pivots don't divide these
+            links = add(_blocked(tables.keep(told.drop("size", "slices").join(poor, "region")), sets, tables, percent, limit))
+        below = split.where("slot >= 0").join(poor.withColumnRenamed("region", "parent"), "parent", "left_anti").select("r", F.xxhash64(F.lit(level), "parent", "slot").alias("region"))
+        members = tables.keep(below.join(told.select("r", "n", "c").dropDuplicates(["r"]), "r"))
     return links
 
 

@@ -72,6 +72,22 @@ def test_pivots_lose_no_link(seed):
     assert jj.joined(sets, np.arange(len(sets)), 80).tolist() == [want[i] for i in range(len(sets))]
 
 
+def test_work_is_bounded_where_windows_overlap():
+    """Sets that share half of their elements with all others: every window holds most of them."""
+    g = np.random.default_rng(4)
+    base = np.arange(60)
+    sets = [np.unique(np.concatenate((g.choice(base, 48, replace=False), g.integers(100, 2000, 12)))).astype(np.uint64) for _ in range(600)]
+    asked = []
+    held, jj.linked_labels = jj.linked_labels, lambda *a, **k: asked.append(len(a[0])) or held(*a, **k)
+    try:
+        label = jj.joined(sets, np.arange(len(sets)), 80)
+    finally:
+        jj.linked_labels = held
+    assert sum(asked) <= 4 * len(sets)
+    want = plain({i: set(s.tolist()) for i, s in enumerate(sets)})
+    assert label.tolist() == [want[i] for i in range(len(sets))]
+
+
 def test_windows_hold_every_linked_pair():
     g = np.random.default_rng(9)
     smaller = 0
