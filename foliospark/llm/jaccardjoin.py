@@ -291,11 +291,14 @@ def _blocked(members: DataFrame, sets: DataFrame, tables: Tables, percent: int,
     return linked(met, sets, percent)
 
 
-def first_regions(reps: DataFrame, rows: DataFrame, tables: Tables, percent: int) -> tuple[DataFrame, DataFrame]:
-    """region, r, n of the representatives (r, k, h, n, first) that shared shingles connect, and the sets (r, s) of what may be linked."""
-    met = postings(reps, "first").mapInPandas(tidy(_counted), "r long, c long").groupBy("r").agg(F.sum("c").alias("c"))
-    alone = F.length("first") / 8 - F.coalesce("c", F.lit(0))
+def first_regions(reps: DataFrame, firsts: DataFrame, rows: DataFrame, tables: Tables, percent: int) -> tuple[DataFrame, DataFrame]:
+    """region, r, n of the representatives (r, k, h, n, m) that shared shingles connect, and the sets (r, s) of what may be linked;
+    ``firsts`` (r, first) are the m hashes of each document that are tried first."""
+    tried = firsts.select("r", "first").join(reps.select("r"), "r")
+    met = postings(tried, "first").mapInPandas(tidy(_counted), "r long, c long").groupBy("r").agg(F.sum("c").alias("c"))
+    alone = F.col("m") - F.coalesce("c", F.lit(0))
     alive = tables.keep(reps.join(met, "r", "left").where(alone <= F.col("n") - _fewest(percent)).select("k", "h", "r", "n"))
+    tables.drop(firsts)
     sets = tables.keep(sets_of(rows, alive))
     common = tables.keep(postings(sets, "s").mapInPandas(tidy(shared), "r long, g long, df long").join(alive.select("r", "n"), "r"))
     of = Window.partitionBy("r")
@@ -314,16 +317,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     tables = Tables(docs.sparkSession, "jaccard")
     every = docs.select(F.col(id_col).cast("long").alias("k"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
     rows = every.where("k IS NOT NULL")
-    known = tables.keep(profiles(rows, percent).withColumn("r", F.monotonically_increasing_id()))
+    firsts = tables.keep(profiles(rows, percent).withColumn("r", F.monotonically_increasing_id()))
+    known = tables.keep(firsts.select("k", "h", "n", "finger", "r", (F.length("first") / 8).cast("long").alias("m")))
     full = known.where("n > 0")
     copies = tables.keep(full.groupBy("finger").agg(F.min("r").alias("r"), F.min("k").alias("least")))
-    reps = full.select("r", "k", "h", "n", "first").join(copies.select("r"), "r")
-    regions, sets = first_regions(reps, rows, tables, percent)
+    reps = tables.keep(full.select("r", "k", "h", "n", "m").join(copies.select("r"), "r"))
+    regions, sets = first_regions(reps, firsts, rows, tables, percent)
     links = tables.keep(region_links(regions, sets, tables, percent, limit))
     found = tables.keep(components(links, tables).join(copies, "r"))
     least = tables.keep(found.groupBy("root").agg(F.min("least").alias("id")))
     named = tables.keep(copies.join(found.join(least, "root").select("r", "id"), "r", "left").select("finger", F.coalesce("id", "least").alias("id")))
-    tables.drop(sets, regions, links, found, least, copies)
+    tables.drop(reps, sets, regions, links, found, least, copies)
     classes = full.join(named, "finger").select(F.col("k").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     empty = known.where("n = 0").select("k", "n", "k")
 
