@@ -132,3 +132,11 @@ def test_page_headings_are_left_out_of_texts(spark):
     df = spark.createDataFrame(rows, "document_id long, ord int, kind string, text string, locator string").withColumns({"final": F.col("text"), "prefix": F.lit(""), "suffix": F.lit("\n"), "section": F.lit(1), "section_title": F.lit("")})
     assert K.as_text(df).first()["body"] == "a\nСтраница 7\nСтраница x\n"
     assert K.as_markdown(df).first()["body"] == "a\n# Страница 7\n# Страница x\n"
+
+
+def test_blocks_of_pages(spark):
+    page = "<html><head><title>t</title></head><body>lead <b>in</b><h2>One&amp;two</h2><p>a<br>b  c<script>x</script></p><ul><li>i<p>ii</p>iii</li></ul><table><tr><td>x</td><td> </td></tr></table><h3>End</h3>tail"
+    rows = spark.createDataFrame([(1, page), (2, None), (3, ""), (4, "<p>")], "page_id long, html string")
+    got = [(r.page_id, r.ord, r.section, r.kind, r.text) for r in I.page_blocks(rows).orderBy("page_id", "ord").collect()]
+    want = [("main", "paragraph", "lead in"), ("section-1", "heading", "One&two"), ("section-1", "paragraph", "a\nb c"), ("section-1", "paragraph", "i"), ("section-1", "paragraph", "ii"), ("section-1", "paragraph", "iii"), ("section-1", "paragraph", "x"), ("section-2", "heading", "End"), ("section-2", "paragraph", "tail")]
+    assert got == [(1, i, *x) for i, x in enumerate(want)]
