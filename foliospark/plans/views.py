@@ -373,7 +373,7 @@ def ag_15(s, d):
 
 @query("ag_22_throughput", with_tables("task_events") + "SELECT task_id, round(sum(length(message)) / greatest(sum(value) / 100, 0.05), 1)::DOUBLE AS chars_per_s FROM task_events GROUP BY task_id")
 def ag_22(s, d):
-    return T.task_events(s, d).groupBy("task_id").agg(F.round(F.sum(F.length("message")) / F.greatest(F.sum("value") / 100, F.lit(0.05)), 1).alias("chars_per_s"))
+    return V.throughput(T.task_events(s, d))
 
 
 @query("ag_23_ordered_distinct", with_tables("tasks") + "SELECT project_id, string_agg(target_lang, ',' ORDER BY first) AS langs FROM (SELECT project_id, target_lang, min((created_at, task_id)) AS first FROM tasks GROUP BY ALL) GROUP BY project_id")
