@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.operators.views import strip
+from foliospark.sources.batches import map_files
 from foliospark.sources.importers import guarded
 from foliospark.sources.markup import with_elements, with_paragraphs
 
@@ -205,7 +206,7 @@ def as_zip(rows: DataFrame, form: str) -> DataFrame:
                 out.append((doc, len(members), data.getvalue()))
             yield pd.DataFrame(out, columns=["document_id", "members", "content"])
 
-    return docs.mapInPandas(run, f"document_id {dict(rows.dtypes)['document_id']}, members int, content binary")
+    return map_files(docs, run, f"document_id {dict(rows.dtypes)['document_id']}, members int, content binary")
 
 
 def versioned(exports: DataFrame) -> DataFrame:
@@ -319,17 +320,18 @@ def write_back(originals: DataFrame, translations: DataFrame) -> DataFrame:
     place. Every other member, and every other byte of a changed one, is as it was. A file that can't be
     rewritten has an error and no content; one without translations stays as it is."""
 
-    def run(files: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for path, content in zip(files["path"], files["content"], strict=True):
-            try:
-                out.append((path, rewritten(path, bytes(content), list(zip(texts["locator"], texts["text"], strict=True))), None))
-            except Exception as e:  # noqa: BLE001  one bad file must not stop the others
-                out.append((path, None, f"{type(e).__name__}: {e}"))
-        return pd.DataFrame(out, columns=["path", "content", "error"])
-
-    told = translations.select("path", "locator", "text")
-    return originals.select("path", "content").groupBy("path").cogroup(told.groupBy("path")).applyInPandas(run, "path string, content binary, error string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for path, content, texts in zip(b["path"], b["content"], b["texts"], strict=True):
+                try:
+                    out.append((path, rewritten(path, bytes(content), [(x["locator"], x["text"]) for x in (() if texts is None else texts)]), None))
+                except Exception as e:  # noqa: BLE001  one bad file must not stop the others
+                    out.append((path, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["path", "content", "error"])
+
+    told = translations.groupBy("path").agg(F.collect_list(F.struct("locator", "text")).alias("texts"))
+    return map_files(originals.select("path", "content").join(told, "path", "left"), run, "path string, content binary, error string")
 
 
 def rewritten(path: str, content: bytes, texts: list[tuple[str, str]]) -> bytes:
