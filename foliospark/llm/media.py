@@ -22,6 +22,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 RESTART = 8
 #: Most units on a side of a stored payload's picture.
 SIDE = 4095
+#: Blocks of a picture at most whose orders are kept for others of its size.
+ORDERED = 1024
 #: Payload bytes that are coded together at most, if more than one.
 TOGETHER = 3 << 20
 
@@ -115,6 +118,11 @@ class Layout:
 
     def order(self, components: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, int]:
         """Blocks of a scan in order, their component's index in the scan, and blocks of a unit."""
+        if self.blocks > ORDERED:
+            return self._order(components)
+        return _kept_order(self.width, self.height, self.sampling, components)
+
+    def _order(self, components: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, int]:
         if len(components) == 1:
             c = components[0]
             rows, cols = self.own[c]
@@ -131,6 +139,13 @@ class Layout:
         return np.stack(parts, axis=1).ravel(), np.tile(which, len(my)), len(parts)
 
 
+@lru_cache(maxsize=1024)
+def _kept_order(width: int, height: int, sampling: tuple, components: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, int]:
+    at, which, unit = Layout(width, height, sampling)._order(components)
+    at.flags.writeable = which.flags.writeable = False
+    return at, which, unit
+
+
 # Writing
 
 

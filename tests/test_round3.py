@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from foliospark.llm import media as M
 from foliospark.operators import views as V
 from foliospark.sources import batches as B
 from foliospark.sources import importers as I
@@ -46,3 +47,14 @@ def test_decoding_needs_no_python(spark):
     assert "Python" not in plan
     want = [(contents[0].decode("cp1251"), "cp1251"), (None, None), ("ж", "utf-8"), ("ж", "cp1251"), ("", "utf-8"), (None, None), ("a\0я", "cp1251")]
     assert [(r.text, r.encoding) for r in rows.orderBy("i").collect()] == want
+
+
+def test_orders_are_made_once_for_pictures_of_a_size():
+    files = M.store([b"x" * 192 * n for n in (1, 2, 3, 2, 1, 2000)])
+    M.restore(files)
+    before = M._kept_order.cache_info().misses
+    assert M.store([b"y" * 384, b"x" * 192 * 2000])[1] == files[5] and M.restore(files[:5])[0] == [b"x" * 192 * n for n in (1, 2, 3, 2, 1)]
+    assert M._kept_order.cache_info().misses == before
+    wide = M.Layout(100, 60, ((2, 2), (1, 1), (1, 1)))
+    for scan in ((0, 1, 2), (0,), (2,)):
+        assert all((a == b).all() for a, b in zip(wide.order(scan)[:2], wide._order(scan)[:2], strict=True))
