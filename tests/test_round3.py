@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.llm import media as M
+from foliospark.llm import toxicity as X
 from foliospark.operators import views as V
 from foliospark.sources import batches as B
 from foliospark.sources import importers as I
@@ -58,3 +59,13 @@ def test_orders_are_made_once_for_pictures_of_a_size():
     wide = M.Layout(100, 60, ((2, 2), (1, 1), (1, 1)))
     for scan in ((0, 1, 2), (0,), (2,)):
         assert all((a == b).all() for a, b in zip(wide.order(scan)[:2], wide._order(scan)[:2], strict=True))
+
+
+def test_the_network_is_fitted_outside_the_driver(spark, monkeypatch):
+    """The driver gets the network and never the texts it is fitted on."""
+    docs = spark.createDataFrame([(i, f"{'vile awful' if i % 2 else 'kind good'} words {i}") for i in range(80)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic")
+    monkeypatch.setattr(type(docs), "toPandas", lambda *_: pytest.fail("rows came to the driver"))
+    net = X.train(docs, labels)
+    assert net.constant is None and [x >= 0.5 for x in net.scores(["vile awful words", "kind good words"])] == [True, False]
+    assert X.train(docs, labels.where("toxic = 7")).constant == 0.5 and X.train(docs, labels.where("toxic = 1")).constant == 1.0
