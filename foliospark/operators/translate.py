@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions import cleaning as C
@@ -27,6 +27,13 @@ def requests(packed: DataFrame, segments: DataFrame) -> DataFrame:
     return rows.groupBy("task_id", "pack").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_ord", "segment_ord", "source"))), lambda x: x["source"]), "\n\n").alias("request"), F.count("*").cast("int").alias("count"))
 
 
+def pack_requests(packed: DataFrame) -> DataFrame:
+    """task_id, pack, request, places, count of packs with their parts: as ``requests``, and where each part belongs."""
+    request = F.array_join(F.transform("parts", lambda x: x["source"]), "\n\n")
+    places = F.transform("parts", lambda x: F.struct(x["block_ord"].alias("block_ord"), x["segment_ord"].alias("segment_ord")))
+    return packed.select("task_id", "pack", request.alias("request"), places.alias("places"), F.size("parts").alias("count"))
+
+
 def call(rows: DataFrame, translator: Translator = stub, bare: str = "request") -> DataFrame:
     """rows with ``output`` and ``attempts``: an empty answer or one that gives the request back is asked for once more, now with
     the text in ``bare``, which has no background. Equal requests are sent once and their answers joined back."""
@@ -42,10 +49,13 @@ def call(rows: DataFrame, translator: Translator = stub, bare: str = "request")
                 tries.append(n)
             yield pd.DataFrame({"asked": b["asked"], "output": out, "attempts": tries})
 
-    digest = F.sha2(F.concat_ws("\u0000", F.length("request").cast("string"), "request", F.col(bare)), 256)  # what travels in place of both texts
-    asked = rows.withColumn("asked", digest)
-    once = asked.groupBy("asked").agg(F.first("request").alias("request"), F.first(bare).alias("bare"))
-    answers = once.mapInPandas(run, "asked string, output string, attempts int")
+    def digest(*texts: str) -> Column:
+        """What travels in place of the texts; never null, so that a join needs no filter that would make it twice."""
+        return F.coalesce(F.sha2(F.concat_ws("\u0000", F.length("request").cast("string"), *dict.fromkeys(texts)), 256), F.lit(""))
+
+    asked = rows.withColumn("asked", digest("request", bare))
+    once = rows.select(*dict.fromkeys(("request", bare))).distinct()  # texts as keys, which are hashed and not sorted
+    answers = once.select(digest("request", bare).alias("asked"), "request", F.col(bare).alias("bare")).mapInPandas(run, "asked string, output string, attempts int")
     return asked.join(answers, "asked").drop("asked")
 
 

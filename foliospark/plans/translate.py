@@ -16,17 +16,14 @@ from foliospark.sources import tables as T
 from foliospark.sources.tables import with_tables
 
 
-def _calls(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Segments, packs and answers."""
-    rows = T.segments(s, d)
-    packed = P.packs(V.whole_blocks(rows), 500)
-    return rows, packed, R.call(R.requests(packed, rows))
+def _calls(s: SparkSession, d: str) -> DataFrame:
+    """The answers of all packs, with the places of their segments."""
+    return R.call(R.pack_requests(P.whole_packs(V.whole_blocks(T.segments(s, d)), 500)))
 
 
 @query("udf_01_translate", with_tables("segments") + "SELECT task_id, block_ord, segment_ord, array_to_string(list_reverse(string_split(source, ' ')), ' ') AS translation FROM segments")
 def udf_01(s, d):
-    _, packed, answers = _calls(s, d)
-    return P.zip_outputs(packed, answers.select("task_id", "pack", "output")).select("task_id", "block_ord", "segment_ord", "translation")
+    return P.zip_parts(_calls(s, d)).select("task_id", "block_ord", "segment_ord", "translation")
 
 
 _BACK = "concat('*[Background]*', chr(10), 'About an old mill.', chr(10), '*[Source text]*', chr(10), source)"
@@ -51,8 +48,7 @@ def udf_03(s, d):
 
 @query("pipeline_b_reassembled", with_tables("segments") + "SELECT task_id, block_ord, string_agg(array_to_string(list_reverse(string_split(source, ' ')), ' '), '' ORDER BY segment_ord) AS text FROM segments GROUP BY ALL")
 def pipeline_b(s, d):
-    _, packed, answers = _calls(s, d)
-    return V.assembled(P.zip_outputs(packed, answers.select("task_id", "pack", "output")), "translation")
+    return V.assembled(P.zip_parts(_calls(s, d)), "translation")
 
 
 _PACKED = PACK.format(whole="segment_ord = 0 AND count(*) OVER (PARTITION BY task_id, block_ord) = 1", where="", most=500)
@@ -66,7 +62,7 @@ _NARRATIVE = (
 
 @query("udf_04_narrative_due", with_tables("segments", more=f"{_PACKED}, {_NARRATIVE}", recursive=True) + "SELECT task_id, pack, due, narrative FROM r")
 def udf_04(s, d):
-    return R.narratives(_calls(s, d)[2].select("task_id", "pack", "count", "output"), every=5)
+    return R.narratives(_calls(s, d).select("task_id", "pack", "count", "output"), every=5)
 
 
 @query("src_02_decoded", "SELECT doc_id, 'utf-8' AS encoding, text FROM documents")

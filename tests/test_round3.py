@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import media as M
 from foliospark.llm import toxicity as X
+from foliospark.operators import segments as P
+from foliospark.operators import translate as R
 from foliospark.operators import views as V
 from foliospark.sources import batches as B
 from foliospark.sources import importers as I
@@ -69,3 +71,33 @@ def test_the_network_is_fitted_outside_the_driver(spark, monkeypatch):
     net = X.train(docs, labels)
     assert net.constant is None and [x >= 0.5 for x in net.scores(["vile awful words", "kind good words"])] == [True, False]
     assert X.train(docs, labels.where("toxic = 7")).constant == 0.5 and X.train(docs, labels.where("toxic = 1")).constant == 1.0
+
+
+@pytest.mark.parametrize("batch", [1, 3, 10000])
+def test_packs_come_whole_from_their_fold(spark, batch):
+    """The same packs as by number, whatever the batches are, and neither a join nor a shuffle but by task brings their segments together."""
+    rows = spark.range(400).selectExpr("id % 37 AS task_id", "CAST(floor(id / 74) AS INT) AS block_ord", "CAST(floor(id / 37) % 2 AS INT) AS segment_ord", "repeat('ab ', CAST(id * 7 % 90 AS INT)) AS source", "IF(id % 6 = 0, 'heading', 'paragraph') AS kind")
+    rows = V.whole_blocks(rows).localCheckpoint()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for blocks in (True, False):
+            number = {(r.task_id, r.block_ord, r.segment_ord): r.pack for r in P.packs(rows, 300, group_blocks=blocks).collect()}
+            packed = P.whole_packs(rows, 300, group_blocks=blocks)
+            got = packed.collect()
+            assert len(got) == len(set((k[0], n) for k, n in number.items()))
+            assert {(r.task_id, x.block_ord, x.segment_ord): r.pack for r in got for x in r.parts} == number
+            assert all([(x.block_ord, x.segment_ord) for x in r.parts] == sorted((x.block_ord, x.segment_ord) for x in r.parts) for r in got)
+            want = {(r.task_id, r.pack): (r.request, r["count"]) for r in R.requests(P.packs(rows, 300, group_blocks=blocks), rows).collect()}
+            assert {(r.task_id, r.pack): (r.request, r["count"]) for r in R.pack_requests(packed).collect()} == want
+            plan = packed._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("Repartition") == 1 and "Join" not in plan and "Aggregate" not in plan
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_parts_go_back_to_their_places(spark):
+    """As by joins: an answer with another number of parts is left out, one of a single segment is taken whole."""
+    rows = spark.createDataFrame([(1, 0, [(0, 0), (1, 0)], "a\n\nb "), (1, 1, [(2, 0)], "c\n\nd"), (1, 2, [(3, 0), (4, 0)], "only one"), (2, 0, [(0, 0)], None)], "task_id long, pack int, places array<struct<block_ord: int, segment_ord: int>>, output string")
+    packed = rows.selectExpr("task_id", "pack", "inline(places)")
+    want = P.zip_outputs(packed, rows.select("task_id", "pack", "output")).select("task_id", "pack", "block_ord", "segment_ord", "translation")
+    assert sorted(P.zip_parts(rows).collect()) == sorted(want.collect()) and [r.translation for r in P.zip_parts(rows).where("task_id = 1").collect()] == ["a", "b", "c\n\nd"]
