@@ -65,10 +65,13 @@ def str_04(s, d):
 
 @query("str_06_resume", with_tables("segments") + "SELECT task_id, block_ord, segment_ord, array_to_string(list_reverse(string_split(source, ' ')), ' ') AS translation FROM segments WHERE status <> 'complete'")
 def str_06(s, d):
-    """Pending segments are worked on in triggers of a few files; the run ends after two of them and goes on from its checkpoint."""
+    """Pending segments are worked on in triggers of a quarter of the files; the run ends after two of them and goes on from its checkpoint.
+
+    There are as many files as shuffle partitions, four at least, so that a task's share doesn't grow with a trigger's."""
     folder = f"{shared_dir(s).rstrip('/')}/resume-{uuid.uuid4().hex}"
     rows = T.segments(s, d).select("task_id", "block_ord", "segment_ord", "source", "status")
-    rows.repartition(4, "task_id").write.parquet(f"{folder}/segments")
+    parts = max(4, int(s.conf.get("spark.sql.shuffle.partitions", "200")))
+    rows.repartition(parts, "task_id", "block_ord").write.parquet(f"{folder}/segments")
     turns = [0]
 
     def made(batch: DataFrame) -> DataFrame:
@@ -78,7 +81,7 @@ def str_06(s, d):
         return batch.select("task_id", "block_ord", "segment_ord", F.array_join(F.reverse(F.split("source", " ")), " ").alias("translation"))
 
     for _ in range(2):
-        stream = S.events(s, f"{folder}/segments", rows.schema)
+        stream = S.events(s, f"{folder}/segments", rows.schema, -(-parts // 4))
         try:
             S.resume(stream, f"{folder}/out", f"{folder}/checkpoint", made).awaitTermination()
         except StreamingQueryException as e:
