@@ -13,17 +13,23 @@ import posixpath
 import time
 import uuid
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from foliospark.shared import shared_dir
+from foliospark.sources.batches import SLICE
 from foliospark.sources.importers import BLOCKS, READERS, file_blocks
 from foliospark.sources.sinks import WRITERS, converted, exported
 
 #: Bytes of files that one partition reads, if of more than one file.
 PART = 64 << 20
+#: Renames of a commit that run at once.
+MOVES = 16
 HIDDEN = (".", "_")
 
 
@@ -85,11 +91,24 @@ class FolioReader(DataSourceReader):
             size += f.size
         return [Files(tuple(p)) for p in parts]
 
-    def read(self, partition: Files) -> Iterator[tuple]:
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         at, _ = system(self.path)
+        kinds = {"string": pa.string(), "int": pa.int32()}
+        schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in BLOCKS.split(","))])
+        rows, held = [], 0
         for path in partition.paths:
             with at.open_input_stream(path) as f:
-                yield from file_blocks(path, f.read())
+                content = f.read()
+            rows += file_blocks(path, content)
+            held += len(content)
+            if held >= SLICE:
+                yield _batch(rows, schema)
+                rows, held = [], 0
+        yield _batch(rows, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
 @dataclass
@@ -98,27 +117,28 @@ class Staged(WriterCommitMessage):
     names: tuple[str, ...]
 
 
-class FolioWriter(DataSourceWriter):
+class FolioWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str], overwrite: bool):
         self.path, self.overwrite = options["path"], overwrite
         self.job = f".staged-{uuid.uuid4().hex}"
         at, folder = system(self.path)
         at.create_dir(f"{folder}/{self.job}", recursive=True)  # tasks need it: one that goes on after an abort fails
 
-    def write(self, iterator: Iterator) -> WriterCommitMessage:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        """Each file's bytes go from the batch to the file: a batch counts rows, which are whole files."""
         at, folder = system(self.path)
         mine = f"{folder}/{self.job}/{uuid.uuid4().hex}"
         names: list[str] = []
         at.create_dir(mine, recursive=False)
         try:
-            for row in iterator:
-                name = posixpath.normpath(row["name"])
+            for given, content in ((n.as_py(), c) for b in iterator for n, c in zip(b.column("name"), b.column("content"), strict=True)):
+                name = posixpath.normpath(given)
                 if name.startswith(("/", *HIDDEN)) or "\\" in name or "\0" in name:
-                    raise ValueError(f"not a name inside the folder: {row['name']!r}")
+                    raise ValueError(f"not a name inside the folder: {given!r}")
                 if "/" in name:
                     at.create_dir(f"{mine}/{posixpath.dirname(name)}", recursive=True)
                 with at.open_output_stream(f"{mine}/{name}") as f:
-                    f.write(bytes(row["content"]))
+                    f.write(content.as_buffer())
                 names.append(name)
         except BaseException:
             gone(at, mine)
@@ -136,8 +156,9 @@ class FolioWriter(DataSourceWriter):
                 at.delete_file(f.path)
         for place in {posixpath.dirname(name) for _, name in staged} - {""}:
             at.create_dir(f"{folder}/{place}", recursive=True)
-        for mine, name in staged:
-            at.move(f"{mine}/{name}", f"{folder}/{name}")
+        with ThreadPoolExecutor(MOVES) as pool:
+            for _ in pool.map(lambda x: at.move(f"{x[0]}/{x[1]}", f"{folder}/{x[1]}"), staged):
+                pass
         gone(at, f"{folder}/{self.job}")
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -193,7 +214,9 @@ def convert(spark: SparkSession, source: str, target: str, suffix: Column) -> Da
     and have to have the same digests afterwards. Gives file, name; files that can't be read have an error and no name.
     """
     held = digests(spark, source).withColumnRenamed("digest", "before").checkpoint()
-    blocks = read(spark, source).withColumn("file", F.element_at(F.split("file", "/"), -1))
+    once = f"{shared_dir(spark).rstrip('/')}/blocks-{uuid.uuid4().hex}"  # several steps read them, one for each suffix
+    read(spark, source).withColumn("file", F.element_at(F.split("file", "/"), -1)).write.parquet(once)
+    blocks = spark.read.schema(BLOCKS).parquet(once)
     stem, old = F.regexp_extract("file", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("file", r"(\.[^.]*)$", 1)
     named = blocks.where("error IS NULL").select("file").distinct().select(F.col("file").alias("id"), stem.alias("stem"), F.lower(old).alias("old"), "file")
     named = named.withColumn("suffix", suffix).withColumn("format", F.substring("suffix", 2, 99)).where(F.col("suffix").isin(*WRITERS))

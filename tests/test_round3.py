@@ -5,6 +5,7 @@ from pathlib import Path
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSourceArrowWriter
 
 from foliospark.llm import media as M
 from foliospark.llm import toxicity as X
@@ -14,6 +15,7 @@ from foliospark.operators import views as V
 from foliospark.plans import catalog
 from foliospark.shared import shared_dir
 from foliospark.sources import batches as B
+from foliospark.sources import formats as S
 from foliospark.sources import importers as I
 from foliospark.sources import sinks as K
 
@@ -119,3 +121,15 @@ def test_resumed_work_is_dealt_over_all_partitions(spark, sf):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
     (made,) = set(folder.glob("resume-*")) - before
     assert len(list(made.glob("segments/*.parquet"))) == 12 and len(list(made.glob("out/batch=*"))) == 4
+
+
+def test_files_are_written_from_batches(spark, tmp_path):
+    """A batch's files never are Python rows at once, and all of them are put in place."""
+    writer = S.FolioWriter({"path": str(tmp_path)}, False)
+    assert isinstance(writer, DataSourceArrowWriter)
+    contents = {f"f{i}.txt": bytes([i % 251]) * (i % 7) for i in range(300)}
+    batch = pa.RecordBatch.from_pydict({"content": list(contents.values()), "name": list(contents)})
+    writer.commit([writer.write(iter([batch.slice(0, 100), batch.slice(100)])), None])
+    assert {p.name: p.read_bytes() for p in tmp_path.iterdir()} == contents
+    whole = next(iter(S.FolioReader({"path": str(tmp_path)}).read(S.Files((str(tmp_path / "f1.txt"), str(tmp_path / "f8.txt"))))))
+    assert isinstance(whole, pa.RecordBatch) and whole.column("text").to_pylist() == ["\x01", "\x08"]
