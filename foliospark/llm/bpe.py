@@ -6,7 +6,8 @@ only be changed by lower-ranked rules that take ``b`` (or a piece of its right e
 reach of every rule follows from the reaches of lower-ranked ones, in one pass in rank order. Every
 pre-token is pushed through a buffer of a few lookaheads: what ends a lookahead before the end of
 the buffer is stable and is emitted, the rest is kept. What the transducer gave for a pre-token is remembered in
-REMEMBERED bytes at most. Memory doesn't grow with the text.
+REMEMBERED bytes at most. New pre-tokens of some megabytes of texts, if their buffers never fill, are merged side by side, one merge of
+each at a time. Memory doesn't grow with the text.
 
 Null texts count as empty (0 tokens); equal rows give equal rows, null and repeated ids too; empty tables give
 empty results; very long texts go chunk by chunk; extra columns are ignored.
@@ -22,6 +23,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain, repeat
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -35,6 +37,8 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 CHUNK = 1 << 16
 #: Bytes of pre-tokens and ids that a worker remembers, about; the memory is emptied when full.
 REMEMBERED = 24 << 20
+#: Bytes of the longest pre-tokens that are merged side by side, how many at least, and at once.
+SHORT, FEW, ROWS = 64, 200, 2048
 
 
 def printable_bytes() -> dict[str, int]:
@@ -75,6 +79,15 @@ class MergeTable:
         self.made = {rank: made for rank, made in self.merge.values()}
         self.none = len(self.merge) + 1_000_000
         self.id_text = [str(i) for i in range(size)]
+        self.ids = list(range(size))  # one object for each id, wherever it is remembered
+        self.pad = size
+        pairs = np.array([a * (size + 1) + b for a, b in self.rank] + [np.iinfo(np.int64).max], dtype=np.int64)
+        by = np.argsort(pairs)
+        self._pairs, self._ranks = pairs[by], np.array([*self.rank.values(), self.none], dtype=np.int64)[by]
+        self._made = np.zeros(len(self.merge) and max(self.made) + 1, dtype=np.int64)
+        self._made[list(self.made)] = list(self.made.values())
+        self._bytes = np.array(self.byte_id, dtype=np.int64)
+        self._first = self._ranks_of(np.repeat(self._bytes, 256), np.tile(self._bytes, 256)).astype(np.int32)  # of two bytes
         self.lookahead = self._sufficient_lookahead()
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
 
@@ -125,6 +138,44 @@ class MergeTable:
         return [x for x in ids if x >= 0]
 
 
+    def _ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pairs = a * (self.pad + 1) + b
+        at = np.searchsorted(self._pairs, pairs)
+        return np.where(self._pairs[at] == pairs, self._ranks[at], self.none)
+
+    def encode_side_by_side(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """``encode_bytes`` of each piece, none empty: a row of ids for each, in which every round makes the merge of lowest rank."""
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        ids = np.full((len(pieces), int(sizes.max())), self.pad, dtype=np.int32)
+        inside = np.arange(ids.shape[1]) < sizes[:, None]
+        ids[inside] = self._bytes[data]
+        done, rows, ranks = np.full(ids.shape, self.pad, dtype=np.int32), np.arange(len(ids)), np.full((len(ids), ids.shape[1] - 1), self.none, dtype=np.int32)
+        both = np.delete(data[:-1].astype(np.int64) * 256 + data[1:], np.cumsum(sizes)[:-1] - 1)
+        ranks[inside[:, 1:]] = self._first[both]
+        while ranks.size:
+            at = ranks.argmin(axis=1)
+            low = ranks[np.arange(len(at)), at]
+            go = low < self.none
+            if not go.all():
+                done[rows[~go], : ids.shape[1]] = ids[~go]
+                rows, ids, ranks, at, low = rows[go], ids[go], ranks[go], at[go], low[go]
+                if not len(rows):
+                    break
+            n, place = np.arange(len(rows)), np.arange(ids.shape[1] - 1)
+            ids = np.where(place > at[:, None], ids[:, 1:], ids[:, :-1])
+            ids[n, at] = self._made[low]
+            ranks = np.where(place[:-1] >= at[:, None], ranks[:, 1:], ranks[:, :-1])
+            left, right = np.flatnonzero(at > 0), np.flatnonzero(at < ranks.shape[1])
+            r, k = np.concatenate((left, right)), np.concatenate((at[left] - 1, at[right]))  # the pairs with what was made
+            ranks[r, k] = self._ranks_of(ids[r, k].astype(np.int64), ids[r, k + 1])
+        done[rows, : ids.shape[1]] = ids
+        kept = done != self.pad
+        flat = [*map(self.ids.__getitem__, done[kept].tolist())]
+        ends = np.cumsum(kept.sum(axis=1)).tolist()
+        return [tuple(flat[x:y]) for x, y in zip([0, *ends], ends, strict=False)]
+
+
 class PieceTransducer:
     """Encodes one pre-token that arrives in pieces. Holds one lookahead and one token more than what arrives at once."""
 
@@ -173,6 +224,23 @@ class _Remembered(dict):
             self[piece] = ids
         return ids
 
+    def learn(self, texts: list[list[str]]) -> None:
+        """Remembers the pieces of texts, if those that are new aren't few; what doesn't fill a buffer is encoded together."""
+        pieces = set().union(*texts)
+        new = [p for p in pieces if p not in self]
+        if len(new) < FEW:
+            return
+        if self.held + sum(200 + 9 * len(p) for p in new) > REMEMBERED:
+            self.clear()
+            self.held, new = 0, pieces
+        most = min(SHORT, self.table.lookahead)
+        short = sorted(((len(d), p, d) for p in new if 0 < len(d := p.encode("utf-8", "surrogatepass")) <= most), key=lambda x: x[0])
+        for k in range(0, len(short), ROWS):
+            some = short[k : k + ROWS]
+            for (_, p, _), ids in zip(some, self.table.encode_side_by_side([d for _, _, d in some]), strict=True):
+                self[p] = ids
+                self.held += 200 + len(p) + 8 * len(ids)
+
 
 _RUNS = {"L": regex.compile(r"\p{L}*"), "N": regex.compile(r"\p{N}*"), "O": regex.compile(r"[^\s\p{L}\p{N}]*"), "S": regex.compile(r"\s*")}
 
@@ -269,6 +337,15 @@ def load(path: str) -> tuple[MergeTable, _Remembered]:
     return table, _Remembered(table)
 
 
+def together(texts: list[str], table: MergeTable, known: _Remembered) -> Iterator[Iterator[list[int]]]:
+    """``encode_parts`` of each text; pre-tokens of those that are no longer than a chunk and hold no special string are split once and learned first."""
+    split, special = regex.compile(PATTERN).findall, table.special_pattern
+    pieces = [split(t) if len(t) < CHUNK and not (special and special.search(t)) else None for t in texts]
+    known.learn([p for p in pieces if p is not None])
+    for t, p in zip(texts, pieces, strict=True):
+        yield encode_parts(t, table, known) if p is None else iter(([*chain.from_iterable(map(known.__getitem__, p))],))
+
+
 def encode_parts(text: str, table: MergeTable, known: _Remembered, chunk: int = CHUNK) -> Iterator[list[int]]:
     """Settled ids of a text, part by part; special strings stand for themselves."""
     places = [(m.start(), m.end()) for m in table.special_pattern.finditer(text)] if table.special_pattern else []
@@ -301,7 +378,8 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, known = load(path)
         for b in text_parts(batches):
-            yield pd.DataFrame({"doc_id": b["k"], "ids": [list(chain.from_iterable(encode_parts(t if isinstance(t, str) else "", table, known))) for t in b["t"]]})
+            texts = [t if isinstance(t, str) else "" for t in b["t"]]
+            yield pd.DataFrame({"doc_id": b["k"], "ids": [list(chain.from_iterable(parts)) for parts in together(texts, table, known)]})
 
     return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInPandas(run, f"doc_id {kind}, ids array<int>")
 
@@ -331,12 +409,12 @@ def round_trip_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, known = load(path)
         number = table.id_text.__getitem__
-        for b in batches:
+        for b in text_parts(batches):
             rows = []
-            for text in b["t"]:
-                text = text if isinstance(text, str) else ""
+            texts = [t if isinstance(t, str) else "" for t in b["t"]]
+            for text, parts in zip(texts, together(texts, table, known), strict=True):
                 ids_sha, text_sha, n, decoder = hashlib.sha256(), hashlib.sha256(), 0, StreamingDecoder(table)
-                for part in encode_parts(text, table, known):
+                for part in parts:
                     if not part:
                         continue
                     ids_sha.update((("," if n else "") + ",".join(map(number, part))).encode())
