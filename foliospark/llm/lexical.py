@@ -1,6 +1,7 @@
 """Ranked lexical search with Block-Max MaxScore over document shards.
 
-The index has a shard for every ``SHARD`` characters of a task's documents, so building it shuffles nothing. A shard
+The index has a shard for every ``SHARD`` characters of a task's documents, so building it shuffles nothing. Texts are
+hashed as they come, so that a task holds a shard's hashes and never its texts, and lists leave it ``ROWS`` at a time. A shard
 holds, for each of its terms, a list of (document, occurrences) in blocks of ``BLOCK`` postings, packed as variable-length
 gaps, and for each block its last document, most occurrences, shortest document and end: what bounds the
 block's scores without unpacking it. Terms are told apart by 64-bit hashes of their bytes, never by the bytes themselves.
@@ -29,12 +30,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm import textgrams as tg
-from foliospark.llm.common import Tables, tidy
+from foliospark.llm.common import Tables, text_parts, tidy
+from foliospark.sources.batches import map_files
 
 #: Characters of a shard, if of more than one document.
 SHARD = 16 << 20
 #: Postings of a block.
 BLOCK = 64
+#: Lists that are Python objects at once, and values that are packed at once.
+ROWS, PACKED = 20_000, 1 << 17
 #: Items that a task evaluates on a shard at a time.
 ITEMS = 256
 _INDEX = "shard long, h long, df long, heads binary, data binary, ids binary, sizes binary, named long, docs long, terms long, part int"
@@ -42,6 +46,10 @@ _INDEX = "shard long, h long, df long, heads binary, data binary, ids binary, si
 
 def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of the values, seven bits a byte, the last under 128; and where each value's bytes end."""
+    if len(values) > PACKED:  # what it takes beside the bytes doesn't grow with the values
+        parts = [packed(values[k : k + PACKED]) for k in range(0, len(values), PACKED)]
+        past = np.cumsum([0, *(len(x) for x, _ in parts)])
+        return np.concatenate([x for x, _ in parts]), np.concatenate([e + n for (_, e), n in zip(parts, past, strict=False)])
     v = values.astype(np.int64)
     size = np.ones(len(v), dtype=np.int64)
     for bits in (7, 14, 21, 28):
@@ -66,53 +74,73 @@ def unpacked(data: np.ndarray) -> np.ndarray:
 
 def _lists(shard: int, ids: np.ndarray, named: np.ndarray, texts: list[str | None]) -> Iterator[pd.DataFrame]:
     """Index rows of a shard: its lists (part 0), then its documents (part 1)."""
+    yield from _made(shard, ids, named, *_counted(texts))
+
+
+def _counted(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text's number and occurrences of each term of each text, by text; and the terms of each text with repeats."""
+    words, offsets = tg.word_hashes(texts, lower=True, terms=True)
+    doc = tg.owner(offsets).astype(np.int32)
+    by = np.lexsort((words, doc))
+    h, doc = words[by], doc[by]
+    at = np.flatnonzero(np.concatenate(([len(h) > 0], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))))
+    return h[at], doc[at], np.diff(np.append(at, len(h))).astype(np.int32), np.diff(offsets)
+
+
+def _made(shard: int, ids: np.ndarray, named: np.ndarray, h: np.ndarray, doc: np.ndarray, times: np.ndarray, sizes: np.ndarray) -> Iterator[pd.DataFrame]:
     order = np.lexsort((ids, ~named))
-    words, offsets = tg.word_hashes([texts[i] for i in order.tolist()], lower=True, terms=True)
-    sizes = np.diff(offsets)
-    if len(words):
-        by = np.argsort(words, kind="stable")
-        h, doc = words[by], tg.owner(offsets)[by]
-        at = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))))
-        times = np.diff(np.append(at, len(h)))
-        h, doc = h[at], doc[at]
+    place = np.empty(len(order), dtype=np.int32)
+    place[order] = np.arange(len(order))
+    sizes = sizes[order]
+    if len(h):
+        doc = place[doc]
+        by = np.lexsort((doc, h))
+        h, doc, times = h[by], doc[by], times[by]
+        del by
         first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         many = np.diff(np.append(first, len(h)))
-        inner = np.arange(len(h)) - np.repeat(first, many)
-        gaps = np.diff(doc, prepend=0)
+        gaps = np.diff(doc, prepend=np.int32(0))
         gaps[first] = doc[first] + 1
-        block = np.flatnonzero(inner % BLOCK == 0)
+        block = np.flatnonzero((np.arange(len(h)) - np.repeat(first, many)) % BLOCK == 0)
         ends = np.append(block[1:], len(h))
         data, stop = packed(np.column_stack((gaps, times)).ravel())
         began = np.repeat(np.concatenate(([0], stop[2 * (first[1:]) - 1])), -(-many // BLOCK))
         heads = np.column_stack((doc[ends - 1], np.maximum.reduceat(times, block), np.minimum.reduceat(sizes[doc], block), stop[2 * ends - 1] - began)).astype("<u4")
-        edge = np.append(np.searchsorted(block, first), len(block)).tolist()
-        cuts = np.concatenate(([0], stop[2 * np.append(first[1:], len(h)) - 1])).tolist()
-        raw, body = heads.tobytes(), data.tobytes()
-        rows = {"h": h[first].view(np.int64), "df": many, "heads": [raw[16 * x : 16 * y] for x, y in zip(edge, edge[1:], strict=False)], "data": [body[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]}
-        yield pd.DataFrame({"shard": shard, **rows, "ids": None, "sizes": None, "named": 0, "docs": 0, "terms": 0, "part": 0})
+        edge = np.append(np.searchsorted(block, first), len(block))
+        cuts = np.concatenate(([0], stop[2 * np.append(first[1:], len(h)) - 1]))
+        raw, body, names = heads.tobytes(), data.tobytes(), h[first].view(np.int64)
+        del h, doc, times, gaps, block, ends, data, stop, began, heads, first
+        for k in range(0, len(names), ROWS):
+            x, y = edge[k : k + ROWS + 1].tolist(), cuts[k : k + ROWS + 1].tolist()
+            rows = {"h": names[k : k + ROWS], "df": many[k : k + ROWS], "heads": [raw[16 * a : 16 * b] for a, b in zip(x, x[1:], strict=False)], "data": [body[a:b] for a, b in zip(y, y[1:], strict=False)]}
+            yield pd.DataFrame({"shard": shard, **rows, "ids": None, "sizes": None, "named": 0, "docs": 0, "terms": 0, "part": 0})
     told = {"ids": [ids[order].astype("<i8").tobytes()], "sizes": [sizes.astype("<u4").tobytes()], "named": int(named.sum()), "docs": int((sizes > 0).sum()), "terms": int(sizes.sum())}
     yield pd.DataFrame({"shard": shard, "h": 0, "df": 0, "heads": None, "data": None, **told, "part": 1})
 
 
 def _shards(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFrame]:
-    held: list[pd.DataFrame] = []
-    size, shard = 0, TaskContext.get().partitionId() << 32
-    for b in batches:
+    held: list[tuple[np.ndarray, ...]] = []
+    size, shard, count = 0, TaskContext.get().partitionId() << 32, 0
+    for b in text_parts(batches):
         lengths = b["t"].map(lambda t: len(t) if isinstance(t, str) else 0).to_numpy(dtype=np.int64)
         start = 0
         while start < len(b):
             room = int(np.searchsorted(np.cumsum(lengths[start:]), max(1, limit - size), side="left")) + 1
             part = b.iloc[start : start + room]
-            held.append(part)
+            h, doc, times, sizes = _counted(part["t"].tolist())
+            held.append((part["k"].to_numpy(), part["named"].to_numpy(dtype=bool), h, doc + np.int32(count), times, sizes))
+            count += len(part)
             size += int(lengths[start : start + room].sum())
             start += room
             if size >= limit:
-                rows, held, size = pd.concat(held), [], 0
-                yield from _lists(shard, rows["k"].to_numpy(), rows["named"].to_numpy(dtype=bool), rows["t"].tolist())
+                whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+                held, size, count = [], 0, 0
+                yield from _made(shard, *whole)
                 shard += 1
     if held:
-        rows = pd.concat(held)
-        yield from _lists(shard, rows["k"].to_numpy(), rows["named"].to_numpy(dtype=bool), rows["t"].tolist())
+        whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+        held = []
+        yield from _made(shard, *whole)
 
 
 class List:
@@ -215,7 +243,7 @@ class Index:
         self.tables = Tables(docs.sparkSession, "lexical")
         k = F.col(id_col).cast("long")
         rows = docs.select(F.coalesce(k, F.lit(0)).alias("k"), k.isNotNull().alias("named"), F.col(text_col).alias("t"))
-        made = self.tables.keep(rows.mapInPandas(tidy(lambda b: _shards(b, limit)), _INDEX), "part")
+        made = self.tables.keep(map_files(rows, tidy(lambda b: _shards(b, limit)), _INDEX), "part")
         self.lists = made.where("part = 0").select("shard", "h", "df", "heads", "data")
         self.shards = made.where("part = 1").select("shard", "ids", "sizes", "named", "docs", "terms")
         told = self.shards.agg(F.sum("docs").alias("docs"), F.sum("terms").alias("terms")).first()

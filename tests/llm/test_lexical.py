@@ -3,9 +3,11 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from foliospark.llm import lexical
@@ -96,3 +98,25 @@ def test_block_maxima_spare_unpacking():
     assert lexical.List.unpacks - blocks < 0.5 * blocks
     order = np.lexsort((np.arange(len(total)), -total))[:10]
     assert found.tolist() == order.tolist() and scores.tolist() == total[order].tolist()
+
+
+def test_a_shard_is_built_in_little_memory(monkeypatch):
+    """A task holds the hashes of a shard's texts, not the texts, and hands its lists on in parts."""
+    monkeypatch.setattr(lexical, "TaskContext", type("Context", (), {"get": staticmethod(lambda: type("At", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    g = np.random.default_rng(7)
+    batches = lambda: (pd.DataFrame({"k": range(i, i + 250), "named": True, "t": [" ".join(f"v{x}" for x in g.zipf(1.3, 600) % 90_000) for _ in range(250)]}) for i in range(0, 3000, 250))
+    chars = sum(int(b["t"].str.len().sum()) for b in batches())
+    tracemalloc.start()
+    sizes = [len(f) for f in lexical._shards(batches(), lexical.SHARD)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert chars < lexical.SHARD and max(sizes) <= 20_000 < sum(sizes)
+    assert most < 14 * chars
+
+
+def test_packing_in_pieces(monkeypatch):
+    values = np.random.default_rng(2).integers(0, 1 << 30, 1000)
+    data, end = lexical.packed(values)
+    monkeypatch.setattr(lexical, "PACKED", 64)
+    again, stop = lexical.packed(values)
+    assert (data == again).all() and (end == stop).all()
