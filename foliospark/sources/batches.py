@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -26,6 +26,19 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.
             yield b
 
 
+def portions(rows: Iterable[tuple], size_of: Callable[[tuple], int], size: int = SLICE) -> Iterator[list[tuple]]:
+    """The same rows in order, in lists that end once they hold ``size`` bytes: a small archive may hold much text."""
+    held, total = [], 0
+    for row in rows:
+        held.append(row)
+        total += size_of(row)
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
 def map_files(rows: DataFrame, run: Run, schema: str) -> DataFrame:
     """``rows.mapInPandas(run, schema)`` for rows that hold whole files or documents: in slices, so that memory follows these and not the rows of a batch."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))

@@ -50,6 +50,21 @@ def test_batches_are_cut_by_bytes():
     assert all(p.nbytes <= 50_000 or p.num_rows == 1 for p in parts)
 
 
+@pytest.mark.parametrize("form", ["docx", "epub", "odt"])
+def test_small_archives_of_much_text_come_in_portions(spark, monkeypatch, form):
+    """Thirty files of 400,000 characters that zip to some kilobytes: blocks are handed on before all of them are unpacked."""
+    pieces = spark.range(30).select(F.col("id").alias("document_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("ord"), F.lit("paragraph").alias("kind"), F.repeat(F.lit("ten signs "), 10000).alias("text"))
+    files = K.as_zip(pieces, form).select(F.concat(F.col("document_id").cast("string"), F.lit(f".{form}")).alias("path"), "content").toPandas()
+    assert sum(map(len, files["content"])) < B.SLICE
+    runs = []
+    monkeypatch.setattr(I, "map_files", lambda rows, run, schema: runs.append(run))
+    I.import_archives(spark.createDataFrame([("a", b"")], "path string, content binary"))
+    frames = list(runs[0](iter([files])))
+    assert max(f["text"].str.len().sum() for f in frames) < B.SLICE + 100000 + 1
+    kept = [(r.file, r.text) for f in frames for r in f.itertuples() if r.text]
+    assert len(kept) == 120 and [k for k, _ in kept] == [p for p in files["path"] for _ in range(4)] and {len(x.strip()) for _, x in kept} == {99999}
+
+
 def test_decoding_needs_no_python(spark):
     contents = [bytes(range(0x20, 0x98)) + bytes(range(0x99, 0x100)), b"\x98", "\ufeffж".encode(), "ж".encode("cp1251"), b"", None, b"a\0\xff"]
     rows = I.decoded(spark.createDataFrame([(i, c) for i, c in enumerate(contents)], "i int, content binary"), "content")
