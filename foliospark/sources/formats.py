@@ -305,7 +305,8 @@ def files(spark: SparkSession, path: str, *suffixes: str) -> DataFrame:
                 yield from (batch(found) for _, found in walked(at, folder))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = spark.range(0, 1, 1, 1).mapInArrow(top, "path string, length long").repartition(parts, "path").mapInArrow(below, "path string, length long")
+    start = spark.createDataFrame([(0,)], "n int").coalesce(1)  # rows of a size that Spark can't estimate: by range(1) it would broadcast what is listed
+    found = start.mapInArrow(top, "path string, length long").repartition(parts, "path").mapInArrow(below, "path string, length long")
     return found.where(F.lower("path").rlike("(" + "|".join(x.replace(".", "\\.") for x in wanted) + ")$"))
 
 

@@ -120,3 +120,9 @@ def test_conversion_keeps_folders(spark, tmp_path):
     assert told == {"a/1.txt": "a/1.docx", "b/1.txt": "b/1.converted.docx", "b.c/1.md": "b.c/1.docx"}
     back = {r.file.removeprefix(f"{target}/"): r.text for r in S.read(spark, target).where("error IS NULL").collect()}
     assert back == {"a/1.docx": "one", "b/1.converted.docx": "two", "b.c/1.docx": "three"}
+
+
+def test_listings_are_of_unknown_size(spark, tmp_path):
+    """A listing is no small table before it has run: a join would send it through the driver."""
+    (tmp_path / "1.txt").write_bytes(b"x")
+    assert S.digests(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > 1 << 40
