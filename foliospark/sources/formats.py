@@ -307,7 +307,8 @@ def files(spark: SparkSession, path: str, *suffixes: str) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     start = spark.createDataFrame([(0,)], "n int").coalesce(1)  # rows of a size that Spark can't estimate: by range(1) it would broadcast what is listed
     found = start.mapInArrow(top, "path string, length long").repartition(parts, "path").mapInArrow(below, "path string, length long")
-    return found.where(F.lower("path").rlike("(" + "|".join(x.replace(".", "\\.") for x in wanted) + ")$"))
+    # by the listed folders, which are few, an adaptive plan would take the files for few and broadcast them in a join
+    return found.hint("shuffle_merge").where(F.lower("path").rlike("(" + "|".join(x.replace(".", "\\.") for x in wanted) + ")$"))
 
 
 def contents(found: DataFrame, path: str) -> DataFrame:

@@ -126,3 +126,12 @@ def test_listings_are_of_unknown_size(spark, tmp_path):
     """A listing is no small table before it has run: a join would send it through the driver."""
     (tmp_path / "1.txt").write_bytes(b"x")
     assert S.digests(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > 1 << 40
+
+
+def test_listings_are_not_broadcast(spark, tmp_path):
+    """Not by the size of what is listed first either."""
+    (tmp_path / "1.txt").write_bytes(b"x")
+    joined = spark.createDataFrame([("1.txt",)], "file string").join(S.digests(spark, str(tmp_path)), "file", "left")
+    assert joined.count() == 1 and "digest" in joined.columns
+    plan = joined._jdf.queryExecution()
+    assert "rightHint=(strategy=merge)" in plan.optimizedPlan().toString()
